@@ -35,3 +35,23 @@ def nearest_clearance(entries: DataFrame, clearances: DataFrame) -> DataFrame:
         left, right, ["loan", "worker", "day"], "ts", "ts", {"clear_id": "clear_id", "clear_ts": "ts"},
         strict=False, how="inner", ties=["clear_id"],
     ).drop("day")
+
+
+def match_reasons(clearances: DataFrame, entries: DataFrame, staff: DataFrame) -> DataFrame:
+    """Every clearance with the reasons entered for it (blank where none) and the loan's clearance count.
+
+    An entry belongs to the nearest earlier clearance. ``clearances``: clear_id, loan, worker, ts;
+    ``entries``: entry_id, loan, ts, user_text, reason; ``staff``: worker, first_name, last_name, ext.
+    """
+    from tidecase.operators.joins import with_group
+
+    matched = nearest_clearance(resolve_people(entries, staff), clearances).select("clear_id", "entry_id", "reason")
+    counted = with_group(clearances, ["loan"], F.count(F.lit(1)).alias("loan_clearances"))
+    return counted.join(matched, "clear_id", "left").select(
+        "clear_id",
+        "loan",
+        "loan_clearances",
+        F.col("ts").alias("cleared_at"),
+        "entry_id",
+        F.coalesce("reason", F.lit(" ")).alias("reason"),
+    )

@@ -33,7 +33,8 @@ def apply_agg(
 
 def _matching(left: DataFrame, right: DataFrame, keys: dict[str, str] | list[str], how: str) -> DataFrame:
     pairs = keys if isinstance(keys, dict) else {k: k for k in keys}
-    side = right.select(*[F.col(r).alias("_r_" + l) for l, r in pairs.items()])
+    # distinct combines before the shuffle, so a key with very many rows arrives once per map task
+    side = right.select(*[F.col(r).alias("_r_" + l) for l, r in pairs.items()]).distinct()
     on = reduce(Column.__and__, [F.col(l) == F.col("_r_" + l) for l in pairs])
     return left.join(side, on, how)
 
