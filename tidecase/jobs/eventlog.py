@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecase.operators.slices import ROWS_PER_TASK, numbered
 
 
-def assemble(sources: dict[str, DataFrame], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Union (case_id, ts) sources under their labels, drop repeats, number per case by time."""
-    rows = None
-    for label, df in sources.items():
-        part = df.select("case_id", F.lit(label).alias("status"), "ts")
-        rows = part if rows is None else rows.unionByName(part)
-    return numbered(rows.distinct(), ["case_id"], ["ts", "status"], "row_num", rows_per_task=rows_per_task)
+def assemble(
+    sources: list[DataFrame], rows_per_task: int = ROWS_PER_TASK, hot: DataFrame | None = None
+) -> DataFrame:
+    """Union sources of (case_id, status, ts), drop repeats, number the events per case by time."""
+    rows = sources[0].select("case_id", "status", "ts")
+    for df in sources[1:]:
+        rows = rows.unionByName(df.select("case_id", "status", "ts"))
+    return numbered(rows.distinct(), ["case_id"], ["ts", "status"], "row_num", rows_per_task=rows_per_task, hot=hot)
+
+
+def labelled(log: DataFrame, labels: dict[str, Column], first_only: tuple[str, ...] = ()) -> DataFrame:
+    """Log rows under the first label whose condition they meet; of ``first_only`` labels the earliest per case.
+
+    One pass and one aggregation serve all labels.
+    """
+    name = None
+    for label, condition in labels.items():
+        name = F.when(condition, label) if name is None else name.when(condition, label)
+    marked = log.select("case_id", name.alias("status"), "ts").filter(F.col("status").isNotNull())
+    each = F.when(~F.col("status").isin(list(first_only)), F.col("ts")) if first_only else F.col("ts")
+    return marked.groupBy("case_id", "status", each.alias("_each")).agg(F.min("ts").alias("ts")).drop("_each")
 
 
 def funnel(log: DataFrame) -> DataFrame:

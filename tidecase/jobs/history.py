@@ -80,20 +80,19 @@ def prior_match(
 
 
 def missing_followup(
-    cases: DataFrame, items: DataFrame, follow_up: str, days_valid: int, rows_per_task: int = ROWS_PER_TASK
+    cases: DataFrame, followups: DataFrame, status_log: DataFrame, days_valid: int, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Cases that expired ``days_valid`` after opening, before their first item, with no follow-up item.
+    """Cases that expired ``days_valid`` after opening, before they were taken up, with no follow-up.
 
-    ``cases``: case_id, opened, closed_at; ``items``: case_id, ts, status, tie. Adds the item status at expiry.
+    ``cases``: case_id, opened, taken_up, closed_at (the bound where ``taken_up`` is NULL); ``followups``: case_id;
+    ``status_log``: case_id, ts, status, tie. Adds the case's status just before expiry.
     """
-    expires = dateadd("DAY", days_valid, "opened")
-    firsts = items.groupBy("case_id").agg(F.min(F.when(F.col("status") != follow_up, F.col("ts"))).alias("first_item"))
-    lacking = anti(cases, items.filter(F.col("status") == follow_up), ["case_id"])
-    dated = lacking.join(firsts, "case_id", "left").withColumn("expired", expires)
-    bound = F.when(F.col("first_item").isNull(), F.col("closed_at")).otherwise(F.col("first_item"))
-    late = dated.filter(F.col("expired") < bound)
+    bound = F.when(F.col("taken_up").isNull(), F.col("closed_at")).otherwise(F.col("taken_up"))
+    dated = cases.withColumn("expired", dateadd("DAY", days_valid, "opened")).filter(F.col("expired") < bound)
+    lacking = anti(dated, followups, ["case_id"])
     return asof(
-        late, items, ["case_id"], "expired", "ts", {"status_at_expiry": "status"}, ties=["tie"], rows_per_task=rows_per_task
+        lacking, status_log, ["case_id"], "expired", "ts", {"status_at_expiry": "status"},
+        ties=["tie"], rows_per_task=rows_per_task,
     )
 
 

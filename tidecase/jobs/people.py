@@ -18,9 +18,9 @@ def hours_worked(entries: DataFrame, codes: list[int]) -> DataFrame:
     )
 
 
-def hours_by_leader(hours: DataFrame, leaders: DataFrame) -> DataFrame:
+def hours_by_leader(hours: DataFrame, leaders: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Add the leader at the time: ``leaders`` are versions worker, leader, start_id, end_id."""
-    return version_join(hours, leaders, ["worker"], "date_id", "start_id", "end_id", {"leader": "leader"})
+    return version_join(hours, leaders, ["worker"], "date_id", "start_id", "end_id", {"leader": "leader"}, hot=hot)
 
 
 def effort_hours(touches: DataFrame, population: DataFrame, hours: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from tidecase.functions.text import duration_label
 from tidecase.operators.events import asof, top_n
 from tidecase.operators.joins import semi
 from tidecase.operators.shapes import union_padded
-from tidecase.operators.slices import ROWS_PER_TASK, numbered
+from tidecase.operators.slices import ROWS_PER_TASK, hot_keys, numbered
 
 
 def response_times(posts: DataFrame, replies: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -40,8 +40,10 @@ def attribute_messages(
     """
     outgoing = semi(replied, sent, ["sent_key"]).drop("sent_key").withColumn("action", F.lit("replied"))
     incoming = semi(received, routed, ["message_id"]).withColumn("action", F.lit("received"))
-    base = union_padded(outgoing, incoming).withColumn("_thread", F.coalesce("loan", "client"))
-    ranked = numbered(base, ["_thread"], ["ts"], "_rank", ties=True, rows_per_task=rows_per_task)
+    thread = F.coalesce("loan", "client").alias("_thread")
+    hot = hot_keys(replied.select(thread, "ts").unionByName(received.select(thread, "ts")), ["_thread"], "ts", rows_per_task)
+    base = union_padded(outgoing, incoming).withColumn("_thread", thread)
+    ranked = numbered(base, ["_thread"], ["ts"], "_rank", ties=True, rows_per_task=rows_per_task, hot=hot)
     started = (F.col("action") == "replied") & (F.col("_rank") == 1)
     return ranked.withColumn("action", F.when(started, "initiated").otherwise(F.col("action"))).drop("_thread", "_rank")
 

@@ -71,6 +71,7 @@ def asof(
     how: str = "left",
     ties: list[str] | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Per left row, ``{new name: right column}`` of the nearest right row before (or after) it.
 
@@ -106,7 +107,7 @@ def asof(
         null_left.alias("_left"),
         payload.alias("_right"),
     )
-    both = with_slice(left_rows.unionByName(right_rows), key_columns, "_ts", rows_per_task)
+    both = with_slice(left_rows.unionByName(right_rows), key_columns, "_ts", rows_per_task, hot)
     order = [
         *directed(["_ts"], forward),
         F.col("_side").asc(),
@@ -149,10 +150,11 @@ def dwell(
     state: str,
     as_of: Column,
     rows_per_task: int = ROWS_PER_TASK,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Seconds and visits per (key, state); the last interval of a key ends at ``as_of``."""
     ts = order[0]
-    stepped = with_next(log, keys, order, {"_until": ts}, rows_per_task)
+    stepped = with_next(log, keys, order, {"_until": ts}, rows_per_task, hot)
     seconds = datediff_boundary("SECOND", F.col(ts), F.coalesce(F.col("_until"), as_of))
     return stepped.groupBy(*keys, state).agg(
         F.sum(seconds).alias("seconds"), F.count(F.lit(1)).alias("visits")

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from tidecase.functions.timeid import clock_number
 from tidecase.operators.events import asof
-from tidecase.operators.slices import ROWS_PER_TASK
+from tidecase.operators.slices import ROWS_PER_TASK, with_next
 
 
 def versions(
-    log: DataFrame, keys: list[str], order: list[str], columns: list[str], rows_per_task: int = ROWS_PER_TASK
+    log: DataFrame,
+    keys: list[str],
+    order: list[str],
+    columns: list[str],
+    rows_per_task: int = ROWS_PER_TASK,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Turn a change log into versions ``[valid_from, valid_to)``; ``valid_to`` is NULL for the last."""
-    from tidecase.operators.slices import with_next
-
     ts = order[0]
-    stepped = with_next(log, keys, order, {"valid_to": ts}, rows_per_task)
+    stepped = with_next(log, keys, order, {"valid_to": ts}, rows_per_task, hot)
     return stepped.select(*keys, *columns, F.col(ts).alias("valid_from"), "valid_to")
 
 
@@ -32,6 +35,7 @@ def version_join(
     end_inclusive: bool = True,
     how: str = "left",
     rows_per_task: int = ROWS_PER_TASK,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join each left row to the version with ``start <= point <= end`` (or ``< end``).
 
@@ -42,7 +46,7 @@ def version_join(
     found = asof(
         left, dim, keys, point, start,
         {**{out: source for out, source in columns.items()}, "_start": start, "_end": end},
-        strict=False, ties=[end], rows_per_task=rows_per_task,
+        strict=False, ties=[end], rows_per_task=rows_per_task, hot=hot,
     )
     p, e = F.col(point), F.col("_end")
     inside = F.col("_start").isNotNull() & (e.isNull() | ((p <= e) if end_inclusive else (p < e)))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecase.operators.slices import same_keys
+from tidecase.operators.slices import copies, same_keys
 
 
 def apply_agg(
@@ -64,5 +64,5 @@ def with_group(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     """
     totals = df.groupBy(*keys).agg(*aggs)
     added = [c for c in totals.columns if c not in keys]
-    totals = totals.select(*[F.col(k).alias("_g_" + k) for k in keys], *added)
-    return df.join(totals, same_keys(keys, "_g_"), "left").select(*df.columns, *added)
+    totals = totals.select(*copies(keys, "_group"), *added)
+    return df.join(totals, same_keys(keys, "_group"), "left").select(*df.columns, *added)

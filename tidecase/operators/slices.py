@@ -9,9 +9,14 @@ The slice of a row is a function of the row and of exact per-key counts and boun
 task therefore puts every row into the same slice as before. Rows of one key at one instant
 share a slice, so ties are resolved inside it.
 
+Finding the hot keys reads the key and time columns once more. Where the input is the result of a long
+pipeline, pass ``hot=hot_keys(base log, …)`` instead: any such table gives right results, because it
+decides only how the rows are spread.
+
 Size of what is broadcast: a hot key has more than ``rows_per_task`` rows, so of N rows at most
-N / rows_per_task keys are hot, and they have fewer than 2 N / rows_per_task slices (one more per key when the order
-column has NULLs).
+N / rows_per_task keys are hot. With F = FINENESS they have at most (F + 2) N / rows_per_task slices, each giving one
+row to the carried table: for 10^12 rows at the default that is 100,000 keys and 600,000 rows. Raise ``rows_per_task``
+with the executors' memory to lower it.
 """
 
 from __future__ import annotations
@@ -24,14 +29,13 @@ from pyspark.sql import types as T
 
 from tidecase.functions.timeid import clock_number, day_number
 
-ROWS_PER_TASK = 5_000_000
+ROWS_PER_TASK = 10_000_000
+FINENESS = 4  # slices are cut this much finer than needed, as events crowd at some times
 SLICE = "_slice"
 
 
-def position(df: DataFrame, column: str) -> Column:
-    """A number that grows with ``column``, whatever its ordered type."""
-    kind = df.schema[column].dataType
-    c = F.col(column)
+def position(kind: T.DataType, c: Column) -> Column:
+    """A number that grows with ``c``, a column of the ordered type ``kind``."""
     if isinstance(kind, T.TimestampNTZType):
         return clock_number("SECOND", c).cast("double")
     if isinstance(kind, T.TimestampType):
@@ -40,43 +44,52 @@ def position(df: DataFrame, column: str) -> Column:
         return day_number(c).cast("double")
     if isinstance(kind, T.NumericType):
         return c.cast("double")
-    raise TypeError(f"cannot slice by {column}: {kind.simpleString()} has no position in time")
+    raise TypeError(f"{kind.simpleString()} has no position in time to slice by")
 
 
 def same_keys(keys: list[str], prefix: str) -> Column:
-    """NULL-safe equality of ``keys`` with their copies named ``prefix + key``."""
-    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
+    """NULL-safe equality of ``keys`` with their copies named ``prefix`` and a running number."""
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{prefix}{i}")) for i, k in enumerate(keys)])
+
+
+def copies(keys: list[str], prefix: str) -> list[Column]:
+    return [F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
 
 
 def hot_keys(df: DataFrame, keys: list[str], ts: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Keys with more than ``rows_per_task`` rows, their time bounds and number of slices.
 
-    One aggregation with map-side combine over the key and time columns.
+    One aggregation with map-side combine that reads the key and time columns only.
     """
-    pos = position(df, ts)
+    kind = df.schema[ts].dataType
     return (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min(ts).alias("_first"), F.max(ts).alias("_last"))
         .filter(F.col("_rows") > rows_per_task)
         .select(
-            *[F.col(k).alias("_hot_" + k) for k in keys],
-            "_lo",
-            "_hi",
-            F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts"),
+            *copies(keys, "_hot"),
+            position(kind, F.col("_first")).alias("_lo"),
+            position(kind, F.col("_last")).alias("_hi"),
+            F.ceil(F.col("_rows") * FINENESS / rows_per_task).cast("int").alias("_parts"),
         )
     )
 
 
 def with_slice(
-    df: DataFrame, keys: list[str], ts: str, rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: list[str], ts: str, rows_per_task: int = ROWS_PER_TASK, hot: DataFrame | None = None
 ) -> DataFrame:
-    """Add the slice number of rows of hot keys; NULL for all other rows."""
-    hot = hot_keys(df, keys, ts, rows_per_task)
-    share = (position(df, ts) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
-    number = F.least(F.floor(share * F.col("_parts")).cast("int"), F.col("_parts") - 1)
+    """Add the slice number of rows of hot keys; NULL for all other rows.
+
+    Rows without a time get slice -1: like NULLs in an ascending order they come first.
+    """
+    hot = hot_keys(df, keys, ts, rows_per_task) if hot is None else hot
+    here = position(df.schema[ts].dataType, F.col(ts))
+    share = (here - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
+    last = F.col("_parts") - 1
+    number = F.greatest(F.least(F.floor(share * F.col("_parts")).cast("int"), last), F.lit(0))
     return (
-        df.join(F.broadcast(hot), same_keys(keys, "_hot_"), "left")
-        .withColumn(SLICE, F.when(F.col("_parts").isNotNull(), F.coalesce(number, F.lit(-1))))
+        df.join(F.broadcast(hot), same_keys(keys, "_hot"), "left")
+        .withColumn(SLICE, F.when(F.col("_parts").isNotNull(), F.when(here.isNull(), -1).otherwise(number)))
         .select(*df.columns, SLICE)
     )
 
@@ -98,14 +111,14 @@ def carry(
         sliced.filter(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE).agg(summary.alias("_summary"))
     )
     return per_slice.select(
-        *[F.col(k).alias("_c_" + k) for k in keys],
-        F.col(SLICE).alias("_c_" + SLICE),
+        *copies(keys, "_carry"),
+        F.col(SLICE).alias("_carry_slice"),
         over_slices(F.col("_summary")).over(before).alias(name),
     )
 
 
 def join_carry(df: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
-    on = same_keys(keys, "_c_") & (F.col(SLICE) == F.col("_c_" + SLICE))
+    on = same_keys(keys, "_carry") & (F.col(SLICE) == F.col("_carry_slice"))
     return df.join(F.broadcast(carried), on, "left")
 
 
@@ -117,12 +130,13 @@ def numbered(
     descending: bool = False,
     ties: bool = False,
     rows_per_task: int = ROWS_PER_TASK,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows of each key: ``row_number``, or ``rank`` with ``ties=True``.
 
     Give ``order`` a unique last column unless ties are wanted.
     """
-    sliced = with_slice(df, keys, order[0], rows_per_task)
+    sliced = with_slice(df, keys, order[0], rows_per_task, hot)
     window = Window.partitionBy(*keys, SLICE).orderBy(*directed(order, descending))
     function = F.rank() if ties else F.row_number()
     local = sliced.withColumn("_local", function.over(window))
@@ -138,8 +152,9 @@ def _neighbour(
     columns: dict[str, str],
     descending: bool,
     rows_per_task: int,
+    hot: DataFrame | None,
 ) -> DataFrame:
-    sliced = with_slice(df, keys, order[0], rows_per_task)
+    sliced = with_slice(df, keys, order[0], rows_per_task, hot)
     payload = F.struct(*[F.col(source).alias(out) for out, source in columns.items()])
     window = Window.partitionBy(*keys, SLICE).orderBy(*directed(order, descending))
     local = sliced.withColumn("_near", F.lag(payload).over(window))
@@ -164,9 +179,10 @@ def with_prev(
     order: list[str],
     columns: dict[str, str],
     rows_per_task: int = ROWS_PER_TASK,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``{new name: column}`` of the row before, per key."""
-    return _neighbour(df, keys, order, columns, False, rows_per_task)
+    return _neighbour(df, keys, order, columns, False, rows_per_task, hot)
 
 
 def with_next(
@@ -175,6 +191,7 @@ def with_next(
     order: list[str],
     columns: dict[str, str],
     rows_per_task: int = ROWS_PER_TASK,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``{new name: column}`` of the row after, per key."""
-    return _neighbour(df, keys, order, columns, True, rows_per_task)
+    return _neighbour(df, keys, order, columns, True, rows_per_task, hot)

@@ -11,9 +11,9 @@ from tidecase.jobs import (
     scorecard, threads, touches, turntime, worklist,
 )
 from tidecase.operators.events import asof
-from tidecase.operators.intervals import version_join
+from tidecase.operators.slices import hot_keys
 from tidecase.plans.join_queries import (
-    FUZZY_SQL, LINE_SQL, ROLE_VERSIONS, SNAPSHOT_SQL, by_type, clearances, role_versions, staff_list, typed_entries,
+    FUZZY_SQL, LINE_SQL, ROLE_VERSIONS, SNAPSHOT_SQL, by_type, clearances, role_at, role_log, role_versions, staff_list, typed_entries,
 )
 from tidecase.plans.registry import query
 from tidecase.plans.scalars import CHRISTMAS, DID
@@ -189,16 +189,17 @@ EVENT_LOG_SQL = """
 
 def event_log_frame(t):
     events = log(t).drop("event_id")
-    population = events.filter("status = 'error' AND value > 50").groupBy("case_id").agg(F.min("ts").alias("entered"))
-    # one join gives every later event of the population; the sources are filters of it
-    later = events.join(population, "case_id").filter("ts > entered")
+    entered = events.filter("status = 'error' AND value > 50").groupBy("case_id").agg(F.min("ts").alias("entered"))
+    later = events.join(entered, "case_id").filter("ts > entered")
+    status = F.col("status")
+    labels = {
+        "help requested": status == "signup",
+        "suspended": (status == "error") & (F.col("value") > 100),
+        "closed": status == "purchase",
+    }
+    scrubbed = entered.select("case_id", F.lit("scrubbed").alias("status"), F.col("entered").alias("ts"))
     return eventlog.assemble(
-        {
-            "scrubbed": population.withColumnRenamed("entered", "ts"),
-            "help requested": later.filter("status = 'signup'"),
-            "suspended": later.filter("status = 'error' AND value > 100"),
-            "closed": later.filter("status = 'purchase'").groupBy("case_id").agg(F.min("ts").alias("ts")),
-        }
+        [scrubbed, eventlog.labelled(later, labels, first_only=("closed",))], hot=hot_keys(events, ["case_id"], "ts")
     )
 
 
@@ -379,9 +380,7 @@ TOUCH_SQL = f"""
 
 
 def touched_by_role(t):
-    roles = role_versions(t).withColumnRenamed("user_id", "worker")
-    joined = version_join(worker_touches(t), roles, ["worker"], "date_id", "start_id", "end_id", {"role": "role"})
-    return joined.withColumn("role", F.coalesce("role", F.lit("Other")))
+    return role_at(t, worker_touches(t), "worker").withColumn("role", F.coalesce("role", F.lit("Other")))
 
 
 @query(
@@ -549,8 +548,11 @@ HOURS_SQL = f"hours AS (SELECT user_id AS worker, {DID.format(c='ts')} AS date_i
     f"WITH {ROLE_VERSIONS}, {HOURS_SQL} SELECT worker, date_id, hours, role AS leader FROM hours LEFT JOIN dim ON dim.user_id = worker AND date_id BETWEEN start_id AND end_id",
 )
 def hours_worked(t):
+    entries = worker_hours(t)
     leaders = role_versions(t).select(F.col("user_id").alias("worker"), F.col("role").alias("leader"), "start_id", "end_id")
-    return people.hours_by_leader(people.hours_worked(worker_hours(t), [0, 1]), leaders)
+    changes = role_log(t).select(F.col("user_id").alias("worker"), timeid.dateid("ts").alias("date_id"))
+    hot = hot_keys(entries.select("worker", "date_id").unionByName(changes), ["worker"], "date_id")
+    return people.hours_by_leader(people.hours_worked(entries, [0, 1]), leaders, hot)
 
 
 @query(
@@ -785,15 +787,17 @@ def first_in_role(t):
 @query(
     "missing_followup",
     f"""
-    WITH f AS (SELECT l_orderkey, MIN(CASE WHEN l_returnflag <> 'R' THEN l_shipdate END) AS first_item FROM lineitem GROUP BY 1),
-    c AS (SELECT o_orderkey AS case_id, o_orderdate AS opened, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 90 DAY END AS closed_at, o_orderdate + INTERVAL 60 DAY AS expired, first_item FROM orders LEFT JOIN f ON l_orderkey = o_orderkey
-      WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')),
-    k AS (SELECT * FROM c WHERE expired < CASE WHEN first_item IS NULL THEN closed_at ELSE first_item END),
+    WITH f AS (SELECT l_orderkey, MIN(CASE WHEN l_returnflag = 'A' THEN l_shipdate END) AS taken_up FROM lineitem GROUP BY 1),
+    c AS (SELECT o_orderkey AS case_id, o_orderdate AS opened, taken_up, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 90 DAY END AS closed_at, o_orderdate + INTERVAL 60 DAY AS expired FROM orders LEFT JOIN f ON l_orderkey = o_orderkey
+      WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_linestatus = 'O')),
+    k AS (SELECT * FROM c WHERE expired < CASE WHEN taken_up IS NULL THEN closed_at ELSE taken_up END),
     m AS (SELECT k.*, l_returnflag AS status_at_expiry, ROW_NUMBER() OVER (PARTITION BY case_id ORDER BY l_shipdate DESC, {ITEM_DESC}) AS rn FROM k LEFT JOIN lineitem ON l_orderkey = case_id AND l_shipdate < expired)
-    SELECT case_id, opened, closed_at, first_item, expired, status_at_expiry FROM m WHERE rn = 1
+    SELECT case_id, opened, taken_up, closed_at, expired, status_at_expiry FROM m WHERE rn = 1
     """,
 )
 def missing_followup(t):
     closed = F.when(F.col("status") == "F", timeid.dateadd("DAY", 90, "opened"))
-    listed = cases(t).select("case_id", "opened", closed.alias("closed_at"))
-    return history.missing_followup(listed, items(t), "R", 60)
+    taken_up = items(t).filter("status = 'A'").groupBy("case_id").agg(F.min("ts").alias("taken_up"))
+    listed = cases(t).join(taken_up, "case_id", "left").select("case_id", "opened", "taken_up", closed.alias("closed_at"))
+    followups = items(t).filter("status = 'R' AND phase = 'O'")
+    return history.missing_followup(listed, followups, items(t), 60)

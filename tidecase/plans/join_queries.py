@@ -11,7 +11,7 @@ from tidecase.operators.events import asof, first_event, last_event
 from tidecase.operators.intervals import interval_join, state_on, version_join
 from tidecase.operators.joins import anti, apply_agg, exists_flag, semi, with_group
 from tidecase.operators.shapes import dense_grid, fill_grid
-from tidecase.operators.slices import with_next, with_prev
+from tidecase.operators.slices import hot_keys, with_next, with_prev
 from tidecase.plans.registry import query
 from tidecase.sources.derived import daily_snapshot, daily_versions, state_versions
 
@@ -231,9 +231,21 @@ ROLE_VERSIONS = """
     """
 
 
+def role_log(t):
+    return t.events.filter("event_type IN ('signup', 'view')").withColumnRenamed("event_type", "role")
+
+
 def role_versions(t):
-    log = t.events.filter("event_type IN ('signup', 'view')").withColumnRenamed("event_type", "role")
-    return daily_versions(log, ["user_id"], ["ts", "event_id"], "role")
+    return daily_versions(role_log(t), ["user_id"], ["ts", "event_id"], "role")
+
+
+def role_at(t, facts, worker: str):
+    """Add the worker's role on the fact's ``date_id``."""
+    roles = role_versions(t).withColumnRenamed("user_id", worker)
+    # hot workers are found in the two base tables: the versions need not be computed for it
+    changes = role_log(t).select(F.col("user_id").alias(worker), dateid("ts").alias("date_id"))
+    hot = hot_keys(facts.select(worker, "date_id").unionByName(changes), [worker], "date_id")
+    return version_join(facts, roles, [worker], "date_id", "start_id", "end_id", {"role": "role"}, hot=hot)
 
 
 @query(
@@ -245,8 +257,7 @@ def role_versions(t):
 )
 def scd2_join(t):
     calls = by_type(t, "purchase").select("event_id", "user_id", dateid("ts").alias("date_id"))
-    joined = version_join(calls, role_versions(t), ["user_id"], "date_id", "start_id", "end_id", {"role": "role"})
-    return joined.drop("user_id")
+    return role_at(t, calls, "user_id").drop("user_id")
 
 
 @query(

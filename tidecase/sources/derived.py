@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidecase.functions.timeid import dateid
 from tidecase.operators.events import last_event
 from tidecase.operators.intervals import versions
-from tidecase.operators.slices import ROWS_PER_TASK, with_next
+from tidecase.operators.slices import ROWS_PER_TASK, hot_keys, with_next
 
 OPEN_END = 21991231
 
@@ -28,8 +28,9 @@ def daily_versions(
     The last change of a day counts for the whole day.
     """
     ts = order[0]
+    hot = hot_keys(log, keys, ts, rows_per_task)
     daily = last_event(log.withColumn("_day", F.to_date(ts)), [*keys, "_day"], order)
-    stepped = with_next(daily.select(*keys, "_day", value), keys, ["_day"], {"_next": "_day"}, rows_per_task)
+    stepped = with_next(daily.select(*keys, "_day", ts, value), keys, [ts], {"_next": "_day"}, rows_per_task, hot)
     return stepped.select(
         *keys,
         value,
