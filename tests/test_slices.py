@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidecase.operators.events import asof, dwell, first_event, last_event, nth_event
 from tidecase.operators.intervals import interval_join, version_join, versions
-from tidecase.operators.joins import with_group
+from tidecase.operators.joins import left_fan_out, spread_join, with_group
 from tidecase.operators.slices import hot_keys, numbered, with_next, with_prev
 
 T0 = dt.datetime(2024, 1, 1)
@@ -193,3 +193,20 @@ def test_with_group_matches_window_and_keeps_null_group(frame, rows):
 def test_unordered_type_is_refused(frame):
     with pytest.raises(TypeError):
         numbered(frame, ["key"], ["state"]).collect()
+
+
+@pytest.mark.parametrize("limit", [SMALL, 10**6])
+def test_spread_join_equals_plain_join(spark, frame, limit):
+    lookup = spark.createDataFrame([(k, f"name{k}") for k in range(0, 40, 2)], "key long, name string")
+    for how in ("inner", "left"):
+        plain = frame.join(lookup, "key", how)
+        got = spread_join(frame, lookup, ["key"], how, rows_per_task=limit).select(*plain.columns)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+@pytest.mark.parametrize("limit", [SMALL, 10**6])
+def test_left_fan_out_equals_left_join(spark, frame, limit):
+    lookup = spark.createDataFrame([(k, f"name{k}") for k in [None, *range(0, 60, 2)]], "key long, name string")
+    plain = lookup.join(frame, "key", "left")
+    got = left_fan_out(lookup, frame, ["key"], limit).select(*plain.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)

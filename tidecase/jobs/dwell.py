@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidecase.functions.measures import count_if, sum_if
 from tidecase.functions.timeid import datediff_boundary
-from tidecase.operators.slices import ROWS_PER_TASK, with_next
+from tidecase.operators.joins import spread_join
+from tidecase.operators.slices import ROWS_PER_TASK, hot_keys, with_next
 
 
 def visits_to_state(
@@ -18,11 +19,12 @@ def visits_to_state(
     ``log``: case_id, ts, event_id, status. ``cases``: case_id and the milestone column. Reasons are
     not joined before counting, so an event with several reasons counts once.
     """
-    stepped = with_next(log, ["case_id"], ["ts", "event_id"], {"_until": "ts"}, rows_per_task)
+    hot = hot_keys(log, ["case_id"], "ts", rows_per_task)
+    stepped = with_next(log, ["case_id"], ["ts", "event_id"], {"_until": "ts"}, rows_per_task, hot)
     visits = stepped.filter(F.col("status") == state)
     seconds = datediff_boundary("SECOND", F.col("ts"), F.coalesce(F.col("_until"), as_of))
     per_case = (
-        visits.join(cases.select("case_id", F.col(milestone).alias("_mark")), "case_id", "left")
+        spread_join(visits, cases.select("case_id", F.col(milestone).alias("_mark")), ["case_id"], "left", hot=hot)
         .groupBy("case_id")
         .agg(
             F.count(F.lit(1)).alias("visits"),

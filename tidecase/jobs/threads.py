@@ -49,7 +49,10 @@ def attribute_messages(
 
 
 def leader_chain(staff: DataFrame, titles: list[str]) -> DataFrame:
-    """Add one column per title by walking ``leader`` upwards. ``staff``: id, name, leader."""
+    """Add one column per title by walking ``leader`` upwards. ``staff``: id, name, leader.
+
+    Only people who lead someone can match, so the lookup side stays small.
+    """
     leaders = semi(staff, staff, {"id": "leader"})
     chain = staff.withColumn("_next", F.col("leader"))
     for title in titles:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidecase.functions.measures import int_avg
 from tidecase.functions.timeid import datediff_boundary
 from tidecase.operators.events import milestones
+from tidecase.operators.joins import spread_join
 
 
 def turn_times(
@@ -18,7 +19,7 @@ def turn_times(
     Log rows before the case was opened do not count. All marks come from one pass over the log.
     """
     starts = cases.select(case, opened)
-    since = log.join(starts, case).filter(F.col(ts) >= F.col(opened))
+    since = spread_join(log, starts, [case]).filter(F.col(ts) >= F.col(opened))
     firsts = milestones(since, [case], ts, marks)
     joined = cases.join(firsts, case, "left")
     return joined.select(

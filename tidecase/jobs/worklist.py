@@ -64,13 +64,31 @@ def work_list(
     )
 
 
-def result_sets(wide: DataFrame, kinds: list[str], waiting: list[str]) -> dict[str, DataFrame]:
-    """The report's result sets, each a filter and projection of the wide row."""
-    sets = {
-        "conditions": wide.filter("open_conditions > 0").select("case_id", F.col("days_with_condition").alias("days")),
-        "incomplete": wide.filter("review_incomplete = 'Yes'").select("case_id", F.col("days_in_review").alias("days")),
-        "never reviewed": wide.filter("review_status IS NULL").select("case_id", F.col("days_open").alias("days")),
+def signals(kinds: list[str], waiting: list[str]) -> dict[str, tuple[Column, Column]]:
+    """The report's result sets: which cases belong to each, and the days to list."""
+    found = {
+        "conditions": (F.col("open_conditions") > 0, F.col("days_with_condition")),
+        "incomplete": (F.col("review_incomplete") == "Yes", F.col("days_in_review")),
+        "never reviewed": (F.col("review_status").isNull(), F.col("days_open")),
     }
     for kind in kinds:
-        sets[kind] = wide.filter(F.col(f"{kind}_status").isin(waiting)).select("case_id", F.col("days_open").alias("days"))
-    return sets
+        found[kind] = (F.col(f"{kind}_status").isin(waiting), F.col("days_open"))
+    return found
+
+
+def result_sets(wide: DataFrame, found: dict[str, tuple[Column, Column]]) -> dict[str, DataFrame]:
+    """One DataFrame per result set; persist ``wide`` first or write them with ``write_results``."""
+    return {
+        name: wide.filter(condition).select("case_id", days.alias("days"))
+        for name, (condition, days) in found.items()
+    }
+
+
+def signal_rows(wide: DataFrame, found: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """All result sets as (result, case_id, days) rows from a single pass over the wide row."""
+    entries = [
+        F.when(condition, F.struct(F.lit(name).alias("result"), days.alias("days")))
+        for name, (condition, days) in found.items()
+    ]
+    listed = wide.select("case_id", F.explode(F.array_compact(F.array(*entries))).alias("_s"))
+    return listed.select("case_id", "_s.result", "_s.days")

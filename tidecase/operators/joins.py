@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecase.operators.slices import copies, same_keys
+from tidecase.operators.slices import ROWS_PER_TASK, copies, heavy_keys, same_keys
 
 
 def apply_agg(
@@ -56,6 +56,48 @@ def exists_flag(
     return apply_agg(left, right, keys, [F.max(F.lit(1)).alias(name)], "left", [name])
 
 
+def spread_join(
+    facts: DataFrame,
+    lookup: DataFrame,
+    keys: list[str],
+    how: str = "inner",
+    rows_per_task: int = ROWS_PER_TASK,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """Join many facts to a lookup with one row per key, facts of heavy keys spread over several tasks.
+
+    Facts of a heavy key get a salt from a hash of the row, the lookup row of that key is repeated per salt.
+    Use it where the result is grouped or joined by the same keys again: adaptive execution leaves a skewed join
+    alone there, since splitting it would cost another shuffle. Elsewhere a plain join does.
+    """
+    hot = heavy_keys(facts, keys, rows_per_task) if hot is None else hot.select(*copies_of_hot(keys), "_parts")
+    salt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*facts.columns), F.col("_parts"))).otherwise(0)
+    salted = facts.join(F.broadcast(hot), same_keys(keys, "_hot"), "left").select(
+        *facts.columns, salt.cast("int").alias("_salt")
+    )
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
+    repeated = lookup.join(F.broadcast(hot), same_keys(keys, "_hot"), "left").select(
+        *lookup.columns, salts.alias("_salt")
+    )
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def copies_of_hot(keys: list[str]) -> list[str]:
+    return [f"_hot{i}" for i in range(len(keys))]
+
+
+def left_fan_out(
+    lookup: DataFrame, facts: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """``lookup LEFT JOIN facts`` where one key may have very many facts.
+
+    An outer join cannot split the side that may be missing, so the matching rows come from a spread inner join and the
+    unmatched lookup rows from an anti join.
+    """
+    matched = spread_join(facts, lookup, keys, "inner", rows_per_task)
+    return matched.unionByName(anti(lookup, facts, keys), allowMissingColumns=True)
+
+
 def with_group(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     """Add per-group aggregates to every row (``agg() OVER (PARTITION BY keys)``).
 

@@ -75,6 +75,16 @@ def hot_keys(df: DataFrame, keys: list[str], ts: str, rows_per_task: int = ROWS_
     )
 
 
+def heavy_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys with more than ``rows_per_task`` rows and the number of parts to split them into."""
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > rows_per_task)
+        .select(*copies(keys, "_hot"), F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts"))
+    )
+
+
 def with_slice(
     df: DataFrame, keys: list[str], ts: str, rows_per_task: int = ROWS_PER_TASK, hot: DataFrame | None = None
 ) -> DataFrame:

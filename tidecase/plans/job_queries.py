@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidecase.functions import text, timeid
@@ -10,7 +12,9 @@ from tidecase.jobs import (
     billing, calls, dwell, eventlog, expiry, history, matching, people, pipeline, process, productivity, reasons,
     scorecard, threads, touches, turntime, worklist,
 )
-from tidecase.operators.events import asof
+from tidecase.operators.events import asof, nth_event
+from tidecase.operators.joins import semi, spread_join
+from tidecase.operators.shapes import subtotals
 from tidecase.operators.slices import hot_keys
 from tidecase.plans.join_queries import (
     FUZZY_SQL, LINE_SQL, ROLE_VERSIONS, SNAPSHOT_SQL, by_type, clearances, role_at, role_log, role_versions, staff_list, typed_entries,
@@ -190,7 +194,8 @@ EVENT_LOG_SQL = """
 def event_log_frame(t):
     events = log(t).drop("event_id")
     entered = events.filter("status = 'error' AND value > 50").groupBy("case_id").agg(F.min("ts").alias("entered"))
-    later = events.join(entered, "case_id").filter("ts > entered")
+    hot = hot_keys(events, ["case_id"], "ts")
+    later = spread_join(events, entered, ["case_id"], hot=hot).filter("ts > entered")
     status = F.col("status")
     labels = {
         "help requested": status == "signup",
@@ -198,9 +203,7 @@ def event_log_frame(t):
         "closed": status == "purchase",
     }
     scrubbed = entered.select("case_id", F.lit("scrubbed").alias("status"), F.col("entered").alias("ts"))
-    return eventlog.assemble(
-        [scrubbed, eventlog.labelled(later, labels, first_only=("closed",))], hot=hot_keys(events, ["case_id"], "ts")
-    )
+    return eventlog.assemble([scrubbed, eventlog.labelled(later, labels, first_only=("closed",))], hot=hot)
 
 
 @query("event_log", f"WITH {EVENT_LOG_SQL} SELECT * FROM final")
@@ -404,8 +407,6 @@ def touches_by_role(t):
     """,
 )
 def touch_summary(t):
-    from tidecase.operators.shapes import subtotals
-
     per_worker = (
         touched_by_role(t)
         .groupBy("case_id", "worker", "role", "date_id")
@@ -520,8 +521,6 @@ def repeat_reason(t):
     """,
 )
 def nth_suspension_report(t):
-    from tidecase.operators.events import nth_event
-
     errors = by_type(t, "error").select("user_id", "ts", "event_id")
     counts = errors.groupBy("user_id").agg(F.count("*").alias("suspensions")).filter("suspensions >= 4")
     fourth = nth_event(errors, ["user_id"], ["ts", "event_id"], 4).select("user_id", F.col("ts").alias("fourth"))
@@ -668,9 +667,6 @@ WORK_SQL = f"""
     """,
 )
 def work_list(t):
-    from tidecase.operators.joins import semi
-    from tidecase.operators.shapes import union_padded
-
     kinds, waiting = ["line1", "line2"], ["R"]
     reviews = items(t).withColumn("kind", F.concat(F.lit("line"), (F.col("line") % 3).cast("string")))
     wanted = t.part.filter(F.col("p_type").ilike("%econ_my%"))
@@ -679,8 +675,7 @@ def work_list(t):
     )
     open_cases = cases(t).filter("status = 'O'").select("case_id", "status", "opened")
     wide = worklist.work_list(open_cases, reviews, conditions, kinds, waiting, timeid.at_midnight(ORDERS_AS_OF))
-    results = worklist.result_sets(wide, kinds, waiting)
-    return union_padded(*[df.withColumn("result", F.lit(name)) for name, df in results.items()])
+    return worklist.signal_rows(wide, worklist.signals(kinds, waiting))
 
 
 @query(
@@ -707,8 +702,6 @@ def reason_matching(t):
     """,
 )
 def business_expiry(t):
-    import datetime as dt
-
     requests = by_type(t, "error").select(F.col("user_id").alias("case_id"), "ts")
     days = days_of(t.events, "ts", extra_days=40)
     as_of = F.to_date(timeid.at_midnight(AS_OF))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidecase.functions.measures import count_if, money_sum
-from tidecase.functions.text import parse_user
-from tidecase.functions.timeid import dateadd, dateid
+from tidecase.functions.timeid import datediff_boundary, dateid
+from tidecase.jobs import threads
+from tidecase.jobs.calls import volume_by_half_hour
+from tidecase.jobs.matching import nearest_clearance, resolve_people
 from tidecase.operators.events import asof, first_event, last_event
 from tidecase.operators.intervals import interval_join, state_on, version_join
-from tidecase.operators.joins import anti, apply_agg, exists_flag, semi, with_group
+from tidecase.operators.joins import anti, apply_agg, exists_flag, left_fan_out, semi, spread_join, with_group
 from tidecase.operators.shapes import dense_grid, fill_grid
 from tidecase.operators.slices import hot_keys, with_next, with_prev
 from tidecase.plans.registry import query
@@ -64,10 +66,10 @@ def left_chain(t):
     """,
 )
 def left_on_filter(t):
-    lines = t.lineitem.filter("l_returnflag = 'R' AND l_quantity > 40")
-    return t.orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(
-        "o_orderkey", "l_linenumber", "l_partkey"
+    lines = t.lineitem.filter("l_returnflag = 'R' AND l_quantity > 40").select(
+        F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey"
     )
+    return left_fan_out(t.orders.select("o_orderkey"), lines, ["o_orderkey"])
 
 
 @query(
@@ -198,13 +200,7 @@ def leader_chain(t):
         F.col("c_name").alias("name"),
         F.expr("CASE WHEN c_custkey > 0 THEN c_custkey div 10 END").alias("leader"),
     )
-    # only people who lead someone can match, so the lookup side stays small
-    leaders = semi(staff, staff, {"id": "leader"})
-    chain = staff.withColumn("_next", F.col("leader"))
-    for title in ("team_leader", "director", "vp"):
-        step = leaders.select(F.col("id").alias("_id"), F.col("name").alias(title), F.col("leader").alias("_up"))
-        chain = chain.join(step, F.col("_id") == F.col("_next"), "left").withColumn("_next", F.col("_up")).drop("_id", "_up")
-    return chain.select("id", "name", "team_leader", "director", "vp")
+    return threads.leader_chain(staff, ["team_leader", "director", "vp"])
 
 
 @query(
@@ -491,8 +487,6 @@ def computed_apply(t):
     """,
 )
 def adjacent_rows(t):
-    from tidecase.functions.timeid import datediff_boundary
-
     stepped = with_next(t.events, ["user_id"], ["ts", "event_id"], {"next_state": "event_type", "next_ts": "ts"})
     return stepped.select(
         "event_id", F.col("event_type").alias("state"), "next_state", datediff_boundary("SECOND", "ts", "next_ts").alias("seconds")
@@ -518,8 +512,6 @@ FUZZY_SQL = """
     """,
 )
 def fuzzy_match(t):
-    from tidecase.jobs.matching import nearest_clearance, resolve_people
-
     return nearest_clearance(resolve_people(typed_entries(t), staff_list(t)), clearances(t)).select(
         "entry_id", "worker", "clear_id"
     )
@@ -601,8 +593,6 @@ def join_agg(t):
     """,
 )
 def share_of_total(t):
-    from tidecase.jobs.calls import volume_by_half_hour
-
     return volume_by_half_hour(t.events, "ts")
 
 
@@ -615,22 +605,15 @@ def share_of_total(t):
     """,
 )
 def chained_apply(t):
-    # one pass: the approval per order, then the earliest return later than it, both from the order's own lines
-    lines = t.lineitem.select("l_orderkey", "l_returnflag", "l_shipdate")
-    approved = lines.filter("l_returnflag = 'A'").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("approved"))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_shipdate")
+    approved = lines.filter("l_returnflag = 'A'").groupBy("o_orderkey").agg(F.max("l_shipdate").alias("approved"))
     later = (
-        lines.filter("l_returnflag = 'R'")
-        .join(approved, "l_orderkey")
+        spread_join(lines.filter("l_returnflag = 'R'"), approved, ["o_orderkey"])
         .filter("l_shipdate > approved")
-        .groupBy("l_orderkey")
+        .groupBy("o_orderkey")
         .agg(F.min("l_shipdate").alias("returned_after"))
     )
-    return (
-        t.orders.select(F.col("o_orderkey"), F.col("o_orderkey").alias("l_orderkey"))
-        .join(approved, "l_orderkey")
-        .join(later, "l_orderkey", "left")
-        .select("o_orderkey", "approved", "returned_after")
-    )
+    return t.orders.select("o_orderkey").join(approved, "o_orderkey").join(later, "o_orderkey", "left")
 
 
 SNAPSHOT_SQL = """
