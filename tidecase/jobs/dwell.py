@@ -12,14 +12,20 @@ from tidecase.operators.slices import ROWS_PER_TASK, hot_keys, with_next
 
 
 def visits_to_state(
-    log: DataFrame, cases: DataFrame, state: str, milestone: str, as_of: Column, rows_per_task: int = ROWS_PER_TASK
+    log: DataFrame,
+    cases: DataFrame,
+    state: str,
+    milestone: str,
+    as_of: Column,
+    rows_per_task: int = ROWS_PER_TASK,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Per case: visits to ``state`` in total, before and after its milestone, and hours spent there.
 
     ``log``: case_id, ts, event_id, status. ``cases``: case_id and the milestone column. Reasons are
     not joined before counting, so an event with several reasons counts once.
     """
-    hot = hot_keys(log, ["case_id"], "ts", rows_per_task)
+    hot = hot_keys(log, ["case_id"], "ts", rows_per_task) if hot is None else hot
     stepped = with_next(log, ["case_id"], ["ts", "event_id"], {"_until": "ts"}, rows_per_task, hot)
     visits = stepped.filter(F.col("status") == state)
     seconds = datediff_boundary("SECOND", F.col("ts"), F.coalesce(F.col("_until"), as_of))

@@ -18,6 +18,15 @@ def weight(key: Column, rules: Sequence[tuple[str, float]]) -> Column:
     return chain
 
 
+def adjusted_weight(key: Column, condition: Column, rules: Sequence[tuple[str, float, float]]) -> Column:
+    """Like ``weight`` with two weights per rule: the plain one, and the one where ``condition`` holds."""
+    chain = None
+    for pattern, units, adjusted in rules:
+        value = F.when(condition, adjusted).otherwise(units)
+        chain = F.when(key.like(pattern), value) if chain is None else chain.when(key.like(pattern), value)
+    return chain
+
+
 def unit_scorecard(
     statuses: DataFrame, closings: DataFrame, worker: str, status_share: float = 0.75, closing_share: float = 0.25
 ) -> DataFrame:

@@ -40,3 +40,42 @@ def touches_by_role(touched: DataFrame, case: str, role: str, roles: list[str],
         touched, [[case, role], [case]], [F.sum("distinct_touches").alias("n")], total_label=total, keep=[case]
     )
     return pivot_fixed(sets, [case], role, [*roles, total], F.sum("n"))
+
+
+def team_summary(sessions: DataFrame, pilot: str, levels: list[list[str]]) -> DataFrame:
+    """Cases, workers, distinct touches and time per case, and session length, with a subtotal per level.
+
+    ``sessions``: case_id, worker, date_id, seconds, ``pilot`` and the level columns. Rows are reduced to one per case and worker
+    before the grouping sets multiply them.
+    """
+    columns = [c for level in levels for c in level]
+    daily = sessions.groupBy(pilot, *columns, "case_id", "worker", "date_id").agg(
+        F.sum("seconds").alias("seconds"), F.count(F.lit(1)).alias("touches")
+    )
+    members = daily.groupBy(pilot, *columns, "case_id", "worker").agg(
+        F.sum("seconds").alias("seconds"), F.sum("touches").alias("touches"), F.count(F.lit(1)).alias("days")
+    )
+    sets = [[pilot]]
+    for level in levels:
+        sets.append([*sets[-1], *level])
+    sums = subtotals(
+        members,
+        sets,
+        [
+            F.count_distinct("case_id").alias("cases"),
+            F.count_distinct("worker").alias("workers"),
+            F.sum("days").cast("double").alias("_days"),
+            F.sum("seconds").cast("double").alias("_seconds"),
+            F.sum("touches").alias("_touches"),
+        ],
+        keep=[pilot],
+    )
+    return sums.select(
+        pilot,
+        *columns,
+        "cases",
+        "workers",
+        (F.col("_days") / F.col("cases")).alias("avg_touches"),
+        (F.col("_seconds") / F.lit(3600.0) / F.col("cases")).alias("avg_hours"),
+        (F.col("_seconds") / F.lit(60.0) / F.col("_touches")).alias("avg_session_minutes"),
+    )

@@ -12,14 +12,20 @@ from tidecase.operators.joins import spread_join
 
 
 def turn_times(
-    cases: DataFrame, log: DataFrame, case: str, opened: str, ts: str, marks: dict[str, Column]
+    cases: DataFrame,
+    log: DataFrame,
+    case: str,
+    opened: str,
+    ts: str,
+    marks: dict[str, Column],
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Cases with the first time of each mark and ``<mark>_days`` / ``<mark>_hours`` since opening.
 
     Log rows before the case was opened do not count. All marks come from one pass over the log.
     """
     starts = cases.select(case, opened)
-    since = spread_join(log, starts, [case]).filter(F.col(ts) >= F.col(opened))
+    since = spread_join(log, starts, [case], hot=hot).filter(F.col(ts) >= F.col(opened))
     firsts = milestones(since, [case], ts, marks)
     joined = cases.join(firsts, case, "left")
     return joined.select(

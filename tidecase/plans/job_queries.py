@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from tidecase.functions import text, timeid
 from tidecase.functions.measures import count_if, money, money_avg, money_sum
 from tidecase.jobs import (
-    billing, calls, dwell, eventlog, expiry, history, matching, people, pipeline, process, productivity, reasons,
+    billing, calls, cohort, dwell, eventlog, expiry, history, matching, people, pipeline, process, productivity, reasons,
     scorecard, threads, touches, turntime, worklist,
 )
 from tidecase.operators.events import asof, nth_event
-from tidecase.operators.joins import semi, spread_join
-from tidecase.operators.shapes import subtotals
+from tidecase.operators.joins import exists_flag, semi, spread_join
 from tidecase.operators.slices import hot_keys
 from tidecase.plans.join_queries import (
     FUZZY_SQL, LINE_SQL, ROLE_VERSIONS, SNAPSHOT_SQL, by_type, clearances, role_at, role_log, role_versions, staff_list, typed_entries,
@@ -305,6 +304,26 @@ def unit_scorecard(t):
     return scorecard.with_leaders(scores, staff, "worker", "c_custkey", ["leader"])
 
 
+@query(
+    "unit_scorecard_adjusted",
+    """
+    WITH low AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_discount = 0 AND l_tax = 0),
+    w AS (SELECT o_custkey AS worker, CASE WHEN concat(o_orderstatus, o_orderpriority) = 'F1-URGENT' THEN 2.25 WHEN concat(o_orderstatus, o_orderpriority) LIKE 'F%' THEN CASE WHEN l_orderkey IS NOT NULL THEN 0.5 ELSE 1.75 END
+        WHEN concat(o_orderstatus, o_orderpriority) LIKE 'P4%' THEN CASE WHEN l_orderkey IS NOT NULL THEN 0.5 ELSE 1.25 END WHEN concat(o_orderstatus, o_orderpriority) LIKE 'P%' THEN 1.0 END::DECIMAL(9,2) AS units FROM orders LEFT JOIN low ON l_orderkey = o_orderkey)
+    SELECT worker, COUNT(*) AS closings, CAST(SUM(units) AS DOUBLE) AS units FROM w GROUP BY 1
+    """,
+)
+def unit_scorecard_adjusted(t):
+    low = t.lineitem.filter("l_discount = 0 AND l_tax = 0").select(F.col("l_orderkey").alias("case_id"))
+    marked = exists_flag(cases(t), low, ["case_id"], "low_risk")
+    key = text.concat_blank("status", "priority")
+    rules = [(p, u, 0.5 if p in ("F%", "P4%") else u) for p, u in UNIT_RULES]
+    units = scorecard.adjusted_weight(key, F.col("low_risk") == 1, rules).cast("decimal(9,2)")
+    return marked.groupBy(F.col("client").alias("worker")).agg(
+        F.count("*").alias("closings"), F.sum(units).cast("double").alias("units")
+    )
+
+
 @query(
     "productivity_grid",
     f"""
@@ -398,30 +417,33 @@ def touches_by_role(t):
     return touches.touches_by_role(daily, "case_id", "role", ["signup", "view", "Other"])
 
 
+TEAM_SQL = f"""
+    {TOUCH_SQL}, members AS (SELECT touched.*, p.c_mktsegment AS pilot, CASE WHEN w.c_custkey % 4 > 0 THEN w.c_mktsegment END AS division, n_name AS title, w.c_custkey % 2 AS member FROM touched JOIN customer p ON p.c_custkey = case_id JOIN customer w ON w.c_custkey = worker JOIN nation ON n_nationkey = w.c_nationkey),
+    tm AS (SELECT case_id, pilot, worker, role, division, title, member, SUM(seconds) AS seconds, COUNT(*) AS touches, COUNT(DISTINCT date_id) AS n FROM members GROUP BY ALL)
+    """
+
+
 @query(
     "touch_summary",
     f"""
-    WITH {TOUCH_SQL}, tm AS (SELECT case_id, worker, role, SUM(seconds) AS seconds, COUNT(DISTINCT date_id) AS n FROM touched GROUP BY 1, 2, 3)
-    SELECT CASE WHEN GROUPING(role) = 1 THEN 'All' ELSE COALESCE(role, 'Unknown') END AS role, COUNT(DISTINCT case_id) AS cases, COUNT(DISTINCT worker) AS workers, CAST(SUM(n) AS DOUBLE) / COUNT(DISTINCT case_id) AS avg_touches,
-      CAST(SUM(seconds) AS DOUBLE) / 3600.0::DOUBLE / COUNT(DISTINCT case_id) AS avg_hours FROM tm GROUP BY GROUPING SETS ((), (role))
+    WITH {TEAM_SQL}
+    SELECT pilot, CASE WHEN GROUPING(role) = 1 THEN 'All' ELSE COALESCE(role, 'Unknown') END AS team, CASE WHEN GROUPING(division) = 1 THEN 'All' ELSE COALESCE(division, 'Unknown') END AS division,
+      CASE WHEN GROUPING(title) = 1 THEN 'All' ELSE COALESCE(title, 'Unknown') END AS title, CASE WHEN GROUPING(member) = 1 THEN 'All' WHEN member = 1 THEN 'TM' WHEN member = 0 THEN 'TL' ELSE 'Unknown' END AS member,
+      COUNT(DISTINCT case_id) AS cases, COUNT(DISTINCT worker) AS workers, CAST(SUM(n) AS DOUBLE) / COUNT(DISTINCT case_id) AS avg_touches, CAST(SUM(seconds) AS DOUBLE) / 3600.0::DOUBLE / COUNT(DISTINCT case_id) AS avg_hours,
+      CAST(SUM(seconds) AS DOUBLE) / 60.0::DOUBLE / SUM(touches) AS avg_session_minutes
+    FROM tm GROUP BY GROUPING SETS ((pilot), (pilot, role), (pilot, role, division), (pilot, role, division, title, member))
     """,
 )
 def touch_summary(t):
-    per_worker = (
-        touched_by_role(t)
-        .groupBy("case_id", "worker", "role", "date_id")
-        .agg(F.sum("seconds").alias("seconds"))
-        .groupBy("case_id", "worker", "role")
-        .agg(F.sum("seconds").alias("seconds"), F.count("*").alias("n"))
-    )
-    sums = subtotals(
-        per_worker, [[], ["role"]],
-        [F.count_distinct("case_id").alias("cases"), F.count_distinct("worker").alias("workers"), F.sum("n").alias("_n"), F.sum("seconds").alias("_s")],
-    )
-    return sums.select(
-        "role", "cases", "workers", (F.col("_n").cast("double") / F.col("cases")).alias("avg_touches"),
-        (F.col("_s").cast("double") / F.lit(3600.0) / F.col("cases")).alias("avg_hours"),
-    )
+    people_of = t.customer.select(
+        F.col("c_custkey").alias("worker"),
+        F.when(F.col("c_custkey") % 4 > 0, F.col("c_mktsegment")).alias("division"),
+        F.col("c_nationkey").alias("n_nationkey"),
+        F.when(F.col("c_custkey") % 2 == 1, "TM").otherwise("TL").alias("member"),
+    ).join(t.nation.select("n_nationkey", F.col("n_name").alias("title")), "n_nationkey")
+    pilots = t.customer.select(F.col("c_custkey").alias("case_id"), F.col("c_mktsegment").alias("pilot"))
+    sessions = touched_by_role(t).withColumnRenamed("role", "team").join(people_of, "worker").join(pilots, "case_id")
+    return touches.team_summary(sessions, "pilot", [["team"], ["division"], ["title", "member"]])
 
 
 @query(
@@ -794,3 +816,72 @@ def missing_followup(t):
     listed = cases(t).join(taken_up, "case_id", "left").select("case_id", "opened", "taken_up", closed.alias("closed_at"))
     followups = items(t).filter("status = 'R' AND phase = 'O'")
     return history.missing_followup(listed, followups, items(t), 60)
+
+
+COHORT_MARKS = ("view", "purchase")
+WIDE_SQL = f"""
+    {TOUCH_SQL}, cs AS (SELECT user_id AS case_id, MIN(ts) AS opened FROM events WHERE event_type = 'signup' GROUP BY 1),
+    c AS (SELECT case_id, c_mktsegment AS pilot, opened, c_acctbal AS amount FROM cs JOIN customer ON c_custkey = case_id),
+    f AS (SELECT c.case_id, MIN(CASE WHEN event_type = 'view' THEN ts END) AS view, MIN(CASE WHEN event_type = 'purchase' THEN ts END) AS purchase FROM c JOIN events ON user_id = case_id AND ts >= opened GROUP BY 1),
+    n AS (SELECT user_id, event_type, ts, date_diff('second', ts, COALESCE(LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), TIMESTAMP '{AS_OF}')) AS s FROM events),
+    h AS (SELECT c.case_id, COUNT(n.user_id) AS visits, COUNT(CASE WHEN n.ts < purchase THEN 1 END) AS visits_before, COUNT(CASE WHEN n.ts > purchase THEN 1 END) AS visits_after, CAST(SUM(s) AS DOUBLE) / 3600.0::DOUBLE AS hours FROM c LEFT JOIN f ON f.case_id = c.case_id LEFT JOIN n ON n.user_id = c.case_id AND n.event_type = 'error' GROUP BY 1),
+    tt AS (SELECT case_id, COUNT(*) AS touches, SUM(seconds)::BIGINT AS touch_seconds, COUNT(DISTINCT (worker, date_id)) AS distinct_touches, COUNT(DISTINCT CASE WHEN role='signup' THEN (worker, date_id) END) AS r1, COUNT(DISTINCT CASE WHEN role='view' THEN (worker, date_id) END) AS r2, COUNT(DISTINCT CASE WHEN role='Other' THEN (worker, date_id) END) AS r3 FROM touched GROUP BY 1),
+    wide AS (SELECT c.case_id, pilot, opened, amount, CAST(opened AS DATE) - CAST((dayofweek(opened) + 4) % 7 AS INT) AS week_of, view, purchase, date_diff('second', opened, view) AS view_seconds, date_diff('second', opened, purchase) AS purchase_seconds, visits, visits_before, visits_after, hours,
+      touches, touch_seconds, distinct_touches, NULLIF(r1, 0) AS role_signup, NULLIF(r2, 0) AS role_view, NULLIF(r3, 0) AS role_other FROM c LEFT JOIN f ON f.case_id = c.case_id LEFT JOIN h ON h.case_id = c.case_id LEFT JOIN tt ON tt.case_id = c.case_id)
+    """
+ROLE_NAMES = ["role_signup", "role_view", "role_other"]
+WEEK_LABEL = "CASE WHEN GROUPING(week_of) = 1 THEN 'Total' ELSE CAST(week_of AS VARCHAR) END AS week_of"
+WEEK_SETS = "GROUP BY GROUPING SETS ((pilot, week_of), (pilot))"
+
+
+def cohort_wide(t):
+    opened = by_type(t, "signup").groupBy(F.col("user_id").alias("case_id")).agg(F.min("ts").alias("opened"))
+    members = t.customer.select(
+        F.col("c_custkey").alias("case_id"), F.col("c_mktsegment").alias("pilot"), F.col("c_acctbal").alias("amount")
+    )
+    listed = opened.join(members, "case_id").select("case_id", "pilot", "opened", "amount")
+    marks = {m: F.col("status") == m for m in COHORT_MARKS}
+    sessions = touched_by_role(t).withColumn("role", F.concat(F.lit("role_"), F.lower("role")))
+    return cohort.wide_row(
+        listed, log(t).drop("value"), sessions, marks, "error", "purchase", ROLE_NAMES, "Wed", timeid.at_midnight(AS_OF)
+    )
+
+
+@query("cohort_wide", f"WITH {WIDE_SQL} SELECT * FROM wide")
+def cohort_wide_query(t):
+    return cohort_wide(t)
+
+
+@query(
+    "cohort_speed_report",
+    f"""
+    WITH {WIDE_SQL} SELECT pilot, {WEEK_LABEL}, COUNT(*) AS cases, CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / COUNT(amount) AS avg_amount,
+      CAST(COUNT(view) AS DOUBLE) / COUNT(*) AS view_share, CAST(COUNT(purchase) AS DOUBLE) / COUNT(*) AS purchase_share, CAST(SUM(view_seconds) AS DOUBLE) / COUNT(view_seconds) / 3600.0::DOUBLE AS view_avg_hours,
+      CAST(SUM(purchase_seconds) AS DOUBLE) / COUNT(purchase_seconds) / 3600.0::DOUBLE AS purchase_avg_hours FROM wide {WEEK_SETS}
+    """,
+)
+def cohort_speed_report(t):
+    return cohort.speed_report(cohort_wide(t), list(COHORT_MARKS))
+
+
+@query(
+    "cohort_touch_report",
+    f"""
+    WITH {WIDE_SQL} SELECT pilot, {WEEK_LABEL}, COUNT(*) AS cases, CAST(SUM(touches) AS DOUBLE) / COUNT(touches) AS avg_touches, CAST(SUM(distinct_touches) AS DOUBLE) / COUNT(distinct_touches) AS avg_distinct,
+      CAST(SUM(touch_seconds) AS DOUBLE) / COUNT(touch_seconds) / 3600.0::DOUBLE AS avg_hours, CAST(SUM(role_signup) AS DOUBLE) / COUNT(role_signup) AS avg_role_signup, CAST(SUM(role_view) AS DOUBLE) / COUNT(role_view) AS avg_role_view,
+      CAST(SUM(role_other) AS DOUBLE) / COUNT(role_other) AS avg_role_other FROM wide {WEEK_SETS}
+    """,
+)
+def cohort_touch_report(t):
+    return cohort.touch_report(cohort_wide(t), ROLE_NAMES)
+
+
+@query(
+    "cohort_quality_report",
+    f"""
+    WITH {WIDE_SQL} SELECT pilot, {WEEK_LABEL}, COUNT(*) AS cases, CAST(COUNT(CASE WHEN visits > 0 THEN 1 END) AS DOUBLE) / COUNT(*) AS held_share, CAST(COUNT(CASE WHEN visits_before > 0 THEN 1 END) AS DOUBLE) / COUNT(*) AS held_before_share,
+      CAST(COUNT(CASE WHEN visits_after > 0 THEN 1 END) AS DOUBLE) / COUNT(*) AS held_after_share FROM wide {WEEK_SETS}
+    """,
+)
+def cohort_quality_report(t):
+    return cohort.quality_report(cohort_wide(t))
