@@ -10,10 +10,10 @@ from tidecase.operators.events import first_event, last_event, nth_event
 from tidecase.sources.sinks import write_bucketed_table
 from tidecase.sources.tables import Tables
 
-# one-row aggregates and the date bounds of a calendar
+# one-row aggregates, date bounds of a calendar, the levels of an interval join
 GLOBAL = {
     "global_agg", "calendar_count", "calendar_dim", "dense_grid", "pipeline_size", "business_expiry", "nth_business_day",
-    "multi_result", "scalar_subquery", "limit_n",
+    "multi_result", "scalar_subquery", "limit_n", "interval_join",
 }
 
 

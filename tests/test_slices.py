@@ -159,12 +159,27 @@ def test_version_join_respects_gaps(spark):
 
 
 def test_interval_join_returns_every_overlap_once(spark):
-    h = lambda n: T0 + dt.timedelta(hours=n)
-    dim = spark.createDataFrame([(1, h(0), h(50), 1), (1, h(2), h(3), 2), (1, h(9), h(8), 3)], "key int, a timestamp_ntz, b timestamp_ntz, s int")
-    left = spark.createDataFrame([(1, h(n), n) for n in (0, 2, 3, 9, 60)], "key int, p timestamp_ntz, n int")
-    for width in ("HOUR", "DAY"):
-        got = interval_join(left, dim, ["key"], "p", "a", F.col("b"), {"s": "s"}, width=width)
-        assert sorted((r["n"], r["s"]) for r in got.collect()) == [(0, 1), (2, 1), (2, 2), (3, 1), (3, 2), (9, 1)]
+    rng = random.Random(4)
+
+    def moment(span):
+        return T0 + dt.timedelta(seconds=rng.randrange(span), microseconds=rng.choice([0, 0, 999]))
+
+    dim_rows = []
+    for i in range(200):
+        a = moment(40_000)
+        length = rng.choice([-5, 0, 1, 3, 4, 15, 16, 17, 600, 3600, 39_999])
+        dim_rows.append((rng.choice([0, 0, 1, 2, None]), a, a + dt.timedelta(seconds=length), i))
+    left_rows = [(rng.choice([0, 0, 1, 3, None]), moment(45_000), i) for i in range(300)]
+    left_rows.append((0, dim_rows[0][1], 300))
+    dim = spark.createDataFrame(dim_rows, "key int, a timestamp_ntz, b timestamp_ntz, s int")
+    left = spark.createDataFrame(left_rows, "key int, p timestamp_ntz, n int")
+    got = interval_join(left, dim, ["key"], "p", "a", F.col("b"), {"s": "s"}).select("n", "s")
+    expected = [
+        (n, s) for k, p, n in left_rows for k2, a, b, s in dim_rows if k is not None and k == k2 and a <= p <= b
+    ]
+    assert len(expected) > 100
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+    assert interval_join(left, dim.filter("s < 0"), ["key"], "p", "a", F.col("b"), {"s": "s"}).count() == 0
 
 
 def test_first_last_nth(frame, rows):

@@ -27,8 +27,16 @@ def adjusted_weight(key: Column, condition: Column, rules: Sequence[tuple[str, f
     return chain
 
 
+# fixed values: share of status units and of closing units in the total
+STATUS_SHARE, CLOSING_SHARE = 0.75, 0.25
+
+
 def unit_scorecard(
-    statuses: DataFrame, closings: DataFrame, worker: str, status_share: float = 0.75, closing_share: float = 0.25
+    statuses: DataFrame,
+    closings: DataFrame,
+    worker: str,
+    status_share: float = STATUS_SHARE,
+    closing_share: float = CLOSING_SHARE,
 ) -> DataFrame:
     """Counts, units and the weighted total per worker; workers of either side are kept.
 

@@ -65,30 +65,39 @@ def interval_join(
     start: str,
     end: Column,
     columns: dict[str, str],
-    width: str = "DAY",
-    how: str = "inner",
 ) -> DataFrame:
-    """Join each left row to every interval with ``start <= point <= end``; overlaps allowed.
+    """Inner join of each left row to every interval with ``start <= point <= end``; overlaps allowed.
 
-    Each interval is listed once per ``width`` (HOUR or DAY) it touches, and the join is on (key, slot)
-    with the exact bounds as a residual. Candidates are thus limited to intervals that touch the point's
-    slot, and a key with many rows is spread over its slots. ``end`` must not be NULL: close open intervals at the
-    report's ``as_of``.
+    An interval goes to the level whose block width 4**level fits its length, and is listed once per block it touches there,
+    that is once or twice however long it is. A point looks up its block at each level that occurs. The join is an
+    equi join on (key, level, block) with the exact bounds as a residual, so intervals far from the point are
+    never compared with it, and a key with many rows is spread over its blocks. ``end`` must not be NULL: close
+    open intervals at the report's ``as_of``.
     """
-    slots = F.explode(F.sequence(clock_number(width, F.col(start)), clock_number(width, end)))
-    listed = dim.filter(F.col(start) <= end).select(
+    first, last = clock_number("SECOND", F.col(start)), clock_number("SECOND", end)
+    level = F.ceil(F.log(4.0, (last - first + 1).cast("double"))).cast("int")
+    proper = dim.filter(F.col(start) <= end)
+
+    def block(seconds: Column, at: Column) -> Column:
+        return F.floor(seconds / F.pow(F.lit(4.0), at)).cast("bigint")
+
+    listed = proper.select(
         *[F.col(k).alias("_i_" + k) for k in keys],
         F.col(start).alias("_start"),
         end.alias("_end"),
-        slots.alias("_slot_dim"),
+        level.alias("_i_level"),
+        F.explode(F.sequence(block(first, level), block(last, level))).alias("_i_block"),
         *[F.col(source).alias(out) for out, source in columns.items()],
     )
-    on = (clock_number(width, F.col(point)) == F.col("_slot_dim")) & (
-        (F.col("_start") <= F.col(point)) & (F.col(point) <= F.col("_end"))
+    levels = proper.agg(F.collect_set(level)).scalar()  # at most 20 numbers, whatever the data
+    points = left.select(*left.columns, F.explode(levels).alias("_level")).withColumn(
+        "_block", block(clock_number("SECOND", F.col(point)), F.col("_level"))
     )
+    on = (F.col("_level") == F.col("_i_level")) & (F.col("_block") == F.col("_i_block"))
     for key in keys:
         on = on & (F.col(key) == F.col("_i_" + key))
-    return left.join(listed, on, how).select(*left.columns, *columns)
+    within = (F.col("_start") <= F.col(point)) & (F.col(point) <= F.col("_end"))
+    return points.join(listed, on & within).select(*left.columns, *columns)
 
 
 def state_on(snapshot: DataFrame, date_column: str, date_id: int | Column) -> DataFrame:

@@ -270,7 +270,7 @@ def interval_join_query(t):
     )
     calls = by_type(t, "click").select("event_id", "user_id", "ts")
     return interval_join(
-        calls, sessions, ["user_id"], "ts", "start_ts", F.col("end_ts"), {"session_id": "session"}, width="HOUR"
+        calls, sessions, ["user_id"], "ts", "start_ts", F.col("end_ts"), {"session_id": "session"}
     ).select("event_id", "session_id")
 
 

@@ -30,7 +30,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}.parquet")
+        table = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}.parquet")
+        setattr(self, name, table)  # the files of a table are listed once
+        return table
 
     def views(self, *names: str) -> None:
         """Register temp views, for queries written in SQL."""
