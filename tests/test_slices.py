@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidecase.operators.events import asof, dwell, first_event, last_event, nth_event
@@ -225,3 +226,21 @@ def test_left_fan_out_equals_left_join(spark, frame, limit):
     plain = lookup.join(frame, "key", "left")
     got = left_fan_out(lookup, frame, ["key"], limit).select(*plain.columns)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_sampled_hot_keys_do_not_depend_on_partitioning(spark):
+    rows = spark.range(300_000).select(
+        "id",
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 1000).alias("key"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("id") % 86_400).cast("int"))).alias("ts"),
+    )
+    limit = 40_000  # one row in four
+    found = [
+        sorted(map(tuple, hot_keys(rows.repartition(n), ["key"], "ts", limit).collect())) for n in (2, 7)
+    ]
+    assert found[0] == found[1]
+    assert [r[0] for r in found[0]] == [0]
+    assert 8 <= found[0][0][3] <= 12  # 100,000 rows in slices of about 10,000
+    window = Window.partitionBy("key").orderBy("ts", "id")
+    plain = rows.withColumn("rn", F.row_number().over(window).cast("bigint"))
+    assert numbered(rows, ["key"], ["ts", "id"], rows_per_task=limit).exceptAll(plain).count() == 0

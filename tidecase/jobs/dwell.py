@@ -25,7 +25,8 @@ def visits_to_state(
     ``log``: case_id, ts, event_id, status. ``cases``: case_id and the milestone column. Reasons are
     not joined before counting, so an event with several reasons counts once.
     """
-    hot = hot_keys(log, ["case_id"], "ts", rows_per_task) if hot is None else hot
+    if hot is None:
+        hot = hot_keys(log.select("case_id", "ts", "event_id"), ["case_id"], "ts", rows_per_task)
     stepped = with_next(log, ["case_id"], ["ts", "event_id"], {"_until": "ts"}, rows_per_task, hot)
     visits = stepped.filter(F.col("status") == state)
     seconds = datediff_boundary("SECOND", F.col("ts"), F.coalesce(F.col("_until"), as_of))

@@ -11,6 +11,7 @@ from tidecase.operators.slices import (
     SLICE,
     carry,
     directed,
+    hot_keys,
     join_carry,
     numbered,
     with_next,
@@ -107,7 +108,10 @@ def asof(
         null_left.alias("_left"),
         payload.alias("_right"),
     )
-    both = with_slice(left_rows.unionByName(right_rows), key_columns, "_ts", rows_per_task, hot)
+    rows = left_rows.unionByName(right_rows)
+    if hot is None:
+        hot = hot_keys(rows.drop("_right"), key_columns, "_ts", rows_per_task)
+    both = with_slice(rows, key_columns, "_ts", hot)
     order = [
         *directed(["_ts"], forward),
         F.col("_side").asc(),

@@ -5,16 +5,14 @@ A window partitioned by key sends all rows of a key to one task. Here a key with
 what has to cross a slice border (a row count, a last value) is aggregated per slice, accumulated
 over the slices of the key and joined back.
 
-The slice of a row is a function of the row and of exact per-key counts and bounds only. A recomputed
-task therefore puts every row into the same slice as before. Rows of one key at one instant
-share a slice, so ties are resolved inside it.
-
-Finding the hot keys reads the key and time columns once more. Where the input is the result of a long
-pipeline, pass ``hot=hot_keys(base log, …)`` instead: any such table gives right results, because it
-decides only how the rows are spread.
-
-Size of what is broadcast: a hot key has more than ``rows_per_task`` rows, so of N rows at most
-N / rows_per_task keys are hot. With F = FINENESS they have at most (F + 2) N / rows_per_task slices, each giving one
+Hot keys are found on a sample drawn by a hash of the row, about SAMPLE_ROWS rows of a key at the limit. The
+sample, and so the slice of a row, depends on the data alone: a recomputed task puts every row into the same slice as
+before. Rows of one key at one instant share a slice, so ties are resolved inside it. Which keys count as hot decides
+only how rows are spread, never the result. Where the input is the result of a long pipeline, pass
+``hot=hot_keys(narrow columns of the base log, …)`` to spare computing it for the sample.
+
+Size of what is broadcast: a hot key has about ``rows_per_task`` rows or more, so of N rows about
+N / rows_per_task keys at most are hot. With F = FINENESS they have at most (F + 2) N / rows_per_task slices, each giving one
 row to the carried table: for 10^12 rows at the default that is 100,000 keys and 600,000 rows. Raise ``rows_per_task``
 with the executors' memory to lower it.
 """
@@ -31,6 +29,7 @@ from tidecase.functions.timeid import clock_number, day_number
 
 ROWS_PER_TASK = 10_000_000
 FINENESS = 4  # slices are cut this much finer than needed, as events crowd at some times
+SAMPLE_ROWS = 10_000  # expected in the sample for a key of ``rows_per_task`` rows
 SLICE = "_slice"
 
 
@@ -56,15 +55,27 @@ def copies(keys: list[str], prefix: str) -> list[Column]:
     return [F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
 
 
+def row_sample(df: DataFrame, rows_per_task: int) -> tuple[DataFrame, int]:
+    """One of ``every`` rows, chosen by the hash of the whole row, and ``every``.
+
+    ``df`` should have a row id among its columns, as equal rows are taken or left together.
+    """
+    every = max(1, rows_per_task // SAMPLE_ROWS)
+    if every == 1:
+        return df, 1
+    return df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(every)) == 0), every
+
+
 def hot_keys(df: DataFrame, keys: list[str], ts: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Keys with more than ``rows_per_task`` rows, their time bounds and number of slices.
+    """Keys with more than about ``rows_per_task`` rows, their time bounds and number of slices.
 
-    One aggregation with map-side combine that reads the key and time columns only.
+    Reads all columns of ``df``: select keys, time and a row id before.
     """
     kind = df.schema[ts].dataType
+    sample, every = row_sample(df, rows_per_task)
     return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+        sample.groupBy(*keys)
+        .agg((F.count(F.lit(1)) * every).alias("_rows"), F.min(ts).alias("_first"), F.max(ts).alias("_last"))
         .filter(F.col("_rows") > rows_per_task)
         .select(
             *copies(keys, "_hot"),
@@ -76,23 +87,21 @@ def hot_keys(df: DataFrame, keys: list[str], ts: str, rows_per_task: int = ROWS_
 
 
 def heavy_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Keys with more than ``rows_per_task`` rows and the number of parts to split them into."""
+    """Keys with more than about ``rows_per_task`` rows and the number of parts to split them into."""
+    sample, every = row_sample(df, rows_per_task)
     return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        sample.groupBy(*keys)
+        .agg((F.count(F.lit(1)) * every).alias("_rows"))
         .filter(F.col("_rows") > rows_per_task)
         .select(*copies(keys, "_hot"), F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts"))
     )
 
 
-def with_slice(
-    df: DataFrame, keys: list[str], ts: str, rows_per_task: int = ROWS_PER_TASK, hot: DataFrame | None = None
-) -> DataFrame:
+def with_slice(df: DataFrame, keys: list[str], ts: str, hot: DataFrame) -> DataFrame:
     """Add the slice number of rows of hot keys; NULL for all other rows.
 
     Rows without a time get slice -1: like NULLs in an ascending order they come first.
     """
-    hot = hot_keys(df, keys, ts, rows_per_task) if hot is None else hot
     here = position(df.schema[ts].dataType, F.col(ts))
     share = (here - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
     last = F.col("_parts") - 1
@@ -146,7 +155,10 @@ def numbered(
 
     Give ``order`` a unique last column unless ties are wanted.
     """
-    sliced = with_slice(df, keys, order[0], rows_per_task, hot)
+    if hot is None:
+        # rank orders by time alone, which is no row id
+        hot = hot_keys(df if ties else df.select(*keys, *order), keys, order[0], rows_per_task)
+    sliced = with_slice(df, keys, order[0], hot)
     window = Window.partitionBy(*keys, SLICE).orderBy(*directed(order, descending))
     function = F.rank() if ties else F.row_number()
     local = sliced.withColumn("_local", function.over(window))
@@ -164,7 +176,9 @@ def _neighbour(
     rows_per_task: int,
     hot: DataFrame | None,
 ) -> DataFrame:
-    sliced = with_slice(df, keys, order[0], rows_per_task, hot)
+    if hot is None:
+        hot = hot_keys(df.select(*keys, *order), keys, order[0], rows_per_task)
+    sliced = with_slice(df, keys, order[0], hot)
     payload = F.struct(*[F.col(source).alias(out) for out, source in columns.items()])
     window = Window.partitionBy(*keys, SLICE).orderBy(*directed(order, descending))
     local = sliced.withColumn("_near", F.lag(payload).over(window))

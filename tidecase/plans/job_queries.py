@@ -64,7 +64,7 @@ ITEM_DESC = "l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_returnflag DES
 def worker_hours(t):
     """Minutes worked: 'view' events of the user as worker."""
     return by_type(t, "view").select(
-        F.col("user_id").alias("worker"), timeid.dateid("ts").alias("date_id"), money("value").alias("minutes"), (K() % 3).alias("code")
+        F.col("user_id").alias("worker"), timeid.dateid("ts").alias("date_id"), "event_id", money("value").alias("minutes"), (K() % 3).alias("code")
     )
 
 
@@ -191,9 +191,9 @@ EVENT_LOG_SQL = """
 
 
 def event_log_frame(t):
-    events = log(t).drop("event_id")
+    events = log(t)
     entered = events.filter("status = 'error' AND value > 50").groupBy("case_id").agg(F.min("ts").alias("entered"))
-    hot = hot_keys(events, ["case_id"], "ts")
+    hot = hot_keys(events.select("case_id", "ts", "event_id"), ["case_id"], "ts")
     later = spread_join(events, entered, ["case_id"], hot=hot).filter("ts > entered")
     status = F.col("status")
     labels = {
@@ -571,8 +571,8 @@ HOURS_SQL = f"hours AS (SELECT user_id AS worker, {DID.format(c='ts')} AS date_i
 def hours_worked(t):
     entries = worker_hours(t)
     leaders = role_versions(t).select(F.col("user_id").alias("worker"), F.col("role").alias("leader"), "start_id", "end_id")
-    changes = role_log(t).select(F.col("user_id").alias("worker"), timeid.dateid("ts").alias("date_id"))
-    hot = hot_keys(entries.select("worker", "date_id").unionByName(changes), ["worker"], "date_id")
+    changes = role_log(t).select(F.col("user_id").alias("worker"), timeid.dateid("ts").alias("date_id"), "event_id")
+    hot = hot_keys(entries.select("worker", "date_id", "event_id").unionByName(changes), ["worker"], "date_id")
     return people.hours_by_leader(people.hours_worked(entries, [0, 1]), leaders, hot)
 
 
