@@ -20,7 +20,8 @@ def group_count(t):
     "count_nonnull",
     """
     SELECT o_orderstatus AS status, COUNT(*) AS orders, COUNT(first_return) AS with_return FROM orders
-    LEFT JOIN (SELECT l_orderkey, MIN(l_shipdate) AS first_return FROM lineitem WHERE l_returnflag='R' GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1
+    LEFT JOIN (SELECT l_orderkey, MIN(l_shipdate) AS first_return FROM lineitem WHERE l_returnflag='R'
+      GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1
     """,
 )
 def count_nonnull(t):
@@ -47,7 +48,8 @@ def count_distinct(t):
 @query(
     "count_if",
     """
-    SELECT user_id, COUNT(CASE WHEN event_type='purchase' THEN 1 END) AS answered, COUNT(CASE WHEN event_type='error' THEN 1 END) AS missed,
+    SELECT user_id, COUNT(CASE WHEN event_type='purchase' THEN 1 END) AS answered, COUNT(CASE
+      WHEN event_type='error' THEN 1 END) AS missed,
       COUNT(CASE WHEN event_type='purchase' AND value >= 180 THEN 1 END) AS long_calls FROM events GROUP BY 1
     """,
 )
@@ -75,7 +77,8 @@ def count_distinct_if(t):
     "sum_if",
     """
     SELECT CAST(ts AS DATE) AS day, SUM(CASE WHEN event_type='error' THEN 1 ELSE 0 END)::BIGINT AS errors,
-      CAST(SUM(CASE WHEN event_type='purchase' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS spent FROM events GROUP BY 1
+      CAST(SUM(CASE WHEN event_type='purchase' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS spent
+        FROM events GROUP BY 1
     """,
 )
 def sum_if_query(t):
@@ -97,8 +100,10 @@ def sum_scaled(t):
 @query(
     "avg_rate",
     """
-    SELECT o_orderpriority AS priority, CAST(SUM(CASE WHEN o_orderstatus='F' THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) AS finished_rate,
-      CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(o_totalprice) AS avg_price FROM orders GROUP BY 1
+    SELECT o_orderpriority AS priority, CAST(SUM(CASE WHEN o_orderstatus='F' THEN 1 ELSE 0 END) AS DOUBLE) /
+      COUNT(*) AS finished_rate,
+      CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(o_totalprice) AS avg_price FROM orders
+        GROUP BY 1
     """,
 )
 def avg_rate(t):
@@ -116,7 +121,8 @@ def min_max(t):
 @query(
     "min_struct",
     """
-    SELECT user_id, MIN(d*100000+s) // 100000 AS date_id, MIN(d*100000+s) % 100000 AS time_id FROM (SELECT user_id, year(ts)*10000+month(ts)*100+day(ts) AS d,
+    SELECT user_id, MIN(d*100000+s) // 100000 AS date_id, MIN(d*100000+s) % 100000 AS time_id
+      FROM (SELECT user_id, year(ts)*10000+month(ts)*100+day(ts) AS d,
       hour(ts)*3600+minute(ts)*60+second(ts)+1 AS s FROM events WHERE event_type = 'purchase') GROUP BY 1
     """,
 )
@@ -129,7 +135,9 @@ def min_struct(t):
 @query(
     "safe_ratio",
     """
-    SELECT user_id, CAST(ts AS DATE) AS day, 100.0::DOUBLE * COUNT(CASE WHEN event_type='purchase' THEN 1 END) / NULLIF(COUNT(CASE WHEN event_type IN ('purchase','error') THEN 1 END), 0) AS rate FROM events GROUP BY 1, 2
+    SELECT user_id, CAST(ts AS DATE) AS day, 100.0::DOUBLE * COUNT(CASE
+      WHEN event_type='purchase' THEN 1 END) / NULLIF(COUNT(CASE
+      WHEN event_type IN ('purchase','error') THEN 1 END), 0) AS rate FROM events GROUP BY 1, 2
     """,
 )
 def safe_ratio_query(t):
@@ -141,7 +149,9 @@ def safe_ratio_query(t):
 @query(
     "group_expr",
     """
-    SELECT CASE WHEN l_shipdate < o_orderdate THEN 'early' WHEN date_diff('day', o_orderdate, l_shipdate) <= 365 THEN 'within a year' ELSE 'late' END AS timing, COUNT(*) AS lines
+    SELECT CASE WHEN l_shipdate < o_orderdate THEN 'early' WHEN
+      date_diff('day', o_orderdate, l_shipdate) <= 365 THEN 'within a year' ELSE 'late' END AS timing,
+      COUNT(*) AS lines
     FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1
     """,
 )
@@ -192,7 +202,8 @@ def having(t):
 
 HIERARCHY = """
     base AS (SELECT r_name AS region, n_name AS nation, c_mktsegment AS segment, o_orderpriority AS priority, o_custkey, o_totalprice
-      FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+      FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region
+        ON r_regionkey = n_regionkey)
     """
 
 
@@ -211,8 +222,10 @@ def hierarchy(t):
 @query(
     "grouping_sets",
     f"""
-    WITH {HIERARCHY} SELECT region, nation, segment, priority, COUNT(*) AS orders, COUNT(DISTINCT o_custkey) AS customers, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount
-    FROM base GROUP BY GROUPING SETS ((region), (region, nation), (region, nation, segment), (region, nation, segment, priority))
+    WITH {HIERARCHY} SELECT region, nation, segment, priority, COUNT(*) AS orders,
+      COUNT(DISTINCT o_custkey) AS customers, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount
+    FROM base
+      GROUP BY GROUPING SETS ((region), (region, nation), (region, nation, segment), (region, nation, segment, priority))
     """,
 )
 def grouping_sets(t):
@@ -231,8 +244,10 @@ def grouping_sets(t):
 @query(
     "grouping_sets_expr",
     f"""
-    WITH e AS (SELECT user_id, CASE WHEN event_type IN ('click','view') THEN 'browse' WHEN event_type = 'purchase' THEN 'buy' ELSE 'other' END AS job, value, CAST(ts AS DATE) AS d FROM events)
-    SELECT user_id, CASE WHEN GROUPING(job) = 1 THEN 'Total' ELSE job END AS job, COUNT(*) AS touches, COUNT(DISTINCT d) AS days FROM e GROUP BY GROUPING SETS ((user_id, job), (user_id))
+    WITH e AS (SELECT user_id, CASE WHEN event_type IN ('click','view') THEN 'browse'
+      WHEN event_type = 'purchase' THEN 'buy' ELSE 'other' END AS job, value, CAST(ts AS DATE) AS d FROM events)
+    SELECT user_id, CASE WHEN GROUPING(job) = 1 THEN 'Total' ELSE job END AS job, COUNT(*) AS touches,
+      COUNT(DISTINCT d) AS days FROM e GROUP BY GROUPING SETS ((user_id, job), (user_id))
     """,
 )
 def grouping_sets_expr(t):
@@ -284,8 +299,10 @@ def count_of_counts(t):
 @query(
     "nth_event",
     """
-    SELECT c_custkey, COALESCE(n, 0) AS errors, fourth FROM customer LEFT JOIN (SELECT user_id, MAX(rn) AS n, MAX(CASE WHEN rn = 4 THEN ts END) AS fourth
-      FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type='error') GROUP BY 1) ON user_id = c_custkey
+    SELECT c_custkey, COALESCE(n, 0) AS errors, fourth FROM customer LEFT JOIN (SELECT user_id, MAX(rn) AS n,
+      MAX(CASE WHEN rn = 4 THEN ts END) AS fourth
+      FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events
+        WHERE event_type='error') GROUP BY 1) ON user_id = c_custkey
     """,
 )
 def nth_event_query(t):
@@ -325,8 +342,10 @@ def pivot_max(t):
 @query(
     "unpivot",
     """
-    WITH m AS (SELECT l_orderkey, MIN(CASE WHEN l_returnflag='R' THEN l_shipdate END) AS returned, MIN(CASE WHEN l_returnflag='A' THEN l_shipdate END) AS accepted FROM lineitem GROUP BY 1)
-    SELECT l_orderkey, 'returned' AS step, returned AS at FROM m WHERE returned IS NOT NULL UNION ALL SELECT l_orderkey, 'accepted', accepted FROM m WHERE accepted IS NOT NULL
+    WITH m AS (SELECT l_orderkey, MIN(CASE WHEN l_returnflag='R' THEN l_shipdate END) AS returned, MIN(CASE
+      WHEN l_returnflag='A' THEN l_shipdate END) AS accepted FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, 'returned' AS step, returned AS at FROM m WHERE returned IS NOT NULL UNION ALL
+      SELECT l_orderkey, 'accepted', accepted FROM m WHERE accepted IS NOT NULL
     """,
 )
 def unpivot(t):
@@ -340,10 +359,13 @@ def unpivot(t):
 @query(
     "unpivot_pivot",
     """
-    WITH cur AS (SELECT user_id, event_type, CAST(value AS DECIMAL(18,2))::VARCHAR AS amount, strftime(ts, '%Y-%m-%d %H:%M:%S') AS since FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn
+    WITH cur AS (SELECT user_id, event_type, CAST(value AS DECIMAL(18,2))::VARCHAR AS amount, strftime(ts, '%Y-%m-%d %H:%M:%S') AS since
+      FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn
       FROM events WHERE event_type IN ('error','view')) WHERE rn = 1)
-    SELECT user_id, MAX(CASE WHEN event_type='error' THEN amount END) AS error_amount, MAX(CASE WHEN event_type='error' THEN since END) AS error_since,
-      MAX(CASE WHEN event_type='view' THEN amount END) AS view_amount, MAX(CASE WHEN event_type='view' THEN since END) AS view_since FROM cur GROUP BY 1
+    SELECT user_id, MAX(CASE WHEN event_type='error' THEN amount END) AS error_amount, MAX(CASE
+      WHEN event_type='error' THEN since END) AS error_since,
+      MAX(CASE WHEN event_type='view' THEN amount END) AS view_amount, MAX(CASE
+        WHEN event_type='view' THEN since END) AS view_since FROM cur GROUP BY 1
     """,
 )
 def unpivot_pivot(t):
@@ -363,8 +385,10 @@ def unpivot_pivot(t):
 @query(
     "any_flag",
     """
-    SELECT l_orderkey, CASE WHEN SUM(CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END) > 0 THEN 'Yes' ELSE 'No' END AS any_returned,
-      CASE WHEN SUM(CASE WHEN l_quantity >= 45 THEN 1 ELSE 0 END) > 0 THEN 'Yes' ELSE 'No' END AS any_large FROM lineitem GROUP BY 1
+    SELECT l_orderkey, CASE WHEN SUM(CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END) > 0 THEN 'Yes' ELSE 'No'
+      END AS any_returned,
+      CASE WHEN SUM(CASE WHEN l_quantity >= 45 THEN 1 ELSE 0 END) > 0 THEN 'Yes' ELSE 'No' END AS any_large
+        FROM lineitem GROUP BY 1
     """,
 )
 def any_flag_query(t):
@@ -384,7 +408,8 @@ def count_distinct_pair(t):
 @query(
     "calendar_count",
     """
-    SELECT year(o_orderdate)*100+month(o_orderdate) AS month_key, monthname(o_orderdate) AS month_name, COUNT(*) AS orders,
+    SELECT year(o_orderdate)*100+month(o_orderdate) AS month_key, monthname(o_orderdate) AS month_name,
+      COUNT(*) AS orders,
       COUNT(CASE WHEN dayofweek(o_orderdate) IN (0, 6) THEN 1 END) AS weekend_orders FROM orders GROUP BY 1, 2
     """,
 )

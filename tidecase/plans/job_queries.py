@@ -79,10 +79,13 @@ def worker_touches(t):
 @query(
     "turn_time",
     """
-    WITH f AS (SELECT o_orderkey, MIN(CASE WHEN l_linestatus = 'F' THEN l_shipdate END) AS shipped, MIN(CASE WHEN l_returnflag = 'R' THEN l_shipdate END) AS returned
+    WITH f AS (SELECT o_orderkey, MIN(CASE WHEN l_linestatus = 'F' THEN l_shipdate END) AS shipped, MIN(CASE
+      WHEN l_returnflag = 'R' THEN l_shipdate END) AS returned
       FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate GROUP BY 1)
-    SELECT o_orderpriority AS priority, COUNT(*) AS cases, COUNT(shipped) AS shipped_cases, COUNT(returned) AS returned_cases,
-      CAST(SUM(date_diff('day', o_orderdate, shipped)) AS DOUBLE) / COUNT(shipped) AS shipped_avg_days, CAST(SUM(date_diff('day', o_orderdate, returned)) AS DOUBLE) / COUNT(returned) AS returned_avg_days
+    SELECT o_orderpriority AS priority, COUNT(*) AS cases, COUNT(shipped) AS shipped_cases,
+      COUNT(returned) AS returned_cases,
+      CAST(SUM(date_diff('day', o_orderdate, shipped)) AS DOUBLE) / COUNT(shipped) AS shipped_avg_days,
+        CAST(SUM(date_diff('day', o_orderdate, returned)) AS DOUBLE) / COUNT(returned) AS returned_avg_days
     FROM orders o LEFT JOIN f ON f.o_orderkey = o.o_orderkey GROUP BY 1
     """,
 )
@@ -97,9 +100,13 @@ def turn_time(t):
 @query(
     "dwell_time",
     f"""
-    WITH n AS (SELECT *, date_diff('second', ts, COALESCE(LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), TIMESTAMP '{AS_OF}')) AS s FROM events),
-    m AS (SELECT c_custkey AS case_id, MIN(CASE WHEN event_type = 'purchase' THEN ts END) AS bought FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1)
-    SELECT case_id, bought, COUNT(n.user_id) AS visits, COUNT(CASE WHEN n.ts < bought THEN 1 END) AS visits_before, COUNT(CASE WHEN n.ts > bought THEN 1 END) AS visits_after, CAST(SUM(s) AS DOUBLE) / 3600.0::DOUBLE AS hours
+    WITH n AS (SELECT *, date_diff('second', ts, COALESCE(LEAD(ts) OVER (PARTITION BY user_id
+      ORDER BY ts, event_id), TIMESTAMP '{AS_OF}')) AS s FROM events),
+    m AS (SELECT c_custkey AS case_id, MIN(CASE WHEN event_type = 'purchase' THEN ts END) AS bought
+      FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1)
+    SELECT case_id, bought, COUNT(n.user_id) AS visits, COUNT(CASE
+      WHEN n.ts < bought THEN 1 END) AS visits_before, COUNT(CASE
+      WHEN n.ts > bought THEN 1 END) AS visits_after, CAST(SUM(s) AS DOUBLE) / 3600.0::DOUBLE AS hours
     FROM m LEFT JOIN n ON n.user_id = case_id AND n.event_type = 'error' GROUP BY 1, 2
     """,
 )
@@ -110,9 +117,12 @@ def dwell_time(t):
 
 
 PRESENCE_SQL = """
-    n AS (SELECT user_id AS agent, CAST(ts AS DATE) AS day, event_type, date_diff('second', ts, LEAD(ts) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id)) AS s FROM events),
+    n AS (SELECT user_id AS agent, CAST(ts AS DATE) AS day, event_type, date_diff('second', ts, LEAD(ts)
+      OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id)) AS s FROM events),
     r AS (SELECT day, agent, event_type, SUM(s) AS s FROM n GROUP BY 1, 2, 3 HAVING SUM(s) > 0),
-    presence AS (SELECT day, agent, SUM(CASE WHEN event_type <> 'error' THEN s ELSE 0 END)::BIGINT AS logged_in, SUM(CASE WHEN event_type = 'click' THEN s ELSE 0 END)::BIGINT AS online FROM r GROUP BY 1, 2)
+    presence AS (SELECT day, agent, SUM(CASE WHEN event_type <> 'error' THEN s
+      ELSE 0 END)::BIGINT AS logged_in, SUM(CASE WHEN event_type = 'click' THEN s ELSE 0 END)::BIGINT AS online
+      FROM r GROUP BY 1, 2)
     """
 
 
@@ -129,11 +139,15 @@ def presence_time(t):
 @query(
     "pipeline_size",
     """
-    WITH daily AS (SELECT user_id, CAST(ts AS DATE) AS d, event_type AS state FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1),
+    WITH daily AS (SELECT user_id, CAST(ts AS DATE) AS d, event_type AS state FROM (SELECT *, ROW_NUMBER()
+      OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+      WHERE rn = 1),
     v AS (SELECT *, LEAD(d) OVER (PARTITION BY user_id ORDER BY d) AS nxt FROM daily),
-    days AS (SELECT CAST(unnest(generate_series((SELECT MIN(ts)::DATE FROM events), (SELECT MAX(ts)::DATE FROM events), INTERVAL 1 DAY)) AS DATE) AS day),
+    days AS (SELECT CAST(unnest(generate_series((SELECT MIN(ts)::DATE FROM events), (SELECT MAX(ts)::DATE
+      FROM events), INTERVAL 1 DAY)) AS DATE) AS day),
     states AS (SELECT DISTINCT state FROM daily)
-    SELECT s.state, days.day, COUNT(v.user_id) AS cases FROM states s CROSS JOIN days LEFT JOIN v ON v.state = s.state AND v.d <= days.day AND (v.nxt > days.day OR v.nxt IS NULL) GROUP BY 1, 2
+    SELECT s.state, days.day, COUNT(v.user_id) AS cases FROM states s CROSS JOIN days LEFT JOIN v
+      ON v.state = s.state AND v.d <= days.day AND (v.nxt > days.day OR v.nxt IS NULL) GROUP BY 1, 2
     """,
 )
 def pipeline_size(t):
@@ -147,9 +161,13 @@ def pipeline_size(t):
     "pull_through",
     """
     WITH l AS (SELECT l_orderkey, MAX(l_shipdate) AS last_ship FROM lineitem GROUP BY 1),
-    c AS (SELECT o_orderpriority || CASE WHEN o_totalprice > 250000 THEN ' Jumbo' ELSE '' END AS product, CASE WHEN o_orderstatus = 'F' THEN last_ship END AS closed_at, CASE WHEN o_orderstatus = 'P' THEN o_orderdate END AS fallout_at FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
-    SELECT year(COALESCE(closed_at, fallout_at))*100+month(COALESCE(closed_at, fallout_at)) AS month_key, product, COUNT(closed_at) AS closed, COUNT(fallout_at) AS fallout,
-      1.0::DOUBLE * COUNT(closed_at) / (COUNT(closed_at) + COUNT(fallout_at)) AS pull_through FROM c WHERE COALESCE(closed_at, fallout_at) IS NOT NULL GROUP BY 1, 2
+    c AS (SELECT o_orderpriority || CASE WHEN o_totalprice > 250000 THEN ' Jumbo' ELSE '' END AS product, CASE
+      WHEN o_orderstatus = 'F' THEN last_ship END AS closed_at, CASE WHEN o_orderstatus = 'P' THEN o_orderdate
+      END AS fallout_at FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
+    SELECT year(COALESCE(closed_at, fallout_at))*100+month(COALESCE(closed_at, fallout_at)) AS month_key, product,
+      COUNT(closed_at) AS closed, COUNT(fallout_at) AS fallout,
+      1.0::DOUBLE * COUNT(closed_at) / (COUNT(closed_at) + COUNT(fallout_at)) AS pull_through FROM c WHERE
+        COALESCE(closed_at, fallout_at) IS NOT NULL GROUP BY 1, 2
     """,
 )
 def pull_through(t):
@@ -166,9 +184,14 @@ def pull_through(t):
 @query(
     "aged_backlog",
     f"""
-    WITH h AS (SELECT l_orderkey, COUNT(*) AS holds, MAX(l_shipdate) AS last_hold, MAX(CASE WHEN rn = 4 THEN l_shipdate END) AS fourth_hold FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, {ITEM_SQL}) AS rn FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1)
-    SELECT o_orderkey AS case_id, NULLIF(o_orderstatus, 'P') AS status, date_diff('day', o_orderdate, TIMESTAMP '{ORDERS_AS_OF}') AS age_days, COALESCE(holds, 0) AS holds, last_hold, fourth_hold
-    FROM orders LEFT JOIN h ON l_orderkey = o_orderkey WHERE COALESCE(NULLIF(o_orderstatus, 'P'), 'NULL') <> 'F' AND o_totalprice >= 1000 AND date_diff('day', o_orderdate, TIMESTAMP '{ORDERS_AS_OF}') >= 365
+    WITH h AS (SELECT l_orderkey, COUNT(*) AS holds, MAX(l_shipdate) AS last_hold, MAX(CASE
+      WHEN rn = 4 THEN l_shipdate END) AS fourth_hold FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey
+      ORDER BY l_shipdate, {ITEM_SQL}) AS rn FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1)
+    SELECT o_orderkey AS case_id, NULLIF(o_orderstatus, 'P') AS status,
+      date_diff('day', o_orderdate, TIMESTAMP '{ORDERS_AS_OF}') AS age_days,
+      COALESCE(holds, 0) AS holds, last_hold, fourth_hold
+    FROM orders LEFT JOIN h ON l_orderkey = o_orderkey WHERE COALESCE(NULLIF(o_orderstatus, 'P'), 'NULL') <> 'F'
+      AND o_totalprice >= 1000 AND date_diff('day', o_orderdate, TIMESTAMP '{ORDERS_AS_OF}') >= 365
     """,
 )
 def aged_backlog(t):
@@ -183,9 +206,12 @@ def aged_backlog(t):
 
 EVENT_LOG_SQL = """
     bp AS (SELECT user_id AS case_id, MIN(ts) AS ts FROM events WHERE event_type = 'error' AND value > 50 GROUP BY 1),
-    final2 AS (SELECT case_id, 'scrubbed' AS status, ts FROM bp UNION ALL SELECT case_id, 'help requested', e.ts FROM bp JOIN events e ON user_id = case_id AND event_type = 'signup' AND e.ts > bp.ts
-      UNION ALL SELECT case_id, 'suspended', e.ts FROM bp JOIN events e ON user_id = case_id AND event_type = 'error' AND value > 100 AND e.ts > bp.ts
-      UNION SELECT case_id, 'closed', MIN(e.ts) FROM bp JOIN events e ON user_id = case_id AND event_type = 'purchase' AND e.ts > bp.ts GROUP BY case_id),
+    final2 AS (SELECT case_id, 'scrubbed' AS status, ts FROM bp UNION ALL SELECT case_id, 'help requested', e.ts
+      FROM bp JOIN events e ON user_id = case_id AND event_type = 'signup' AND e.ts > bp.ts
+      UNION ALL SELECT case_id, 'suspended', e.ts FROM bp JOIN events e ON user_id = case_id
+        AND event_type = 'error' AND value > 100 AND e.ts > bp.ts
+      UNION SELECT case_id, 'closed', MIN(e.ts) FROM bp JOIN events e ON user_id = case_id
+        AND event_type = 'purchase' AND e.ts > bp.ts GROUP BY case_id),
     final AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY case_id ORDER BY ts, status) AS row_num FROM final2)
     """
 
@@ -213,7 +239,8 @@ def event_log(t):
 @query(
     "funnel_counts",
     f"""
-    WITH {EVENT_LOG_SQL} SELECT status, COUNT(*) AS events, COUNT(DISTINCT case_id) AS cases, COUNT(DISTINCT CASE WHEN row_num = 1 THEN case_id END) AS started_with FROM final GROUP BY 1
+    WITH {EVENT_LOG_SQL} SELECT status, COUNT(*) AS events, COUNT(DISTINCT case_id) AS cases, COUNT(DISTINCT
+      CASE WHEN row_num = 1 THEN case_id END) AS started_with FROM final GROUP BY 1
     """,
 )
 def funnel_counts(t):
@@ -231,14 +258,26 @@ def funnel_rounds(t):
 @query(
     "process_entry",
     f"""
-    WITH f AS (SELECT user_id AS case_id, MIN(CASE WHEN event_type='view' AND value > 100 THEN ts END) AS scrubbed, MIN(CASE WHEN event_type='error' AND value > 100 THEN ts END) AS suspended,
-      MIN(CASE WHEN event_type='signup' AND value > 100 THEN ts END) AS helped, COUNT(CASE WHEN event_type='signup' AND value > 100 THEN 1 END) AS help_count, MAX(CASE WHEN event_type='purchase' AND value > 100 THEN ts END) AS closed FROM events GROUP BY 1),
-    e AS (SELECT *, CASE WHEN scrubbed IS NOT NULL AND suspended IS NOT NULL THEN CASE WHEN scrubbed < suspended THEN scrubbed ELSE suspended END WHEN suspended IS NULL THEN scrubbed ELSE suspended END AS entered_at,
-      CASE WHEN scrubbed IS NOT NULL AND suspended IS NOT NULL THEN CASE WHEN scrubbed < suspended THEN 'scrub' ELSE 'hold' END WHEN suspended IS NULL THEN 'scrub' ELSE 'hold' END AS entry_event FROM f WHERE scrubbed IS NOT NULL OR suspended IS NOT NULL),
+    WITH f AS (SELECT user_id AS case_id, MIN(CASE WHEN event_type='view'
+      AND value > 100 THEN ts END) AS scrubbed, MIN(CASE WHEN event_type='error'
+      AND value > 100 THEN ts END) AS suspended,
+      MIN(CASE WHEN event_type='signup' AND value > 100 THEN ts END) AS helped, COUNT(CASE
+        WHEN event_type='signup' AND value > 100 THEN 1 END) AS help_count, MAX(CASE WHEN event_type='purchase'
+        AND value > 100 THEN ts END) AS closed FROM events GROUP BY 1),
+    e AS (SELECT *, CASE WHEN scrubbed IS NOT NULL AND suspended IS NOT NULL THEN CASE
+      WHEN scrubbed < suspended THEN scrubbed ELSE suspended END WHEN suspended IS NULL THEN scrubbed
+      ELSE suspended END AS entered_at,
+      CASE WHEN scrubbed IS NOT NULL AND suspended IS NOT NULL THEN CASE WHEN scrubbed < suspended THEN 'scrub'
+        ELSE 'hold' END WHEN suspended IS NULL THEN 'scrub' ELSE 'hold' END AS entry_event FROM f
+        WHERE scrubbed IS NOT NULL OR suspended IS NOT NULL),
     x AS (SELECT *, COALESCE(CASE WHEN closed >= entered_at THEN closed END, TIMESTAMP '{AS_OF}') AS left_at FROM e)
-    SELECT case_id, CAST(entered_at AS DATE) AS entered, entry_event, help_count, CASE WHEN suspended IS NOT NULL THEN 'True' ELSE 'False' END AS ever_held,
-      CASE WHEN help_count > 0 AND suspended IS NOT NULL THEN COALESCE(CASE WHEN scrubbed IS NOT NULL THEN CASE WHEN helped < suspended THEN 'help then hold' ELSE 'hold then help' END END, '')
-        WHEN help_count > 0 THEN 'help only' WHEN suspended IS NOT NULL THEN 'hold only' ELSE 'neither' END AS sub_bucket, CAST(left_at AS DATE) AS exited, date_diff('day', entered_at, left_at) AS days_in_process FROM x
+    SELECT case_id, CAST(entered_at AS DATE) AS entered, entry_event, help_count, CASE
+      WHEN suspended IS NOT NULL THEN 'True' ELSE 'False' END AS ever_held,
+      CASE WHEN help_count > 0 AND suspended IS NOT NULL THEN COALESCE(CASE WHEN scrubbed IS NOT NULL THEN CASE
+        WHEN helped < suspended THEN 'help then hold' ELSE 'hold then help' END END, '')
+        WHEN help_count > 0 THEN 'help only' WHEN suspended IS NOT NULL THEN 'hold only' ELSE 'neither'
+          END AS sub_bucket, CAST(left_at AS DATE) AS exited,
+          date_diff('day', entered_at, left_at) AS days_in_process FROM x
     """,
 )
 def process_entry(t):
@@ -253,15 +292,26 @@ def process_entry(t):
 
 
 COHORT_SQL = f"""
-    {SNAPSHOT_SQL}, c AS (SELECT user_id AS case_id, MIN(ts) AS opened, MAX(CASE WHEN event_type='purchase' AND value > 100 THEN ts END) AS closed_at, CAST(NULL AS TIMESTAMP) AS none FROM events GROUP BY 1),
+    {SNAPSHOT_SQL}, c AS (SELECT user_id AS case_id, MIN(ts) AS opened, MAX(CASE WHEN event_type='purchase'
+      AND value > 100 THEN ts END) AS closed_at, CAST(NULL AS TIMESTAMP) AS none FROM events GROUP BY 1),
     f AS (SELECT user_id AS case_id, MAX(ts) AS fell FROM events WHERE event_type='error' AND value > 200 GROUP BY 1),
-    cc AS (SELECT c.case_id, opened, closed_at, CASE WHEN closed_at IS NULL THEN fell END AS fallout_at FROM c LEFT JOIN f ON f.case_id = c.case_id),
-    aged AS (SELECT s.user_id, snapshot_id, s.state, cc.*, strptime(CAST(snapshot_id AS VARCHAR), '%Y%m%d')::DATE AS day FROM snap s JOIN cc ON cc.case_id = s.user_id WHERE s.state IN ('view', 'click') AND snapshot_id < 20240120
+    cc AS (SELECT c.case_id, opened, closed_at, CASE WHEN closed_at IS NULL THEN fell END AS fallout_at FROM c
+      LEFT JOIN f ON f.case_id = c.case_id),
+    aged AS (SELECT s.user_id, snapshot_id, s.state, cc.*, strptime(CAST(snapshot_id AS VARCHAR), '%Y%m%d')::DATE AS day
+      FROM snap s JOIN cc ON cc.case_id = s.user_id WHERE s.state IN ('view', 'click')
+      AND snapshot_id < 20240120
       AND date_diff('day', opened, strptime(CAST(snapshot_id AS VARCHAR), '%Y%m%d')) = 10),
-    j AS (SELECT aged.*, l.state AS later_state FROM aged LEFT JOIN snap l ON l.user_id = aged.user_id AND l.snapshot_id = 20240120),
-    cohort AS (SELECT case_id, snapshot_id, state AS entry_state, later_state, CASE WHEN CAST(fallout_at AS DATE) <= DATE '2024-01-20' THEN 'Fallout' WHEN later_state IN ('view','click') THEN 'Pipeline' ELSE 'Closed' END AS bucket,
-      CASE WHEN closed_at IS NOT NULL THEN 1 ELSE 0 END AS pulled_through, date_diff('day', day, CAST(COALESCE(closed_at, fallout_at) AS DATE)) AS turn_days,
-      date_diff('day', day, CASE WHEN CAST(fallout_at AS DATE) <= DATE '2024-01-20' THEN CAST(fallout_at AS DATE) WHEN later_state IN ('view','click') THEN DATE '2024-01-20' ELSE CAST(closed_at AS DATE) END) AS bucket_days FROM j)
+    j AS (SELECT aged.*, l.state AS later_state FROM aged LEFT JOIN snap l ON l.user_id = aged.user_id
+      AND l.snapshot_id = 20240120),
+    cohort AS (SELECT case_id, snapshot_id, state AS entry_state, later_state, CASE
+      WHEN CAST(fallout_at AS DATE) <= DATE '2024-01-20' THEN 'Fallout'
+      WHEN later_state IN ('view','click') THEN 'Pipeline' ELSE 'Closed' END AS bucket,
+      CASE WHEN closed_at IS NOT NULL THEN 1 ELSE 0 END AS pulled_through,
+        date_diff('day', day, CAST(COALESCE(closed_at, fallout_at) AS DATE)) AS turn_days,
+      date_diff('day', day, CASE
+        WHEN CAST(fallout_at AS DATE) <= DATE '2024-01-20' THEN CAST(fallout_at AS DATE)
+        WHEN later_state IN ('view','click') THEN DATE '2024-01-20'
+        ELSE CAST(closed_at AS DATE) END) AS bucket_days FROM j)
     """
 
 
@@ -284,12 +334,21 @@ UNIT_RULES = [("F1-URGENT", 2.25), ("F%", 1.75), ("P4%", 1.25), ("P%", 1.0)]
 @query(
     "unit_scorecard",
     f"""
-    WITH w AS (SELECT o_custkey AS worker, o_orderkey, CASE WHEN concat(o_orderstatus, o_orderpriority) = 'F1-URGENT' THEN 2.25 WHEN concat(o_orderstatus, o_orderpriority) LIKE 'F%' THEN 1.75 WHEN concat(o_orderstatus, o_orderpriority) LIKE 'P4%' THEN 1.25
-        WHEN concat(o_orderstatus, o_orderpriority) LIKE 'P%' THEN 1.0 END::DECIMAL(9,2) AS units, o_totalprice FROM orders),
-    s AS (SELECT worker, COUNT(*) AS n, CAST(SUM(units) AS DOUBLE) AS u, COUNT(CASE WHEN units IS NULL THEN 1 END) AS m FROM w JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity > 48 GROUP BY 1),
-    c AS (SELECT worker, COUNT(*) AS n, CAST(SUM(units) AS DOUBLE) AS u, COUNT(CASE WHEN units IS NULL THEN 1 END) AS m FROM w WHERE o_totalprice > 450000 GROUP BY 1)
-    SELECT COALESCE(s.worker, c.worker) AS worker, COALESCE(s.n, 0) AS status_count, COALESCE(s.u, 0) AS status_units, COALESCE(c.n, 0) AS closing_count, COALESCE(c.u, 0) AS closing_units,
-      COALESCE(s.u, 0) * 0.75::DOUBLE + COALESCE(c.u, 0) * 0.25::DOUBLE AS total, COALESCE(s.m, 0) + COALESCE(c.m, 0) AS unmapped, c_name AS leader
+    WITH w AS (SELECT o_custkey AS worker, o_orderkey, CASE
+      WHEN concat(o_orderstatus, o_orderpriority) = 'F1-URGENT' THEN 2.25
+      WHEN concat(o_orderstatus, o_orderpriority) LIKE 'F%' THEN 1.75
+      WHEN concat(o_orderstatus, o_orderpriority) LIKE 'P4%' THEN 1.25
+        WHEN concat(o_orderstatus, o_orderpriority) LIKE 'P%' THEN 1.0 END::DECIMAL(9,2) AS units, o_totalprice
+          FROM orders),
+    s AS (SELECT worker, COUNT(*) AS n, CAST(SUM(units) AS DOUBLE) AS u, COUNT(CASE
+      WHEN units IS NULL THEN 1 END) AS m FROM w JOIN lineitem ON l_orderkey = o_orderkey
+      WHERE l_returnflag = 'R' AND l_quantity > 48 GROUP BY 1),
+    c AS (SELECT worker, COUNT(*) AS n, CAST(SUM(units) AS DOUBLE) AS u, COUNT(CASE
+      WHEN units IS NULL THEN 1 END) AS m FROM w WHERE o_totalprice > 450000 GROUP BY 1)
+    SELECT COALESCE(s.worker, c.worker) AS worker, COALESCE(s.n, 0) AS status_count,
+      COALESCE(s.u, 0) AS status_units, COALESCE(c.n, 0) AS closing_count, COALESCE(c.u, 0) AS closing_units,
+      COALESCE(s.u, 0) * 0.75::DOUBLE + COALESCE(c.u, 0) * 0.25::DOUBLE AS total, COALESCE(s.m, 0) +
+        COALESCE(c.m, 0) AS unmapped, c_name AS leader
     FROM s FULL JOIN c ON s.worker = c.worker LEFT JOIN customer ON c_custkey = COALESCE(s.worker, c.worker)
     """,
 )
@@ -308,8 +367,13 @@ def unit_scorecard(t):
     "unit_scorecard_adjusted",
     """
     WITH low AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_discount = 0 AND l_tax = 0),
-    w AS (SELECT o_custkey AS worker, CASE WHEN concat(o_orderstatus, o_orderpriority) = 'F1-URGENT' THEN 2.25 WHEN concat(o_orderstatus, o_orderpriority) LIKE 'F%' THEN CASE WHEN l_orderkey IS NOT NULL THEN 0.5 ELSE 1.75 END
-        WHEN concat(o_orderstatus, o_orderpriority) LIKE 'P4%' THEN CASE WHEN l_orderkey IS NOT NULL THEN 0.5 ELSE 1.25 END WHEN concat(o_orderstatus, o_orderpriority) LIKE 'P%' THEN 1.0 END::DECIMAL(9,2) AS units FROM orders LEFT JOIN low ON l_orderkey = o_orderkey)
+    w AS (SELECT o_custkey AS worker, CASE WHEN concat(o_orderstatus, o_orderpriority) = 'F1-URGENT' THEN 2.25
+      WHEN concat(o_orderstatus, o_orderpriority) LIKE 'F%' THEN CASE WHEN l_orderkey IS NOT NULL THEN 0.5
+      ELSE 1.75 END
+        WHEN concat(o_orderstatus, o_orderpriority) LIKE 'P4%' THEN CASE WHEN l_orderkey IS NOT NULL THEN 0.5
+          ELSE 1.25 END
+          WHEN concat(o_orderstatus, o_orderpriority) LIKE 'P%' THEN 1.0 END::DECIMAL(9,2) AS units FROM orders
+          LEFT JOIN low ON l_orderkey = o_orderkey)
     SELECT worker, COUNT(*) AS closings, CAST(SUM(units) AS DOUBLE) AS units FROM w GROUP BY 1
     """,
 )
@@ -327,11 +391,20 @@ def unit_scorecard_adjusted(t):
 @query(
     "productivity_grid",
     f"""
-    WITH {PRESENCE_SQL}, days AS (SELECT CAST(unnest(generate_series(DATE '2024-02-01' - 120, DATE '2024-02-01', INTERVAL 1 DAY)) AS DATE) AS day), w AS (SELECT DISTINCT user_id AS worker FROM events),
-    a AS (SELECT user_id AS worker, CAST(ts AS DATE) AS day, COUNT(*) AS statuses, COUNT(DISTINCT CASE WHEN event_type <> 'view' THEN {KS} END) AS distinct_cases, COUNT(CASE WHEN event_type = 'purchase' THEN 1 END) AS answered, COUNT(CASE WHEN event_type='purchase' AND value >= 180 THEN 1 END) AS long_calls FROM events GROUP BY 1, 2),
-    s AS (SELECT user_id AS worker, CAST(ts AS DATE) AS day, COUNT(*) AS surveys, SUM({KS} % 5 + 1)::BIGINT AS score, COUNT(CASE WHEN {KS} % 5 + 1 IN (4, 5) THEN 1 END) AS fours_and_fives FROM events WHERE event_type='signup' GROUP BY 1, 2)
+    WITH {PRESENCE_SQL}, days AS (SELECT CAST(unnest(generate_series(DATE '2024-02-01' - 120, DATE '2024-02-01', INTERVAL 1 DAY)) AS DATE) AS day), w AS (SELECT DISTINCT user_id AS worker
+      FROM events),
+    a AS (SELECT user_id AS worker, CAST(ts AS DATE) AS day, COUNT(*) AS statuses, COUNT(DISTINCT CASE
+      WHEN event_type <> 'view' THEN {KS} END) AS distinct_cases, COUNT(CASE
+      WHEN event_type = 'purchase' THEN 1 END) AS answered, COUNT(CASE WHEN event_type='purchase'
+      AND value >= 180 THEN 1 END) AS long_calls FROM events GROUP BY 1, 2),
+    s AS (SELECT user_id AS worker, CAST(ts AS DATE) AS day,
+      COUNT(*) AS surveys, SUM({KS} % 5 + 1)::BIGINT AS score, COUNT(CASE
+      WHEN {KS} % 5 + 1 IN (4, 5) THEN 1 END) AS fours_and_fives FROM events WHERE event_type='signup'
+      GROUP BY 1, 2)
     SELECT w.worker, days.day, statuses, distinct_cases, answered, long_calls, surveys, score, fours_and_fives, logged_in, online, 1.0::DOUBLE * online / NULLIF(logged_in, 0) AS online_rate
-    FROM w CROSS JOIN days LEFT JOIN a ON a.worker = w.worker AND a.day = days.day LEFT JOIN s ON s.worker = w.worker AND s.day = days.day LEFT JOIN presence p ON p.agent = w.worker AND p.day = days.day
+    FROM w CROSS JOIN days LEFT JOIN a ON a.worker = w.worker AND a.day = days.day LEFT JOIN s
+      ON s.worker = w.worker AND s.day = days.day LEFT JOIN presence p ON p.agent = w.worker
+      AND p.day = days.day
     """,
 )
 def productivity_grid(t):
@@ -357,8 +430,12 @@ def productivity_grid(t):
 @query(
     "answer_rate",
     """
-    SELECT user_id AS agent, CAST(ts AS DATE) AS day, COUNT(CASE WHEN event_type='purchase' THEN 1 END) AS answered, COUNT(CASE WHEN event_type='error' THEN 1 END) AS missed,
-      100.0::DOUBLE * COUNT(CASE WHEN event_type='purchase' THEN 1 END) / NULLIF(COUNT(CASE WHEN event_type IN ('purchase', 'error') THEN 1 END), 0) AS rate FROM events WHERE event_type <> 'view' GROUP BY 1, 2
+    SELECT user_id AS agent, CAST(ts AS DATE) AS day, COUNT(CASE
+      WHEN event_type='purchase' THEN 1 END) AS answered, COUNT(CASE
+      WHEN event_type='error' THEN 1 END) AS missed,
+      100.0::DOUBLE * COUNT(CASE WHEN event_type='purchase' THEN 1 END) / NULLIF(COUNT(CASE
+        WHEN event_type IN ('purchase', 'error') THEN 1 END), 0) AS rate FROM events WHERE event_type <> 'view'
+        GROUP BY 1, 2
     """,
 )
 def answer_rate(t):
@@ -370,10 +447,16 @@ def answer_rate(t):
 @query(
     "response_time",
     """
-    WITH m AS (SELECT r.user_id AS thread, r.ts, r.event_id AS post_id, c.ts AS client_post, c.event_id AS client_post_id, ROW_NUMBER() OVER (PARTITION BY r.event_id ORDER BY c.ts DESC, c.event_id DESC) AS rn
-      FROM (SELECT * FROM events WHERE event_type = 'purchase') r LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON c.user_id = r.user_id AND c.ts < r.ts)
-    SELECT thread, ts, post_id, client_post, client_post_id, CASE WHEN client_post IS NULL THEN 'Team post' ELSE 'Client' END AS who_posted, CASE WHEN date_diff('hour', client_post, ts) > 24 THEN date_diff('day', client_post, ts) || ' days'
-      WHEN client_post IS NULL THEN 'No start time' ELSE (date_diff('minute', client_post, ts) // 60) || ':' || lpad(CAST(date_diff('minute', client_post, ts) % 60 AS VARCHAR), 2, '0') || ' Hours' END AS delay FROM m WHERE rn = 1
+    WITH m AS (SELECT r.user_id AS thread, r.ts, r.event_id AS post_id, c.ts AS client_post, c.event_id AS client_post_id,
+      ROW_NUMBER() OVER (PARTITION BY r.event_id ORDER BY c.ts DESC, c.event_id DESC) AS rn
+      FROM (SELECT * FROM events WHERE event_type = 'purchase') r LEFT JOIN (SELECT * FROM events
+        WHERE event_type = 'click') c ON c.user_id = r.user_id AND c.ts < r.ts)
+    SELECT thread, ts, post_id, client_post, client_post_id, CASE WHEN client_post IS NULL THEN 'Team post'
+      ELSE 'Client' END AS who_posted, CASE WHEN date_diff('hour', client_post, ts) > 24 THEN
+      date_diff('day', client_post, ts) || ' days'
+      WHEN client_post IS NULL THEN 'No start time'
+        ELSE (date_diff('minute', client_post, ts) // 60) || ':' || lpad(CAST(date_diff('minute', client_post, ts) % 60 AS VARCHAR), 2, '0') || ' Hours'
+        END AS delay FROM m WHERE rn = 1
     """,
 )
 def response_time(t):
@@ -386,7 +469,8 @@ def response_time(t):
 @query(
     "response_turns",
     """
-    SELECT a.conv_id, a.turn, MAX(u.turn) AS asked_turn FROM conversations a LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.role = 'user' AND u.turn < a.turn WHERE a.role = 'assistant' GROUP BY 1, 2
+    SELECT a.conv_id, a.turn, MAX(u.turn) AS asked_turn FROM conversations a LEFT JOIN conversations u
+      ON u.conv_id = a.conv_id AND u.role = 'user' AND u.turn < a.turn WHERE a.role = 'assistant' GROUP BY 1, 2
     """,
 )
 def response_turns(t):
@@ -396,8 +480,10 @@ def response_turns(t):
 
 
 TOUCH_SQL = f"""
-    {ROLE_VERSIONS}, s AS (SELECT user_id AS case_id, CAST({KS} AS BIGINT) AS worker, event_id, ts, {DID.format(c='ts')} AS date_id, CAST(floor(value) AS BIGINT) AS seconds FROM events WHERE event_type = 'click'),
-    touched AS (SELECT s.*, COALESCE(role, 'Other') AS role FROM s LEFT JOIN dim ON dim.user_id = s.worker AND date_id BETWEEN start_id AND end_id)
+    {ROLE_VERSIONS}, s AS (SELECT user_id AS case_id, CAST({KS} AS BIGINT) AS worker, event_id, ts, {DID.format(c='ts')} AS date_id, CAST(floor(value) AS BIGINT) AS seconds
+      FROM events WHERE event_type = 'click'),
+    touched AS (SELECT s.*, COALESCE(role, 'Other') AS role FROM s LEFT JOIN dim ON dim.user_id = s.worker
+      AND date_id BETWEEN start_id AND end_id)
     """
 
 
@@ -409,7 +495,9 @@ def touched_by_role(t):
     "touches_by_role",
     f"""
     WITH {TOUCH_SQL}, g AS (SELECT case_id, role, COUNT(DISTINCT (worker, date_id)) AS n FROM touched GROUP BY 1, 2)
-    SELECT case_id, SUM(CASE WHEN role='signup' THEN n END)::BIGINT AS signup, SUM(CASE WHEN role='view' THEN n END)::BIGINT AS view, SUM(CASE WHEN role='Other' THEN n END)::BIGINT AS "Other", SUM(n)::BIGINT AS "Total" FROM g GROUP BY 1
+    SELECT case_id, SUM(CASE WHEN role='signup' THEN n END)::BIGINT AS signup, SUM(CASE
+      WHEN role='view' THEN n END)::BIGINT AS view, SUM(CASE
+      WHEN role='Other' THEN n END)::BIGINT AS "Other", SUM(n)::BIGINT AS "Total" FROM g GROUP BY 1
     """,
 )
 def touches_by_role(t):
@@ -418,8 +506,12 @@ def touches_by_role(t):
 
 
 TEAM_SQL = f"""
-    {TOUCH_SQL}, members AS (SELECT touched.*, p.c_mktsegment AS pilot, CASE WHEN w.c_custkey % 4 > 0 THEN w.c_mktsegment END AS division, n_name AS title, w.c_custkey % 2 AS member FROM touched JOIN customer p ON p.c_custkey = case_id JOIN customer w ON w.c_custkey = worker JOIN nation ON n_nationkey = w.c_nationkey),
-    tm AS (SELECT case_id, pilot, worker, role, division, title, member, SUM(seconds) AS seconds, COUNT(*) AS touches, COUNT(DISTINCT date_id) AS n FROM members GROUP BY ALL)
+    {TOUCH_SQL}, members AS (SELECT touched.*, p.c_mktsegment AS pilot, CASE
+      WHEN w.c_custkey % 4 > 0 THEN w.c_mktsegment END AS division, n_name AS title, w.c_custkey % 2 AS member
+      FROM touched JOIN customer p ON p.c_custkey = case_id JOIN customer w ON w.c_custkey = worker JOIN nation
+      ON n_nationkey = w.c_nationkey),
+    tm AS (SELECT case_id, pilot, worker, role, division, title, member, SUM(seconds) AS seconds,
+      COUNT(*) AS touches, COUNT(DISTINCT date_id) AS n FROM members GROUP BY ALL)
     """
 
 
@@ -427,11 +519,17 @@ TEAM_SQL = f"""
     "touch_summary",
     f"""
     WITH {TEAM_SQL}
-    SELECT pilot, CASE WHEN GROUPING(role) = 1 THEN 'All' ELSE COALESCE(role, 'Unknown') END AS team, CASE WHEN GROUPING(division) = 1 THEN 'All' ELSE COALESCE(division, 'Unknown') END AS division,
-      CASE WHEN GROUPING(title) = 1 THEN 'All' ELSE COALESCE(title, 'Unknown') END AS title, CASE WHEN GROUPING(member) = 1 THEN 'All' WHEN member = 1 THEN 'TM' WHEN member = 0 THEN 'TL' ELSE 'Unknown' END AS member,
-      COUNT(DISTINCT case_id) AS cases, COUNT(DISTINCT worker) AS workers, CAST(SUM(n) AS DOUBLE) / COUNT(DISTINCT case_id) AS avg_touches, CAST(SUM(seconds) AS DOUBLE) / 3600.0::DOUBLE / COUNT(DISTINCT case_id) AS avg_hours,
+    SELECT pilot, CASE WHEN GROUPING(role) = 1 THEN 'All' ELSE COALESCE(role, 'Unknown') END AS team, CASE
+      WHEN GROUPING(division) = 1 THEN 'All' ELSE COALESCE(division, 'Unknown') END AS division,
+      CASE WHEN GROUPING(title) = 1 THEN 'All' ELSE COALESCE(title, 'Unknown') END AS title, CASE
+        WHEN GROUPING(member) = 1 THEN 'All' WHEN member = 1 THEN 'TM' WHEN member = 0 THEN 'TL' ELSE 'Unknown'
+        END AS member,
+      COUNT(DISTINCT case_id) AS cases, COUNT(DISTINCT worker) AS workers, CAST(SUM(n) AS DOUBLE) /
+        COUNT(DISTINCT case_id) AS avg_touches, CAST(SUM(seconds) AS DOUBLE) / 3600.0::DOUBLE /
+        COUNT(DISTINCT case_id) AS avg_hours,
       CAST(SUM(seconds) AS DOUBLE) / 60.0::DOUBLE / SUM(touches) AS avg_session_minutes
-    FROM tm GROUP BY GROUPING SETS ((pilot), (pilot, role), (pilot, role, division), (pilot, role, division, title, member))
+    FROM tm
+      GROUP BY GROUPING SETS ((pilot), (pilot, role), (pilot, role, division), (pilot, role, division, title, member))
     """,
 )
 def touch_summary(t):
@@ -449,8 +547,12 @@ def touch_summary(t):
 @query(
     "distinct_touches",
     f"""
-    WITH s AS (SELECT user_id AS case_id, {KS} AS worker, ts, value, ROW_NUMBER() OVER (PARTITION BY user_id, {KS}, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type = 'click')
-    SELECT case_id, COUNT(*) AS touches, COUNT(CASE WHEN rn = 1 THEN 1 END) AS distinct_touches, COUNT(CASE WHEN rn = 1 AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' THEN 1 END) AS in_window FROM s GROUP BY 1
+    WITH s AS (SELECT user_id AS case_id, {KS} AS worker, ts, value, ROW_NUMBER()
+      OVER (PARTITION BY user_id, {KS}, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS rn FROM events
+      WHERE event_type = 'click')
+    SELECT case_id, COUNT(*) AS touches, COUNT(CASE WHEN rn = 1 THEN 1 END) AS distinct_touches, COUNT(CASE
+      WHEN rn = 1 AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' THEN 1 END) AS in_window
+      FROM s GROUP BY 1
     """,
 )
 def distinct_touches(t):
@@ -465,8 +567,13 @@ def distinct_touches(t):
 @query(
     "state_at_event",
     """
-    WITH s AS (SELECT * FROM events WHERE event_type IN ('signup', 'view', 'error')), now AS (SELECT user_id, event_type AS status_now FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM s) WHERE rn = 1),
-    m AS (SELECT c.event_id, c.user_id, s.event_type AS status_at_call, ROW_NUMBER() OVER (PARTITION BY c.event_id ORDER BY s.ts DESC, s.event_id DESC) AS rn FROM events c LEFT JOIN s ON s.user_id = c.user_id AND s.ts < c.ts WHERE c.event_type = 'purchase')
+    WITH s AS (SELECT * FROM events
+      WHERE event_type IN ('signup', 'view', 'error')), now AS (SELECT user_id, event_type AS status_now
+      FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM s)
+      WHERE rn = 1),
+    m AS (SELECT c.event_id, c.user_id, s.event_type AS status_at_call, ROW_NUMBER()
+      OVER (PARTITION BY c.event_id ORDER BY s.ts DESC, s.event_id DESC) AS rn FROM events c LEFT JOIN s
+      ON s.user_id = c.user_id AND s.ts < c.ts WHERE c.event_type = 'purchase')
     SELECT event_id, status_at_call, status_now FROM m LEFT JOIN now ON now.user_id = m.user_id WHERE rn = 1
     """,
 )
@@ -479,10 +586,14 @@ def state_at_event(t):
 @query(
     "increase_after",
     """
-    WITH a AS (SELECT user_id AS case_id, MAX(ts) AS approved_at FROM events WHERE event_type = 'view' GROUP BY 1), v AS (SELECT * FROM events WHERE event_type = 'purchase'),
-    b AS (SELECT case_id, approved_at, value AS approved_value, ROW_NUMBER() OVER (PARTITION BY case_id ORDER BY ts DESC, event_id DESC) AS rn FROM a JOIN v ON user_id = case_id AND ts <= approved_at),
-    c AS (SELECT user_id, value AS current_value, ts AS changed_at, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM v)
-    SELECT case_id, approved_at, approved_value, current_value, changed_at FROM b JOIN c ON user_id = case_id AND c.rn = 1 WHERE b.rn = 1 AND current_value > approved_value
+    WITH a AS (SELECT user_id AS case_id, MAX(ts) AS approved_at FROM events WHERE event_type = 'view'
+      GROUP BY 1), v AS (SELECT * FROM events WHERE event_type = 'purchase'),
+    b AS (SELECT case_id, approved_at, value AS approved_value, ROW_NUMBER() OVER (PARTITION BY case_id
+      ORDER BY ts DESC, event_id DESC) AS rn FROM a JOIN v ON user_id = case_id AND ts <= approved_at),
+    c AS (SELECT user_id, value AS current_value, ts AS changed_at, ROW_NUMBER() OVER (PARTITION BY user_id
+      ORDER BY ts DESC, event_id DESC) AS rn FROM v)
+    SELECT case_id, approved_at, approved_value, current_value, changed_at FROM b JOIN c ON user_id = case_id
+      AND c.rn = 1 WHERE b.rn = 1 AND current_value > approved_value
     """,
 )
 def increase_after(t):
@@ -491,8 +602,11 @@ def increase_after(t):
 
 
 RECONCILE_SQL = """
-    f AS (SELECT o_orderkey AS case_id, o_orderstatus AS status, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
-    bad AS (SELECT * FROM f WHERE CASE WHEN status = 'F' AND total >= 100000 THEN 1 WHEN status = 'P' AND total < 250000 THEN 1 ELSE 0 END = 0)
+    f AS (SELECT o_orderkey AS case_id, o_orderstatus AS status,
+      CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem JOIN orders
+      ON l_orderkey = o_orderkey GROUP BY 1, 2),
+    bad AS (SELECT * FROM f WHERE CASE WHEN status = 'F' AND total >= 100000 THEN 1 WHEN status = 'P'
+      AND total < 250000 THEN 1 ELSE 0 END = 0)
     """
 
 
@@ -524,8 +638,10 @@ def reconcile_detail(t):
 @query(
     "repeat_reason",
     f"""
-    WITH b AS (SELECT DISTINCT {KS} AS g, {KS} % 5 AS reason FROM events UNION SELECT DISTINCT {KS}, {KS} % 3 FROM events)
-    SELECT user_id AS case_id, reason, COUNT(*) AS times, MIN(ts) AS first_time, MAX(ts) AS last_time FROM events JOIN b ON g = {KS} WHERE event_type = 'error' GROUP BY 1, 2 HAVING COUNT(*) >= 3
+    WITH b AS (SELECT DISTINCT {KS} AS g, {KS} % 5 AS reason FROM events UNION SELECT DISTINCT {KS}, {KS} % 3
+      FROM events)
+    SELECT user_id AS case_id, reason, COUNT(*) AS times, MIN(ts) AS first_time, MAX(ts) AS last_time
+      FROM events JOIN b ON g = {KS} WHERE event_type = 'error' GROUP BY 1, 2 HAVING COUNT(*) >= 3
     """,
 )
 def repeat_reason(t):
@@ -538,8 +654,10 @@ def repeat_reason(t):
 @query(
     "nth_suspension_report",
     """
-    WITH n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'error')
-    SELECT user_id, MAX(rn) AS suspensions, MAX(CASE WHEN rn = 4 THEN ts END) AS fourth FROM n GROUP BY 1 HAVING MAX(rn) >= 4
+    WITH n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events
+      WHERE event_type = 'error')
+    SELECT user_id, MAX(rn) AS suspensions, MAX(CASE WHEN rn = 4 THEN ts END) AS fourth FROM n GROUP BY 1 HAVING
+      MAX(rn) >= 4
     """,
 )
 def nth_suspension_report(t):
@@ -553,8 +671,10 @@ def nth_suspension_report(t):
     "reopened_aging",
     f"""
     WITH n AS (SELECT *, LAG(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
-    r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM n WHERE event_type = 'error' AND prev IN ('purchase', 'view'))
-    SELECT user_id AS case_id, ts AS reopened_at, date_diff('minute', ts, TIMESTAMP '{AS_OF}') / 1440.0::DOUBLE AS days_open FROM r WHERE rn = 1
+    r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM n
+      WHERE event_type = 'error' AND prev IN ('purchase', 'view'))
+    SELECT user_id AS case_id, ts AS reopened_at,
+      date_diff('minute', ts, TIMESTAMP '{AS_OF}') / 1440.0::DOUBLE AS days_open FROM r WHERE rn = 1
     """,
 )
 def reopened_aging(t):
@@ -580,9 +700,12 @@ def hours_worked(t):
     "effort_hours",
     f"""
     WITH pop AS (SELECT user_id FROM events WHERE event_type = 'error' GROUP BY 1 HAVING COUNT(*) >= 15),
-    w AS (SELECT DISTINCT {KS} AS worker, {DID.format(c='ts')} AS date_id FROM events WHERE event_type = 'click' AND user_id IN (SELECT user_id FROM pop)),
-    h AS (SELECT user_id AS worker, {DID.format(c='ts')} AS date_id, SUM({DEC.format(c='value')}) AS minutes FROM events WHERE event_type = 'view' GROUP BY 1, 2)
-    SELECT w.date_id, COUNT(*) AS workers, CAST(SUM(minutes) AS DOUBLE) / 60.0::DOUBLE AS hours FROM w JOIN h ON h.worker = w.worker AND h.date_id = w.date_id GROUP BY 1
+    w AS (SELECT DISTINCT {KS} AS worker, {DID.format(c='ts')} AS date_id FROM events WHERE event_type = 'click'
+      AND user_id IN (SELECT user_id FROM pop)),
+    h AS (SELECT user_id AS worker, {DID.format(c='ts')} AS date_id, SUM({DEC.format(c='value')}) AS minutes
+      FROM events WHERE event_type = 'view' GROUP BY 1, 2)
+    SELECT w.date_id, COUNT(*) AS workers, CAST(SUM(minutes) AS DOUBLE) / 60.0::DOUBLE AS hours FROM w JOIN h
+      ON h.worker = w.worker AND h.date_id = w.date_id GROUP BY 1
     """,
 )
 def effort_hours(t):
@@ -591,11 +714,19 @@ def effort_hours(t):
 
 
 MESSAGES_SQL = f"""
-    replied AS (SELECT event_id AS message_id, user_id AS client, CASE WHEN {KS} BETWEEN 21 AND 60 THEN CAST({KS} AS BIGINT) + 100000 END AS loan, ts, CAST({KS} AS BIGINT) AS worker FROM events
-      WHERE event_type = 'click' AND (user_id * 100 + {KS}) IN (SELECT user_id * 100 + {KS} FROM events WHERE event_type = 'purchase' UNION SELECT user_id * 100 + {KS} + 1 FROM events WHERE event_type = 'signup')),
-    received AS (SELECT event_id AS message_id, user_id AS client, CASE WHEN {KS} BETWEEN 21 AND 41 THEN CAST({KS} AS BIGINT) + 100000 END AS loan, ts, CAST(NULL AS BIGINT) AS worker FROM events WHERE event_type = 'view' AND value >= 20),
-    base AS (SELECT *, 'replied' AS action FROM replied UNION ALL SELECT *, 'received' FROM received), ranked AS (SELECT *, RANK() OVER (PARTITION BY COALESCE(loan, client) ORDER BY ts) AS rnk FROM base),
-    messages AS (SELECT message_id, client, loan, ts, worker, CASE WHEN action = 'replied' AND rnk = 1 THEN 'initiated' ELSE action END AS action FROM ranked)
+    replied AS (SELECT event_id AS message_id, user_id AS client, CASE WHEN {KS} BETWEEN 21
+      AND 60 THEN CAST({KS} AS BIGINT) + 100000 END AS loan, ts, CAST({KS} AS BIGINT) AS worker FROM events
+      WHERE event_type = 'click' AND (user_id * 100 + {KS}) IN (SELECT user_id * 100 + {KS} FROM events
+        WHERE event_type = 'purchase' UNION SELECT user_id * 100 + {KS} + 1 FROM events
+        WHERE event_type = 'signup')),
+    received AS (SELECT event_id AS message_id, user_id AS client, CASE WHEN {KS} BETWEEN 21
+      AND 41 THEN CAST({KS} AS BIGINT) + 100000 END AS loan, ts, CAST(NULL AS BIGINT) AS worker FROM events
+      WHERE event_type = 'view' AND value >= 20),
+    base AS (SELECT *, 'replied' AS action FROM replied UNION ALL SELECT *, 'received'
+      FROM received), ranked AS (SELECT *, RANK() OVER (PARTITION BY COALESCE(loan, client) ORDER BY ts) AS rnk
+      FROM base),
+    messages AS (SELECT message_id, client, loan, ts, worker, CASE WHEN action = 'replied'
+      AND rnk = 1 THEN 'initiated' ELSE action END AS action FROM ranked)
     """
 
 
@@ -620,10 +751,15 @@ def conversation_attribution(t):
 @query(
     "optin_chain",
     f"""
-    WITH {MESSAGES_SQL}, e AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey > 0 THEN c_custkey // 10 END AS leader FROM customer),
-    chain AS (SELECT e.id, e.name, l1.name AS team_leader, l2.name AS director, l3.name AS vp FROM e LEFT JOIN e l1 ON l1.id = e.leader LEFT JOIN e l2 ON l2.id = l1.leader LEFT JOIN e l3 ON l3.id = l2.leader),
-    f AS (SELECT *, CAST(ts AS DATE) AS day, ROW_NUMBER() OVER (PARTITION BY client, CAST(ts AS DATE) ORDER BY ts, message_id) AS rn FROM messages WHERE message_id IN (SELECT event_id FROM events WHERE value >= 10))
-    SELECT message_id, client, loan, ts, worker, action, day, name, team_leader, director, vp FROM f JOIN chain ON id = worker WHERE rn = 1
+    WITH {MESSAGES_SQL}, e AS (SELECT c_custkey AS id, c_name AS name, CASE
+      WHEN c_custkey > 0 THEN c_custkey // 10 END AS leader FROM customer),
+    chain AS (SELECT e.id, e.name, l1.name AS team_leader, l2.name AS director, l3.name AS vp FROM e LEFT
+      JOIN e l1 ON l1.id = e.leader LEFT JOIN e l2 ON l2.id = l1.leader LEFT JOIN e l3 ON l3.id = l2.leader),
+    f AS (SELECT *, CAST(ts AS DATE) AS day, ROW_NUMBER() OVER (PARTITION BY client, CAST(ts AS DATE)
+      ORDER BY ts, message_id) AS rn FROM messages WHERE message_id IN (SELECT event_id FROM events
+      WHERE value >= 10))
+    SELECT message_id, client, loan, ts, worker, action, day, name, team_leader, director, vp FROM f JOIN chain
+      ON id = worker WHERE rn = 1
     """,
 )
 def optin_chain(t):
@@ -638,10 +774,18 @@ def optin_chain(t):
 @query(
     "feature_table",
     """
-    WITH l AS (SELECT l_orderkey, COUNT(*) AS lines, COUNT(DISTINCT l_suppkey) AS suppliers, MAX(CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END) AS any_returned, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity, MIN(l_shipdate) AS first_ship FROM lineitem GROUP BY 1)
-    SELECT o_orderkey AS case_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS closed, CASE WHEN o_totalprice > 300000 THEN 1 ELSE 0 END AS jumbo, c_mktsegment AS segment, n_name AS nation, r_name AS region, COALESCE(lines, 0) AS lines, COALESCE(suppliers, 0) AS suppliers,
-      COALESCE(any_returned, 0) AS any_returned, quantity, date_diff('day', o_orderdate, first_ship) AS days_to_ship, month(o_orderdate) AS open_month, dayofweek(o_orderdate) + 1 AS open_weekday
-    FROM orders LEFT JOIN l ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey
+    WITH l AS (SELECT l_orderkey, COUNT(*) AS lines, COUNT(DISTINCT l_suppkey) AS suppliers, MAX(CASE
+      WHEN l_returnflag='R' THEN 1 ELSE 0 END) AS any_returned,
+      CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity, MIN(l_shipdate) AS first_ship
+      FROM lineitem GROUP BY 1)
+    SELECT o_orderkey AS case_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS closed, CASE
+      WHEN o_totalprice > 300000 THEN 1 ELSE 0
+      END AS jumbo, c_mktsegment AS segment, n_name AS nation, r_name AS region, COALESCE(lines, 0) AS lines,
+      COALESCE(suppliers, 0) AS suppliers,
+      COALESCE(any_returned, 0) AS any_returned, quantity,
+        date_diff('day', o_orderdate, first_ship) AS days_to_ship, month(o_orderdate) AS open_month, dayofweek(o_orderdate) + 1 AS open_weekday
+    FROM orders LEFT JOIN l ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT
+      JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey
     """,
 )
 def feature_table(t):
@@ -671,21 +815,37 @@ def feature_table(t):
 
 
 WORK_SQL = f"""
-    it AS (SELECT l_orderkey AS case_id, 'line' || (l_linenumber % 3) AS kind, l_returnflag AS status, l_shipdate AS ts, {ITEM_SQL} FROM lineitem),
-    lead AS (SELECT case_id, status AS review_status, ts AS review_since FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY case_id ORDER BY CASE WHEN status = 'R' THEN 1 ELSE 0 END DESC, ts, {ITEM_SQL}) AS rn FROM it) WHERE rn = 1),
-    cond AS (SELECT l_orderkey AS case_id, COUNT(*) AS open_conditions, MIN(l_shipdate) AS oldest FROM lineitem WHERE l_linestatus = 'O' AND l_partkey IN (SELECT p_partkey FROM part WHERE p_type ILIKE '%econ_my%') GROUP BY 1),
-    cur AS (SELECT case_id, kind, status FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY case_id, kind ORDER BY ts DESC, {ITEM_DESC}) AS rn FROM it) WHERE rn = 1),
-    pv AS (SELECT case_id, MAX(CASE WHEN kind='line1' THEN status END) AS l1, MAX(CASE WHEN kind='line2' THEN status END) AS l2 FROM cur GROUP BY 1),
-    wide AS (SELECT o_orderkey AS case_id, review_status, date_diff('second', o_orderdate, TIMESTAMP '{ORDERS_AS_OF}') / 86400.0::DOUBLE AS days_open, date_diff('second', review_since, TIMESTAMP '{ORDERS_AS_OF}') / 86400.0::DOUBLE AS days_in_review,
-      COALESCE(open_conditions, 0) AS open_conditions, date_diff('second', oldest, TIMESTAMP '{ORDERS_AS_OF}') / 86400.0::DOUBLE AS days_with_condition, l1, l2 FROM orders LEFT JOIN lead ON lead.case_id = o_orderkey LEFT JOIN cond ON cond.case_id = o_orderkey LEFT JOIN pv ON pv.case_id = o_orderkey WHERE o_orderstatus = 'O')
+    it AS (SELECT l_orderkey AS case_id, 'line' || (l_linenumber % 3) AS kind, l_returnflag AS status, l_shipdate AS ts, {ITEM_SQL}
+      FROM lineitem),
+    lead AS (SELECT case_id, status AS review_status, ts AS review_since FROM (SELECT *, ROW_NUMBER()
+      OVER (PARTITION BY case_id ORDER BY CASE WHEN status = 'R' THEN 1 ELSE 0 END DESC, ts, {ITEM_SQL}) AS rn
+      FROM it) WHERE rn = 1),
+    cond AS (SELECT l_orderkey AS case_id, COUNT(*) AS open_conditions, MIN(l_shipdate) AS oldest FROM lineitem
+      WHERE l_linestatus = 'O' AND l_partkey IN (SELECT p_partkey FROM part WHERE p_type ILIKE '%econ_my%')
+      GROUP BY 1),
+    cur AS (SELECT case_id, kind, status FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY case_id, kind
+      ORDER BY ts DESC, {ITEM_DESC}) AS rn FROM it) WHERE rn = 1),
+    pv AS (SELECT case_id, MAX(CASE WHEN kind='line1' THEN status END) AS l1, MAX(CASE
+      WHEN kind='line2' THEN status END) AS l2 FROM cur GROUP BY 1),
+    wide AS (SELECT o_orderkey AS case_id, review_status,
+      date_diff('second', o_orderdate, TIMESTAMP '{ORDERS_AS_OF}') / 86400.0::DOUBLE AS days_open,
+      date_diff('second', review_since, TIMESTAMP '{ORDERS_AS_OF}') / 86400.0::DOUBLE AS days_in_review,
+      COALESCE(open_conditions, 0) AS open_conditions,
+        date_diff('second', oldest, TIMESTAMP '{ORDERS_AS_OF}') / 86400.0::DOUBLE AS days_with_condition, l1, l2
+        FROM orders LEFT JOIN lead ON lead.case_id = o_orderkey LEFT JOIN cond ON cond.case_id = o_orderkey LEFT
+        JOIN pv ON pv.case_id = o_orderkey WHERE o_orderstatus = 'O')
     """
 
 
 @query(
     "work_list",
     f"""
-    WITH {WORK_SQL} SELECT 'conditions' AS result, case_id, days_with_condition AS days FROM wide WHERE open_conditions > 0 UNION ALL SELECT 'incomplete', case_id, days_in_review FROM wide WHERE l1 = 'R' OR l2 = 'R'
-    UNION ALL SELECT 'never reviewed', case_id, days_open FROM wide WHERE review_status IS NULL UNION ALL SELECT 'line1', case_id, days_open FROM wide WHERE l1 = 'R' UNION ALL SELECT 'line2', case_id, days_open FROM wide WHERE l2 = 'R'
+    WITH {WORK_SQL} SELECT 'conditions' AS result, case_id, days_with_condition AS days FROM wide
+      WHERE open_conditions > 0 UNION ALL SELECT 'incomplete', case_id, days_in_review FROM wide
+      WHERE l1 = 'R' OR l2 = 'R'
+    UNION ALL SELECT 'never reviewed', case_id, days_open FROM wide WHERE review_status IS NULL UNION ALL
+      SELECT 'line1', case_id, days_open FROM wide WHERE l1 = 'R' UNION ALL SELECT 'line2', case_id, days_open
+      FROM wide WHERE l2 = 'R'
     """,
 )
 def work_list(t):
@@ -704,9 +864,14 @@ def work_list(t):
     "reason_matching",
     FUZZY_SQL
     + """,
-    m AS (SELECT w.entry_id, c.clear_id, ROW_NUMBER() OVER (PARTITION BY w.entry_id ORDER BY c.ts DESC, c.clear_id DESC) AS rn FROM who w JOIN clears c ON c.loan = w.loan AND c.worker = w.worker AND CAST(c.ts AS DATE) = CAST(w.ts AS DATE) AND c.ts <= w.ts)
-    SELECT c.clear_id, c.loan, COUNT(*) OVER (PARTITION BY c.loan) AS loan_clearances, c.ts AS cleared_at, m.entry_id, COALESCE(m.reason, ' ') AS reason
-    FROM clears c LEFT JOIN (SELECT m.clear_id, m.entry_id, e.props AS reason FROM m JOIN events e ON e.event_id = m.entry_id WHERE rn = 1) m ON m.clear_id = c.clear_id
+    m AS (SELECT w.entry_id, c.clear_id, ROW_NUMBER() OVER (PARTITION BY w.entry_id
+      ORDER BY c.ts DESC, c.clear_id DESC) AS rn FROM who w JOIN clears c ON c.loan = w.loan
+      AND c.worker = w.worker AND CAST(c.ts AS DATE) = CAST(w.ts AS DATE) AND c.ts <= w.ts)
+    SELECT c.clear_id, c.loan, COUNT(*)
+      OVER (PARTITION BY c.loan) AS loan_clearances, c.ts AS cleared_at, m.entry_id,
+      COALESCE(m.reason, ' ') AS reason
+    FROM clears c LEFT JOIN (SELECT m.clear_id, m.entry_id, e.props AS reason FROM m JOIN events e
+      ON e.event_id = m.entry_id WHERE rn = 1) m ON m.clear_id = c.clear_id
     """.replace("COUNT(*) OVER (PARTITION BY c.loan)", "(SELECT COUNT(*) FROM clears x WHERE x.loan = c.loan)"),
 )
 def reason_matching(t):
@@ -718,9 +883,14 @@ def reason_matching(t):
 @query(
     "business_expiry",
     f"""
-    WITH cal AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) AS n FROM (SELECT CAST(unnest(generate_series(DATE '2023-12-01', DATE '2024-04-30', INTERVAL 1 DAY)) AS DATE) AS d) WHERE dayofweek(d) BETWEEN 1 AND 5 AND d <> DATE '2024-01-15'),
-    h AS (SELECT user_id AS case_id, COUNT(*) AS requests, MAX(CAST(ts AS DATE)) AS last_request FROM events WHERE event_type = 'error' GROUP BY 1)
-    SELECT case_id, requests, last_request, (SELECT cal.d FROM cal WHERE cal.n = 10 + (SELECT COUNT(*) FROM cal c2 WHERE c2.d <= h.last_request)) AS expires, (SELECT COUNT(*) FROM cal c3 WHERE c3.d > h.last_request AND c3.d <= DATE '2024-02-01') AS business_days FROM h
+    WITH cal AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) AS n
+      FROM (SELECT CAST(unnest(generate_series(DATE '2023-12-01', DATE '2024-04-30', INTERVAL 1 DAY)) AS DATE) AS d)
+      WHERE dayofweek(d) BETWEEN 1 AND 5 AND d <> DATE '2024-01-15'),
+    h AS (SELECT user_id AS case_id, COUNT(*) AS requests, MAX(CAST(ts AS DATE)) AS last_request FROM events
+      WHERE event_type = 'error' GROUP BY 1)
+    SELECT case_id, requests, last_request, (SELECT cal.d FROM cal WHERE cal.n = 10 + (SELECT COUNT(*)
+      FROM cal c2 WHERE c2.d <= h.last_request)) AS expires, (SELECT COUNT(*) FROM cal c3
+      WHERE c3.d > h.last_request AND c3.d <= DATE '2024-02-01') AS business_days FROM h
     """,
 )
 def business_expiry(t):
@@ -733,8 +903,11 @@ def business_expiry(t):
 @query(
     "second_order",
     """
-    SELECT o_custkey AS client, MIN(CASE WHEN o_totalprice > 400000 THEN o_orderdate END) AS ordered, CASE WHEN MIN(CASE WHEN o_totalprice > 300000 AND o_orderstatus = 'F' THEN o_orderdate END) >= MIN(CASE WHEN o_totalprice > 400000 THEN o_orderdate END)
-      THEN MIN(CASE WHEN o_totalprice > 300000 AND o_orderstatus = 'F' THEN o_orderdate END) ELSE MIN(CASE WHEN o_totalprice > 400000 THEN o_orderdate END) END AS report_date
+    SELECT o_custkey AS client, MIN(CASE WHEN o_totalprice > 400000 THEN o_orderdate END) AS ordered, CASE WHEN
+      MIN(CASE WHEN o_totalprice > 300000 AND o_orderstatus = 'F' THEN o_orderdate END) >= MIN(CASE
+      WHEN o_totalprice > 400000 THEN o_orderdate END)
+      THEN MIN(CASE WHEN o_totalprice > 300000 AND o_orderstatus = 'F' THEN o_orderdate END) ELSE MIN(CASE
+        WHEN o_totalprice > 400000 THEN o_orderdate END) END AS report_date
     FROM orders GROUP BY 1 HAVING COUNT(CASE WHEN o_totalprice > 400000 THEN 1 END) = 1
     """,
 )
@@ -746,7 +919,9 @@ def second_order(t):
 @query(
     "prior_match",
     """
-    SELECT o.o_orderkey AS case_id, p.o_orderkey AS prior_case, p.o_orderdate AS prior_ts FROM orders o LEFT JOIN LATERAL (SELECT * FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderpriority = o.o_orderpriority AND p.o_orderstatus = 'F' AND p.o_orderdate < o.o_orderdate
+    SELECT o.o_orderkey AS case_id, p.o_orderkey AS prior_case, p.o_orderdate AS prior_ts FROM orders o LEFT
+      JOIN LATERAL (SELECT * FROM orders p WHERE p.o_custkey = o.o_custkey
+      AND p.o_orderpriority = o.o_orderpriority AND p.o_orderstatus = 'F' AND p.o_orderdate < o.o_orderdate
       ORDER BY p.o_orderdate DESC, p.o_orderkey DESC LIMIT 1) p ON true
     """,
 )
@@ -761,7 +936,10 @@ def prior_match(t):
 @query(
     "call_daily",
     """
-    SELECT CAST(ts AS DATE) AS day, COUNT(DISTINCT user_id) AS agents, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS talk_time, COUNT(value) AS calls, 1.0::DOUBLE * COUNT(value) / COUNT(DISTINCT user_id) AS calls_per_agent FROM events WHERE event_type IN ('purchase', 'click') GROUP BY 1
+    SELECT CAST(ts AS DATE) AS day, COUNT(DISTINCT user_id) AS agents,
+      CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS talk_time, COUNT(value) AS calls, 1.0::DOUBLE *
+      COUNT(value) / COUNT(DISTINCT user_id) AS calls_per_agent FROM events
+      WHERE event_type IN ('purchase', 'click') GROUP BY 1
     """,
 )
 def call_daily(t):
@@ -772,8 +950,11 @@ def call_daily(t):
 @query(
     "roster_class",
     """
-    SELECT CASE WHEN c_mktsegment ILIKE 'auto%' THEN 'Vehicles' WHEN c_mktsegment ILIKE '%build%' OR c_mktsegment ILIKE '%furn%' THEN 'Home' WHEN c_acctbal < 0 THEN 'Arrears' ELSE 'Other' END AS class, n_name AS office, COUNT(*) AS people,
-      CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / COUNT(c_acctbal) AS avg_balance FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2
+    SELECT CASE WHEN c_mktsegment ILIKE 'auto%' THEN 'Vehicles'
+      WHEN c_mktsegment ILIKE '%build%' OR c_mktsegment ILIKE '%furn%' THEN 'Home'
+      WHEN c_acctbal < 0 THEN 'Arrears' ELSE 'Other' END AS class, n_name AS office, COUNT(*) AS people,
+      CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / COUNT(c_acctbal) AS avg_balance FROM customer
+        JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2
     """,
 )
 def roster_class(t):
@@ -802,11 +983,18 @@ def first_in_role(t):
 @query(
     "missing_followup",
     f"""
-    WITH f AS (SELECT l_orderkey, MIN(CASE WHEN l_returnflag = 'A' THEN l_shipdate END) AS taken_up FROM lineitem GROUP BY 1),
-    c AS (SELECT o_orderkey AS case_id, o_orderdate AS opened, taken_up, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 90 DAY END AS closed_at, o_orderdate + INTERVAL 60 DAY AS expired FROM orders LEFT JOIN f ON l_orderkey = o_orderkey
-      WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_linestatus = 'O')),
+    WITH f AS (SELECT l_orderkey, MIN(CASE WHEN l_returnflag = 'A' THEN l_shipdate END) AS taken_up
+      FROM lineitem GROUP BY 1),
+    c AS (SELECT o_orderkey AS case_id, o_orderdate AS opened, taken_up, CASE
+      WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 90 DAY
+      END AS closed_at, o_orderdate + INTERVAL 60 DAY AS expired FROM orders LEFT JOIN f
+      ON l_orderkey = o_orderkey
+      WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R'
+        AND l_linestatus = 'O')),
     k AS (SELECT * FROM c WHERE expired < CASE WHEN taken_up IS NULL THEN closed_at ELSE taken_up END),
-    m AS (SELECT k.*, l_returnflag AS status_at_expiry, ROW_NUMBER() OVER (PARTITION BY case_id ORDER BY l_shipdate DESC, {ITEM_DESC}) AS rn FROM k LEFT JOIN lineitem ON l_orderkey = case_id AND l_shipdate < expired)
+    m AS (SELECT k.*, l_returnflag AS status_at_expiry, ROW_NUMBER() OVER (PARTITION BY case_id
+      ORDER BY l_shipdate DESC, {ITEM_DESC}) AS rn FROM k LEFT JOIN lineitem ON l_orderkey = case_id
+      AND l_shipdate < expired)
     SELECT case_id, opened, taken_up, closed_at, expired, status_at_expiry FROM m WHERE rn = 1
     """,
 )
@@ -820,14 +1008,31 @@ def missing_followup(t):
 
 COHORT_MARKS = ("view", "purchase")
 WIDE_SQL = f"""
-    {TOUCH_SQL}, cs AS (SELECT user_id AS case_id, MIN(ts) AS opened FROM events WHERE event_type = 'signup' GROUP BY 1),
-    c AS (SELECT case_id, c_mktsegment AS pilot, opened, c_acctbal AS amount FROM cs JOIN customer ON c_custkey = case_id),
-    f AS (SELECT c.case_id, MIN(CASE WHEN event_type = 'view' THEN ts END) AS view, MIN(CASE WHEN event_type = 'purchase' THEN ts END) AS purchase FROM c JOIN events ON user_id = case_id AND ts >= opened GROUP BY 1),
-    n AS (SELECT user_id, event_type, ts, date_diff('second', ts, COALESCE(LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), TIMESTAMP '{AS_OF}')) AS s FROM events),
-    h AS (SELECT c.case_id, COUNT(n.user_id) AS visits, COUNT(CASE WHEN n.ts < purchase THEN 1 END) AS visits_before, COUNT(CASE WHEN n.ts > purchase THEN 1 END) AS visits_after, CAST(SUM(s) AS DOUBLE) / 3600.0::DOUBLE AS hours FROM c LEFT JOIN f ON f.case_id = c.case_id LEFT JOIN n ON n.user_id = c.case_id AND n.event_type = 'error' GROUP BY 1),
-    tt AS (SELECT case_id, COUNT(*) AS touches, SUM(seconds)::BIGINT AS touch_seconds, COUNT(DISTINCT (worker, date_id)) AS distinct_touches, COUNT(DISTINCT CASE WHEN role='signup' THEN (worker, date_id) END) AS r1, COUNT(DISTINCT CASE WHEN role='view' THEN (worker, date_id) END) AS r2, COUNT(DISTINCT CASE WHEN role='Other' THEN (worker, date_id) END) AS r3 FROM touched GROUP BY 1),
-    wide AS (SELECT c.case_id, pilot, opened, amount, CAST(opened AS DATE) - CAST((dayofweek(opened) + 4) % 7 AS INT) AS week_of, view, purchase, date_diff('second', opened, view) AS view_seconds, date_diff('second', opened, purchase) AS purchase_seconds, visits, visits_before, visits_after, hours,
-      touches, touch_seconds, distinct_touches, NULLIF(r1, 0) AS role_signup, NULLIF(r2, 0) AS role_view, NULLIF(r3, 0) AS role_other FROM c LEFT JOIN f ON f.case_id = c.case_id LEFT JOIN h ON h.case_id = c.case_id LEFT JOIN tt ON tt.case_id = c.case_id)
+    {TOUCH_SQL}, cs AS (SELECT user_id AS case_id, MIN(ts) AS opened FROM events WHERE event_type = 'signup'
+      GROUP BY 1),
+    c AS (SELECT case_id, c_mktsegment AS pilot, opened, c_acctbal AS amount FROM cs JOIN customer
+      ON c_custkey = case_id),
+    f AS (SELECT c.case_id, MIN(CASE WHEN event_type = 'view' THEN ts END) AS view, MIN(CASE
+      WHEN event_type = 'purchase' THEN ts END) AS purchase FROM c JOIN events ON user_id = case_id
+      AND ts >= opened GROUP BY 1),
+    n AS (SELECT user_id, event_type, ts, date_diff('second', ts, COALESCE(LEAD(ts) OVER (PARTITION BY user_id
+      ORDER BY ts, event_id), TIMESTAMP '{AS_OF}')) AS s FROM events),
+    h AS (SELECT c.case_id, COUNT(n.user_id) AS visits, COUNT(CASE
+      WHEN n.ts < purchase THEN 1 END) AS visits_before, COUNT(CASE
+      WHEN n.ts > purchase THEN 1 END) AS visits_after, CAST(SUM(s) AS DOUBLE) / 3600.0::DOUBLE AS hours FROM c
+      LEFT JOIN f ON f.case_id = c.case_id LEFT JOIN n ON n.user_id = c.case_id AND n.event_type = 'error'
+      GROUP BY 1),
+    tt AS (SELECT case_id, COUNT(*) AS touches, SUM(seconds)::BIGINT AS touch_seconds,
+      COUNT(DISTINCT (worker, date_id)) AS distinct_touches, COUNT(DISTINCT CASE
+      WHEN role='signup' THEN (worker, date_id) END) AS r1, COUNT(DISTINCT CASE
+      WHEN role='view' THEN (worker, date_id) END) AS r2, COUNT(DISTINCT CASE
+      WHEN role='Other' THEN (worker, date_id) END) AS r3 FROM touched GROUP BY 1),
+    wide AS (SELECT c.case_id, pilot, opened, amount, CAST(opened AS DATE) - CAST((dayofweek(opened) + 4) % 7 AS INT) AS week_of, view, purchase,
+      date_diff('second', opened, view) AS view_seconds,
+      date_diff('second', opened, purchase) AS purchase_seconds, visits, visits_before, visits_after, hours,
+      touches, touch_seconds, distinct_touches, NULLIF(r1, 0) AS role_signup, NULLIF(r2, 0) AS role_view, NULLIF(r3, 0) AS role_other
+        FROM c LEFT JOIN f ON f.case_id = c.case_id LEFT JOIN h ON h.case_id = c.case_id LEFT JOIN tt
+        ON tt.case_id = c.case_id)
     """
 ROLE_NAMES = ["role_signup", "role_view", "role_other"]
 WEEK_LABEL = "CASE WHEN GROUPING(week_of) = 1 THEN 'Total' ELSE CAST(week_of AS VARCHAR) END AS week_of"
@@ -855,9 +1060,13 @@ def cohort_wide_query(t):
 @query(
     "cohort_speed_report",
     f"""
-    WITH {WIDE_SQL} SELECT pilot, {WEEK_LABEL}, COUNT(*) AS cases, CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / COUNT(amount) AS avg_amount,
-      CAST(COUNT(view) AS DOUBLE) / COUNT(*) AS view_share, CAST(COUNT(purchase) AS DOUBLE) / COUNT(*) AS purchase_share, CAST(SUM(view_seconds) AS DOUBLE) / COUNT(view_seconds) / 3600.0::DOUBLE AS view_avg_hours,
-      CAST(SUM(purchase_seconds) AS DOUBLE) / COUNT(purchase_seconds) / 3600.0::DOUBLE AS purchase_avg_hours FROM wide {WEEK_SETS}
+    WITH {WIDE_SQL} SELECT pilot, {WEEK_LABEL}, COUNT(*) AS cases,
+      CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / COUNT(amount) AS avg_amount,
+      CAST(COUNT(view) AS DOUBLE) / COUNT(*) AS view_share, CAST(COUNT(purchase) AS DOUBLE) /
+        COUNT(*) AS purchase_share, CAST(SUM(view_seconds) AS DOUBLE) /
+        COUNT(view_seconds) / 3600.0::DOUBLE AS view_avg_hours,
+      CAST(SUM(purchase_seconds) AS DOUBLE) / COUNT(purchase_seconds) / 3600.0::DOUBLE AS purchase_avg_hours
+        FROM wide {WEEK_SETS}
     """,
 )
 def cohort_speed_report(t):
@@ -867,8 +1076,12 @@ def cohort_speed_report(t):
 @query(
     "cohort_touch_report",
     f"""
-    WITH {WIDE_SQL} SELECT pilot, {WEEK_LABEL}, COUNT(*) AS cases, CAST(SUM(touches) AS DOUBLE) / COUNT(touches) AS avg_touches, CAST(SUM(distinct_touches) AS DOUBLE) / COUNT(distinct_touches) AS avg_distinct,
-      CAST(SUM(touch_seconds) AS DOUBLE) / COUNT(touch_seconds) / 3600.0::DOUBLE AS avg_hours, CAST(SUM(role_signup) AS DOUBLE) / COUNT(role_signup) AS avg_role_signup, CAST(SUM(role_view) AS DOUBLE) / COUNT(role_view) AS avg_role_view,
+    WITH {WIDE_SQL} SELECT pilot, {WEEK_LABEL}, COUNT(*) AS cases, CAST(SUM(touches) AS DOUBLE) /
+      COUNT(touches) AS avg_touches, CAST(SUM(distinct_touches) AS DOUBLE) /
+      COUNT(distinct_touches) AS avg_distinct,
+      CAST(SUM(touch_seconds) AS DOUBLE) / COUNT(touch_seconds) / 3600.0::DOUBLE AS avg_hours,
+        CAST(SUM(role_signup) AS DOUBLE) / COUNT(role_signup) AS avg_role_signup,
+        CAST(SUM(role_view) AS DOUBLE) / COUNT(role_view) AS avg_role_view,
       CAST(SUM(role_other) AS DOUBLE) / COUNT(role_other) AS avg_role_other FROM wide {WEEK_SETS}
     """,
 )
@@ -879,8 +1092,11 @@ def cohort_touch_report(t):
 @query(
     "cohort_quality_report",
     f"""
-    WITH {WIDE_SQL} SELECT pilot, {WEEK_LABEL}, COUNT(*) AS cases, CAST(COUNT(CASE WHEN visits > 0 THEN 1 END) AS DOUBLE) / COUNT(*) AS held_share, CAST(COUNT(CASE WHEN visits_before > 0 THEN 1 END) AS DOUBLE) / COUNT(*) AS held_before_share,
-      CAST(COUNT(CASE WHEN visits_after > 0 THEN 1 END) AS DOUBLE) / COUNT(*) AS held_after_share FROM wide {WEEK_SETS}
+    WITH {WIDE_SQL} SELECT pilot, {WEEK_LABEL}, COUNT(*) AS cases, CAST(COUNT(CASE
+      WHEN visits > 0 THEN 1 END) AS DOUBLE) / COUNT(*) AS held_share, CAST(COUNT(CASE
+      WHEN visits_before > 0 THEN 1 END) AS DOUBLE) / COUNT(*) AS held_before_share,
+      CAST(COUNT(CASE WHEN visits_after > 0 THEN 1 END) AS DOUBLE) / COUNT(*) AS held_after_share
+        FROM wide {WEEK_SETS}
     """,
 )
 def cohort_quality_report(t):

@@ -29,8 +29,10 @@ def by_type(t, kind: str):
 @query(
     "star_join",
     """
-    SELECT r_name AS region, c_mktsegment AS segment, COUNT(*) AS orders, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount
-    FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2
+    SELECT r_name AS region, c_mktsegment AS segment, COUNT(*) AS orders,
+      CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount
+    FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region
+      ON r_regionkey = n_regionkey GROUP BY 1, 2
     """,
 )
 def star_join(t):
@@ -47,7 +49,8 @@ def star_join(t):
 @query(
     "left_chain",
     """
-    SELECT s_suppkey, n_name AS nation, r_name AS region FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) n ON n_nationkey = s_nationkey
+    SELECT s_suppkey, n_name AS nation, r_name AS region FROM supplier LEFT JOIN (SELECT * FROM nation
+      WHERE n_nationkey < 20) n ON n_nationkey = s_nationkey
     LEFT JOIN (SELECT * FROM region WHERE r_name <> 'ASIA') r ON r_regionkey = n_regionkey
     """,
 )
@@ -62,7 +65,8 @@ def left_chain(t):
 @query(
     "left_on_filter",
     """
-    SELECT o_orderkey, l_linenumber, l_partkey FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity > 40
+    SELECT o_orderkey, l_linenumber, l_partkey FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
+      AND l_returnflag = 'R' AND l_quantity > 40
     """,
 )
 def left_on_filter(t):
@@ -75,9 +79,11 @@ def left_on_filter(t):
 @query(
     "full_outer",
     """
-    WITH a AS (SELECT user_id, COUNT(*) AS purchases FROM events WHERE event_type='purchase' AND value > 100 GROUP BY 1),
+    WITH a AS (SELECT user_id, COUNT(*) AS purchases FROM events WHERE event_type='purchase' AND value > 100
+      GROUP BY 1),
          b AS (SELECT user_id, COUNT(*) AS errors FROM events WHERE event_type='error' AND value > 100 GROUP BY 1)
-    SELECT COALESCE(a.user_id, b.user_id) AS user_id, COALESCE(purchases, 0) AS purchases, COALESCE(errors, 0) AS errors FROM a FULL JOIN b ON a.user_id = b.user_id
+    SELECT COALESCE(a.user_id, b.user_id) AS user_id, COALESCE(purchases, 0) AS purchases,
+      COALESCE(errors, 0) AS errors FROM a FULL JOIN b ON a.user_id = b.user_id
     """,
 )
 def full_outer(t):
@@ -92,9 +98,12 @@ def full_outer(t):
     """
     WITH w AS (SELECT DISTINCT user_id FROM events), d AS (SELECT CAST(unnest(generate_series(
         (SELECT MIN(ts)::DATE FROM events), (SELECT MAX(ts)::DATE FROM events), INTERVAL 1 DAY)) AS DATE) AS day),
-    p AS (SELECT user_id, CAST(ts AS DATE) AS day, COUNT(*) AS purchases FROM events WHERE event_type='purchase' GROUP BY 1, 2),
-    e AS (SELECT user_id, CAST(ts AS DATE) AS day, COUNT(*) AS errors FROM events WHERE event_type='error' GROUP BY 1, 2)
-    SELECT w.user_id, d.day, purchases, errors FROM w CROSS JOIN d LEFT JOIN p ON p.user_id = w.user_id AND p.day = d.day
+    p AS (SELECT user_id, CAST(ts AS DATE) AS day, COUNT(*) AS purchases FROM events WHERE event_type='purchase'
+      GROUP BY 1, 2),
+    e AS (SELECT user_id, CAST(ts AS DATE) AS day, COUNT(*) AS errors FROM events WHERE event_type='error'
+      GROUP BY 1, 2)
+    SELECT w.user_id, d.day, purchases, errors FROM w CROSS JOIN d LEFT JOIN p ON p.user_id = w.user_id
+      AND p.day = d.day
     LEFT JOIN e ON e.user_id = w.user_id AND e.day = d.day
     """,
 )
@@ -115,7 +124,8 @@ def dense_grid_query(t):
     "composite_key",
     """
     SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, COUNT(*) AS same_day_lines FROM lineitem a JOIN lineitem b
-      ON b.l_orderkey = a.l_orderkey AND b.l_shipdate = a.l_shipdate AND b.l_returnflag = a.l_returnflag AND b.l_linestatus = a.l_linestatus
+      ON b.l_orderkey = a.l_orderkey AND b.l_shipdate = a.l_shipdate AND b.l_returnflag = a.l_returnflag
+        AND b.l_linestatus = a.l_linestatus
     WHERE a.l_quantity > 25 GROUP BY a.l_orderkey, a.l_linenumber, a.l_partkey
     """,
 )
@@ -133,8 +143,10 @@ def composite_key(t):
 @query(
     "argmin_group",
     """
-    SELECT l.* FROM lineitem l JOIN (SELECT l_suppkey, l_returnflag, l_linestatus, l_linenumber, MIN(l_shipdate) AS first_ship FROM lineitem GROUP BY ALL) m
-      ON m.l_suppkey = l.l_suppkey AND m.l_returnflag = l.l_returnflag AND m.l_linestatus = l.l_linestatus AND m.l_linenumber = l.l_linenumber AND l.l_shipdate = m.first_ship
+    SELECT l.* FROM lineitem l JOIN (SELECT l_suppkey, l_returnflag, l_linestatus, l_linenumber,
+      MIN(l_shipdate) AS first_ship FROM lineitem GROUP BY ALL) m
+      ON m.l_suppkey = l.l_suppkey AND m.l_returnflag = l.l_returnflag AND m.l_linestatus = l.l_linestatus
+        AND m.l_linenumber = l.l_linenumber AND l.l_shipdate = m.first_ship
     """,
 )
 def argmin_group(t):
@@ -150,7 +162,8 @@ def argmin_group(t):
     "bridge_join",
     """
     WITH bridge AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
-    SELECT o_orderpriority AS priority, p_brand AS brand, COUNT(*) AS pairs FROM orders JOIN bridge ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2
+    SELECT o_orderpriority AS priority, p_brand AS brand, COUNT(*) AS pairs FROM orders JOIN bridge
+      ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2
     """,
 )
 def bridge_join(t):
@@ -166,8 +179,10 @@ def bridge_join(t):
 @query(
     "role_dims",
     """
-    SELECT cn.n_name AS buyer_nation, sn.n_name AS seller_nation, COUNT(*) AS lines FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-    JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation cn ON cn.n_nationkey = c_nationkey
+    SELECT cn.n_name AS buyer_nation, sn.n_name AS seller_nation, COUNT(*) AS lines FROM lineitem JOIN orders
+      ON o_orderkey = l_orderkey
+    JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation cn
+      ON cn.n_nationkey = c_nationkey
     JOIN nation sn ON sn.n_nationkey = s_nationkey GROUP BY 1, 2
     """,
 )
@@ -189,8 +204,10 @@ def role_dims(t):
 @query(
     "leader_chain",
     """
-    WITH e AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey > 0 THEN c_custkey // 10 END AS leader FROM customer)
-    SELECT e.id, e.name, l1.name AS team_leader, l2.name AS director, l3.name AS vp FROM e LEFT JOIN e l1 ON l1.id = e.leader
+    WITH e AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey > 0 THEN c_custkey // 10
+      END AS leader FROM customer)
+    SELECT e.id, e.name, l1.name AS team_leader, l2.name AS director, l3.name AS vp FROM e LEFT JOIN e l1
+      ON l1.id = e.leader
     LEFT JOIN e l2 ON l2.id = l1.leader LEFT JOIN e l3 ON l3.id = l2.leader
     """,
 )
@@ -206,7 +223,8 @@ def leader_chain(t):
 @query(
     "expr_key_join",
     """
-    WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE o_orderkey % 100 END AS who FROM orders)
+    WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE o_orderkey % 100 END AS who
+      FROM orders)
     SELECT o_orderkey, c_name AS owner FROM o LEFT JOIN customer ON c_custkey = who
     """,
 )
@@ -223,7 +241,8 @@ ROLE_VERSIONS = """
         SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS rn
         FROM events WHERE event_type IN ('signup', 'view')) WHERE rn = 1 GROUP BY 1, 2),
     dim AS (SELECT user_id, role, year(d)*10000+month(d)*100+day(d) AS start_id,
-        COALESCE(LEAD(year(d - 1)*10000+month(d - 1)*100+day(d - 1)) OVER (PARTITION BY user_id ORDER BY d), 21991231) AS end_id FROM daily)
+        COALESCE(LEAD(year(d - 1)*10000+month(d - 1)*100+day(d - 1)) OVER (PARTITION BY user_id
+          ORDER BY d), 21991231) AS end_id FROM daily)
     """
 
 
@@ -247,8 +266,10 @@ def role_at(t, facts, worker: str):
 @query(
     "scd2_join",
     f"""
-    WITH {ROLE_VERSIONS}, calls AS (SELECT event_id, user_id, year(ts)*10000+month(ts)*100+day(ts) AS date_id FROM events WHERE event_type = 'purchase')
-    SELECT event_id, date_id, role FROM calls LEFT JOIN dim ON dim.user_id = calls.user_id AND date_id BETWEEN start_id AND end_id
+    WITH {ROLE_VERSIONS}, calls AS (SELECT event_id, user_id, year(ts)*10000+month(ts)*100+day(ts) AS date_id
+      FROM events WHERE event_type = 'purchase')
+    SELECT event_id, date_id, role FROM calls LEFT JOIN dim ON dim.user_id = calls.user_id
+      AND date_id BETWEEN start_id AND end_id
     """,
 )
 def scd2_join(t):
@@ -259,8 +280,10 @@ def scd2_join(t):
 @query(
     "interval_join",
     """
-    WITH sessions AS (SELECT user_id, event_id AS session_id, ts AS start_ts, ts + to_minutes(CAST(floor(value) AS INT)) AS end_ts FROM events WHERE event_type = 'view')
-    SELECT c.event_id, s.session_id FROM events c JOIN sessions s ON s.user_id = c.user_id AND c.ts BETWEEN s.start_ts AND s.end_ts WHERE c.event_type = 'click'
+    WITH sessions AS (SELECT user_id, event_id AS session_id, ts AS start_ts, ts + to_minutes(CAST(floor(value) AS INT)) AS end_ts
+      FROM events WHERE event_type = 'view')
+    SELECT c.event_id, s.session_id FROM events c JOIN sessions s ON s.user_id = c.user_id
+      AND c.ts BETWEEN s.start_ts AND s.end_ts WHERE c.event_type = 'click'
     """,
 )
 def interval_join_query(t):
@@ -277,8 +300,10 @@ def interval_join_query(t):
 @query(
     "open_interval_join",
     """
-    WITH v AS (SELECT user_id, props, ts AS a, LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events WHERE event_type = 'signup')
-    SELECT e.event_id, v.props AS plan FROM events e JOIN v ON v.user_id = e.user_id AND v.a <= e.ts AND (e.ts < v.b OR v.b IS NULL) WHERE e.event_type = 'error'
+    WITH v AS (SELECT user_id, props, ts AS a, LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b
+      FROM events WHERE event_type = 'signup')
+    SELECT e.event_id, v.props AS plan FROM events e JOIN v ON v.user_id = e.user_id AND v.a <= e.ts
+      AND (e.ts < v.b OR v.b IS NULL) WHERE e.event_type = 'error'
     """,
 )
 def open_interval_join(t):
@@ -293,7 +318,8 @@ def _asof_sql(op: str, direction: str) -> str:
     return f"""
     SELECT o_orderkey, l_shipdate AS ship_date, l_linenumber AS line, l_partkey AS part FROM orders LEFT JOIN (
       SELECT * FROM (SELECT l.*, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY {direction}) AS rn
-        FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey AND l.l_shipdate {op} o.o_orderdate) WHERE rn = 1) m ON m.l_orderkey = o_orderkey
+        FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey AND l.l_shipdate {op} o.o_orderdate)
+          WHERE rn = 1) m ON m.l_orderkey = o_orderkey
     """
 
 
@@ -338,7 +364,8 @@ def prev_event(t):
 @query(
     "first_event",
     f"""
-    SELECT o_orderkey, l_shipdate AS first_ship, l_linenumber AS line, l_partkey AS part FROM orders JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY {LINE_SQL}) AS rn
+    SELECT o_orderkey, l_shipdate AS first_ship, l_linenumber AS line, l_partkey AS part FROM orders
+      JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY {LINE_SQL}) AS rn
       FROM lineitem WHERE l_returnflag = 'R') f ON l_orderkey = o_orderkey AND rn = 1
     """,
 )
@@ -352,7 +379,8 @@ def first_event_query(t):
 @query(
     "last_event",
     f"""
-    SELECT o_orderkey, l_shipdate AS last_ship, l_linenumber AS line, l_partkey AS part FROM orders LEFT JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY {LINE_DESC}) AS rn
+    SELECT o_orderkey, l_shipdate AS last_ship, l_linenumber AS line, l_partkey AS part FROM orders LEFT
+      JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY {LINE_DESC}) AS rn
       FROM lineitem) f ON l_orderkey = o_orderkey AND rn = 1
     """,
 )
@@ -366,7 +394,8 @@ def last_event_query(t):
 @query(
     "apply_minmax",
     """
-    SELECT o_orderkey, first_ship, last_ship FROM orders JOIN (SELECT l_orderkey, MIN(l_shipdate) AS first_ship, MAX(l_shipdate) AS last_ship FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) ON l_orderkey = o_orderkey
+    SELECT o_orderkey, first_ship, last_ship FROM orders JOIN (SELECT l_orderkey, MIN(l_shipdate) AS first_ship,
+      MAX(l_shipdate) AS last_ship FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) ON l_orderkey = o_orderkey
     """,
 )
 def apply_minmax(t):
@@ -376,7 +405,8 @@ def apply_minmax(t):
 
 
 COUNT_SQL = """
-    SELECT o_orderkey, {n} AS returned FROM orders LEFT JOIN (SELECT l_orderkey, COUNT(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey
+    SELECT o_orderkey, {n} AS returned FROM orders LEFT JOIN (SELECT l_orderkey, COUNT(*) AS n FROM lineitem
+      WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey
     """
 
 
@@ -425,7 +455,8 @@ def exists_flag_query(t):
 @query(
     "semi_exists",
     """
-    SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size >= 45 AND l_linestatus = 'F' AND l_orderkey = o_orderkey)
+    SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem JOIN part ON p_partkey = l_partkey
+      WHERE p_size >= 45 AND l_linestatus = 'F' AND l_orderkey = o_orderkey)
     """,
 )
 def semi_exists(t):
@@ -468,7 +499,8 @@ def in_subquery(t):
 @query(
     "computed_apply",
     """
-    SELECT o_orderkey, hot FROM (SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') AND o_totalprice > 300000 THEN 'hot'
+    SELECT o_orderkey, hot FROM (SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH')
+      AND o_totalprice > 300000 THEN 'hot'
       WHEN o_orderstatus = 'P' THEN 'warm' ELSE 'cold' END AS hot FROM orders) WHERE hot <> 'cold'
     """,
 )
@@ -481,7 +513,8 @@ def computed_apply(t):
 @query(
     "adjacent_rows",
     """
-    WITH n AS (SELECT user_id, event_id, event_type, ts, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)
+    WITH n AS (SELECT user_id, event_id, event_type, ts, ROW_NUMBER() OVER (PARTITION BY user_id
+      ORDER BY ts, event_id) AS rn FROM events)
     SELECT a.event_id, a.event_type AS state, b.event_type AS next_state,
       date_diff('second', a.ts, b.ts) AS seconds FROM n a LEFT JOIN n b ON b.user_id = a.user_id AND b.rn - 1 = a.rn
     """,
@@ -494,12 +527,16 @@ def adjacent_rows(t):
 
 
 FUZZY_SQL = """
-    WITH staff AS (SELECT c_custkey AS worker, c_mktsegment AS first_name, c_name AS last_name, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS ext FROM customer),
+    WITH staff AS (SELECT c_custkey AS worker, c_mktsegment AS first_name, c_name AS last_name, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS ext
+      FROM customer),
     entries AS (SELECT event_id AS entry_id, CAST(json_extract_string(props, '$.k') AS INT) % 5 AS loan, ts, c_mktsegment || ' ' || left(c_name, length(c_name) - CAST(event_id % 3 AS INT)) || ' - ' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS user_text
       FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'error'),
-    parsed AS (SELECT *, trim(split_part(user_text, ' ', 1)) AS f, trim(regexp_extract(user_text, '^\\S+\\s+(.*?)\\s*-[^-]*$', 1)) AS l, trim(regexp_extract(user_text, '-([^-]*)$', 1)) AS x FROM entries),
-    who AS (SELECT entry_id, loan, ts, worker FROM parsed JOIN staff ON staff.ext = x AND staff.first_name = f AND (staff.last_name = l OR contains(staff.last_name, l))),
-    clears AS (SELECT event_id AS clear_id, CAST(json_extract_string(props, '$.k') AS INT) % 5 AS loan, user_id AS worker, ts FROM events WHERE event_type = 'purchase')
+    parsed AS (SELECT *, trim(split_part(user_text, ' ', 1)) AS f, trim(regexp_extract(user_text, '^\\S+\\s+(.*?)\\s*-[^-]*$', 1)) AS l, trim(regexp_extract(user_text, '-([^-]*)$', 1)) AS x
+      FROM entries),
+    who AS (SELECT entry_id, loan, ts, worker FROM parsed JOIN staff ON staff.ext = x AND staff.first_name = f
+      AND (staff.last_name = l OR contains(staff.last_name, l))),
+    clears AS (SELECT event_id AS clear_id, CAST(json_extract_string(props, '$.k') AS INT) % 5 AS loan, user_id AS worker, ts
+      FROM events WHERE event_type = 'purchase')
     """
 
 
@@ -507,8 +544,10 @@ FUZZY_SQL = """
     "fuzzy_match",
     FUZZY_SQL
     + """
-    SELECT entry_id, worker, clear_id FROM (SELECT w.entry_id, w.worker, c.clear_id, ROW_NUMBER() OVER (PARTITION BY w.entry_id ORDER BY c.ts DESC, c.clear_id DESC) AS rn
-      FROM who w JOIN clears c ON c.loan = w.loan AND c.worker = w.worker AND CAST(c.ts AS DATE) = CAST(w.ts AS DATE) AND c.ts <= w.ts) WHERE rn = 1
+    SELECT entry_id, worker, clear_id FROM (SELECT w.entry_id, w.worker, c.clear_id, ROW_NUMBER()
+      OVER (PARTITION BY w.entry_id ORDER BY c.ts DESC, c.clear_id DESC) AS rn
+      FROM who w JOIN clears c ON c.loan = w.loan AND c.worker = w.worker
+        AND CAST(c.ts AS DATE) = CAST(w.ts AS DATE) AND c.ts <= w.ts) WHERE rn = 1
     """,
 )
 def fuzzy_match(t):
@@ -553,8 +592,10 @@ def clearances(t):
     """
     WITH f AS (SELECT user_id, MIN(ts) AS first_error FROM events WHERE event_type='error' AND value > 50 GROUP BY 1),
     s AS (SELECT user_id, MIN(ts) AS first_signup FROM events WHERE event_type='signup' GROUP BY 1)
-    SELECT COUNT(*) AS calls, COUNT(f.user_id) AS escalated, COUNT(s.user_id) AS signed_up, COUNT(CASE WHEN f.user_id IS NULL AND s.user_id IS NULL THEN 1 END) AS offline, CAST(e.ts AS DATE) AS day
-    FROM events e LEFT JOIN f ON f.user_id = e.user_id AND f.first_error <= e.ts LEFT JOIN s ON s.user_id = e.user_id AND s.first_signup <= e.ts AND f.user_id IS NULL
+    SELECT COUNT(*) AS calls, COUNT(f.user_id) AS escalated, COUNT(s.user_id) AS signed_up, COUNT(CASE
+      WHEN f.user_id IS NULL AND s.user_id IS NULL THEN 1 END) AS offline, CAST(e.ts AS DATE) AS day
+    FROM events e LEFT JOIN f ON f.user_id = e.user_id AND f.first_error <= e.ts LEFT JOIN s
+      ON s.user_id = e.user_id AND s.first_signup <= e.ts AND f.user_id IS NULL
     WHERE e.event_type = 'purchase' GROUP BY CAST(e.ts AS DATE)
     """,
 )
@@ -577,7 +618,9 @@ def exclusive_left(t):
 @query(
     "join_agg",
     """
-    SELECT c_custkey, c_name, orders, amount FROM customer JOIN (SELECT o_custkey, COUNT(*) AS orders, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM orders GROUP BY 1) ON o_custkey = c_custkey
+    SELECT c_custkey, c_name, orders, amount FROM customer JOIN (SELECT o_custkey, COUNT(*) AS orders,
+      CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM orders GROUP BY 1)
+      ON o_custkey = c_custkey
     """,
 )
 def join_agg(t):
@@ -588,7 +631,8 @@ def join_agg(t):
 @query(
     "share_of_total",
     """
-    WITH v AS (SELECT CAST(ts AS DATE) AS day, CAST(hour(ts)*2 + minute(ts)//30 AS INT) AS slot, COUNT(*) AS calls FROM events GROUP BY 1, 2)
+    WITH v AS (SELECT CAST(ts AS DATE) AS day, CAST(hour(ts)*2 + minute(ts)//30 AS INT) AS slot,
+      COUNT(*) AS calls FROM events GROUP BY 1, 2)
     SELECT day, slot, calls, CAST(calls AS DOUBLE) / SUM(calls) OVER (PARTITION BY day) AS share FROM v
     """,
 )
@@ -600,7 +644,8 @@ def share_of_total(t):
     "chained_apply",
     f"""
     WITH a AS (SELECT l_orderkey, MAX(l_shipdate) AS approved FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
-    b AS (SELECT a.l_orderkey, approved, MIN(l.l_shipdate) AS returned_after FROM a LEFT JOIN lineitem l ON l.l_orderkey = a.l_orderkey AND l.l_returnflag = 'R' AND l.l_shipdate > approved GROUP BY 1, 2)
+    b AS (SELECT a.l_orderkey, approved, MIN(l.l_shipdate) AS returned_after FROM a LEFT JOIN lineitem l
+      ON l.l_orderkey = a.l_orderkey AND l.l_returnflag = 'R' AND l.l_shipdate > approved GROUP BY 1, 2)
     SELECT o_orderkey, approved, returned_after FROM orders JOIN b ON l_orderkey = o_orderkey
     """,
 )
@@ -617,8 +662,10 @@ def chained_apply(t):
 
 
 SNAPSHOT_SQL = """
-    snap AS (SELECT user_id, snapshot_id, event_id, event_type AS state FROM (SELECT *, year(ts)*10000+month(ts)*100+day(ts) AS snapshot_id,
-      ROW_NUMBER() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1)
+    snap AS (SELECT user_id, snapshot_id, event_id, event_type AS state
+      FROM (SELECT *, year(ts)*10000+month(ts)*100+day(ts) AS snapshot_id,
+      ROW_NUMBER() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS rn
+        FROM events) WHERE rn = 1)
     """
 
 

@@ -102,7 +102,8 @@ def earliest_of(t):
 @query(
     "case_simple",
     """
-    SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'pending' END AS status FROM orders
+    SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'pending'
+      END AS status FROM orders
     """,
 )
 def case_simple(t):
@@ -130,7 +131,8 @@ def flags(t):
     """
     WITH f AS (SELECT l_orderkey, MAX(CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END) r,
                       MAX(CASE WHEN l_returnflag='A' THEN 1 ELSE 0 END) a FROM lineitem GROUP BY 1)
-    SELECT l_orderkey, CASE WHEN r=1 AND a=1 THEN 'both' WHEN r=1 THEN 'returned only' WHEN a=1 THEN 'accepted only' ELSE 'neither' END AS bucket FROM f
+    SELECT l_orderkey, CASE WHEN r=1 AND a=1 THEN 'both' WHEN r=1 THEN 'returned only'
+      WHEN a=1 THEN 'accepted only' ELSE 'neither' END AS bucket FROM f
     """,
 )
 def exclusive_buckets(t):
@@ -225,7 +227,8 @@ def point_in_interval(t):
 @query(
     "like_patterns",
     """
-    SELECT p_partkey, p_name FROM part WHERE (p_name ILIKE 'RED%' OR p_name ILIKE '%gea_') AND p_brand NOT ILIKE '%#1_'
+    SELECT p_partkey, p_name FROM part WHERE (p_name ILIKE 'RED%' OR p_name ILIKE '%gea_')
+      AND p_brand NOT ILIKE '%#1_'
       AND p_type NOT ILIKE 'standard'
     """,
 )
@@ -241,7 +244,8 @@ def like_patterns(t):
     """
     WITH m AS (SELECT l_orderkey, MIN(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN l_shipdate END) AS a,
        MIN(CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN l_shipdate END) AS b FROM lineitem GROUP BY 1)
-    SELECT l_orderkey, COALESCE(a, b) AS first_date, CASE WHEN a IS NULL THEN 1 ELSE 0 END AS a_missing FROM m WHERE COALESCE(a, b) IS NOT NULL
+    SELECT l_orderkey, COALESCE(a, b) AS first_date, CASE WHEN a IS NULL THEN 1 ELSE 0 END AS a_missing FROM m
+      WHERE COALESCE(a, b) IS NOT NULL
     """,
 )
 def null_tests(t):
@@ -269,9 +273,11 @@ def null_safe_ne(t):
 @query(
     "lexi_compare",
     """
-    WITH e AS (SELECT *, year(ts)*10000+month(ts)*100+day(ts) AS d, hour(ts)*3600+minute(ts)*60+second(ts)+1 AS s FROM events),
+    WITH e AS (SELECT *, year(ts)*10000+month(ts)*100+day(ts) AS d, hour(ts)*3600+minute(ts)*60+second(ts)+1 AS s
+      FROM events),
     f AS (SELECT user_id, MIN(d*100000+s) AS p FROM e WHERE event_type = 'signup' GROUP BY 1)
-    SELECT e.event_id, d AS date_id, s AS time_id FROM e JOIN f ON f.user_id = e.user_id WHERE d*100000+s > p AND event_type = 'error'
+    SELECT e.event_id, d AS date_id, s AS time_id FROM e JOIN f ON f.user_id = e.user_id WHERE d*100000+s > p
+      AND event_type = 'error'
     """,
 )
 def lexi_compare(t):
@@ -291,7 +297,8 @@ def lexi_compare(t):
 @query(
     "rule_violation",
     """
-    SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE CASE WHEN o_orderstatus = 'F' AND o_totalprice >= 50000 THEN 1
+    SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE CASE WHEN o_orderstatus = 'F'
+      AND o_totalprice >= 50000 THEN 1
       WHEN o_orderstatus = 'O' AND o_totalprice < 450000 THEN 1 ELSE 0 END = 0
     """,
 )
@@ -320,8 +327,10 @@ def case_bound(t):
 @query(
     "live_rows",
     """
-    SELECT o_orderstatus AS status, COUNT(*) AS live_orders FROM (SELECT *, CASE WHEN o_orderstatus = 'P' AND o_totalprice < 10000 THEN 1 ELSE 0 END AS delete_flag,
-      CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS reverse_flag FROM orders) WHERE delete_flag = 0 AND reverse_flag = 0 GROUP BY 1
+    SELECT o_orderstatus AS status, COUNT(*) AS live_orders FROM (SELECT *, CASE WHEN o_orderstatus = 'P'
+      AND o_totalprice < 10000 THEN 1 ELSE 0 END AS delete_flag,
+      CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS reverse_flag FROM orders) WHERE delete_flag = 0
+        AND reverse_flag = 0 GROUP BY 1
     """,
 )
 def live_rows(t):
@@ -336,7 +345,8 @@ def live_rows(t):
 @query(
     "scd2_current",
     """
-    SELECT user_id, event_type AS state, ts AS valid_from FROM (SELECT *, LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NULL
+    SELECT user_id, event_type AS state, ts AS valid_from FROM (SELECT *, LEAD(ts) OVER (PARTITION BY user_id
+      ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NULL
     """,
 )
 def scd2_current(t):
@@ -351,7 +361,8 @@ def implicit_cast(t):
 @query(
     "age_filter",
     """
-    SELECT o_orderkey, l_linenumber, l_partkey, date_diff('day', o_orderdate, l_shipdate) AS age FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+    SELECT o_orderkey, l_linenumber, l_partkey, date_diff('day', o_orderdate, l_shipdate) AS age FROM orders
+      JOIN lineitem ON l_orderkey = o_orderkey
     WHERE date_diff('day', o_orderdate, l_shipdate) BETWEEN 60 AND 90
     """,
 )

@@ -29,7 +29,8 @@ def order_lines(t):
     "datediff_units",
     """
     WITH n AS (SELECT event_id, ts AS a, LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
-    SELECT event_id, date_diff('second', a, b) AS seconds, date_diff('minute', a, b) AS minutes, date_diff('hour', a, b) AS hours, date_diff('day', a, b) AS days FROM n
+    SELECT event_id, date_diff('second', a, b) AS seconds, date_diff('minute', a, b) AS minutes,
+      date_diff('hour', a, b) AS hours, date_diff('day', a, b) AS days FROM n
     """,
 )
 def datediff_units(t):
@@ -43,7 +44,8 @@ def datediff_units(t):
 @query(
     "dateadd_units",
     """
-    SELECT event_id, ts + INTERVAL 90 SECOND AS plus_seconds, ts + INTERVAL 20 DAY AS plus_days, ts - INTERVAL 1 YEAR AS last_year, ts + to_hours(CAST(floor(value) AS INT)) AS plus_hours FROM events
+    SELECT event_id, ts + INTERVAL 90 SECOND AS plus_seconds, ts + INTERVAL 20 DAY AS plus_days, ts - INTERVAL 1 YEAR AS last_year, ts + to_hours(CAST(floor(value) AS INT)) AS plus_hours
+      FROM events
     """,
 )
 def dateadd_units(t):
@@ -69,7 +71,9 @@ def date_plus_int(t):
 @query(
     "dateid_to_date",
     f"""
-    SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE WHEN day(o_orderdate) <= 28 THEN make_date(year(o_orderdate), month(o_orderdate), day(o_orderdate)) END AS checked
+    SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE
+      WHEN day(o_orderdate) <= 28 THEN make_date(year(o_orderdate), month(o_orderdate), day(o_orderdate))
+      END AS checked
     FROM orders
     """,
 )
@@ -126,8 +130,12 @@ def prev_business_day(t):
 @query(
     "business_days",
     """
-    WITH cal AS (SELECT d, SUM(CASE WHEN dayofweek(d) BETWEEN 1 AND 5 AND NOT (month(d) = 12 AND day(d) = 25) THEN 1 ELSE 0 END) OVER (ORDER BY d)::BIGINT AS n FROM (SELECT CAST(unnest(generate_series(DATE '1994-12-01', DATE '2002-12-31', INTERVAL 1 DAY)) AS DATE) AS d))
-    SELECT o_orderkey, l_linenumber, l_partkey, b.n - a.n AS days FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN cal a ON a.d = CAST(o_orderdate AS DATE) - 1 JOIN cal b ON b.d = CAST(l_shipdate AS DATE)
+    WITH cal AS (SELECT d, SUM(CASE WHEN dayofweek(d) BETWEEN 1 AND 5 AND NOT (month(d) = 12
+      AND day(d) = 25) THEN 1 ELSE 0 END) OVER (ORDER BY d)::BIGINT AS n
+      FROM (SELECT CAST(unnest(generate_series(DATE '1994-12-01', DATE '2002-12-31', INTERVAL 1 DAY)) AS DATE) AS d))
+    SELECT o_orderkey, l_linenumber, l_partkey, b.n - a.n AS days FROM orders JOIN lineitem
+      ON l_orderkey = o_orderkey JOIN cal a ON a.d = CAST(o_orderdate AS DATE) - 1 JOIN cal b
+      ON b.d = CAST(l_shipdate AS DATE)
     WHERE l_shipdate >= o_orderdate
     """,
 )
@@ -143,9 +151,13 @@ def business_days(t):
     "business_minutes",
     """
     WITH n AS (SELECT user_id, MIN(ts) AS a, MAX(ts) AS b FROM events GROUP BY 1),
-    d AS (SELECT user_id, a, b, CAST(unnest(generate_series(a::DATE, b::DATE, INTERVAL 1 DAY)) AS DATE) AS day FROM n),
-    o AS (SELECT user_id, greatest(least(CASE WHEN day = b::DATE THEN hour(b)*60+minute(b) ELSE 1440 END, 1080), 540) - greatest(least(CASE WHEN day = a::DATE THEN hour(a)*60+minute(a) ELSE 0 END, 1080), 540) AS m, day FROM d)
-    SELECT user_id, SUM(CASE WHEN dayofweek(day) BETWEEN 1 AND 5 THEN m ELSE 0 END)::BIGINT AS minutes FROM o GROUP BY 1
+    d AS (SELECT user_id, a, b, CAST(unnest(generate_series(a::DATE, b::DATE, INTERVAL 1 DAY)) AS DATE) AS day
+      FROM n),
+    o AS (SELECT user_id, greatest(least(CASE WHEN day = b::DATE THEN hour(b)*60+minute(b)
+      ELSE 1440 END, 1080), 540) - greatest(least(CASE WHEN day = a::DATE THEN hour(a)*60+minute(a)
+      ELSE 0 END, 1080), 540) AS m, day FROM d)
+    SELECT user_id, SUM(CASE WHEN dayofweek(day) BETWEEN 1 AND 5 THEN m ELSE 0 END)::BIGINT AS minutes FROM o
+      GROUP BY 1
     """,
 )
 def business_minutes(t):
@@ -174,10 +186,14 @@ def date_literal(t):
 @query(
     "calendar_dim",
     """
-    WITH d AS (SELECT CAST(unnest(generate_series((SELECT MIN(o_orderdate)::DATE FROM orders), (SELECT MAX(o_orderdate)::DATE FROM orders), INTERVAL 1 DAY)) AS DATE) AS date)
+    WITH d AS (SELECT CAST(unnest(generate_series((SELECT MIN(o_orderdate)::DATE FROM orders), (SELECT
+      MAX(o_orderdate)::DATE FROM orders), INTERVAL 1 DAY)) AS DATE) AS date)
     SELECT date, year(date)*10000+month(date)*100+day(date) AS date_id, dayname(date) AS day_name, monthname(date) AS month_name, year(date)*100+month(date) AS month_key, year(date)*10+quarter(date) AS quarter_key,
-      dayofweek(date) + 1 AS weekday_key, CASE WHEN dayofweek(date) IN (0, 6) THEN 1 ELSE 0 END AS weekend_flag, CASE WHEN month(date)=12 AND day(date)=25 THEN 1 ELSE 0 END AS holiday_flag,
-      CASE WHEN dayofweek(date) IN (0, 6) OR (month(date)=12 AND day(date)=25) THEN 0 ELSE 1 END AS business_flag, COUNT(o_orderkey) AS orders FROM d LEFT JOIN orders ON CAST(o_orderdate AS DATE) = date GROUP BY ALL
+      dayofweek(date) + 1 AS weekday_key, CASE WHEN dayofweek(date) IN (0, 6) THEN 1 ELSE 0 END AS weekend_flag,
+        CASE WHEN month(date)=12 AND day(date)=25 THEN 1 ELSE 0 END AS holiday_flag,
+      CASE WHEN dayofweek(date) IN (0, 6) OR (month(date)=12 AND day(date)=25) THEN 0 ELSE 1
+        END AS business_flag, COUNT(o_orderkey) AS orders FROM d LEFT JOIN orders
+        ON CAST(o_orderdate AS DATE) = date GROUP BY ALL
     """,
 )
 def calendar_dim(t):
@@ -203,8 +219,10 @@ def concat_null(t):
 @query(
     "normalize_phone",
     """
-    WITH x AS (SELECT c_custkey, '(' || lpad(CAST(c_custkey % 900 + 100 AS VARCHAR), 3, '0') || ') 555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone FROM customer)
-    SELECT c_custkey, replace(replace(replace(replace(phone, '(', ''), ')', ''), ' ', ''), '-', '') AS digits, replace(right(phone, 6), '-', '') AS ext FROM x
+    WITH x AS (SELECT c_custkey, '(' || lpad(CAST(c_custkey % 900 + 100 AS VARCHAR), 3, '0') || ') 555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone
+      FROM customer)
+    SELECT c_custkey, replace(replace(replace(replace(phone, '(', ''), ')', ''), ' ', ''), '-', '') AS digits, replace(right(phone, 6), '-', '') AS ext
+      FROM x
     """,
 )
 def normalize_phone(t):
@@ -221,8 +239,10 @@ def normalize_phone(t):
 @query(
     "parse_user",
     """
-    WITH x AS (SELECT c_custkey, c_mktsegment || '  ' || c_name || ' Jr - ' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') || ' ' AS u FROM customer)
-    SELECT c_custkey, trim(split_part(u, ' ', 1)) AS first_name, c_name AS _drop, length(rtrim(u)) AS len FROM x JOIN (SELECT c_custkey AS k, c_name FROM customer) ON k = c_custkey
+    WITH x AS (SELECT c_custkey, c_mktsegment || '  ' || c_name || ' Jr - ' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') || ' ' AS u
+      FROM customer)
+    SELECT c_custkey, trim(split_part(u, ' ', 1)) AS first_name, c_name AS _drop, length(rtrim(u)) AS len FROM x
+      JOIN (SELECT c_custkey AS k, c_name FROM customer) ON k = c_custkey
     """.replace("c_name AS _drop", "c_name || ' Jr' AS last_name, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS ext"),
 )
 def parse_user(t):
@@ -244,7 +264,9 @@ def strip_prefix(t):
 @query(
     "null_funcs",
     """
-    SELECT event_id, COALESCE(CASE WHEN event_type = 'error' THEN value END, -1.0::DOUBLE) AS defaulted, NULLIF(event_type, 'view') AS not_view, COALESCE(NULLIF(event_type, 'view'), 'none') AS named FROM events
+    SELECT event_id, COALESCE(CASE
+      WHEN event_type = 'error' THEN value END, -1.0::DOUBLE) AS defaulted, NULLIF(event_type, 'view') AS not_view,
+      COALESCE(NULLIF(event_type, 'view'), 'none') AS named FROM events
     """,
 )
 def null_funcs(t):
@@ -261,7 +283,8 @@ def null_funcs(t):
     "casts",
     """
     SELECT event_id, CAST(trunc(value) AS INT) AS as_int, CAST(user_id AS BIGINT) AS as_big, CAST(CAST(value AS DECIMAL(9,2)) AS DOUBLE) AS as_numeric, left(CAST(event_id AS VARCHAR), 2) AS short,
-      CAST(ts AS DATE) AS as_date, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS as_float, TRY_CAST(event_type AS INT) AS not_int FROM events
+      CAST(ts AS DATE) AS as_date, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS as_float, TRY_CAST(event_type AS INT) AS not_int
+        FROM events
     """,
 )
 def casts(t):
@@ -280,7 +303,8 @@ def casts(t):
 @query(
     "is_numeric",
     """
-    WITH x AS (SELECT event_id, CASE WHEN event_type = 'click' THEN event_type ELSE json_extract_string(props, '$.k') END AS agent FROM events)
+    WITH x AS (SELECT event_id, CASE WHEN event_type = 'click' THEN event_type
+      ELSE json_extract_string(props, '$.k') END AS agent FROM events)
     SELECT event_id, CAST(agent AS INT) AS agent FROM x WHERE TRY_CAST(agent AS DOUBLE) IS NOT NULL
     """,
 )
@@ -296,7 +320,8 @@ def is_numeric(t):
 @query(
     "json_value",
     """
-    SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.missing') AS missing FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) BETWEEN 10 AND 60
+    SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.missing') AS missing
+      FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) BETWEEN 10 AND 60
     """,
 )
 def json_value(t):
@@ -310,8 +335,10 @@ def json_value(t):
     "duration_label",
     """
     WITH n AS (SELECT event_id, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, ts AS b FROM events)
-    SELECT event_id, CASE WHEN date_diff('hour', a, b) > 24 THEN date_diff('day', a, b) || ' days' WHEN a IS NULL THEN 'No start time'
-      ELSE (date_diff('minute', a, b) // 60) || ':' || lpad(CAST(date_diff('minute', a, b) % 60 AS VARCHAR), 2, '0') || ' Hours' END AS label FROM n
+    SELECT event_id, CASE WHEN date_diff('hour', a, b) > 24 THEN date_diff('day', a, b) || ' days'
+      WHEN a IS NULL THEN 'No start time'
+      ELSE (date_diff('minute', a, b) // 60) || ':' || lpad(CAST(date_diff('minute', a, b) % 60 AS VARCHAR), 2, '0') || ' Hours'
+        END AS label FROM n
     """,
 )
 def duration_label(t):
@@ -331,8 +358,11 @@ def text_key(t):
 @query(
     "rule_weights",
     """
-    SELECT o_orderkey, CASE WHEN concat(o_orderstatus, o_orderpriority) = 'F1-URGENT' THEN 2.25::DOUBLE WHEN concat(o_orderstatus, o_orderpriority) LIKE 'F%' THEN 1.75 WHEN concat(o_orderstatus, o_orderpriority) LIKE 'P4%' THEN 1.25
-      WHEN concat(o_orderstatus, o_orderpriority) LIKE 'P%' THEN 1.0 WHEN o_orderpriority = '5-LOW' THEN 0.5 END AS units FROM orders
+    SELECT o_orderkey, CASE WHEN concat(o_orderstatus, o_orderpriority) = 'F1-URGENT' THEN 2.25::DOUBLE
+      WHEN concat(o_orderstatus, o_orderpriority) LIKE 'F%' THEN 1.75
+      WHEN concat(o_orderstatus, o_orderpriority) LIKE 'P4%' THEN 1.25
+      WHEN concat(o_orderstatus, o_orderpriority) LIKE 'P%' THEN 1.0 WHEN o_orderpriority = '5-LOW' THEN 0.5
+        END AS units FROM orders
     """,
 )
 def rule_weights(t):

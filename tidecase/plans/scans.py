@@ -104,7 +104,8 @@ def cube_extract(t):
                FROM orders JOIN firsts ON l_orderkey = o_orderkey WHERE first_ship >= o_orderdate),
     stage2 AS (SELECT priority, COUNT(*) AS shipped, MAX(days) AS slowest FROM stage1 GROUP BY 1),
     stage3 AS (SELECT priority, status, COUNT(*) AS late FROM stage1 WHERE days > 365 GROUP BY 1, 2)
-    SELECT stage3.priority, status, late, shipped, slowest FROM stage3 JOIN stage2 ON stage2.priority = stage3.priority
+    SELECT stage3.priority, status, late, shipped, slowest FROM stage3 JOIN stage2
+      ON stage2.priority = stage3.priority
     """,
 )
 def multi_stage(t):
@@ -155,7 +156,8 @@ def sink_csv(t):
     """
     WITH base AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, COUNT(l_orderkey) AS lines
                   FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)
-    SELECT 'by status' AS result, o_orderstatus AS label, COUNT(*) AS orders, SUM(lines)::BIGINT AS lines FROM base GROUP BY 2
+    SELECT 'by status' AS result, o_orderstatus AS label, COUNT(*) AS orders, SUM(lines)::BIGINT AS lines
+      FROM base GROUP BY 2
     UNION ALL
     SELECT 'by priority', o_orderpriority, COUNT(*), SUM(lines)::BIGINT FROM base GROUP BY 2
     UNION ALL

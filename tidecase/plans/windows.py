@@ -26,7 +26,8 @@ def row_number(t):
 @query(
     "latest_per_key",
     """
-    SELECT user_id, event_type, event_id, ts FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1
+    SELECT user_id, event_type, event_id, ts FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type
+      ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1
     """,
 )
 def latest_per_key(t):
@@ -54,7 +55,8 @@ def rank_ties(t):
 @query(
     "rank_coalesce",
     """
-    WITH e AS (SELECT event_id, ts, CASE WHEN event_type <> 'view' THEN user_id END AS a, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1000 AS b FROM events)
+    WITH e AS (SELECT event_id, ts, CASE WHEN event_type <> 'view' THEN user_id
+      END AS a, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1000 AS b FROM events)
     SELECT event_id, COALESCE(a, b) AS thread, RANK() OVER (PARTITION BY COALESCE(a, b) ORDER BY ts) AS rnk FROM e
     """,
 )
@@ -78,8 +80,10 @@ def count_over(t):
 @query(
     "window_in_case",
     """
-    SELECT event_id, CASE WHEN event_type = 'view' THEN 0 ELSE rn END AS position, CASE WHEN last_rn = 1 THEN 1 ELSE 0 END AS last_on_day FROM (SELECT *,
-      ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, ROW_NUMBER() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS last_rn FROM events)
+    SELECT event_id, CASE WHEN event_type = 'view' THEN 0 ELSE rn END AS position, CASE WHEN last_rn = 1 THEN 1
+      ELSE 0 END AS last_on_day FROM (SELECT *,
+      ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, ROW_NUMBER()
+        OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS last_rn FROM events)
     """,
 )
 def window_in_case(t):
@@ -94,7 +98,9 @@ def window_in_case(t):
 @query(
     "nth_business_day",
     """
-    WITH cal AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) AS n FROM (SELECT CAST(unnest(generate_series((SELECT MIN(o_orderdate)::DATE FROM orders), (SELECT MAX(o_orderdate)::DATE + 40 FROM orders), INTERVAL 1 DAY)) AS DATE) AS d)
+    WITH cal AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) AS n FROM (SELECT CAST(unnest(generate_series((SELECT
+      MIN(o_orderdate)::DATE FROM orders), (SELECT MAX(o_orderdate)::DATE + 40
+      FROM orders), INTERVAL 1 DAY)) AS DATE) AS d)
       WHERE dayofweek(d) BETWEEN 1 AND 5 AND NOT (month(d) = 12 AND day(d) = 25)),
     o AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders),
     x AS (SELECT DISTINCT o.d, COALESCE((SELECT MAX(n) FROM cal WHERE cal.d <= o.d), 0) AS n FROM o)
@@ -137,7 +143,9 @@ def limit_n(t):
 @query(
     "priority_pick",
     """
-    SELECT user_id, event_type, event_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type IN ('error','signup') THEN 1 WHEN event_type ILIKE '%click' THEN -1 ELSE 0 END DESC, ts, event_id) AS rn FROM events) WHERE rn = 1
+    SELECT user_id, event_type, event_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY CASE
+      WHEN event_type IN ('error','signup') THEN 1 WHEN event_type ILIKE '%click' THEN -1
+      ELSE 0 END DESC, ts, event_id) AS rn FROM events) WHERE rn = 1
     """,
 )
 def priority_pick(t):
@@ -164,7 +172,8 @@ def union_all(t):
 @query(
     "union_distinct",
     """
-    SELECT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, CAST(ts AS DATE) FROM events WHERE event_type = 'view'
+    SELECT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'click' UNION ALL
+      SELECT user_id, CAST(ts AS DATE) FROM events WHERE event_type = 'view'
     UNION SELECT user_id, CAST(ts AS DATE) FROM events WHERE event_type = 'error'
     """,
 )
