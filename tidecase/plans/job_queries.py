@@ -864,15 +864,14 @@ def work_list(t):
     "reason_matching",
     FUZZY_SQL
     + """,
-    m AS (SELECT w.entry_id, c.clear_id, ROW_NUMBER() OVER (PARTITION BY w.entry_id
-      ORDER BY c.ts DESC, c.clear_id DESC) AS rn FROM who w JOIN clears c ON c.loan = w.loan
-      AND c.worker = w.worker AND CAST(c.ts AS DATE) = CAST(w.ts AS DATE) AND c.ts <= w.ts)
-    SELECT c.clear_id, c.loan, COUNT(*)
-      OVER (PARTITION BY c.loan) AS loan_clearances, c.ts AS cleared_at, m.entry_id,
-      COALESCE(m.reason, ' ') AS reason
-    FROM clears c LEFT JOIN (SELECT m.clear_id, m.entry_id, e.props AS reason FROM m JOIN events e
-      ON e.event_id = m.entry_id WHERE rn = 1) m ON m.clear_id = c.clear_id
-    """.replace("COUNT(*) OVER (PARTITION BY c.loan)", "(SELECT COUNT(*) FROM clears x WHERE x.loan = c.loan)"),
+    m AS (SELECT w.entry_id, c.clear_id, ROW_NUMBER() OVER (PARTITION BY w.entry_id ORDER BY c.ts DESC, c.clear_id DESC) AS rn
+      FROM who w JOIN clears c ON c.loan = w.loan AND c.worker = w.worker AND CAST(c.ts AS DATE) = CAST(w.ts AS DATE)
+        AND c.ts <= w.ts),
+    reasons AS (SELECT m.clear_id, m.entry_id, e.props AS reason FROM m JOIN events e ON e.event_id = m.entry_id WHERE rn = 1),
+    per_loan AS (SELECT loan, COUNT(*) AS loan_clearances FROM clears GROUP BY 1)
+    SELECT c.clear_id, c.loan, loan_clearances, c.ts AS cleared_at, r.entry_id, COALESCE(r.reason, ' ') AS reason
+    FROM clears c JOIN per_loan p ON p.loan = c.loan LEFT JOIN reasons r ON r.clear_id = c.clear_id
+    """,
 )
 def reason_matching(t):
     text_of = t.events.select(F.col("event_id").alias("entry_id"), F.col("props").alias("reason"))

@@ -239,11 +239,10 @@ def normalize_phone(t):
 @query(
     "parse_user",
     """
-    WITH x AS (SELECT c_custkey, c_mktsegment || '  ' || c_name || ' Jr - ' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') || ' ' AS u
-      FROM customer)
-    SELECT c_custkey, trim(split_part(u, ' ', 1)) AS first_name, c_name AS _drop, length(rtrim(u)) AS len FROM x
-      JOIN (SELECT c_custkey AS k, c_name FROM customer) ON k = c_custkey
-    """.replace("c_name AS _drop", "c_name || ' Jr' AS last_name, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS ext"),
+    WITH x AS (SELECT c_custkey, c_mktsegment, c_name, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS ext FROM customer)
+    SELECT c_custkey, c_mktsegment AS first_name, c_name || ' Jr' AS last_name, ext,
+      length(rtrim(c_mktsegment || '  ' || c_name || ' Jr - ' || ext || ' ')) AS len FROM x
+    """,
 )
 def parse_user(t):
     user = F.concat("c_mktsegment", F.lit("  "), "c_name", F.lit(" Jr - "), F.lpad(F.col("c_custkey").cast("string"), 5, "0"), F.lit(" "))
