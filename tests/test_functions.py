@@ -55,6 +55,14 @@ def test_date_and_time_ids(spark):
         one(spark, timeid.from_dateid("d"), d=20170100)
 
 
+@pytest.mark.parametrize("low, high", [(20240100, 20240199), (20231299, 20240215), (20240001, 20241399), (20240229, 20240229)])
+def test_dateid_between_matches_int_comparison(spark, low, high):
+    days = [dt.date(2023, 11, 1) + dt.timedelta(n) for n in range(500)]
+    frame = spark.createDataFrame([(d,) for d in days], "d date")
+    expected = [d for d in days if low <= d.year * 10000 + d.month * 100 + d.day <= high]
+    assert sorted(r["d"] for r in frame.filter(timeid.dateid_between("d", low, high)).collect()) == expected
+
+
 def test_dateadd(spark):
     assert one(spark, timeid.dateadd("YEAR", -1, "a"), a=D(2024, 2, 29, 5)) == D(2023, 2, 28, 5)
     assert one(spark, timeid.dateadd("MONTH", 1, "a"), a=D(2024, 1, 31)) == D(2024, 2, 29)

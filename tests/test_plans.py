@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidecase.operators.events import first_event, last_event, nth_event
-from tidecase.sources.sinks import write_bucketed_table
+from tidecase.operators.intervals import state_on
+from tidecase.sources.derived import daily_snapshot
+from tidecase.sources.sinks import write_bucketed_table, write_new_table
 from tidecase.sources.tables import Tables
 
 # one-row aggregates, date bounds of a calendar, the levels of an interval join
 GLOBAL = {
     "global_agg", "calendar_count", "calendar_dim", "dense_grid", "pipeline_size", "business_expiry", "nth_business_day",
-    "multi_result", "scalar_subquery", "limit_n", "interval_join",
+    "scalar_subquery", "limit_n", "interval_join",
 }
 
 
@@ -62,6 +64,20 @@ def test_year_filter_reaches_the_scan(spark, data):
     assert plan(entry.queries()["src_year_union"](spark, data)).count("GreaterThanOrEqual(o_orderdate") == 2
 
 
+def test_date_id_ranges_reach_the_scan(spark, data):
+    for name, column in (("between_dateid", "o_orderdate"), ("state_on_date", "ts")):
+        text = plan(entry.queries()[name](spark, data))
+        assert f"GreaterThanOrEqual({column}" in text
+
+
+def test_stored_snapshot_is_pruned_by_day(spark, data, tmp_path):
+    snapshot = daily_snapshot(Tables(spark, data).events)
+    write_new_table(snapshot, str(tmp_path / "snapshot"), partition_by=["snapshot_id"])
+    day = state_on(spark.read.parquet(str(tmp_path / "snapshot")), "snapshot_id", 20240115)
+    assert re.search(r"PartitionFilters: \[.*20240115", plan(day))
+    assert day.count() == snapshot.filter("snapshot_id = 20240115").count()
+
+
 def test_bucketed_tables_join_without_shuffle(spark, data, large_tables):
     t = Tables(spark, data)
     write_bucketed_table(t.orders.withColumnRenamed("o_orderkey", "k"), "bucketed_cases", ["k"], 4)

@@ -7,6 +7,8 @@ session time zone.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +82,23 @@ def ids_to_ts(date_id: Column | str, time_id: Column | str) -> Column:
     return from_dateid(date_id).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
+def dateid_between(c: Column | str, low: int, high: int) -> Column:
+    """``dateid(c) BETWEEN low AND high``; the bounds need not be dates (20170100).
+
+    The comparison of ids is accompanied by the date range it implies, which Spark can push down to the files.
+    """
+
+    def month_start(number: int) -> dt.date:
+        return dt.date(number // 12, number % 12 + 1, 1)
+
+    def month_number(date_id: int) -> int:
+        return date_id // 10000 * 12 + min(max(date_id // 100 % 100, 0), 13) - 1
+
+    day = F.to_date(_col(c))
+    first, after = month_start(month_number(low)), month_start(month_number(high) + 1)
+    return (day >= F.lit(first)) & (day < F.lit(after)) & dateid(c).between(low, high)
+
+
 def at_midnight(text: str) -> Column:
     """A literal TIMESTAMP_NTZ, for pinned ``as_of`` values."""
     return F.lit(text).cast("timestamp_ntz")

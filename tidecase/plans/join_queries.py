@@ -674,8 +674,7 @@ SNAPSHOT_SQL = """
     f"WITH {SNAPSHOT_SQL} SELECT c_custkey, state FROM customer LEFT JOIN snap ON user_id = c_custkey AND snapshot_id = 20240115",
 )
 def state_on_date(t):
-    # the day filter reaches the scan through the partition column of the snapshot's ranking
-    on_day = state_on(daily_snapshot(t.events), "snapshot_id", 20240115)
+    on_day = state_on(daily_snapshot(t.events, only_id=20240115), "snapshot_id", 20240115)
     return t.customer.join(on_day, F.col("user_id") == F.col("c_custkey"), "left").select("c_custkey", "state")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidecase.functions.measures import flag, yes_no
 from tidecase.functions.text import contains_ci
-from tidecase.functions.timeid import datediff_boundary, dateid, timeid
+from tidecase.functions.timeid import datediff_boundary, dateid, dateid_between, timeid
 from tidecase.operators.events import milestones
 from tidecase.operators.intervals import current, live
 from tidecase.operators.joins import apply_agg
@@ -201,8 +201,8 @@ def lit_in_cols(t):
     """,
 )
 def between_dateid(t):
-    return t.orders.select("o_orderkey", dateid("o_orderdate").alias("date_id")).filter(
-        F.col("date_id").between(19970100, 19970599)
+    return t.orders.filter(dateid_between("o_orderdate", 19970100, 19970599)).select(
+        "o_orderkey", dateid("o_orderdate").alias("date_id")
     )
 
 

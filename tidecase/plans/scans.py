@@ -8,7 +8,6 @@ from tidecase.functions.measures import money_sum
 from tidecase.functions.timeid import datediff_boundary, half_hour
 from tidecase.operators.events import first_event
 from tidecase.operators.joins import apply_agg
-from tidecase.operators.shapes import union_padded
 from tidecase.plans.registry import query
 from tidecase.sources.scratch import scratch_path
 from tidecase.sources.sinks import write_new_table, write_report
@@ -168,13 +167,21 @@ def multi_result(t):
     base = apply_agg(
         t.orders, t.lineitem, {"o_orderkey": "l_orderkey"}, [F.count(F.lit(1)).alias("lines")], "left", ["lines"]
     )
-    orders, lines = F.count(F.lit(1)).alias("orders"), F.sum("lines").alias("lines")
-    results = {
-        "by status": base.groupBy(F.col("o_orderstatus").alias("label")).agg(orders, lines),
-        "by priority": base.groupBy(F.col("o_orderpriority").alias("label")).agg(orders, lines),
-        "without lines": base.filter("lines = 0").agg(orders),
-    }
-    return union_padded(*[df.withColumn("result", F.lit(name)) for name, df in results.items()])
+    # all result sets in one pass: small groups first, then one grouping set per result
+    fine = base.groupBy("o_orderstatus", "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("lines").alias("lines"), F.count(F.when(F.col("lines") == 0, 1)).alias("none")
+    )
+    sets = fine.groupingSets(
+        [[F.col("o_orderstatus")], [F.col("o_orderpriority")], []], "o_orderstatus", "o_orderpriority"
+    ).agg(F.sum("n").alias("n"), F.sum("lines").alias("lines"), F.sum("none").alias("none"), F.grouping_id().alias("set"))
+    result = F.when(F.col("set") == 1, "by status").when(F.col("set") == 2, "by priority").otherwise("without lines")
+    total = F.col("set") == 3
+    return sets.select(
+        result.alias("result"),
+        F.coalesce("o_orderstatus", "o_orderpriority").alias("label"),
+        F.when(total, F.col("none")).otherwise(F.col("n")).alias("orders"),
+        F.when(~total, F.col("lines")).alias("lines"),
+    )
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecase.functions.timeid import dateid
+from tidecase.functions.timeid import dateid, dateid_between
 from tidecase.operators.events import last_event
 from tidecase.operators.intervals import versions
 from tidecase.operators.slices import ROWS_PER_TASK, hot_keys, with_next
@@ -39,9 +39,10 @@ def daily_versions(
     )
 
 
-def daily_snapshot(events: DataFrame) -> DataFrame:
-    """Latest event per user and calendar day."""
-    days = events.withColumn("snapshot_id", dateid("ts"))
+def daily_snapshot(events: DataFrame, only_id: int | None = None) -> DataFrame:
+    """Latest event per user and calendar day; with ``only_id`` of that day, read by a filter on the time."""
+    rows = events if only_id is None else events.filter(dateid_between("ts", only_id, only_id))
+    days = rows.withColumn("snapshot_id", dateid("ts"))
     return last_event(days, ["user_id", "snapshot_id"], ["ts", "event_id"]).select(
         "user_id", "snapshot_id", "event_id", F.col("event_type").alias("state")
     )
