@@ -13,7 +13,6 @@ from tidecase.operators.slices import (
     directed,
     hot_keys,
     join_carry,
-    numbered,
     with_next,
     with_slice,
 )
@@ -164,14 +163,3 @@ def dwell(
         F.sum(seconds).alias("seconds"), F.count(F.lit(1)).alias("visits")
     )
 
-
-__all__ = [
-    "asof",
-    "dwell",
-    "first_event",
-    "last_event",
-    "milestones",
-    "nth_event",
-    "numbered",
-    "top_n",
-]

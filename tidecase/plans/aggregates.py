@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecase.functions.measures import any_flag, count_if, int_avg, money_avg, money_sum, safe_ratio, sum_if
+from tidecase.functions.measures import any_flag, count_if, money_avg, money_sum, safe_ratio, sum_if
 from tidecase.functions.timeid import datediff_boundary, dateid, timeid
-from tidecase.operators.events import first_event, last_event, nth_event
+from tidecase.operators.events import last_event, nth_event
 from tidecase.operators.shapes import pivot_fixed, subtotals, unpivot_nonnull
 from tidecase.plans.registry import query
 from tidecase.sources.calendar import calendar, days_of
@@ -35,7 +35,10 @@ def count_nonnull(t):
 
 @query(
     "count_distinct",
-    "SELECT l_returnflag, COUNT(*) AS lines, COUNT(DISTINCT l_orderkey) AS orders, COUNT(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1",
+    """
+    SELECT l_returnflag, COUNT(*) AS lines, COUNT(DISTINCT l_orderkey) AS orders,
+      COUNT(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1
+    """,
 )
 def count_distinct(t):
     return t.lineitem.groupBy("l_returnflag").agg(
@@ -64,7 +67,10 @@ def count_if_query(t):
 
 @query(
     "count_distinct_if",
-    "SELECT l_suppkey, COUNT(DISTINCT CASE WHEN l_returnflag <> 'N' THEN l_orderkey END) AS orders, COUNT(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1",
+    """
+    SELECT l_suppkey, COUNT(DISTINCT CASE WHEN l_returnflag <> 'N' THEN l_orderkey END) AS orders,
+      COUNT(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1
+    """,
 )
 def count_distinct_if(t):
     return t.lineitem.groupBy("l_suppkey").agg(
@@ -91,7 +97,10 @@ def sum_if_query(t):
 
 @query(
     "sum_scaled",
-    "SELECT user_id, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / 60.0::DOUBLE AS hours FROM events WHERE event_type='view' GROUP BY 1",
+    """
+    SELECT user_id, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / 60.0::DOUBLE AS hours FROM events
+      WHERE event_type='view' GROUP BY 1
+    """,
 )
 def sum_scaled(t):
     return t.events.filter("event_type = 'view'").groupBy("user_id").agg((money_sum("value") / 60.0).alias("hours"))
@@ -113,7 +122,12 @@ def avg_rate(t):
     )
 
 
-@query("min_max", "SELECT o_custkey, MIN(o_orderdate) AS first_order, MAX(o_orderdate) AS last_order FROM orders GROUP BY 1")
+@query(
+    "min_max",
+    """
+    SELECT o_custkey, MIN(o_orderdate) AS first_order, MAX(o_orderdate) AS last_order FROM orders GROUP BY 1
+    """,
+)
 def min_max(t):
     return t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_order"), F.max("o_orderdate").alias("last_order"))
 
@@ -165,14 +179,22 @@ def group_expr(t):
     return joined.groupBy(timing.alias("timing")).agg(F.count("*").alias("lines"))
 
 
-@query("group_distinct", "SELECT l_orderkey, l_returnflag FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_orderkey, l_returnflag")
+@query(
+    "group_distinct",
+    """
+    SELECT l_orderkey, l_returnflag FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_orderkey, l_returnflag
+    """,
+)
 def group_distinct(t):
     return t.lineitem.filter("l_linestatus = 'O'").select("l_orderkey", "l_returnflag").distinct()
 
 
 @query(
     "global_agg",
-    "SELECT COUNT(*) AS events, COUNT(DISTINCT user_id) AS users, MIN(ts) AS first_ts, MAX(ts) AS last_ts, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events",
+    """
+    SELECT COUNT(*) AS events, COUNT(DISTINCT user_id) AS users, MIN(ts) AS first_ts, MAX(ts) AS last_ts,
+      CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events
+    """,
 )
 def global_agg(t):
     return t.events.agg(
@@ -201,7 +223,8 @@ def having(t):
 
 
 HIERARCHY = """
-    base AS (SELECT r_name AS region, n_name AS nation, c_mktsegment AS segment, o_orderpriority AS priority, o_custkey, o_totalprice
+    base AS (SELECT r_name AS region, n_name AS nation, c_mktsegment AS segment, o_orderpriority AS priority,
+      o_custkey, o_totalprice
       FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region
         ON r_regionkey = n_regionkey)
     """
@@ -225,7 +248,8 @@ def hierarchy(t):
     WITH {HIERARCHY} SELECT region, nation, segment, priority, COUNT(*) AS orders,
       COUNT(DISTINCT o_custkey) AS customers, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount
     FROM base
-      GROUP BY GROUPING SETS ((region), (region, nation), (region, nation, segment), (region, nation, segment, priority))
+      GROUP BY GROUPING SETS ((region), (region, nation), (region, nation, segment), (region, nation, segment,
+        priority))
     """,
 )
 def grouping_sets(t):
@@ -289,7 +313,10 @@ def order_grouping(t):
 
 @query(
     "count_of_counts",
-    "SELECT rounds, COUNT(*) AS users FROM (SELECT user_id, COUNT(*) AS rounds FROM events WHERE event_type='error' GROUP BY 1) GROUP BY 1",
+    """
+    SELECT rounds, COUNT(*) AS users FROM (SELECT user_id, COUNT(*) AS rounds FROM events
+      WHERE event_type='error' GROUP BY 1) GROUP BY 1
+    """,
 )
 def count_of_counts(t):
     rounds = t.events.filter("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("rounds"))
@@ -359,7 +386,8 @@ def unpivot(t):
 @query(
     "unpivot_pivot",
     """
-    WITH cur AS (SELECT user_id, event_type, CAST(value AS DECIMAL(18,2))::VARCHAR AS amount, strftime(ts, '%Y-%m-%d %H:%M:%S') AS since
+    WITH cur AS (SELECT user_id, event_type, CAST(value AS DECIMAL(18,2))::VARCHAR AS amount, strftime(ts,
+      '%Y-%m-%d %H:%M:%S') AS since
       FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn
       FROM events WHERE event_type IN ('error','view')) WHERE rn = 1)
     SELECT user_id, MAX(CASE WHEN event_type='error' THEN amount END) AS error_amount, MAX(CASE

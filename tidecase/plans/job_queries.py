@@ -16,10 +16,10 @@ from tidecase.operators.events import asof, nth_event
 from tidecase.operators.joins import exists_flag, semi, spread_join
 from tidecase.operators.slices import hot_keys
 from tidecase.plans.join_queries import (
-    FUZZY_SQL, LINE_SQL, ROLE_VERSIONS, SNAPSHOT_SQL, by_type, clearances, role_at, role_log, role_versions, staff_list, typed_entries,
+    FUZZY_SQL, ROLE_VERSIONS, SNAPSHOT_SQL, by_type, clearances, role_at, role_log, role_versions, staff_list, typed_entries,
 )
 from tidecase.plans.registry import query
-from tidecase.plans.scalars import CHRISTMAS, DID
+from tidecase.plans.scalars import DID
 from tidecase.sources.calendar import days_of
 from tidecase.sources.derived import OPEN_END, daily_snapshot, daily_versions
 
@@ -249,7 +249,10 @@ def funnel_counts(t):
 
 @query(
     "funnel_rounds",
-    f"WITH {EVENT_LOG_SQL} SELECT round, COUNT(*) AS cases FROM (SELECT case_id, COUNT(*) AS round FROM final WHERE status = 'help requested' GROUP BY 1) GROUP BY 1",
+    f"""
+    WITH {EVENT_LOG_SQL} SELECT round, COUNT(*) AS cases FROM (SELECT case_id, COUNT(*) AS round FROM final
+      WHERE status = 'help requested' GROUP BY 1) GROUP BY 1
+    """,
 )
 def funnel_rounds(t):
     return eventlog.rounds(event_log_frame(t), "help requested")
@@ -297,7 +300,8 @@ COHORT_SQL = f"""
     f AS (SELECT user_id AS case_id, MAX(ts) AS fell FROM events WHERE event_type='error' AND value > 200 GROUP BY 1),
     cc AS (SELECT c.case_id, opened, closed_at, CASE WHEN closed_at IS NULL THEN fell END AS fallout_at FROM c
       LEFT JOIN f ON f.case_id = c.case_id),
-    aged AS (SELECT s.user_id, snapshot_id, s.state, cc.*, strptime(CAST(snapshot_id AS VARCHAR), '%Y%m%d')::DATE AS day
+    aged AS (SELECT s.user_id, snapshot_id, s.state, cc.*, strptime(CAST(snapshot_id AS VARCHAR),
+      '%Y%m%d')::DATE AS day
       FROM snap s JOIN cc ON cc.case_id = s.user_id WHERE s.state IN ('view', 'click')
       AND snapshot_id < 20240120
       AND date_diff('day', opened, strptime(CAST(snapshot_id AS VARCHAR), '%Y%m%d')) = 10),
@@ -391,7 +395,8 @@ def unit_scorecard_adjusted(t):
 @query(
     "productivity_grid",
     f"""
-    WITH {PRESENCE_SQL}, days AS (SELECT CAST(unnest(generate_series(DATE '2024-02-01' - 120, DATE '2024-02-01', INTERVAL 1 DAY)) AS DATE) AS day), w AS (SELECT DISTINCT user_id AS worker
+    WITH {PRESENCE_SQL}, days AS (SELECT CAST(unnest(generate_series(DATE '2024-02-01' - 120, DATE '2024-02-01',
+      INTERVAL 1 DAY)) AS DATE) AS day), w AS (SELECT DISTINCT user_id AS worker
       FROM events),
     a AS (SELECT user_id AS worker, CAST(ts AS DATE) AS day, COUNT(*) AS statuses, COUNT(DISTINCT CASE
       WHEN event_type <> 'view' THEN {KS} END) AS distinct_cases, COUNT(CASE
@@ -401,7 +406,8 @@ def unit_scorecard_adjusted(t):
       COUNT(*) AS surveys, SUM({KS} % 5 + 1)::BIGINT AS score, COUNT(CASE
       WHEN {KS} % 5 + 1 IN (4, 5) THEN 1 END) AS fours_and_fives FROM events WHERE event_type='signup'
       GROUP BY 1, 2)
-    SELECT w.worker, days.day, statuses, distinct_cases, answered, long_calls, surveys, score, fours_and_fives, logged_in, online, 1.0::DOUBLE * online / NULLIF(logged_in, 0) AS online_rate
+    SELECT w.worker, days.day, statuses, distinct_cases, answered, long_calls, surveys, score, fours_and_fives,
+      logged_in, online, 1.0::DOUBLE * online / NULLIF(logged_in, 0) AS online_rate
     FROM w CROSS JOIN days LEFT JOIN a ON a.worker = w.worker AND a.day = days.day LEFT JOIN s
       ON s.worker = w.worker AND s.day = days.day LEFT JOIN presence p ON p.agent = w.worker
       AND p.day = days.day
@@ -447,7 +453,8 @@ def answer_rate(t):
 @query(
     "response_time",
     """
-    WITH m AS (SELECT r.user_id AS thread, r.ts, r.event_id AS post_id, c.ts AS client_post, c.event_id AS client_post_id,
+    WITH m AS (SELECT r.user_id AS thread, r.ts, r.event_id AS post_id, c.ts AS client_post,
+      c.event_id AS client_post_id,
       ROW_NUMBER() OVER (PARTITION BY r.event_id ORDER BY c.ts DESC, c.event_id DESC) AS rn
       FROM (SELECT * FROM events WHERE event_type = 'purchase') r LEFT JOIN (SELECT * FROM events
         WHERE event_type = 'click') c ON c.user_id = r.user_id AND c.ts < r.ts)
@@ -455,7 +462,8 @@ def answer_rate(t):
       ELSE 'Client' END AS who_posted, CASE WHEN date_diff('hour', client_post, ts) > 24 THEN
       date_diff('day', client_post, ts) || ' days'
       WHEN client_post IS NULL THEN 'No start time'
-        ELSE (date_diff('minute', client_post, ts) // 60) || ':' || lpad(CAST(date_diff('minute', client_post, ts) % 60 AS VARCHAR), 2, '0') || ' Hours'
+        ELSE (date_diff('minute', client_post, ts) // 60) || ':' || lpad(CAST(date_diff('minute', client_post,
+          ts) % 60 AS VARCHAR), 2, '0') || ' Hours'
         END AS delay FROM m WHERE rn = 1
     """,
 )
@@ -480,7 +488,8 @@ def response_turns(t):
 
 
 TOUCH_SQL = f"""
-    {ROLE_VERSIONS}, s AS (SELECT user_id AS case_id, CAST({KS} AS BIGINT) AS worker, event_id, ts, {DID.format(c='ts')} AS date_id, CAST(floor(value) AS BIGINT) AS seconds
+    {ROLE_VERSIONS}, s AS (SELECT user_id AS case_id, CAST({KS} AS BIGINT) AS worker, event_id, ts,
+      {DID.format(c='ts')} AS date_id, CAST(floor(value) AS BIGINT) AS seconds
       FROM events WHERE event_type = 'click'),
     touched AS (SELECT s.*, COALESCE(role, 'Other') AS role FROM s LEFT JOIN dim ON dim.user_id = s.worker
       AND date_id BETWEEN start_id AND end_id)
@@ -629,7 +638,10 @@ def reconcile(t):
 
 @query(
     "reconcile_detail",
-    f"WITH {RECONCILE_SQL} SELECT case_id, status, l_linenumber, l_partkey, l_extendedprice, total FROM bad JOIN lineitem ON l_orderkey = case_id",
+    f"""
+    WITH {RECONCILE_SQL} SELECT case_id, status, l_linenumber, l_partkey, l_extendedprice, total FROM bad
+      JOIN lineitem ON l_orderkey = case_id
+    """,
 )
 def reconcile_detail(t):
     return billing.charges_behind(order_charges(t), unexpected(t), ["case_id", "status"])
@@ -686,7 +698,10 @@ HOURS_SQL = f"hours AS (SELECT user_id AS worker, {DID.format(c='ts')} AS date_i
 
 @query(
     "hours_worked",
-    f"WITH {ROLE_VERSIONS}, {HOURS_SQL} SELECT worker, date_id, hours, role AS leader FROM hours LEFT JOIN dim ON dim.user_id = worker AND date_id BETWEEN start_id AND end_id",
+    f"""
+    WITH {ROLE_VERSIONS}, {HOURS_SQL} SELECT worker, date_id, hours, role AS leader FROM hours LEFT JOIN dim
+      ON dim.user_id = worker AND date_id BETWEEN start_id AND end_id
+    """,
 )
 def hours_worked(t):
     entries = worker_hours(t)
@@ -783,7 +798,8 @@ def optin_chain(t):
       END AS jumbo, c_mktsegment AS segment, n_name AS nation, r_name AS region, COALESCE(lines, 0) AS lines,
       COALESCE(suppliers, 0) AS suppliers,
       COALESCE(any_returned, 0) AS any_returned, quantity,
-        date_diff('day', o_orderdate, first_ship) AS days_to_ship, month(o_orderdate) AS open_month, dayofweek(o_orderdate) + 1 AS open_weekday
+        date_diff('day', o_orderdate, first_ship) AS days_to_ship, month(o_orderdate) AS open_month,
+          dayofweek(o_orderdate) + 1 AS open_weekday
     FROM orders LEFT JOIN l ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT
       JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey
     """,
@@ -815,7 +831,8 @@ def feature_table(t):
 
 
 WORK_SQL = f"""
-    it AS (SELECT l_orderkey AS case_id, 'line' || (l_linenumber % 3) AS kind, l_returnflag AS status, l_shipdate AS ts, {ITEM_SQL}
+    it AS (SELECT l_orderkey AS case_id, 'line' || (l_linenumber % 3) AS kind, l_returnflag AS status,
+      l_shipdate AS ts, {ITEM_SQL}
       FROM lineitem),
     lead AS (SELECT case_id, status AS review_status, ts AS review_since FROM (SELECT *, ROW_NUMBER()
       OVER (PARTITION BY case_id ORDER BY CASE WHEN status = 'R' THEN 1 ELSE 0 END DESC, ts, {ITEM_SQL}) AS rn
@@ -864,10 +881,12 @@ def work_list(t):
     "reason_matching",
     FUZZY_SQL
     + """,
-    m AS (SELECT w.entry_id, c.clear_id, ROW_NUMBER() OVER (PARTITION BY w.entry_id ORDER BY c.ts DESC, c.clear_id DESC) AS rn
+    m AS (SELECT w.entry_id, c.clear_id, ROW_NUMBER() OVER (PARTITION BY w.entry_id
+      ORDER BY c.ts DESC, c.clear_id DESC) AS rn
       FROM who w JOIN clears c ON c.loan = w.loan AND c.worker = w.worker AND CAST(c.ts AS DATE) = CAST(w.ts AS DATE)
         AND c.ts <= w.ts),
-    reasons AS (SELECT m.clear_id, m.entry_id, e.props AS reason FROM m JOIN events e ON e.event_id = m.entry_id WHERE rn = 1),
+    reasons AS (SELECT m.clear_id, m.entry_id, e.props AS reason FROM m JOIN events e ON e.event_id = m.entry_id
+      WHERE rn = 1),
     per_loan AS (SELECT loan, COUNT(*) AS loan_clearances FROM clears GROUP BY 1)
     SELECT c.clear_id, c.loan, loan_clearances, c.ts AS cleared_at, r.entry_id, COALESCE(r.reason, ' ') AS reason
     FROM clears c JOIN per_loan p ON p.loan = c.loan LEFT JOIN reasons r ON r.clear_id = c.clear_id
@@ -973,7 +992,10 @@ def roster_class(t):
 
 @query(
     "first_in_role",
-    f"WITH {ROLE_VERSIONS} SELECT user_id AS worker, MIN(start_id) AS first_id FROM dim WHERE role = 'signup' GROUP BY 1 HAVING MAX(end_id) = 21991231",
+    f"""
+    WITH {ROLE_VERSIONS} SELECT user_id AS worker, MIN(start_id) AS first_id FROM dim WHERE role = 'signup'
+      GROUP BY 1 HAVING MAX(end_id) = 21991231
+    """,
 )
 def first_in_role(t):
     return people.first_in_role(role_versions(t).withColumnRenamed("user_id", "worker"), "signup", OPEN_END)
@@ -1026,10 +1048,12 @@ WIDE_SQL = f"""
       WHEN role='signup' THEN (worker, date_id) END) AS r1, COUNT(DISTINCT CASE
       WHEN role='view' THEN (worker, date_id) END) AS r2, COUNT(DISTINCT CASE
       WHEN role='Other' THEN (worker, date_id) END) AS r3 FROM touched GROUP BY 1),
-    wide AS (SELECT c.case_id, pilot, opened, amount, CAST(opened AS DATE) - CAST((dayofweek(opened) + 4) % 7 AS INT) AS week_of, view, purchase,
+    wide AS (SELECT c.case_id, pilot, opened, amount,
+      CAST(opened AS DATE) - CAST((dayofweek(opened) + 4) % 7 AS INT) AS week_of, view, purchase,
       date_diff('second', opened, view) AS view_seconds,
       date_diff('second', opened, purchase) AS purchase_seconds, visits, visits_before, visits_after, hours,
-      touches, touch_seconds, distinct_touches, NULLIF(r1, 0) AS role_signup, NULLIF(r2, 0) AS role_view, NULLIF(r3, 0) AS role_other
+      touches, touch_seconds, distinct_touches, NULLIF(r1, 0) AS role_signup, NULLIF(r2, 0) AS role_view,
+        NULLIF(r3, 0) AS role_other
         FROM c LEFT JOIN f ON f.case_id = c.case_id LEFT JOIN h ON h.case_id = c.case_id LEFT JOIN tt
         ON tt.case_id = c.case_id)
     """

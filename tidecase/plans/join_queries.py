@@ -15,7 +15,7 @@ from tidecase.operators.joins import anti, apply_agg, exists_flag, left_fan_out,
 from tidecase.operators.shapes import dense_grid, fill_grid
 from tidecase.operators.slices import hot_keys, with_next, with_prev
 from tidecase.plans.registry import query
-from tidecase.sources.derived import daily_snapshot, daily_versions, state_versions
+from tidecase.sources.derived import daily_snapshot, daily_versions
 
 LINE_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
 LINE_SQL = "l_shipdate, l_linenumber, l_partkey, l_suppkey, l_returnflag"
@@ -280,7 +280,8 @@ def scd2_join(t):
 @query(
     "interval_join",
     """
-    WITH sessions AS (SELECT user_id, event_id AS session_id, ts AS start_ts, ts + to_minutes(CAST(floor(value) AS INT)) AS end_ts
+    WITH sessions AS (SELECT user_id, event_id AS session_id, ts AS start_ts,
+      ts + to_minutes(CAST(floor(value) AS INT)) AS end_ts
       FROM events WHERE event_type = 'view')
     SELECT c.event_id, s.session_id FROM events c JOIN sessions s ON s.user_id = c.user_id
       AND c.ts BETWEEN s.start_ts AND s.end_ts WHERE c.event_type = 'click'
@@ -426,7 +427,10 @@ def apply_count_null(t):
 
 @query(
     "apply_rows",
-    "SELECT o_orderkey, l_linenumber, l_partkey, l_shipdate FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate > o_orderdate AND l_returnflag = 'A'",
+    """
+    SELECT o_orderkey, l_linenumber, l_partkey, l_shipdate FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+      AND l_shipdate > o_orderdate AND l_returnflag = 'A'
+    """,
 )
 def apply_rows(t):
     lines = t.lineitem.filter("l_returnflag = 'A'")
@@ -436,7 +440,10 @@ def apply_rows(t):
 
 @query(
     "semi_apply",
-    "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O')",
+    """
+    SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem
+      WHERE l_returnflag = 'R' AND l_linestatus = 'O')
+    """,
 )
 def semi_apply(t):
     lines = t.lineitem.filter("l_returnflag = 'R' AND l_linestatus = 'O'")
@@ -445,7 +452,10 @@ def semi_apply(t):
 
 @query(
     "exists_flag",
-    "SELECT o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 49) THEN 1 ELSE 0 END AS has_large FROM orders",
+    """
+    SELECT o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey
+      AND l_quantity >= 49) THEN 1 ELSE 0 END AS has_large FROM orders
+    """,
 )
 def exists_flag_query(t):
     large = t.lineitem.filter("l_quantity >= 49")
@@ -466,7 +476,10 @@ def semi_exists(t):
 
 @query(
     "anti_not_exists",
-    "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
+    """
+    SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey
+      AND o_orderpriority = '1-URGENT')
+    """,
 )
 def anti_not_exists(t):
     urgent = t.orders.filter("o_orderpriority = '1-URGENT'")
@@ -475,7 +488,10 @@ def anti_not_exists(t):
 
 @query(
     "anti_left_null",
-    "SELECT o_orderkey, o_orderdate FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' WHERE l_orderkey IS NULL",
+    """
+    SELECT o_orderkey, o_orderdate FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
+      AND l_returnflag = 'R' WHERE l_orderkey IS NULL
+    """,
 )
 def anti_left_null(t):
     returned = t.lineitem.filter("l_returnflag = 'R'")
@@ -527,15 +543,21 @@ def adjacent_rows(t):
 
 
 FUZZY_SQL = """
-    WITH staff AS (SELECT c_custkey AS worker, c_mktsegment AS first_name, c_name AS last_name, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS ext
+    WITH staff AS (SELECT c_custkey AS worker, c_mktsegment AS first_name, c_name AS last_name,
+      lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS ext
       FROM customer),
-    entries AS (SELECT event_id AS entry_id, CAST(json_extract_string(props, '$.k') AS INT) % 5 AS loan, ts, c_mktsegment || ' ' || left(c_name, length(c_name) - CAST(event_id % 3 AS INT)) || ' - ' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS user_text
+    entries AS (SELECT event_id AS entry_id, CAST(json_extract_string(props, '$.k') AS INT) % 5 AS loan, ts,
+      c_mktsegment || ' ' || left(c_name,
+      length(c_name) - CAST(event_id % 3 AS INT)) || ' - ' || lpad(CAST(c_custkey AS VARCHAR), 5,
+      '0') AS user_text
       FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'error'),
-    parsed AS (SELECT *, trim(split_part(user_text, ' ', 1)) AS f, trim(regexp_extract(user_text, '^\\S+\\s+(.*?)\\s*-[^-]*$', 1)) AS l, trim(regexp_extract(user_text, '-([^-]*)$', 1)) AS x
+    parsed AS (SELECT *, trim(split_part(user_text, ' ', 1)) AS f, trim(regexp_extract(user_text,
+      '^\\S+\\s+(.*?)\\s*-[^-]*$', 1)) AS l, trim(regexp_extract(user_text, '-([^-]*)$', 1)) AS x
       FROM entries),
     who AS (SELECT entry_id, loan, ts, worker FROM parsed JOIN staff ON staff.ext = x AND staff.first_name = f
       AND (staff.last_name = l OR contains(staff.last_name, l))),
-    clears AS (SELECT event_id AS clear_id, CAST(json_extract_string(props, '$.k') AS INT) % 5 AS loan, user_id AS worker, ts
+    clears AS (SELECT event_id AS clear_id, CAST(json_extract_string(props, '$.k') AS INT) % 5 AS loan,
+      user_id AS worker, ts
       FROM events WHERE event_type = 'purchase')
     """
 
@@ -671,7 +693,10 @@ SNAPSHOT_SQL = """
 
 @query(
     "state_on_date",
-    f"WITH {SNAPSHOT_SQL} SELECT c_custkey, state FROM customer LEFT JOIN snap ON user_id = c_custkey AND snapshot_id = 20240115",
+    f"""
+    WITH {SNAPSHOT_SQL} SELECT c_custkey, state FROM customer LEFT JOIN snap ON user_id = c_custkey
+      AND snapshot_id = 20240115
+    """,
 )
 def state_on_date(t):
     on_day = state_on(daily_snapshot(t.events, only_id=20240115), "snapshot_id", 20240115)
@@ -680,7 +705,11 @@ def state_on_date(t):
 
 @query(
     "snapshot_join",
-    f"WITH {SNAPSHOT_SQL} SELECT snap.snapshot_id, e.event_type AS state, COUNT(*) AS users, CAST(SUM(CAST(e.value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM snap JOIN events e ON e.event_id = snap.event_id GROUP BY 1, 2",
+    f"""
+    WITH {SNAPSHOT_SQL} SELECT snap.snapshot_id, e.event_type AS state, COUNT(*) AS users,
+      CAST(SUM(CAST(e.value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM snap JOIN events e
+      ON e.event_id = snap.event_id GROUP BY 1, 2
+    """,
 )
 def snapshot_join(t):
     rows = daily_snapshot(t.events).select("event_id", "snapshot_id")

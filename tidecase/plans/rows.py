@@ -33,7 +33,8 @@ def project_star(t):
     "arith",
     """
     SELECT l_orderkey, l_linenumber, l_partkey // 7 AS whole, l_partkey % 7 AS rest, l_partkey / 7.0::DOUBLE AS exact,
-           power(l_linenumber, 2) AS squared, 100.0::DOUBLE * l_tax AS tax_pct, l_extendedprice * (1 - l_discount) AS net
+           power(l_linenumber, 2) AS squared, 100.0::DOUBLE * l_tax AS tax_pct,
+             l_extendedprice * (1 - l_discount) AS net
     FROM lineitem
     """,
 )
@@ -147,7 +148,10 @@ def exclusive_buckets(t):
 
 @query(
     "filter_and",
-    "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE 1=1 AND l_returnflag = 'R' AND l_linestatus = 'O' AND l_quantity > 45",
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE 1=1 AND l_returnflag = 'R'
+      AND l_linestatus = 'O' AND l_quantity > 45
+    """,
 )
 def filter_and(t):
     return t.lineitem.filter("l_returnflag = 'R' AND l_linestatus = 'O' AND l_quantity > 45").select(
@@ -185,7 +189,9 @@ def filter_in(t):
 
 @query(
     "lit_in_cols",
-    "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE 5 IN (l_linenumber, l_partkey % 10, l_suppkey % 10)",
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE 5 IN (l_linenumber, l_partkey % 10, l_suppkey % 10)
+    """,
 )
 def lit_in_cols(t):
     return t.lineitem.filter(
@@ -308,7 +314,12 @@ def rule_violation(t):
     return t.orders.filter(~F.coalesce(holds, F.lit(False))).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
-@query("col_vs_col", "SELECT l_orderkey, l_linenumber, l_partkey, l_tax, l_discount FROM lineitem WHERE l_tax > l_discount")
+@query(
+    "col_vs_col",
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_tax, l_discount FROM lineitem WHERE l_tax > l_discount
+    """,
+)
 def col_vs_col(t):
     return t.lineitem.filter(F.col("l_tax") > F.col("l_discount")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_tax", "l_discount"
@@ -317,7 +328,10 @@ def col_vs_col(t):
 
 @query(
     "case_bound",
-    "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity < (CASE WHEN l_returnflag = 'R' THEN 20 ELSE 5 END)",
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity < (CASE
+      WHEN l_returnflag = 'R' THEN 20 ELSE 5 END)
+    """,
 )
 def case_bound(t):
     bound = F.when(F.col("l_returnflag") == "R", 20).otherwise(5)
@@ -353,7 +367,12 @@ def scd2_current(t):
     return current(state_versions(t.events), "valid_to").select("user_id", "state", "valid_from")
 
 
-@query("implicit_cast", "SELECT event_id, props FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) BETWEEN 21 AND 41")
+@query(
+    "implicit_cast",
+    """
+    SELECT event_id, props FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) BETWEEN 21 AND 41
+    """,
+)
 def implicit_cast(t):
     return t.events.filter(F.get_json_object("props", "$.k").cast("int").between(21, 41)).select("event_id", "props")
 

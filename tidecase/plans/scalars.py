@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tidecase.functions import business, text, timeid
-from tidecase.functions.measures import money_sum
+from tidecase.jobs.scorecard import weight
+from tidecase.operators.slices import with_next, with_prev
 from tidecase.plans.registry import query
 from tidecase.sources.calendar import calendar, days_of
 
@@ -34,8 +35,6 @@ def order_lines(t):
     """,
 )
 def datediff_units(t):
-    from tidecase.operators.slices import with_next
-
     units = {"seconds": "SECOND", "minutes": "MINUTE", "hours": "HOUR", "days": "DAY"}
     stepped = with_next(t.events, ["user_id"], ["ts", "event_id"], {"next_ts": "ts"})
     return stepped.select("event_id", *[timeid.datediff_boundary(u, "ts", "next_ts").alias(n) for n, u in units.items()])
@@ -44,7 +43,8 @@ def datediff_units(t):
 @query(
     "dateadd_units",
     """
-    SELECT event_id, ts + INTERVAL 90 SECOND AS plus_seconds, ts + INTERVAL 20 DAY AS plus_days, ts - INTERVAL 1 YEAR AS last_year, ts + to_hours(CAST(floor(value) AS INT)) AS plus_hours
+    SELECT event_id, ts + INTERVAL 90 SECOND AS plus_seconds, ts + INTERVAL 20 DAY AS plus_days,
+      ts - INTERVAL 1 YEAR AS last_year, ts + to_hours(CAST(floor(value) AS INT)) AS plus_hours
       FROM events
     """,
 )
@@ -60,7 +60,9 @@ def dateadd_units(t):
 
 @query(
     "date_plus_int",
-    "SELECT o_orderkey, o_orderdate + INTERVAL 45 DAY AS due, CAST(o_orderdate AS DATE) - 1 AS day_before FROM orders",
+    """
+    SELECT o_orderkey, o_orderdate + INTERVAL 45 DAY AS due, CAST(o_orderdate AS DATE) - 1 AS day_before FROM orders
+    """,
 )
 def date_plus_int(t):
     return t.orders.select(
@@ -87,7 +89,12 @@ def dateid_to_date(t):
     )
 
 
-@query("date_to_dateid", f"SELECT event_id, {DID.format(c='ts')} AS date_id, hour(ts)*3600+minute(ts)*60+second(ts)+1 AS time_id FROM events")
+@query(
+    "date_to_dateid",
+    f"""
+    SELECT event_id, {DID.format(c='ts')} AS date_id, hour(ts)*3600+minute(ts)*60+second(ts)+1 AS time_id FROM events
+    """,
+)
 def date_to_dateid(t):
     return t.events.select("event_id", timeid.dateid("ts").alias("date_id"), timeid.timeid("ts").alias("time_id"))
 
@@ -100,7 +107,11 @@ def ids_to_ts(t):
 
 @query(
     "date_parts",
-    "SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS d, dayofweek(ts) + 1 AS weekday, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s FROM events",
+    """
+    SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS d, dayofweek(ts) + 1 AS weekday, hour(ts) AS h,
+      minute(ts) AS mi, second(ts) AS s
+      FROM events
+    """,
 )
 def date_parts(t):
     return t.events.select(
@@ -121,7 +132,10 @@ def to_date(t):
 
 @query(
     "prev_business_day",
-    "SELECT o_orderkey, CAST(o_orderdate AS DATE) - CAST(CASE dayofweek(o_orderdate) WHEN 1 THEN 3 WHEN 0 THEN 2 ELSE 1 END AS INT) AS prev_day FROM orders",
+    """
+    SELECT o_orderkey, CAST(o_orderdate AS DATE) - CAST(CASE dayofweek(o_orderdate) WHEN 1 THEN 3 WHEN 0 THEN 2
+      ELSE 1 END AS INT) AS prev_day FROM orders
+    """,
 )
 def prev_business_day(t):
     return t.orders.select("o_orderkey", timeid.prev_business_day("o_orderdate").alias("prev_day"))
@@ -167,7 +181,10 @@ def business_minutes(t):
 
 @query(
     "week_of",
-    "SELECT o_orderkey, CAST(o_orderdate AS DATE) - CAST((dayofweek(o_orderdate) + 2) % 7 AS INT) AS week_of FROM orders",
+    """
+    SELECT o_orderkey, CAST(o_orderdate AS DATE) - CAST((dayofweek(o_orderdate) + 2) % 7 AS INT) AS week_of
+      FROM orders
+    """,
 )
 def week_of(t):
     return t.orders.select("o_orderkey", timeid.week_of("o_orderdate", "Fri").alias("week_of"))
@@ -175,7 +192,9 @@ def week_of(t):
 
 @query(
     "date_literal",
-    "SELECT event_id FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-09' AND CAST(ts AS DATE) < DATE '2024-01-21'",
+    """
+    SELECT event_id FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-09' AND CAST(ts AS DATE) < DATE '2024-01-21'
+    """,
 )
 def date_literal(t):
     day = F.to_date("ts")
@@ -188,7 +207,9 @@ def date_literal(t):
     """
     WITH d AS (SELECT CAST(unnest(generate_series((SELECT MIN(o_orderdate)::DATE FROM orders), (SELECT
       MAX(o_orderdate)::DATE FROM orders), INTERVAL 1 DAY)) AS DATE) AS date)
-    SELECT date, year(date)*10000+month(date)*100+day(date) AS date_id, dayname(date) AS day_name, monthname(date) AS month_name, year(date)*100+month(date) AS month_key, year(date)*10+quarter(date) AS quarter_key,
+    SELECT date, year(date)*10000+month(date)*100+day(date) AS date_id, dayname(date) AS day_name,
+      monthname(date) AS month_name, year(date)*100+month(date) AS month_key,
+      year(date)*10+quarter(date) AS quarter_key,
       dayofweek(date) + 1 AS weekday_key, CASE WHEN dayofweek(date) IN (0, 6) THEN 1 ELSE 0 END AS weekend_flag,
         CASE WHEN month(date)=12 AND day(date)=25 THEN 1 ELSE 0 END AS holiday_flag,
       CASE WHEN dayofweek(date) IN (0, 6) OR (month(date)=12 AND day(date)=25) THEN 0 ELSE 1
@@ -219,9 +240,11 @@ def concat_null(t):
 @query(
     "normalize_phone",
     """
-    WITH x AS (SELECT c_custkey, '(' || lpad(CAST(c_custkey % 900 + 100 AS VARCHAR), 3, '0') || ') 555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone
+    WITH x AS (SELECT c_custkey, '(' || lpad(CAST(c_custkey % 900 + 100 AS VARCHAR), 3,
+      '0') || ') 555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone
       FROM customer)
-    SELECT c_custkey, replace(replace(replace(replace(phone, '(', ''), ')', ''), ' ', ''), '-', '') AS digits, replace(right(phone, 6), '-', '') AS ext
+    SELECT c_custkey, replace(replace(replace(replace(phone, '(', ''), ')', ''), ' ', ''), '-', '') AS digits,
+      replace(right(phone, 6), '-', '') AS ext
       FROM x
     """,
 )
@@ -253,7 +276,11 @@ def parse_user(t):
 
 @query(
     "strip_prefix",
-    "SELECT c_custkey, CAST(replace(c_name, 'Customer#', '') AS INT) AS number, trim(replace(c_name, 'Customer#', '')) AS code FROM customer",
+    """
+    SELECT c_custkey, CAST(replace(c_name, 'Customer#', '') AS INT) AS number, trim(replace(c_name, 'Customer#',
+      '')) AS code
+      FROM customer
+    """,
 )
 def strip_prefix(t):
     code = text.strip_prefix("c_name", "Customer#")
@@ -281,8 +308,10 @@ def null_funcs(t):
 @query(
     "casts",
     """
-    SELECT event_id, CAST(trunc(value) AS INT) AS as_int, CAST(user_id AS BIGINT) AS as_big, CAST(CAST(value AS DECIMAL(9,2)) AS DOUBLE) AS as_numeric, left(CAST(event_id AS VARCHAR), 2) AS short,
-      CAST(ts AS DATE) AS as_date, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS as_float, TRY_CAST(event_type AS INT) AS not_int
+    SELECT event_id, CAST(trunc(value) AS INT) AS as_int, CAST(user_id AS BIGINT) AS as_big,
+      CAST(CAST(value AS DECIMAL(9,2)) AS DOUBLE) AS as_numeric, left(CAST(event_id AS VARCHAR), 2) AS short,
+      CAST(ts AS DATE) AS as_date, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS as_float,
+        TRY_CAST(event_type AS INT) AS not_int
         FROM events
     """,
 )
@@ -336,13 +365,12 @@ def json_value(t):
     WITH n AS (SELECT event_id, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, ts AS b FROM events)
     SELECT event_id, CASE WHEN date_diff('hour', a, b) > 24 THEN date_diff('day', a, b) || ' days'
       WHEN a IS NULL THEN 'No start time'
-      ELSE (date_diff('minute', a, b) // 60) || ':' || lpad(CAST(date_diff('minute', a, b) % 60 AS VARCHAR), 2, '0') || ' Hours'
+      ELSE (date_diff('minute', a, b) // 60) || ':' || lpad(CAST(date_diff('minute', a, b) % 60 AS VARCHAR), 2,
+        '0') || ' Hours'
         END AS label FROM n
     """,
 )
 def duration_label(t):
-    from tidecase.operators.slices import with_prev
-
     stepped = with_prev(t.events, ["user_id"], ["ts", "event_id"], {"since": "ts"})
     return stepped.select("event_id", text.duration_label("since", "ts").alias("label"))
 
@@ -365,7 +393,5 @@ def text_key(t):
     """,
 )
 def rule_weights(t):
-    from tidecase.jobs.scorecard import weight
-
     rules = [("F1-URGENT", 2.25), ("F%", 1.75), ("P4%", 1.25), ("P%", 1.0), ("%5-LOW", 0.5)]
     return t.orders.select("o_orderkey", weight(text.concat_blank("o_orderstatus", "o_orderpriority"), rules).alias("units"))

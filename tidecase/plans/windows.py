@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidecase.functions.business import add_business_days
-from tidecase.functions.timeid import dateid
-from tidecase.operators.events import last_event, numbered, top_n
+from tidecase.jobs.touches import last_on_day
+from tidecase.operators.events import last_event, top_n
 from tidecase.operators.joins import with_group
 from tidecase.operators.shapes import union_padded
-from tidecase.operators.slices import with_prev
+from tidecase.operators.slices import numbered, with_prev
 from tidecase.plans.registry import query
+from tidecase.plans.scalars import CHRISTMAS
 from tidecase.sources.calendar import days_of
-from tidecase.sources.derived import current_status
 
 
 @query(
@@ -36,7 +36,10 @@ def latest_per_key(t):
 
 @query(
     "lag_prev",
-    "SELECT o_orderkey, LAG(o_orderstatus) OVER w AS prev_status, LAG(o_orderdate) OVER w AS prev_date FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
+    """
+    SELECT o_orderkey, LAG(o_orderstatus) OVER w AS prev_status, LAG(o_orderdate) OVER w AS prev_date
+      FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+    """,
 )
 def lag_prev(t):
     return with_prev(
@@ -46,7 +49,10 @@ def lag_prev(t):
 
 @query(
     "rank_ties",
-    "SELECT o_orderkey, RANK() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderdate) AS rnk FROM orders",
+    """
+    SELECT o_orderkey, RANK() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderdate) AS rnk
+      FROM orders
+    """,
 )
 def rank_ties(t):
     return numbered(t.orders, ["o_orderpriority", "o_orderstatus"], ["o_orderdate"], "rnk", ties=True).select("o_orderkey", "rnk")
@@ -69,7 +75,10 @@ def rank_coalesce(t):
 
 @query(
     "count_over",
-    "SELECT l_orderkey, l_linenumber, l_partkey, COUNT(l_partkey) OVER (PARTITION BY l_suppkey) AS supplier_lines FROM lineitem",
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey, COUNT(l_partkey) OVER (PARTITION BY l_suppkey) AS supplier_lines
+      FROM lineitem
+    """,
 )
 def count_over(t):
     return with_group(t.lineitem, ["l_suppkey"], F.count("l_partkey").alias("supplier_lines")).select(
@@ -87,8 +96,6 @@ def count_over(t):
     """,
 )
 def window_in_case(t):
-    from tidecase.jobs.touches import last_on_day
-
     rows = numbered(t.events, ["user_id"], ["ts", "event_id"])
     marked = last_on_day(rows, ["user_id"], "ts", "event_id")
     position = F.when(F.col("event_type") == "view", 0).otherwise(F.col("rn"))
@@ -108,13 +115,17 @@ def window_in_case(t):
     """,
 )
 def nth_business_day(t):
-    from tidecase.plans.scalars import CHRISTMAS
-
     days = days_of(t.orders, "o_orderdate", extra_days=40)
     return add_business_days(t.orders, "o_orderdate", 10, days, "expires", CHRISTMAS).select("o_orderkey", "expires")
 
 
-@query("order_multi", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey")
+@query(
+    "order_multi",
+    """
+    SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders
+      ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey
+    """,
+)
 def order_multi(t):
     return t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy(
         "o_orderpriority", F.col("o_totalprice").desc(), "o_orderkey"
@@ -127,7 +138,13 @@ def order_ordinal(t):
     return t.spark.sql("SELECT l_returnflag, count(*) AS lines FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1")
 
 
-@query("order_expr", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CAST(left(o_orderpriority, 1) AS INT) DESC, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderkey")
+@query(
+    "order_expr",
+    """
+    SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CAST(left(o_orderpriority, 1) AS INT) DESC, CASE
+      WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderkey
+    """,
+)
 def order_expr(t):
     code = F.left("o_orderpriority", F.lit(1)).cast("int")
     return t.orders.orderBy(
