@@ -159,6 +159,14 @@ def test_version_join_respects_gaps(spark):
     assert inner.count() == 3
 
 
+def test_version_join_prefers_the_open_version_at_one_instant(spark):
+    log = spark.createDataFrame([(1, 7, T0, "a"), (2, 7, T0, "b"), (3, 7, T0, "c")], SCHEMA)
+    dim = versions(log, ["key"], ["ts", "id"], ["state"])
+    left = spark.createDataFrame([(7, T0 + dt.timedelta(hours=n)) for n in (0, 1)], "key long, p timestamp_ntz")
+    got = version_join(left, dim, ["key"], "p", "valid_from", "valid_to", {"s": "state"}, end_inclusive=False)
+    assert [r["s"] for r in got.collect()] == ["c", "c"]
+
+
 def test_interval_join_returns_every_overlap_once(spark):
     rng = random.Random(4)
 

@@ -43,10 +43,11 @@ def version_join(
     the last version started at or before the point, then checked against its end: linear in rows, also
     for a key with very many facts and versions. Use ``interval_join`` where intervals overlap.
     """
+    # of versions that start at one instant the open or longest one counts
+    ranked = dim.withColumn("_reach", F.struct(F.col(end).isNull().alias("open"), F.col(end).alias("end")))
     found = asof(
-        left, dim, keys, point, start,
-        {**{out: source for out, source in columns.items()}, "_start": start, "_end": end},
-        strict=False, ties=[end], rows_per_task=rows_per_task, hot=hot,
+        left, ranked, keys, point, start, {**columns, "_start": start, "_end": end},
+        strict=False, ties=["_reach"], rows_per_task=rows_per_task, hot=hot,
     )
     p, e = F.col(point), F.col("_end")
     inside = F.col("_start").isNotNull() & (e.isNull() | ((p <= e) if end_inclusive else (p < e)))
