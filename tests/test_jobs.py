@@ -39,7 +39,7 @@ def kind(log, *names):
 
 
 def test_one_key_is_hot(log):
-    assert [r["_hot0"] for r in hot_keys(log, ["case_id"], "ts", 200).collect()] == [0]
+    assert [r["_hot0"] for r in hot_keys(log, ["case_id"], ["ts"], 200).table.collect()] == [0]
 
 
 def jobs(log, limit):
@@ -69,7 +69,7 @@ def jobs(log, limit):
         "log": eventlog.assemble([kind(log, "view"), kind(log, "error"), kind(log, "view")], limit),
         "turn": turntime.turn_times(
             cases, log, "case_id", "bought", "ts", {"viewed": F.col("status") == "view"},
-            hot_keys(log.select("case_id", "ts", "event_id"), ["case_id"], "ts", limit),
+            hot_keys(log.select("case_id", "ts", "event_id"), ["case_id"], ["ts"], limit),
         ),
     }
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidecase.operators.events import asof, dwell, first_event, last_event, nth_event
 from tidecase.operators.intervals import interval_join, version_join, versions
 from tidecase.operators.joins import left_fan_out, spread_join, with_group
-from tidecase.operators.slices import hot_keys, numbered, with_next, with_prev
+from tidecase.operators.slices import hot_keys, numbered, with_next, with_prev, with_slice
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "id long, key long, ts timestamp_ntz, state string"
@@ -50,9 +50,9 @@ def frame(spark, rows):
 
 
 def test_hot_keys_finds_only_large_keys(frame, rows):
-    found = {r["_hot0"] for r in hot_keys(frame, ["key"], "ts", 50).collect()}
+    found = {r["_hot0"] for r in hot_keys(frame, ["key"], ["ts"], 50).table.collect()}
     assert found == {k for k, g in by_key(rows).items() if len(g) > 50}
-    assert hot_keys(frame, ["key"], "ts").count() == 0
+    assert hot_keys(frame, ["key"], ["ts"]).table.count() == 0
 
 
 @pytest.mark.parametrize("limit", [SMALL, 10**6])
@@ -91,10 +91,10 @@ def test_neighbours(frame, rows, limit):
 
 
 def test_hot_table_of_another_frame_gives_the_same_result(frame, rows):
-    other = hot_keys(frame.filter("ts < '2024-01-01 00:01:00'"), ["key"], "ts", 5)
+    other = hot_keys(frame.filter("ts < '2024-01-01 00:01:00'"), ["key"], ["ts"], 5)
     plain = numbered(frame, ["key"], ["ts", "id"])
     shared = numbered(frame, ["key"], ["ts", "id"], hot=other)
-    assert other.count() > 0
+    assert other.table.count() > 0
     assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, shared.collect()), key=str)
 
 
@@ -244,11 +244,22 @@ def test_sampled_hot_keys_do_not_depend_on_partitioning(spark):
     )
     limit = 40_000  # one row in four
     found = [
-        sorted(map(tuple, hot_keys(rows.repartition(n), ["key"], "ts", limit).collect())) for n in (2, 7)
+        sorted(map(tuple, hot_keys(rows.repartition(n), ["key"], ["ts", "id"], limit).table.collect())) for n in (2, 7)
     ]
     assert found[0] == found[1]
     assert [r[0] for r in found[0]] == [0]
-    assert 8 <= found[0][0][3] <= 12  # 100,000 rows in slices of about 10,000
+    assert 4 <= found[0][0][3] <= 6  # 100,000 rows in parts of about 20,000
     window = Window.partitionBy("key").orderBy("ts", "id")
     plain = rows.withColumn("rn", F.row_number().over(window).cast("bigint"))
     assert numbered(rows, ["key"], ["ts", "id"], rows_per_task=limit).exceptAll(plain).count() == 0
+
+
+def test_rows_at_one_instant_are_split_too(spark):
+    rows = spark.range(5_000).select("id", F.lit(1).alias("key"), F.lit(T0).cast("timestamp_ntz").alias("ts"))
+    hot = hot_keys(rows, ["key"], ["ts", "id"], 400)
+    sizes = with_slice(rows, ["key"], ["ts", "id"], hot).groupBy("_slice").count().collect()
+    assert len(sizes) > 50 and max(r["count"] for r in sizes) < 1000
+    got = numbered(rows, ["key"], ["ts", "id"], rows_per_task=400)
+    assert got.filter("rn <> id + 1").count() == 0
+    near = asof(rows, rows, ["key"], "ts", "ts", {"m": "id"}, strict=False, ties=["id"], rows_per_task=400)
+    assert {r["m"] for r in near.select("m").distinct().collect()} == {4_999}

@@ -32,7 +32,7 @@ def wide_row(
     ``cases``: case_id, pilot, opened, amount; ``log``: case_id, ts, event_id, status; ``sessions``: case_id, worker, ts,
     seconds, role. All first-milestone stages are one aggregation over the log.
     """
-    hot = hot_keys(log.select("case_id", "ts", "event_id"), ["case_id"], "ts")
+    hot = hot_keys(log.select("case_id", "ts", "event_id"), ["case_id"], ["ts", "event_id"])
     turned = turn_times(cases, log, "case_id", "opened", "ts", marks, hot)
     timed = turned.select(
         *cases.columns,

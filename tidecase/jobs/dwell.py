@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidecase.functions.measures import count_if, sum_if
 from tidecase.functions.timeid import datediff_boundary
 from tidecase.operators.joins import spread_join
-from tidecase.operators.slices import ROWS_PER_TASK, hot_keys, with_next
+from tidecase.operators.slices import ROWS_PER_TASK, HotKeys, hot_keys, with_next
 
 
 def visits_to_state(
@@ -18,7 +18,7 @@ def visits_to_state(
     milestone: str,
     as_of: Column,
     rows_per_task: int = ROWS_PER_TASK,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Per case: visits to ``state`` in total, before and after its milestone, and hours spent there.
 
@@ -26,7 +26,7 @@ def visits_to_state(
     not joined before counting, so an event with several reasons counts once.
     """
     if hot is None:
-        hot = hot_keys(log.select("case_id", "ts", "event_id"), ["case_id"], "ts", rows_per_task)
+        hot = hot_keys(log.select("case_id", "ts", "event_id"), ["case_id"], ["ts", "event_id"], rows_per_task)
     stepped = with_next(log, ["case_id"], ["ts", "event_id"], {"_until": "ts"}, rows_per_task, hot)
     visits = stepped.filter(F.col("status") == state)
     seconds = datediff_boundary("SECOND", F.col("ts"), F.coalesce(F.col("_until"), as_of))

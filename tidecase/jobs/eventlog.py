@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecase.operators.slices import ROWS_PER_TASK, numbered
+from tidecase.operators.slices import ROWS_PER_TASK, HotKeys, numbered
 
 
 def assemble(
-    sources: list[DataFrame], rows_per_task: int = ROWS_PER_TASK, hot: DataFrame | None = None
+    sources: list[DataFrame], rows_per_task: int = ROWS_PER_TASK, hot: HotKeys | None = None
 ) -> DataFrame:
     """Union sources of (case_id, status, ts), drop repeats, number the events per case by time."""
     rows = sources[0].select("case_id", "status", "ts")

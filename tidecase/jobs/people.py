@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidecase.operators.intervals import version_join
 from tidecase.operators.joins import semi
+from tidecase.operators.slices import HotKeys
 
 
 def hours_worked(entries: DataFrame, codes: list[int]) -> DataFrame:
@@ -18,7 +19,7 @@ def hours_worked(entries: DataFrame, codes: list[int]) -> DataFrame:
     )
 
 
-def hours_by_leader(hours: DataFrame, leaders: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def hours_by_leader(hours: DataFrame, leaders: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Add the leader at the time: ``leaders`` are versions worker, leader, start_id, end_id."""
     return version_join(hours, leaders, ["worker"], "date_id", "start_id", "end_id", {"leader": "leader"}, hot=hot)
 

@@ -42,7 +42,7 @@ def attribute_messages(
     incoming = semi(received, routed, ["message_id"]).withColumn("action", F.lit("received"))
     thread = F.coalesce("loan", "client").alias("_thread")
     every = replied.select(thread, "ts", "message_id").unionByName(received.select(thread, "ts", "message_id"))
-    hot = hot_keys(every, ["_thread"], "ts", rows_per_task)
+    hot = hot_keys(every, ["_thread"], ["ts"], rows_per_task)
     base = union_padded(outgoing, incoming).withColumn("_thread", thread)
     ranked = numbered(base, ["_thread"], ["ts"], "_rank", ties=True, rows_per_task=rows_per_task, hot=hot)
     started = (F.col("action") == "replied") & (F.col("_rank") == 1)

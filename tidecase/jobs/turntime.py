@@ -9,6 +9,7 @@ from tidecase.functions.measures import int_avg
 from tidecase.functions.timeid import datediff_boundary
 from tidecase.operators.events import milestones
 from tidecase.operators.joins import spread_join
+from tidecase.operators.slices import HotKeys
 
 
 def turn_times(
@@ -18,7 +19,7 @@ def turn_times(
     opened: str,
     ts: str,
     marks: dict[str, Column],
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Cases with the first time of each mark and ``<mark>_days`` / ``<mark>_hours`` since opening.
 

@@ -9,6 +9,7 @@ from tidecase.functions.timeid import datediff_boundary
 from tidecase.operators.slices import (
     ROWS_PER_TASK,
     SLICE,
+    HotKeys,
     carry,
     directed,
     hot_keys,
@@ -71,7 +72,7 @@ def asof(
     how: str = "left",
     ties: list[str] | None = None,
     rows_per_task: int = ROWS_PER_TASK,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Per left row, ``{new name: right column}`` of the nearest right row before (or after) it.
 
@@ -83,7 +84,8 @@ def asof(
         raise ValueError(f"unknown direction {direction!r}")
     forward = direction == "forward"
     ties = ties or []
-    left_rank, right_rank = (0, 1) if strict else (1, 0)
+    # which side comes first among rows at one time, in the direction of travel
+    left_rank, right_rank = (0, 1) if strict != forward else (1, 0)
     tie_columns = [f"_tie{i}" for i in range(len(ties))]
     key_columns = [f"_key{i}" for i in range(len(keys))]
     null_left = F.lit(None).cast(left.schema)
@@ -96,6 +98,7 @@ def asof(
         F.col(left_ts).alias("_ts"),
         F.lit(left_rank).alias("_side"),
         *[F.lit(None).cast(right.schema[t].dataType).alias(a) for t, a in zip(ties, tie_columns)],
+        F.xxhash64(*left.columns).alias("_mix"),
         F.struct(*left.columns).alias("_left"),
         F.lit(None).cast(right_types).alias("_right"),
     )
@@ -104,21 +107,19 @@ def asof(
         F.col(right_ts).alias("_ts"),
         F.lit(right_rank).alias("_side"),
         *[F.col(t).alias(a) for t, a in zip(ties, tie_columns)],
+        F.lit(0).cast("bigint").alias("_mix"),
         null_left.alias("_left"),
         payload.alias("_right"),
     )
     rows = left_rows.unionByName(right_rows)
+    # the hash keeps left rows at one time apart, so that they too can be cut into slices
+    order = ["_ts", "_side", *tie_columns, "_mix"]
     if hot is None:
-        hot = hot_keys(rows.drop("_right"), key_columns, "_ts", rows_per_task)
-    both = with_slice(rows, key_columns, "_ts", hot)
-    order = [
-        *directed(["_ts"], forward),
-        F.col("_side").asc(),
-        *directed(tie_columns, forward),
-    ]
+        hot = hot_keys(rows.drop("_left", "_right"), key_columns, order, rows_per_task)
+    both = with_slice(rows, key_columns, order, hot)
     window = (
         Window.partitionBy(*key_columns, SLICE)
-        .orderBy(*order)
+        .orderBy(*directed(order, forward))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     seen = both.withColumn("_match", F.last("_right", ignorenulls=True).over(window))
@@ -153,7 +154,7 @@ def dwell(
     state: str,
     as_of: Column,
     rows_per_task: int = ROWS_PER_TASK,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Seconds and visits per (key, state); the last interval of a key ends at ``as_of``."""
     ts = order[0]

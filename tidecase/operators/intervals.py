@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidecase.functions.timeid import clock_number
 from tidecase.operators.events import asof
-from tidecase.operators.slices import ROWS_PER_TASK, with_next
+from tidecase.operators.slices import ROWS_PER_TASK, HotKeys, with_next
 
 
 def versions(
@@ -16,7 +16,7 @@ def versions(
     order: list[str],
     columns: list[str],
     rows_per_task: int = ROWS_PER_TASK,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Turn a change log into versions ``[valid_from, valid_to)``; ``valid_to`` is NULL for the last."""
     ts = order[0]
@@ -35,7 +35,7 @@ def version_join(
     end_inclusive: bool = True,
     how: str = "left",
     rows_per_task: int = ROWS_PER_TASK,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Join each left row to the version with ``start <= point <= end`` (or ``< end``).
 

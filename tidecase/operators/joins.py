@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecase.operators.slices import ROWS_PER_TASK, copies, heavy_keys, same_keys
+from tidecase.operators.slices import ROWS_PER_TASK, HotKeys, copies, heavy_keys, same_keys
 
 
 def apply_agg(
@@ -62,7 +62,7 @@ def spread_join(
     keys: list[str],
     how: str = "inner",
     rows_per_task: int = ROWS_PER_TASK,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Join many facts to a lookup with one row per key, facts of heavy keys spread over several tasks.
 
@@ -70,7 +70,7 @@ def spread_join(
     Use it where the result is grouped or joined by the same keys again: adaptive execution leaves a skewed join
     alone there, since splitting it would cost another shuffle. Elsewhere a plain join does.
     """
-    hot = heavy_keys(facts, keys, rows_per_task) if hot is None else hot.select(*copies_of_hot(keys), "_parts")
+    hot = heavy_keys(facts, keys, rows_per_task) if hot is None else hot.table.select(*[f"_hot{i}" for i in range(len(keys))], "_parts")
     salt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*facts.columns), F.col("_parts"))).otherwise(0)
     salted = facts.join(F.broadcast(hot), same_keys(keys, "_hot"), "left").select(
         *facts.columns, salt.cast("int").alias("_salt")
@@ -82,10 +82,6 @@ def spread_join(
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def copies_of_hot(keys: list[str]) -> list[str]:
-    return [f"_hot{i}" for i in range(len(keys))]
-
-
 def left_fan_out(
     lookup: DataFrame, facts: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:

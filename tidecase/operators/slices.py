@@ -1,24 +1,26 @@
 """Ordered per-key computations that stay parallel when one key holds much of the data.
 
 A window partitioned by key sends all rows of a key to one task. Here a key with more than
-``rows_per_task`` rows is cut into consecutive time slices. The window runs per (key, slice), and
-what has to cross a slice border (a row count, a last value) is aggregated per slice, accumulated
+``rows_per_task`` rows is cut into consecutive slices of its order. The window runs per (key, slice),
+and what has to cross a slice border (a row count, a last value) is aggregated per slice, accumulated
 over the slices of the key and joined back.
 
-Hot keys are found on a sample drawn by a hash of the row, about SAMPLE_ROWS rows of a key at the limit. The
-sample, and so the slice of a row, depends on the data alone: a recomputed task puts every row into the same slice as
-before. Rows of one key at one instant share a slice, so ties are resolved inside it. Which keys count as hot decides
-only how rows are spread, never the result. Where the input is the result of a long pipeline, pass
-``hot=hot_keys(narrow columns of the base log, …)`` to spare computing it for the sample.
-
-Size of what is broadcast: a hot key has about ``rows_per_task`` rows or more, so of N rows about
-N / rows_per_task keys at most are hot. With F = FINENESS they have at most (F + 2) N / rows_per_task slices, each giving one
-row to the carried table: for 10^12 rows at the default that is 100,000 keys and 600,000 rows. Raise ``rows_per_task``
-with the executors' memory to lower it.
+A key's time span is cut evenly first; where events crowd, rows drawn by hash serve as further borders, so
+even many rows at one instant are split when the order has more columns. Hot keys and borders come from
+samples drawn by a hash of the row. They, and so the slice of a row, depend on the data alone: a recomputed task puts
+every row into the same slice as before. Which keys count as hot and where borders lie decides only how rows are
+spread, never the result. Where the input is the result of a long pipeline, pass ``hot=hot_keys(narrow columns of
+the base log, …)`` to spare computing it for the samples.
+
+Size of what is broadcast: a hot key has about ``rows_per_task`` rows or more, so of N rows about N / rows_per_task
+keys at most are hot. They have at most (FINENESS + BORDERS + 2) N / rows_per_task slices, each giving one row to the
+carried table: for 10^12 rows at the default that is 100,000 keys and 1.2 million rows. Raise ``rows_per_task`` with
+the executors' memory to lower it.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +30,8 @@ from pyspark.sql import types as T
 from tidecase.functions.timeid import clock_number, day_number
 
 ROWS_PER_TASK = 10_000_000
-FINENESS = 4  # slices are cut this much finer than needed, as events crowd at some times
+FINENESS = 2  # even cuts of the time span per ``rows_per_task`` rows of a hot key
+BORDERS = 8  # further borders per ``rows_per_task`` rows
 SAMPLE_ROWS = 10_000  # expected in the sample for a key of ``rows_per_task`` rows
 SLICE = "_slice"
 
@@ -55,26 +58,48 @@ def copies(keys: list[str], prefix: str) -> list[Column]:
     return [F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
 
 
-def row_sample(df: DataFrame, rows_per_task: int) -> tuple[DataFrame, int]:
-    """One of ``every`` rows, chosen by the hash of the whole row, and ``every``.
+@dataclass(frozen=True)
+class HotKeys:
+    """``table``: hot keys with time bounds and number of parts; ``borders``: further borders per (key, part)."""
+
+    table: DataFrame
+    borders: DataFrame
+
+
+def row_sample(df: DataFrame, every: int) -> DataFrame:
+    """One of ``every`` rows, chosen by the hash of the whole row.
 
     ``df`` should have a row id among its columns, as equal rows are taken or left together.
     """
-    every = max(1, rows_per_task // SAMPLE_ROWS)
-    if every == 1:
-        return df, 1
-    return df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(every)) == 0), every
+    return df if every == 1 else df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(every)) == 0)
+
+
+def order_struct(columns: list[Column]) -> Column:
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(columns)])
+
+
+def time_part(kind: T.DataType, ts: str) -> Column:
+    """Which even part of its key's time span a row is in; rows without a time come first, as NULLs do."""
+    here = position(kind, F.col(ts))
+    share = (here - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
+    number = F.greatest(F.least(F.floor(share * F.col("_parts")).cast("int"), F.col("_parts") - 1), F.lit(0))
+    return F.when(here.isNull(), -1).otherwise(number)
 
 
-def hot_keys(df: DataFrame, keys: list[str], ts: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Keys with more than about ``rows_per_task`` rows, their time bounds and number of slices.
+def hot_keys(
+    df: DataFrame, keys: list[str], order: list[str], rows_per_task: int = ROWS_PER_TASK
+) -> HotKeys:
+    """Keys with more than about ``rows_per_task`` rows and where to cut them.
 
-    Reads all columns of ``df``: select keys, time and a row id before.
+    Reads all columns of ``df``: select keys, order and a row id before. ``order`` may be the first columns only of
+    the order used later.
     """
+    ts = order[0]
     kind = df.schema[ts].dataType
-    sample, every = row_sample(df, rows_per_task)
-    return (
-        sample.groupBy(*keys)
+    every = max(1, rows_per_task // SAMPLE_ROWS)
+    table = (
+        row_sample(df, every)
+        .groupBy(*keys)
         .agg((F.count(F.lit(1)) * every).alias("_rows"), F.min(ts).alias("_first"), F.max(ts).alias("_last"))
         .filter(F.col("_rows") > rows_per_task)
         .select(
@@ -84,32 +109,42 @@ def hot_keys(df: DataFrame, keys: list[str], ts: str, rows_per_task: int = ROWS_
             F.ceil(F.col("_rows") * FINENESS / rows_per_task).cast("int").alias("_parts"),
         )
     )
+    borders = (
+        row_sample(df, max(1, rows_per_task // BORDERS))
+        .join(F.broadcast(table), same_keys(keys, "_hot"))
+        .groupBy(*copies(keys, "_at"), time_part(kind, ts).alias("_at_part"))
+        .agg(F.collect_list(order_struct([F.col(c) for c in order])).alias("_borders"))
+    )
+    return HotKeys(table, borders)
 
 
 def heavy_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Keys with more than about ``rows_per_task`` rows and the number of parts to split them into."""
-    sample, every = row_sample(df, rows_per_task)
+    every = max(1, rows_per_task // SAMPLE_ROWS)
     return (
-        sample.groupBy(*keys)
+        row_sample(df, every)
+        .groupBy(*keys)
         .agg((F.count(F.lit(1)) * every).alias("_rows"))
         .filter(F.col("_rows") > rows_per_task)
         .select(*copies(keys, "_hot"), F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts"))
     )
 
 
-def with_slice(df: DataFrame, keys: list[str], ts: str, hot: DataFrame) -> DataFrame:
-    """Add the slice number of rows of hot keys; NULL for all other rows.
-
-    Rows without a time get slice -1: like NULLs in an ascending order they come first.
-    """
-    here = position(df.schema[ts].dataType, F.col(ts))
-    share = (here - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
-    last = F.col("_parts") - 1
-    number = F.greatest(F.least(F.floor(share * F.col("_parts")).cast("int"), last), F.lit(0))
-    return (
-        df.join(F.broadcast(hot), same_keys(keys, "_hot"), "left")
-        .withColumn(SLICE, F.when(F.col("_parts").isNotNull(), F.when(here.isNull(), -1).otherwise(number)))
-        .select(*df.columns, SLICE)
+def with_slice(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys) -> DataFrame:
+    """Add the slice number of rows of hot keys, rising with their order; NULL for all other rows."""
+    parts = df.join(F.broadcast(hot.table), same_keys(keys, "_hot"), "left").withColumn(
+        "_part", F.when(F.col("_parts").isNotNull(), time_part(df.schema[order[0]].dataType, order[0]))
+    )
+    # compare as many order columns as the borders and the order have in common
+    shared = list(zip(order, hot.borders.schema["_borders"].dataType.elementType.fields))
+    here = order_struct([F.col(c).cast(f.dataType) for c, f in shared])
+    passed = F.size(
+        F.filter("_borders", lambda border: order_struct([border[f.name] for _, f in shared]) <= here)
+    )
+    at = same_keys(keys, "_at") & (F.col("_part") == F.col("_at_part"))
+    return parts.join(F.broadcast(hot.borders), at, "left").select(
+        *df.columns,
+        (F.col("_part").cast("bigint") * 2**31 + F.when(F.col("_borders").isNotNull(), passed).otherwise(0)).alias(SLICE),
     )
 
 
@@ -149,7 +184,7 @@ def numbered(
     descending: bool = False,
     ties: bool = False,
     rows_per_task: int = ROWS_PER_TASK,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Number the rows of each key: ``row_number``, or ``rank`` with ``ties=True``.
 
@@ -157,8 +192,8 @@ def numbered(
     """
     if hot is None:
         # rank orders by time alone, which is no row id
-        hot = hot_keys(df if ties else df.select(*keys, *order), keys, order[0], rows_per_task)
-    sliced = with_slice(df, keys, order[0], hot)
+        hot = hot_keys(df if ties else df.select(*keys, *order), keys, order, rows_per_task)
+    sliced = with_slice(df, keys, order, hot)
     window = Window.partitionBy(*keys, SLICE).orderBy(*directed(order, descending))
     function = F.rank() if ties else F.row_number()
     local = sliced.withColumn("_local", function.over(window))
@@ -174,11 +209,11 @@ def _neighbour(
     columns: dict[str, str],
     descending: bool,
     rows_per_task: int,
-    hot: DataFrame | None,
+    hot: HotKeys | None,
 ) -> DataFrame:
     if hot is None:
-        hot = hot_keys(df.select(*keys, *order), keys, order[0], rows_per_task)
-    sliced = with_slice(df, keys, order[0], hot)
+        hot = hot_keys(df.select(*keys, *order), keys, order, rows_per_task)
+    sliced = with_slice(df, keys, order, hot)
     payload = F.struct(*[F.col(source).alias(out) for out, source in columns.items()])
     window = Window.partitionBy(*keys, SLICE).orderBy(*directed(order, descending))
     local = sliced.withColumn("_near", F.lag(payload).over(window))
@@ -203,7 +238,7 @@ def with_prev(
     order: list[str],
     columns: dict[str, str],
     rows_per_task: int = ROWS_PER_TASK,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add ``{new name: column}`` of the row before, per key."""
     return _neighbour(df, keys, order, columns, False, rows_per_task, hot)
@@ -215,7 +250,7 @@ def with_next(
     order: list[str],
     columns: dict[str, str],
     rows_per_task: int = ROWS_PER_TASK,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add ``{new name: column}`` of the row after, per key."""
     return _neighbour(df, keys, order, columns, True, rows_per_task, hot)

@@ -219,7 +219,7 @@ EVENT_LOG_SQL = """
 def event_log_frame(t):
     events = log(t)
     entered = events.filter("status = 'error' AND value > 50").groupBy("case_id").agg(F.min("ts").alias("entered"))
-    hot = hot_keys(events.select("case_id", "ts", "event_id"), ["case_id"], "ts")
+    hot = hot_keys(events.select("case_id", "ts", "event_id"), ["case_id"], ["ts"])
     later = spread_join(events, entered, ["case_id"], hot=hot).filter("ts > entered")
     status = F.col("status")
     labels = {
@@ -707,7 +707,7 @@ def hours_worked(t):
     entries = worker_hours(t)
     leaders = role_versions(t).select(F.col("user_id").alias("worker"), F.col("role").alias("leader"), "start_id", "end_id")
     changes = role_log(t).select(F.col("user_id").alias("worker"), timeid.dateid("ts").alias("date_id"), "event_id")
-    hot = hot_keys(entries.select("worker", "date_id", "event_id").unionByName(changes), ["worker"], "date_id")
+    hot = hot_keys(entries.select("worker", "date_id", "event_id").unionByName(changes), ["worker"], ["date_id"])
     return people.hours_by_leader(people.hours_worked(entries, [0, 1]), leaders, hot)
 
 

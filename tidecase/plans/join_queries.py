@@ -259,7 +259,7 @@ def role_at(t, facts, worker: str):
     roles = role_versions(t).withColumnRenamed("user_id", worker)
     # hot workers are found in the two base tables: the versions need not be computed for it
     changes = role_log(t).select(F.col("user_id").alias(worker), dateid("ts").alias("date_id"), "event_id")
-    hot = hot_keys(facts.select(worker, "date_id", "event_id").unionByName(changes), [worker], "date_id")
+    hot = hot_keys(facts.select(worker, "date_id", "event_id").unionByName(changes), [worker], ["date_id"])
     return version_join(facts, roles, [worker], "date_id", "start_id", "end_id", {"role": "role"}, hot=hot)
 
 

@@ -28,7 +28,7 @@ def daily_versions(
     The last change of a day counts for the whole day.
     """
     ts = order[0]
-    hot = hot_keys(log.select(*keys, *order), keys, ts, rows_per_task)
+    hot = hot_keys(log.select(*keys, *order), keys, order, rows_per_task)
     daily = last_event(log.withColumn("_day", F.to_date(ts)), [*keys, "_day"], order)
     stepped = with_next(daily.select(*keys, "_day", ts, value), keys, [ts], {"_next": "_day"}, rows_per_task, hot)
     return stepped.select(
