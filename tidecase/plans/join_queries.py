@@ -36,7 +36,7 @@ def by_type(t, kind: str):
     """,
 )
 def star_join(t):
-    # nation and region are reference tables of a few rows; customer is joined by whatever Spark's size statistics allow
+    # nation and region hold a few rows; customer is joined by whatever Spark's size statistics allow
     return (
         t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
         .join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
