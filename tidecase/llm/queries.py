@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidecase.llm.jaccard import jaccard_join
 from tidecase.llm.packing import best_fit_packing
 from tidecase.llm.token_file import token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_grouping_genetic_packing": best_fit_packing,
     "op9_context_range_coder": token_file,
+    "op10_adaptive_prefix_join": jaccard_join,
 }
 
 SQL: dict[str, str] = {}
