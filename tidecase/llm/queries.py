@@ -12,11 +12,13 @@ from tidecase.llm.packing import best_fit_packing
 from tidecase.llm.quantized_search import rotated_codes
 from tidecase.llm.sketch import bottom_k
 from tidecase.llm.token_file import token_file
+from tidecase.llm.toxicity import conditional_field
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_grouping_genetic_packing": best_fit_packing,
     "op3_rotated_bit_codes": rotated_codes,
     "op5_word_first_backoff": word_backoff,
+    "op6_conditional_field": conditional_field,
     "op7_bottom_k_sketch": bottom_k,
     "op9_context_range_coder": token_file,
     "op10_adaptive_prefix_join": jaccard_join,
