@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidecase.llm.jaccard import jaccard_join
 from tidecase.llm.language import word_backoff
+from tidecase.llm.mixture import SQL as MIXTURE_SQL
+from tidecase.llm.mixture import hierarchical_budget
 from tidecase.llm.packing import best_fit_packing
 from tidecase.llm.quantized_search import rotated_codes
 from tidecase.llm.sketch import bottom_k
@@ -20,8 +22,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_word_first_backoff": word_backoff,
     "op6_conditional_field": conditional_field,
     "op7_bottom_k_sketch": bottom_k,
+    "op8_hierarchical_budget": hierarchical_budget,
     "op9_context_range_coder": token_file,
     "op10_adaptive_prefix_join": jaccard_join,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_hierarchical_budget": MIXTURE_SQL,
+}
