@@ -5,14 +5,15 @@ share at least ``l`` of the first ``n - ceil(t n) + l`` shingles of either, for
 plus candidates to verify are estimated to cost least: a longer prefix, but more shared shingles asked for. A pair is a
 candidate when it shares the smaller ``l`` of its two and its positions still allow the resemblance; candidates are verified exactly.
 
-Equal sets are one class and take part once. Groups of near copies would give all their pairs; so each class is
-first verified against a few hubs (for each shingle, the class of least salted hash that has it), and afterwards only pairs
-across the components found so far are joined. No pair that could join two components is left out, so components are exact.
+Equal sets are one class and take part once. A group of near copies would give all its pairs; so while there are many
+pairs, classes are verified against a few hubs of the shingles they share, and shingles whose classes are in one component by then are done with.
+What is left is joined whole, pairs within a component aside: no pair that could join two components is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,12 @@ from tidecase.llm.components import components
 COUNT_BUCKETS = 1 << 17
 MOST_MATCHES = 4
 #: Cost of verifying a candidate against that of reading a posting.
-VERIFY_COST = 20.0
+VERIFY_COST = 1.0
 HUBS = 3
+#: Hub rounds go on while the pairs across components are more than this many times the postings and a round spares a fifth of
+#: them, but not beyond so many rounds. What is left is joined whole in any case.
+PAIRS_PER_POSTING = 3
+MOST_ROUNDS = 8
 #: Bits of the filter for documents whose sets are needed again.
 FILTER_BITS = 1 << 24
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -44,8 +49,8 @@ class _Hashes(dict):
         return h
 
 
-def shingle_set(text: str, words: int, known: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text.
+def shingle_hashes(text: str, words: int, known: dict) -> np.ndarray:
+    """64-bit hashes of the word shingles of a text, in order.
 
     Words: runs of anything but ASCII white space, A-Z lower-cased. Fewer words than a shingle has: all of them as one.
     """
@@ -58,20 +63,32 @@ def shingle_set(text: str, words: int, known: dict) -> np.ndarray:
     for i in range(width):
         mixed = (mixed ^ h[i : i + len(mixed)]) * _MIX[i % len(_MIX)]
         mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    return mixed
+
+
+def shingle_set(text: str, words: int, known: dict) -> np.ndarray:
+    """The distinct ones, sorted."""
+    return np.unique(shingle_hashes(text, words, known))
+
+
+@cache
+def _known() -> _Hashes:
+    """One table per Python worker."""
+    return _Hashes()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    known = _Hashes()
+    known = _known()
     for batch in batches:
         yield batch.column(0).to_pylist(), [shingle_set(t.as_py(), words, known) for t in batch.column(1)]
 
 
 def _count(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNT_BUCKETS, np.int64)
-        for _, sets in _sets(batches, words):
-            counts += np.bincount(np.concatenate([*sets, np.zeros(0, np.uint64)]) % np.uint64(COUNT_BUCKETS), minlength=COUNT_BUCKETS)
+        counts, known = np.zeros(COUNT_BUCKETS, np.int64), _known()
+        for batch in batches:
+            for text in batch.column(1):
+                np.add.at(counts, shingle_hashes(text.as_py(), words, known) & np.uint64(COUNT_BUCKETS - 1), 1)
         full = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(counts[full], pa.int64())], names=["bucket", "n"])
 
@@ -79,7 +96,7 @@ def _count(words: int):
 
 
 def shingle_counts(rows: DataFrame, words: int) -> np.ndarray:
-    """Documents that hold a shingle of each bucket, above the usual load of a bucket; over all documents."""
+    """How often shingles of each bucket occur in all documents, above the usual load of a bucket."""
     counted = rows.mapInArrow(_count(words), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros(COUNT_BUCKETS, np.int64)
     for row in counted.toLocalIterator():  # at most COUNT_BUCKETS rows
@@ -99,7 +116,7 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.nda
     n = len(hashes)
     if not n:
         return np.zeros(0, np.int64), 1
-    seen = np.minimum(counts[(hashes % np.uint64(COUNT_BUCKETS)).astype(np.int64)], (1 << 20) - 1)
+    seen = np.minimum(counts[(hashes & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)], (1 << 20) - 1)
     names = np.sort((seen << 43) | (hashes >> np.uint64(21)).astype(np.int64))
     least = _ceil(percent * n, 100)
     short = n - least + 1
@@ -127,7 +144,7 @@ def _describe(words: int, percent: int, counts):
 def _needed_sets(words: int, needed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(needed.value, np.uint8))
-        known = _Hashes()
+        known = _known()
         for batch in batches:
             keep = bits[batch.column(2).to_numpy(zero_copy_only=False)].astype(bool)
             sets = [shingle_set(t.as_py(), words, known) for t in batch.column(1).filter(pa.array(keep))]
@@ -167,7 +184,27 @@ class _Join:
             F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("matches").alias("matches")
         )
         self.classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-        self.postings = self.classes.select("node", "n", "matches", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"), F.explode("prefix").alias("name"))
+        self.facts = self.classes.select("node", "n", "matches", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"))
+        self.postings = self._shared_postings()
+
+    def _shared_postings(self) -> DataFrame:
+        """``node, name, n, most``: prefix shingles that several classes have. ``most``: how many of its shingles a class can share.
+
+        A prefix shingle that no other class has in its prefix is shared with none. A class that cannot share enough is dropped, which
+        leaves more shingles alone; this is done twice.
+        """
+        rest = self.classes.select("node", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("name"))
+        for turn in range(2):
+            common = rest.groupBy("name").agg(F.count("*").alias("size")).filter("size > 1").select("name")
+            rest = written(rest.select("node", "name", "n", "p").join(common, "name"), f"postings{turn}")
+            able = rest.groupBy("node").agg((F.first("n") - F.first("p") + F.count("*")).alias("most"), F.first("n").alias("_n"))
+            rest = rest.join(able.filter(100 * F.col("most") >= self.percent * F.col("_n")).select("node", "most"), "node")
+        return written(rest.select("node", "name", "n", "most"), "postings")
+
+    def _near(self, a: str, b: str):
+        """Whether sizes and what can be shared allow a link."""
+        t, n_a, n_b, most_a, most_b = self.percent, *(F.col(c + x) for c in ("n_", "most_") for x in (a, b))
+        return (100 * n_a >= t * n_b) & (100 * n_b >= t * n_a) & ((100 + t) * F.least(most_a, most_b) >= t * (n_a + n_b))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs(a, b)`` that link; their sets are computed again from the texts, of classes in pairs only."""
@@ -183,34 +220,73 @@ class _Join:
         right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(self.percent), "a long, b long")
 
-    def hub_links(self) -> DataFrame:
-        """Links of each class with the hub that it shares most shingles with, for each salt."""
-        salts = [F.min(F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), F.col("node").alias("hub"))).alias(f"hub{salt}") for salt in range(HUBS)]
-        hubs = self.postings.groupBy("name").agg(*salts, F.count("*").alias("size")).filter("size > 1")
-        hubs = hubs.select("name", F.explode(F.array_distinct(F.array(*(f"hub{salt}.hub" for salt in range(HUBS))))).alias("hub"))
-        shared = self.postings.join(hubs, "name").filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared"))
-        best = shared.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "hub")), asc=False), 1, HUBS).alias("best"))
-        pairs = best.select("node", F.explode("best.hub").alias("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        return written(self.verified(written(pairs, "hub_pairs")), "hub_links")
-
-    def cross_links(self, found: DataFrame) -> DataFrame:
-        """Links between classes of different components among ``found`` (node, component)."""
-        own = self.postings.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        own = written(own, "postings")
-        mixed = own.groupBy("name").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("name")
-        own = own.join(mixed, "name")
-        a = own.select("name", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "matches", "p", "last", "component")))
-        b = own.select("name", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "matches", "p", "last", "component")))
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs(a, b, shared)`` whose sizes, shared prefix shingles and positions allow a link."""
+        for side in "ab":
+            pairs = pairs.join(self.facts.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "matches", "p", "last"))), side)
         t = self.percent
-        # Sizes first: the smaller set must be large enough for the larger one.
-        near = (F.col("component_a") < F.col("component_b")) & (100 * F.col("n_a") >= t * F.col("n_b")) & (100 * F.col("n_b") >= t * F.col("n_a"))
-        shared = a.join(b, (a["name"] == b["name"]) & near).groupBy("node_a", "node_b").agg(
-            F.count("*").alias("shared"), *(F.first(f"{c}_{s}").alias(f"{c}_{s}") for c in ("n", "matches", "p", "last") for s in "ab")
-        )
+        sizes = (100 * F.col("n_a") >= t * F.col("n_b")) & (100 * F.col("n_b") >= t * F.col("n_a"))
         # Beyond the prefix that ends earlier in the common order, each of that set's shingles could still be shared.
         bound = F.col("shared") + F.when(F.col("last_a") < F.col("last_b"), F.col("n_a") - F.col("p_a")).otherwise(F.col("n_b") - F.col("p_b"))
         enough = (F.col("shared") >= F.least("matches_a", "matches_b")) & ((100 + t) * bound >= t * (F.col("n_a") + F.col("n_b")))
-        return self.verified(written(shared.filter(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "cross_pairs"))
+        return pairs.filter(sizes & enough)
+
+    def placed(self, found: DataFrame | None) -> DataFrame:
+        """The postings with their components; a class that is linked with none yet is its own."""
+        if found is None:
+            return self.postings.withColumn("component", F.col("node"))
+        own = self.postings.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = own.groupBy("name").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("name")
+        return written(own.join(mixed, "name").select("node", "name", "n", "most", "component"), "mixed_postings")
+
+    @staticmethod
+    def load(own: DataFrame) -> tuple[int, int]:
+        """Postings, and pairs of them across components."""
+        parts = own.groupBy("name", "component").agg(F.count("*").alias("c")).groupBy("name").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        row = parts.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
+        return int(row[0] or 0), int(row[1] or 0)
+
+    def hub_links(self, own: DataFrame, turn: int) -> DataFrame:
+        """Links of each class with those hubs of other components that it shares most shingles with.
+
+        For each shingle, the class that shares the largest part of its prefix with others is a hub (in a group of edited copies, one near the
+        original), and classes of least salted hash. A pair's shared shingles are counted where one is a hub: some links are missed here, none is made up.
+        """
+        widely = own.groupBy("node").agg(F.count("*").alias("w")).join(self.facts, "node").select("node", (F.col("w") / F.col("p")).alias("w"))
+        own = own.join(widely, "node")
+        least = [F.min(F.struct(F.xxhash64(F.lit(HUBS * turn + salt), "node").alias("h"), F.col("node").alias("hub")))["hub"] for salt in range(1, HUBS)]
+        hubs = own.groupBy("name").agg(F.array_distinct(F.array(F.max(F.struct("w", "node"))["node"], *least)).alias("hubs")).select("name", F.explode("hubs").alias("hub"))
+        places = own.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")).distinct()
+        shared = own.join(hubs, "name").filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared"), F.first("component").alias("component"))
+        shared = shared.join(places, "hub").filter("component <> hub_component").select(F.col("node").alias("a"), F.col("hub").alias("b"), "shared")
+        best = self.possible(shared).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "b")), asc=False), 1, 2 * HUBS).alias("best"))
+        pairs = best.select("a", F.explode("best.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return self.verified(written(pairs, "hub_pairs"))
+
+    def cross_links(self, own: DataFrame) -> DataFrame:
+        """All links between classes of different components."""
+        own = own.select("name", "node", "component", "n", "most")
+        a, b = own.toDF("name_a", "a", "component_a", "n_a", "most_a"), own.toDF("name_b", "b", "component_b", "n_b", "most_b")
+        near = (F.col("component_a") < F.col("component_b")) & self._near("a", "b")
+        shared = a.join(b, (a["name_a"] == b["name_b"]) & near).groupBy("a", "b").agg(F.count("*").alias("shared"))
+        return self.verified(written(self.possible(shared).select("a", "b"), "cross_pairs"))
+
+    def found(self) -> DataFrame:
+        """``node, component`` of every class that has a link."""
+        links = found = None
+        own = self.placed(None)
+        before = float("inf")
+        for turn in range(MOST_ROUNDS):
+            postings, pairs = self.load(own)
+            if pairs <= PAIRS_PER_POSTING * max(postings, 100_000) or pairs > 0.8 * before:
+                break
+            before = pairs
+            more = self.hub_links(own, turn)
+            links = written(more if links is None else links.union(more), f"links{turn}")
+            found = components(links)
+            own = self.placed(found)
+        last = self.cross_links(own)
+        return components(last if links is None else links.union(last))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -221,9 +297,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     repeat an id are separate documents. A null ``doc_id`` is larger than any other. Other columns are not read.
     """
     join = _Join(docs, words, percent)
-    first = join.hub_links()
-    links = written(first.union(join.cross_links(components(first))), "links")
-    found = components(links)
+    found = join.found()
     labelled = join.classes.join(found, "node", "left").select("key", "least", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = written(labelled.join(least, "component").select("key", "component_id"), "labels")

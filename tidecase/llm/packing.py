@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecase.llm.common import table, text_or_empty, written
-from tidecase.llm.tokens import TextEncoder
+from tidecase.llm.tokens import shared_encoder
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
@@ -38,7 +38,7 @@ _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32
 
 def _cut(size: int, end_id: int, tokenizer: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = TextEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, tail = shared_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             out: list[tuple] = []

@@ -11,6 +11,8 @@ from tidecase.llm.language import word_backoff
 from tidecase.llm.mixture import SQL as MIXTURE_SQL
 from tidecase.llm.mixture import hierarchical_budget
 from tidecase.llm.packing import best_fit_packing
+from tidecase.llm.placement import SQL as PLACEMENT_SQL
+from tidecase.llm.placement import permutation_table
 from tidecase.llm.quantized_search import rotated_codes
 from tidecase.llm.sketch import bottom_k
 from tidecase.llm.token_file import token_file
@@ -19,6 +21,7 @@ from tidecase.llm.toxicity import conditional_field
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_grouping_genetic_packing": best_fit_packing,
     "op3_rotated_bit_codes": rotated_codes,
+    "op4_permutation_table": permutation_table,
     "op5_word_first_backoff": word_backoff,
     "op6_conditional_field": conditional_field,
     "op7_bottom_k_sketch": bottom_k,
@@ -28,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_permutation_table": PLACEMENT_SQL,
     "op8_hierarchical_budget": MIXTURE_SQL,
 }

@@ -1,7 +1,7 @@
 """Token-id output: documents as one stream of ids in document order, stored as independent compressed blocks.
 
 Format: Parquet rows ``(part, block_no, n_ids, n_docs, block)``. ``part`` counts the ranges of ascending ids; the stream of a part is
-cut every ``BLOCK_IDS`` ids. ``block`` is, little-endian, a header (magic, version, ids, documents, the block's most
+cut into blocks of ``BLOCK_IDS`` ids at most, between documents where they fit into one. ``block`` is, little-endian, a header (magic, version, ids, documents, the block's most
 frequent id, offset in the part's stream, crc32 of its ids), one entry ``(doc_id, start in the stream, length)`` for each
 document that has ids in it, the range coder's output, and a crc32 of all that. A block is decoded from itself alone.
 Spark's writer commits the files, so a lost executor or a second attempt leaves no half-written block.
@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,8 @@ from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from tidecase.llm import context_coder
-from tidecase.llm.common import partitions, shared_path, table, text_or_empty
-from tidecase.llm.tokens import TextEncoder
+from tidecase.llm.common import partitions, shared_path, table, text_or_empty, written
+from tidecase.llm.tokens import shared_encoder
 
 BLOCK_IDS = 2048
 VOCABULARY = 50_257
@@ -68,49 +69,46 @@ def unpack_blocks(blocks: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray
     return out
 
 
-def _coded_rows(part: int, first_no: int, ids: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
-    """Rows of consecutive blocks; ``ids`` start at block ``first_no``'s offset."""
-    base = first_no * BLOCK_IDS
-    cuts = [ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS)]
-    coded = context_coder.encode(cuts, VOCABULARY)
-    ends = docs["start"] + docs["length"]
-    rows: list[tuple] = []
-    for k, (cut, code) in enumerate(zip(cuts, coded)):
-        offset = base + k * BLOCK_IDS
-        own = docs[np.searchsorted(ends, offset, "right") : np.searchsorted(docs["start"], offset + len(cut))]
-        rows.append((part, first_no + k, len(cut), len(own), pack_block(cut, code, context_coder.most_common(cut), offset, own)))
-    columns = list(zip(*rows))
+def _coded_rows(part: int, first_no: int, blocks: list[tuple[int, bytes, list[tuple]]]) -> pa.RecordBatch:
+    """Rows of consecutive blocks, each given as (offset in the stream, ids, document entries)."""
+    ids = [np.frombuffer(raw, "<u4").astype(np.int32) for _, raw, _ in blocks]
+    coded = context_coder.encode(ids, VOCABULARY)
+    rows = [
+        (part, first_no + k, len(own), len(docs), pack_block(own, code, context_coder.most_common(own), offset, np.array(docs, _ENTRY)))
+        for k, ((offset, _, docs), own, code) in enumerate(zip(blocks, ids, coded))
+    ]
     types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "block_no", "n_ids", "n_docs", "block"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["part", "block_no", "n_ids", "n_docs", "block"])
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch], encode, tail: bytes) -> Iterator[tuple[int, bytes, list[tuple]]]:
+    """The stream cut into blocks: a document that fits into a block is not cut."""
+    size = 4 * BLOCK_IDS
+    open_ids, open_docs, offset, total = bytearray(), [], 0, 0  # total: bytes of ids so far
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids = encode(text.as_py()) + tail
+            entry = (doc_id or 0, total // 4, len(ids) // 4, doc_id is None)
+            if open_ids and len(open_ids) + len(ids) > size:
+                yield offset, bytes(open_ids), open_docs
+                open_ids, open_docs, offset = bytearray(), [], total // 4
+            total += len(ids)
+            while len(ids) > size:
+                yield offset, ids[:size], [entry]
+                ids, offset = ids[size:], offset + BLOCK_IDS
+            open_ids += ids
+            open_docs.append(entry)
+    if open_ids:
+        yield offset, bytes(open_ids), open_docs
 
 
 def _write_part(end_id: int, tokenizer: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, tail = TextEncoder(tokenizer), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
-        waiting, docs = bytearray(), []
-        written = total = 0  # blocks out; ids so far
-        room = 4 * BLOCK_IDS * LANES
-
-        def take(n: int) -> pa.RecordBatch:
-            nonlocal written, docs
-            ids = np.frombuffer(bytes(waiting[: 4 * n]), "<u4").astype(np.int32)
-            del waiting[: 4 * n]
-            entries = np.array(docs, _ENTRY)
-            rows = _coded_rows(part, written, ids, entries)
-            written += rows.num_rows
-            docs = [d for d in docs if d[1] + d[2] > written * BLOCK_IDS]
-            return rows
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py()) + tail
-                docs.append((doc_id or 0, total, len(ids) // 4, doc_id is None))
-                total += len(ids) // 4
-                waiting += ids
-                while len(waiting) >= room:
-                    yield take(room // 4)
-        if waiting:
-            yield take(len(waiting) // 4)
+        part, tail, done = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes(), 0
+        blocks = _blocks_of(batches, shared_encoder(tokenizer).encode, tail)
+        while some := list(islice(blocks, LANES)):
+            yield _coded_rows(part, done, some)
+            done += len(some)
 
     return run
 
@@ -204,10 +202,11 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
-    fragments = blocks.select("part", "block").mapInArrow(_fragments, _FRAGMENTS)
-    docs = fragments.groupBy("part", "start", "doc_id", "n_tokens").agg(F.collect_list(F.struct("at", "n", "crc")).alias("parts"))
-    crc = F.when(F.size("parts") == 1, F.col("parts")[0]["crc"]).otherwise(_crc_of_parts("parts"))
-    return docs.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", crc.alias("ids_crc32"))
+    fragments = written(blocks.select("part", "block").mapInArrow(_fragments, _FRAGMENTS), "fragments")
+    whole = fragments.filter("n = n_tokens").select("part", "start", "doc_id", "n_tokens", "crc")
+    cut = fragments.filter("n < n_tokens").groupBy("part", "start", "doc_id", "n_tokens").agg(F.collect_list(F.struct("at", "n", "crc")).alias("parts"))
+    docs = whole.union(cut.select("part", "start", "doc_id", "n_tokens", _crc_of_parts("parts")))
+    return docs.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32"))
 
 
 def token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import cache
 
 from public_tokenizers import path as tokenizer_path
 from tokenizers import Tokenizer
@@ -60,3 +61,9 @@ class TextEncoder(dict):
             return self._whole(text)
         pieces = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
         return b"".join(map(self.__getitem__, pieces))
+
+
+@cache
+def shared_encoder(file: str | None = None) -> TextEncoder:
+    """One encoder per Python worker: its remembered pieces serve all tasks that the worker runs."""
+    return TextEncoder(file)
