@@ -13,12 +13,14 @@ from tidecase.llm.mixture import hierarchical_budget
 from tidecase.llm.packing import best_fit_packing
 from tidecase.llm.placement import SQL as PLACEMENT_SQL
 from tidecase.llm.placement import permutation_table
+from tidecase.llm.quality import empirical_bayes
 from tidecase.llm.quantized_search import rotated_codes
 from tidecase.llm.sketch import bottom_k
 from tidecase.llm.token_file import token_file
 from tidecase.llm.toxicity import conditional_field
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_empirical_bayes_quality": empirical_bayes,
     "op2_grouping_genetic_packing": best_fit_packing,
     "op3_rotated_bit_codes": rotated_codes,
     "op4_permutation_table": permutation_table,
