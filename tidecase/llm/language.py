@@ -125,6 +125,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_score(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is determined with a score of ``least`` or more, all columns as they are."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.score(t.as_py() or "") for t in batch.column(at)]
+            yield batch.filter(pa.array([name != UNDETERMINED and score >= least for name, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Fit on the documents outside the held-out fold, then predict all."""
     return predict(docs, fit(docs.select("doc_id", "text", "lang"), crc_fold("doc_id", 4) != 2))

@@ -41,14 +41,14 @@ def split_budget(nodes: DataFrame, parent: Sequence[str]) -> DataFrame:
     """``nodes`` with ``given``: the parents' ``budget`` split by ``weight``, none above its ``supply``.
 
     Siblings in order of ``supply / weight``: up to some place all are exhausted, and the others share what is left by weight. That place is the
-    first whose share at the common rate is no more than its supply.
+    first whose share at the common rate is no more than its supply; from there on rates fall, so it has the largest rate of such places.
     """
     order = [F.col("supply") / F.col("weight"), F.col("node")]
     up_to = Window.partitionBy(*parent).orderBy(*order)
     before = F.coalesce(F.sum("supply").over(up_to.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     onward = F.sum("weight").over(up_to.rowsBetween(0, Window.unboundedFollowing))
     rated = nodes.withColumn("rate", (F.col("budget") - before) / onward)
-    rate = F.min(F.when(F.col("rate") * F.col("weight") <= F.col("supply"), F.col("rate"))).over(Window.partitionBy(*parent))
+    rate = F.max(F.when(F.col("rate") * F.col("weight") <= F.col("supply"), F.col("rate"))).over(Window.partitionBy(*parent))
     rated = rated.withColumn("rate", rate)
     given = F.when(F.col("rate").isNull(), F.col("supply")).otherwise(F.least(F.col("supply"), F.floor(F.col("rate") * F.col("weight"))))
     return rated.withColumn("given", given.cast("long")).drop("rate")
@@ -134,7 +134,7 @@ def _level_sql(name: str, path: list[str], above: str) -> str:
   (SELECT {cols}, sum(supply)::BIGINT AS supply, 1::BIGINT AS weight FROM tree GROUP BY {cols}) n JOIN {above} u ON {match}),
 {name}_r AS (SELECT *, (budget - coalesce(sum(supply) OVER (PARTITION BY {parent} ORDER BY supply / weight, {path[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
   / (sum(weight) OVER (PARTITION BY {parent} ORDER BY supply / weight, {path[-1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS r FROM {name}_n),
-{name}_m AS (SELECT *, min(CASE WHEN r * weight <= supply THEN r END) OVER (PARTITION BY {parent}) AS rate FROM {name}_r),
+{name}_m AS (SELECT *, max(CASE WHEN r * weight <= supply THEN r END) OVER (PARTITION BY {parent}) AS rate FROM {name}_r),
 {name} AS (SELECT {cols}, (CASE WHEN rate IS NULL THEN supply ELSE least(supply, floor(rate * weight)::BIGINT) END)::BIGINT AS budget FROM {name}_m)"""
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from tidecase.llm.jaccard import jaccard_join
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hierarchical_budget": hierarchical_budget,
     "op9_context_range_coder": token_file,
     "op10_adaptive_prefix_join": jaccard_join,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
