@@ -39,7 +39,7 @@ class Model:
         parts = []
         # Words as they are; n-grams behind a mark that no word holds, so that both fit one table.
         for mark, counts in (("", words), ("\x00", grams)):
-            n = np.array(list(counts.values()), np.float64).reshape(-1, len(languages))
+            n = np.array(list(counts.values()), np.float64).reshape(len(counts), len(languages))
             self.rows |= {mark + token: len(self.rows) + i for i, token in enumerate(counts)}
             parts.append(np.log((n + 0.5) / (n.sum(0) + 0.5 * len(n) + 1)))
         self.logs = np.concatenate(parts) if self.rows else np.zeros((0, len(languages)))

@@ -83,7 +83,7 @@ def select_prefixes(docs: DataFrame, budgets: DataFrame, seed: int = SEED, max_e
     """
     keys = list(levels)
     given = budgets.select(*keys, F.floor(F.col("given") / F.col("tokens")).alias("whole"), (F.col("given") % F.col("tokens")).alias("rest"))
-    own = docs.join(given, keys)
+    own = docs.filter("tokens > 0").join(given, keys)
     width = (1 << 48) // SLOTS
     full = own.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole")))).withColumn("take", F.col("tokens"))
     part = own.filter("rest > 0").withColumn("epoch", F.col("whole") + 1)
@@ -152,10 +152,10 @@ root AS (SELECT (sum(tokens)::BIGINT * {BUDGET_PERCENT} // 100)::BIGINT AS budge
 {_level_sql("l3", ["domain", "lang", "source"], "l2")},
 given AS (SELECT l.domain, l.lang, l.source, b.budget // l.tokens AS whole, b.budget % l.tokens AS rest
   FROM leaves l JOIN l3 b ON l.domain = b.domain AND l.lang = b.lang AND l.source = b.source),
-own AS (SELECT c.*, g.whole, g.rest FROM counted c JOIN given g ON c.domain = g.domain AND c.lang = g.lang AND c.source = g.source),
+own AS (SELECT c.*, g.whole, g.rest FROM counted c JOIN given g ON c.domain = g.domain AND c.lang = g.lang AND c.source = g.source WHERE c.tokens > 0),
 part AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source
     ORDER BY substr(md5('{SEED}:' || (whole + 1)::VARCHAR || ':' || doc_id::VARCHAR), 1, 12), doc_id) - tokens AS before FROM own WHERE rest > 0)
 SELECT doc_id, domain, lang, source, e::INTEGER AS epoch, tokens, tokens AS take FROM own, LATERAL (SELECT unnest(range(1, whole + 1)) AS e)
 UNION ALL
-SELECT doc_id, domain, lang, source, (whole + 1)::INTEGER, tokens, least(tokens, rest - before)::BIGINT FROM part WHERE before < rest AND tokens > 0
+SELECT doc_id, domain, lang, source, (whole + 1)::INTEGER, tokens, least(tokens, rest - before)::BIGINT FROM part WHERE before < rest
 """
