@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidecase.functions import business, measures, text, timeid
-from tidecase.sources.calendar import calendar, days_of
+from tidecase.sources.calendar import calendar
 
 D = dt.datetime
 
@@ -94,11 +94,38 @@ def test_business_days_and_expiry_match_counting(spark):
     frame = spark.createDataFrame([(a, b) for a in days[::3] for b in days if b >= a], "a date, b date")
     for r in frame.withColumn("n", business.business_days("a", "b", HOLIDAYS)).collect():
         assert r["n"] == plain_business_days(r["a"], r["b"])
-    cal = days_of(spark.createDataFrame([(d,) for d in days], "d date"), "d", extra_days=30)
     starts = spark.createDataFrame([(d,) for d in days], "a date")
-    for r in business.add_business_days(starts, "a", 10, cal, "x", HOLIDAYS).collect():
-        assert plain_business_days(r["a"] + dt.timedelta(1), r["x"]) == 10
-        assert r["x"].weekday() < 5 and r["x"] not in HOLIDAYS
+    for n in (1, 10, 500):
+        for r in starts.withColumn("x", business.add_business_days("a", n, HOLIDAYS)).collect():
+            assert plain_business_days(r["a"] + dt.timedelta(1), r["x"]) == n
+            assert r["x"].weekday() < 5 and r["x"] not in HOLIDAYS
+
+
+@pytest.mark.parametrize("yearly", [(12, 25), (2, 29), (7, 4)])
+def test_yearly_holidays_in_any_year(spark, yearly):
+    def off(d):
+        return d.weekday() >= 5 or (d.month, d.day) == yearly
+
+    starts = [dt.date(y, m, 20) for y in (1899, 1968, 1969, 1970, 2003, 2024, 2399) for m in (2, 6, 12)]
+    frame = spark.createDataFrame([(d, d + dt.timedelta(900)) for d in starts], "a date, b date")
+    out = frame.select("a", "b", business.business_days("a", "b", [yearly]).alias("n"), business.add_business_days("a", 600, [yearly]).alias("x"))
+    for a, b, n, x in out.collect():
+        assert n == sum(not off(a + dt.timedelta(k)) for k in range(901))
+        assert not off(x) and sum(not off(a + dt.timedelta(k)) for k in range(1, (x - a).days + 1)) == 600
+
+
+@pytest.mark.parametrize("low, high", [(0, 99991231), (201706099, 201712319), (20170100, 99999999), (19000101, 201706099)])
+def test_dateid_bounds_beyond_the_calendar(spark, low, high):
+    days = [dt.date(1, 1, 1), dt.date(1900, 1, 1), dt.date(2017, 5, 31), dt.date(2017, 7, 1), dt.date(9999, 12, 31)]
+    frame = spark.createDataFrame([(d,) for d in days], "d date")
+    expected = [d for d in days if low <= d.year * 10000 + d.month * 100 + d.day <= high]
+    assert sorted(r["d"] for r in frame.filter(timeid.dateid_between("d", low, high)).collect()) == expected
+
+
+@pytest.mark.parametrize("value, expected", [("NaN", False), ("Infinity", False), ("1e3", True), (" -.5 ", True), ("1d", False), ("", False), (None, False), ("12.", True)])
+def test_numbers_in_text(spark, value, expected):
+    frame = spark.createDataFrame([(value,)], "a string")
+    assert frame.select(text.is_numeric("a")).first()[0] is expected
 
 
 def test_business_minutes(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidecase.functions.timeid import at_midnight
-from tidecase.jobs import billing, cohort, dwell, eventlog, history, people, process, reasons, scorecard, threads, turntime
+from tidecase.jobs import billing, cohort, dwell, eventlog, history, matching, people, pipeline, process, reasons, scorecard, threads, turntime
 from tidecase.operators.slices import hot_keys
 from tidecase.sources.derived import daily_versions
 from tidecase.sources.tables import Tables
@@ -153,3 +153,33 @@ def test_speed_report_labels_total(spark):
     assert got == [
         ("p", "2024-01-03", 1, 10.0, 1.0, 1.0), ("p", "Total", 2, 15.0, 0.5, 1.0), ("p", "Unknown", 1, 20.0, 0.0, None),
     ]
+
+
+def test_scorecard_keeps_cases_without_a_worker_apart(spark):
+    statuses = spark.createDataFrame([(None, 1), (0, 2), (5, None)], "worker long, units long").withColumn("units", F.col("units").cast("decimal(9,2)"))
+    closings = spark.createDataFrame([(None, 4), (7, 8)], "worker long, units long").withColumn("units", F.col("units").cast("decimal(9,2)"))
+    out = {r["worker"]: r for r in scorecard.unit_scorecard(statuses, closings, "worker").collect()}
+    assert set(out) == {None, 0, 5, 7} and len(out) == 4
+    assert out[None]["total"] == 0.75 * 1 + 0.25 * 4 and out[0]["total"] == 1.5 and out[5]["unmapped"] == 1
+
+
+def test_people_by_preferred_names_and_not_by_blank_ones(spark):
+    staff = spark.createDataFrame(
+        [(1, "Robert", "Smithers", "12", "Bob", None), (2, "Ann", "Lee", "12", None, "Leeds")],
+        "worker int, first_name string, last_name string, ext string, preferred_first string, preferred_last string",
+    )
+    typed = ["Robert Smith - 12", "bob SMITHERS - 12", "Ann Leeds - 12", "Ann - 12", "Bob Lee - 12", "Ann Lee - 13"]
+    entries = spark.createDataFrame([(t,) for t in typed], "user_text string")
+    found = rows(matching.resolve_people(entries, staff))
+    assert found == sorted([("Robert Smith - 12", 1), ("bob SMITHERS - 12", 1), ("Ann Leeds - 12", 2)], key=str)
+    plain = staff.drop("preferred_first", "preferred_last")
+    assert rows(matching.resolve_people(entries, plain)) == [("Robert Smith - 12", 1)]
+
+
+def test_pipeline_window_opens_with_what_was_there(spark):
+    versions = spark.createDataFrame(
+        [("a", 20240101, 20240103), ("a", 20240102, None), ("a", 20240106, 20240107), ("b", 20240120, None)], "state string, start_id int, end_id int"
+    )
+    out = pipeline.pipeline_size(versions, F.lit(dt.date(2024, 1, 3)), F.lit(dt.date(2024, 1, 8)))
+    assert [r["cases"] for r in sorted(out.filter("state = 'a'").collect(), key=lambda r: r["day"])] == [2, 1, 1, 2, 2, 1]
+    assert {r["cases"] for r in out.filter("state = 'b'").collect()} == {0}

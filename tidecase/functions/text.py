@@ -43,7 +43,9 @@ def strip_prefix(c: Column | str, prefix: str) -> Column:
 
 
 def is_numeric(c: Column | str) -> Column:
-    return _col(c).try_cast("double").isNotNull()
+    """Whether a text is a decimal number; ``NaN`` and ``Infinity`` are none."""
+    text = F.trim(_col(c).cast("string"))
+    return F.coalesce(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), F.lit(False))
 
 
 def duration_label(a: Column | str, b: Column | str, none: str = "No start time") -> Column:

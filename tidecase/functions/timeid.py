@@ -89,6 +89,7 @@ def dateid_between(c: Column | str, low: int, high: int) -> Column:
     """
 
     def month_start(number: int) -> dt.date:
+        number = min(max(number, 12), 12 * 9999 + 11)  # bounds may lie beyond any calendar
         return dt.date(number // 12, number % 12 + 1, 1)
 
     def month_number(date_id: int) -> int:
@@ -96,7 +97,10 @@ def dateid_between(c: Column | str, low: int, high: int) -> Column:
 
     day = F.to_date(_col(c))
     first, after = month_start(month_number(low)), month_start(month_number(high) + 1)
-    return (day >= F.lit(first)) & (day < F.lit(after)) & dateid(c).between(low, high)
+    within = dateid(c).between(low, high)
+    if first > dt.date(1, 1, 1):
+        within = (day >= F.lit(first)) & within
+    return (day < F.lit(after)) & within if after < dt.date(9999, 12, 1) else within
 
 
 def at_midnight(text: str) -> Column:

@@ -13,19 +13,21 @@ from tidecase.operators.joins import with_group
 def resolve_people(entries: DataFrame, staff: DataFrame) -> DataFrame:
     """Add ``worker`` to entries whose ``user_text`` ("First Last - ext") fits a person.
 
-    Extension and first name must be equal (an equi join); the last name may be cut short, so it is
-    tested by containment on the few people left.
+    The extension must be equal (an equi join); names are tested on the few people left, without regard to case. The first
+    name is the person's or the preferred one; the last name may be cut short, of either last name, but not blank.
+    ``staff`` may lack ``preferred_first`` and ``preferred_last``.
     """
     parsed = entries.withColumn("_p", parse_user("user_text"))
+    names = {"_first": "first_name", "_last": "last_name", "_first2": "preferred_first", "_last2": "preferred_last"}
+    none = F.lit(None).cast("string")
     people = staff.select(
-        "worker", F.col("ext").alias("_ext"), F.col("first_name").alias("_first"), F.col("last_name").alias("_last")
+        "worker", F.col("ext").alias("_ext"), *[(F.lower(c) if c in staff.columns else none).alias(a) for a, c in names.items()]
     )
-    on = (
-        (F.col("_ext") == F.col("_p.ext"))
-        & (F.col("_first") == F.col("_p.first_name"))
-        & F.col("_last").contains(F.col("_p.last_name"))
-    )
-    return parsed.join(people, on).drop("_p", "_ext", "_first", "_last")
+    first, last = F.lower("_p.first_name"), F.lower("_p.last_name")
+    fits_first = F.coalesce(F.col("_first") == first, F.lit(False)) | F.coalesce(F.col("_first2") == first, F.lit(False))
+    fits_last = F.coalesce(F.contains("_last", last), F.lit(False)) | F.coalesce(F.contains("_last2", last), F.lit(False))
+    on = (F.col("_ext") == F.col("_p.ext")) & fits_first & (last != "") & fits_last
+    return parsed.join(people, on).drop("_p", "_ext", *names)
 
 
 def nearest_clearance(entries: DataFrame, clearances: DataFrame) -> DataFrame:

@@ -51,7 +51,10 @@ def unit_scorecard(
             F.count(F.when(F.col("units").isNull(), 1)).alias(f"{name}_unmapped"),
         )
 
-    both = side(statuses, "status").join(side(closings, "closing"), worker, "full").fillna(0)
+    both = side(statuses, "status").join(side(closings, "closing").withColumnRenamed(worker, "_worker"), F.col(worker).eqNullSafe(F.col("_worker")), "full")
+    both = both.withColumn(worker, F.coalesce(worker, "_worker")).drop("_worker")
+    # cases without a worker stay together under NULL
+    both = both.fillna(0, [c for c in both.columns if c != worker])
     total = F.col("status_units") * status_share + F.col("closing_units") * closing_share
     unmapped = F.col("status_unmapped") + F.col("closing_unmapped")
     return both.select(

@@ -20,7 +20,6 @@ from tidecase.plans.join_queries import (
 )
 from tidecase.plans.registry import query
 from tidecase.plans.scalars import DID
-from tidecase.sources.calendar import days_of
 from tidecase.sources.derived import OPEN_END, daily_snapshot, daily_versions
 
 AS_OF = "2024-02-01 09:30:00"
@@ -157,6 +156,30 @@ def pipeline_size(t):
     return pipeline.pipeline_size(versions, bounds.select("a").scalar(), bounds.select("b").scalar())
 
 
+@query(
+    "pipeline_size_window",
+    """
+    WITH daily AS (SELECT user_id, CAST(ts AS DATE) AS d, event_type AS state FROM (SELECT *, ROW_NUMBER()
+      OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+      WHERE rn = 1),
+    v AS (SELECT *, LEAD(d) OVER (PARTITION BY user_id ORDER BY d) AS nxt FROM daily),
+    days AS (SELECT CAST(unnest(generate_series((SELECT MIN(ts)::DATE + 5 FROM events), (SELECT MIN(ts)::DATE + 15
+      FROM events), INTERVAL 1 DAY)) AS DATE) AS day),
+    states AS (SELECT DISTINCT state FROM daily)
+    SELECT s.state, days.day, COUNT(v.user_id) AS cases FROM states s CROSS JOIN days LEFT JOIN v
+      ON v.state = s.state AND v.d <= days.day AND (v.nxt > days.day OR v.nxt IS NULL) GROUP BY 1, 2
+    """,
+)
+def pipeline_size_window(t):
+    """A window inside the data: what was in a state before it counts from its first day."""
+    changes = t.events.withColumnRenamed("event_type", "state")
+    versions = daily_versions(changes, ["user_id"], ["ts", "event_id"], "state")
+    start = t.events.agg(F.min(F.to_date("ts")).alias("a"))
+    return pipeline.pipeline_size(
+        versions, start.select(F.date_add("a", 5)).scalar(), start.select(F.date_add("a", 15)).scalar()
+    )
+
+
 @query(
     "pull_through",
     """
@@ -913,9 +936,8 @@ def reason_matching(t):
 )
 def business_expiry(t):
     requests = by_type(t, "error").select(F.col("user_id").alias("case_id"), "ts")
-    days = days_of(t.events, "ts", extra_days=40)
     as_of = F.to_date(timeid.at_midnight(AS_OF))
-    return expiry.business_expiry(requests, days, 10, as_of, [dt.date(2024, 1, 15)])
+    return expiry.business_expiry(requests, 10, as_of, [dt.date(2024, 1, 15)])
 
 
 @query(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from tidecase.functions import business, text, timeid
@@ -12,8 +10,7 @@ from tidecase.operators.slices import with_next, with_prev
 from tidecase.plans.registry import query
 from tidecase.sources.calendar import calendar, days_of
 
-# fixed values: 25 December of the years the order table covers
-CHRISTMAS = [dt.date(year, 12, 25) for year in range(1995, 2003)]
+CHRISTMAS = [(12, 25)]  # of every year
 DID = "year({c})*10000+month({c})*100+day({c})"
 
 
@@ -146,7 +143,8 @@ def prev_business_day(t):
     """
     WITH cal AS (SELECT d, SUM(CASE WHEN dayofweek(d) BETWEEN 1 AND 5 AND NOT (month(d) = 12
       AND day(d) = 25) THEN 1 ELSE 0 END) OVER (ORDER BY d)::BIGINT AS n
-      FROM (SELECT CAST(unnest(generate_series(DATE '1994-12-01', DATE '2002-12-31', INTERVAL 1 DAY)) AS DATE) AS d))
+      FROM (SELECT CAST(unnest(generate_series((SELECT MIN(o_orderdate)::DATE - 2 FROM orders), (SELECT
+      MAX(l_shipdate)::DATE FROM lineitem), INTERVAL 1 DAY)) AS DATE) AS d))
     SELECT o_orderkey, l_linenumber, l_partkey, b.n - a.n AS days FROM orders JOIN lineitem
       ON l_orderkey = o_orderkey JOIN cal a ON a.d = CAST(o_orderdate AS DATE) - 1 JOIN cal b
       ON b.d = CAST(l_shipdate AS DATE)

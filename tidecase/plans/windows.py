@@ -12,7 +12,6 @@ from tidecase.operators.shapes import union_padded
 from tidecase.operators.slices import numbered, with_prev
 from tidecase.plans.registry import query
 from tidecase.plans.scalars import CHRISTMAS
-from tidecase.sources.calendar import days_of
 
 
 @query(
@@ -115,8 +114,22 @@ def window_in_case(t):
     """,
 )
 def nth_business_day(t):
-    days = days_of(t.orders, "o_orderdate", extra_days=40)
-    return add_business_days(t.orders, "o_orderdate", 10, days, "expires", CHRISTMAS).select("o_orderkey", "expires")
+    return t.orders.select("o_orderkey", add_business_days("o_orderdate", 10, CHRISTMAS).alias("expires"))
+
+
+@query(
+    "late_business_day",
+    """
+    WITH cal AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) AS n FROM (SELECT CAST(unnest(generate_series((SELECT
+      MIN(o_orderdate)::DATE FROM orders) - 7, (SELECT MAX(o_orderdate)::DATE + 800
+      FROM orders), INTERVAL 1 DAY)) AS DATE) AS d)
+      WHERE dayofweek(d) BETWEEN 1 AND 5 AND NOT (month(d) = 12 AND day(d) = 25)),
+    x AS (SELECT d.d, MAX(cal.n) AS n FROM (SELECT DISTINCT o_orderdate::DATE AS d FROM orders) d JOIN cal ON cal.d <= d.d GROUP BY 1)
+    SELECT o.o_orderkey, cal.d AS expires FROM orders o JOIN x ON x.d = o.o_orderdate::DATE JOIN cal ON cal.n = x.n + 500
+    """,
+)
+def late_business_day(t):
+    return t.orders.select("o_orderkey", add_business_days("o_orderdate", 500, CHRISTMAS).alias("expires"))
 
 
 @query(
@@ -157,6 +170,19 @@ def limit_n(t):
     return t.lineitem.limit(100)
 
 
+@query(
+    "limit_n_checked",
+    "SELECT least(100, COUNT(*))::BIGINT AS rows, least(100, COUNT(*))::BIGINT AS found FROM lineitem",
+)
+def limit_n_checked(t):
+    """Which rows a sample holds is open; how many, and that the table has them, is not."""
+    picked = t.lineitem.limit(100)
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    sizes = picked.agg(F.count(F.lit(1)).alias("rows"))
+    found = picked.select(key).join(t.lineitem.select(key).distinct(), key, "left_semi").agg(F.count(F.lit(1)).alias("found"))
+    return sizes.select("rows", found.scalar().alias("found"))
+
+
 @query(
     "priority_pick",
     """

@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecase.functions.business import is_business_day
+from tidecase.functions.business import Holidays, is_business_day, is_holiday
 from tidecase.functions.timeid import dateid, month_name
 
 
-def days_of(facts: DataFrame, ts: str, extra_days: int = 0) -> DataFrame:
-    """One row per date from the first to the last fact (plus ``extra_days``), computed in the plan."""
+def days_of(facts: DataFrame, ts: str) -> DataFrame:
+    """One row per date from the first to the last fact, computed in the plan."""
     bounds = facts.agg(
         F.min(F.to_date(ts)).alias("first"), F.max(F.to_date(ts)).alias("last")
     )
     return bounds.select(
-        F.explode(F.sequence("first", F.date_add("last", extra_days))).alias("date")
+        F.explode(F.sequence("first", "last")).alias("date")
     )
 
 
-def calendar(days: DataFrame, holidays: Iterable[dt.date] = ()) -> DataFrame:
+def calendar(days: DataFrame, holidays: Holidays = ()) -> DataFrame:
     """Attributes per date: id, names, month and quarter keys, weekend, holiday and business flags."""
-    holidays = sorted(set(holidays))
-    is_holiday = F.col("date").isin(holidays) if holidays else F.lit(False)
+    holidays = list(holidays)
     return days.select(
         "date",
         dateid("date").alias("date_id"),
@@ -35,6 +31,6 @@ def calendar(days: DataFrame, holidays: Iterable[dt.date] = ()) -> DataFrame:
         (F.year("date") * 10 + F.quarter("date")).alias("quarter_key"),
         F.dayofweek("date").alias("weekday_key"),
         F.when(F.weekday("date") >= 5, 1).otherwise(0).alias("weekend_flag"),
-        F.when(is_holiday, 1).otherwise(0).alias("holiday_flag"),
+        F.when(is_holiday("date", holidays), 1).otherwise(0).alias("holiday_flag"),
         F.when(is_business_day("date", holidays), 1).otherwise(0).alias("business_flag"),
     )

@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tidecase-")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in local tests, a temporary folder takes its place.
+    Where that setting is absent the warehouse folder takes its place, which driver and executors share as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
