@@ -248,12 +248,25 @@ def test_sampled_hot_keys_do_not_depend_on_partitioning(spark):
     ]
     assert found[0] == found[1]
     assert [r[0] for r in found[0]] == [0]
-    assert 4 <= found[0][0][3] <= 6  # 100,000 rows in parts of about 20,000
+    assert 10 <= len(found[0][0][1]) <= 30  # about 20 sampled times to cut 100,000 rows at
+    assert 4 <= found[0][0][2] <= 6  # 100,000 rows in parts of about 20,000
     window = Window.partitionBy("key").orderBy("ts", "id")
     plain = rows.withColumn("rn", F.row_number().over(window).cast("bigint"))
     assert numbered(rows, ["key"], ["ts", "id"], rows_per_task=limit).exceptAll(plain).count() == 0
 
 
+def test_an_outlier_does_not_crowd_the_other_rows_into_one_slice(spark):
+    rows = spark.range(5_000).select(
+        "id", F.lit(1).alias("key"), F.when(F.col("id") == 4_999, F.lit("2199-12-31").cast("timestamp_ntz")).otherwise(
+            F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id").cast("int"))).alias("ts"),
+    )
+    hot = hot_keys(rows, ["key"], ["ts", "id"], 400)
+    assert max(len(r["_borders"]) for r in hot.borders.collect()) < 20
+    sizes = with_slice(rows, ["key"], ["ts", "id"], hot).groupBy("_slice").count().collect()
+    assert len(sizes) > 50 and max(r["count"] for r in sizes) < 1000
+    assert numbered(rows, ["key"], ["ts", "id"], rows_per_task=400).filter("rn <> id + 1").count() == 0
+
+
 def test_rows_at_one_instant_are_split_too(spark):
     rows = spark.range(5_000).select("id", F.lit(1).alias("key"), F.lit(T0).cast("timestamp_ntz").alias("ts"))
     hot = hot_keys(rows, ["key"], ["ts", "id"], 400)

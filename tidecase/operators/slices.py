@@ -5,16 +5,18 @@ A window partitioned by key sends all rows of a key to one task. Here a key with
 and what has to cross a slice border (a row count, a last value) is aggregated per slice, accumulated
 over the slices of the key and joined back.
 
-A key's time span is cut evenly first; where events crowd, rows drawn by hash serve as further borders, so
-even many rows at one instant are split when the order has more columns. Hot keys and borders come from
+A key's rows are cut at sampled quantiles of time first, so crowded times and outliers make no large part; rows drawn by
+the same hash serve as further borders, so even many rows at one instant are split when the order has more columns. Both
+are sorted arrays in which a row finds its place by halving. Hot keys and borders come from
 samples drawn by a hash of the row. They, and so the slice of a row, depend on the data alone: a recomputed task puts
 every row into the same slice as before. Which keys count as hot and where borders lie decides only how rows are
 spread, never the result. Where the input is the result of a long pipeline, pass ``hot=hot_keys(narrow columns of
 the base log, …)`` to spare computing it for the samples.
 
 Size of what is broadcast: a hot key has about ``rows_per_task`` rows or more, so of N rows about N / rows_per_task
-keys at most are hot. They have at most (FINENESS + BORDERS + 2) N / rows_per_task slices, each giving one row to the
-carried table: for 10^12 rows at the default that is 100,000 keys and 1.2 million rows. Raise ``rows_per_task`` with
+keys at most are hot. They have at most (BORDERS + PARTS) N / rows_per_task slices, each giving one row to the
+carried table: for 10^12 rows at the default that is 100,000 keys of PARTS cuts. An array of borders has about
+BORDERS / PARTS entries per ``rows_per_task`` rows of its key. Raise ``rows_per_task`` with
 the executors' memory to lower it.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 from tidecase.functions.timeid import clock_number, day_number
 
 ROWS_PER_TASK = 10_000_000
-FINENESS = 2  # even cuts of the time span per ``rows_per_task`` rows of a hot key
+PARTS = 64  # parts of a hot key's time span, cut at quantiles
 BORDERS = 8  # further borders per ``rows_per_task`` rows
 SAMPLE_ROWS = 10_000  # expected in the sample for a key of ``rows_per_task`` rows
 SLICE = "_slice"
@@ -60,7 +62,7 @@ def copies(keys: list[str], prefix: str) -> list[Column]:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """``table``: hot keys with time bounds and number of parts; ``borders``: further borders per (key, part)."""
+    """``table``: hot keys with the quantiles of time they are cut at; ``borders``: further borders per (key, part)."""
 
     table: DataFrame
     borders: DataFrame
@@ -78,12 +80,23 @@ def order_struct(columns: list[Column]) -> Column:
     return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(columns)])
 
 
+def passed(items: Column, here: Column, at=lambda item: item) -> Column:
+    """How many entries of a sorted array are not after ``here``, by halving: as many steps as the size has bits."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(items) + 1.0)).cast("int") + 1)
+    start = F.struct(F.lit(0).alias("lo"), F.size(items).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        up = (s["lo"] < s["hi"]) & (at(F.get(items, mid)) <= here)
+        return F.struct(F.when(up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(steps, start, halve)["lo"]
+
+
 def time_part(kind: T.DataType, ts: str) -> Column:
-    """Which even part of its key's time span a row is in; rows without a time come first, as NULLs do."""
+    """Which part of its key's time span a row is in; rows without a time come first, as NULLs do."""
     here = position(kind, F.col(ts))
-    share = (here - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
-    number = F.greatest(F.least(F.floor(share * F.col("_parts")).cast("int"), F.col("_parts") - 1), F.lit(0))
-    return F.when(here.isNull(), -1).otherwise(number)
+    return F.when(here.isNull(), -1).otherwise(passed(F.col("_cuts"), here))
 
 
 def hot_keys(
@@ -97,23 +110,27 @@ def hot_keys(
     ts = order[0]
     kind = df.schema[ts].dataType
     every = max(1, rows_per_task // SAMPLE_ROWS)
+    coarse = every * max(1, rows_per_task // BORDERS // every)  # its rows are in the finer sample too
+    drawn = F.pmod(F.xxhash64(*df.columns), F.lit(coarse)) == 0
+    times = F.sort_array(F.collect_list(F.when(drawn, position(kind, F.col(ts)))))
+    size = F.size("_times")
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(PARTS - 1)), lambda i: F.get("_times", F.floor(i * size / PARTS).cast("int")))
     table = (
         row_sample(df, every)
         .groupBy(*keys)
-        .agg((F.count(F.lit(1)) * every).alias("_rows"), F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+        .agg((F.count(F.lit(1)) * every).alias("_rows"), times.alias("_times"))
         .filter(F.col("_rows") > rows_per_task)
         .select(
             *copies(keys, "_hot"),
-            position(kind, F.col("_first")).alias("_lo"),
-            position(kind, F.col("_last")).alias("_hi"),
-            F.ceil(F.col("_rows") * FINENESS / rows_per_task).cast("int").alias("_parts"),
+            F.array_distinct(F.when(size > PARTS, cuts).otherwise(F.col("_times"))).alias("_cuts"),
+            F.ceil(F.col("_rows") * 2 / rows_per_task).cast("int").alias("_parts"),
         )
     )
     borders = (
-        row_sample(df, max(1, rows_per_task // BORDERS))
+        row_sample(df, coarse)
         .join(F.broadcast(table), same_keys(keys, "_hot"))
         .groupBy(*copies(keys, "_at"), time_part(kind, ts).alias("_at_part"))
-        .agg(F.collect_list(order_struct([F.col(c) for c in order])).alias("_borders"))
+        .agg(F.sort_array(F.collect_list(order_struct([F.col(c) for c in order]))).alias("_borders"))
     )
     return HotKeys(table, borders)
 
@@ -133,18 +150,16 @@ def heavy_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TAS
 def with_slice(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys) -> DataFrame:
     """Add the slice number of rows of hot keys, rising with their order; NULL for all other rows."""
     parts = df.join(F.broadcast(hot.table), same_keys(keys, "_hot"), "left").withColumn(
-        "_part", F.when(F.col("_parts").isNotNull(), time_part(df.schema[order[0]].dataType, order[0]))
+        "_part", F.when(F.col("_cuts").isNotNull(), time_part(df.schema[order[0]].dataType, order[0]))
     )
     # compare as many order columns as the borders and the order have in common
     shared = list(zip(order, hot.borders.schema["_borders"].dataType.elementType.fields))
     here = order_struct([F.col(c).cast(f.dataType) for c, f in shared])
-    passed = F.size(
-        F.filter("_borders", lambda border: order_struct([border[f.name] for _, f in shared]) <= here)
-    )
+    before = passed(F.col("_borders"), here, lambda border: order_struct([border[f.name] for _, f in shared]))
     at = same_keys(keys, "_at") & (F.col("_part") == F.col("_at_part"))
     return parts.join(F.broadcast(hot.borders), at, "left").select(
         *df.columns,
-        (F.col("_part").cast("bigint") * 2**31 + F.when(F.col("_borders").isNotNull(), passed).otherwise(0)).alias(SLICE),
+        (F.col("_part").cast("bigint") * 2**31 + F.when(F.col("_borders").isNotNull(), before).otherwise(0)).alias(SLICE),
     )
 
 

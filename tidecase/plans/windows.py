@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidecase.functions.business import add_business_days
+from tidecase.functions.timeid import at_midnight
 from tidecase.jobs.touches import last_on_day
-from tidecase.operators.events import last_event, top_n
+from tidecase.operators.events import asof, dwell, last_event, top_n
 from tidecase.operators.joins import with_group
 from tidecase.operators.shapes import union_padded
 from tidecase.operators.slices import numbered, with_prev
@@ -22,6 +23,45 @@ def row_number(t):
     return numbered(t.events, ["user_id"], ["ts", "event_id"]).select("event_id", "rn")
 
 
+@query(
+    "row_number_sliced",
+    "SELECT event_id, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events",
+)
+def row_number_sliced(t):
+    """Few keys with very many rows each: every one is cut into slices."""
+    return numbered(t.events, ["event_type"], ["ts", "event_id"], rows_per_task=500).select("event_id", "rn")
+
+
+@query(
+    "asof_sliced",
+    """
+    WITH p AS (SELECT event_id, user_id % 3 AS grp, ts FROM events WHERE event_type = 'purchase'),
+    s AS (SELECT event_id, user_id % 3 AS grp, ts FROM events WHERE event_type = 'signup')
+    SELECT event_id, last_id FROM (SELECT p.event_id, s.event_id AS last_id, ROW_NUMBER() OVER (PARTITION BY p.event_id
+      ORDER BY s.ts DESC, s.event_id DESC) AS rn FROM p LEFT JOIN s ON s.grp = p.grp AND s.ts < p.ts) WHERE rn = 1
+    """,
+)
+def asof_sliced(t):
+    def side(kind: str):
+        return t.events.filter(F.col("event_type") == kind).select("event_id", (F.col("user_id") % 3).alias("grp"), "ts")
+
+    found = asof(side("purchase"), side("signup"), ["grp"], "ts", "ts", {"last_id": "event_id"}, ties=["event_id"], rows_per_task=500)
+    return found.select("event_id", "last_id")
+
+
+@query(
+    "dwell_sliced",
+    """
+    WITH n AS (SELECT user_id % 4 AS grp, event_type, date_diff('second', ts, COALESCE(LEAD(ts)
+      OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id), TIMESTAMP '2024-02-01')) AS s FROM events)
+    SELECT grp, event_type, SUM(s)::BIGINT AS seconds, COUNT(*) AS visits FROM n GROUP BY 1, 2
+    """,
+)
+def dwell_sliced(t):
+    log = t.events.withColumn("grp", F.col("user_id") % 4).select("grp", "ts", "event_id", "event_type")
+    return dwell(log, ["grp"], ["ts", "event_id"], "event_type", at_midnight("2024-02-01 00:00:00"), rows_per_task=500)
+
+
 @query(
     "latest_per_key",
     """
