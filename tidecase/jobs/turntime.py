@@ -20,14 +20,15 @@ def turn_times(
     ts: str,
     marks: dict[str, Column],
     hot: HotKeys | None = None,
+    last: bool = False,
 ) -> DataFrame:
-    """Cases with the first time of each mark and ``<mark>_days`` / ``<mark>_hours`` since opening.
+    """Cases with the first (or last) time of each mark and ``<mark>_days`` / ``<mark>_hours`` since opening.
 
     Log rows before the case was opened do not count. All marks come from one pass over the log.
     """
     starts = cases.select(case, opened)
     since = spread_join(log, starts, [case], hot=hot).filter(F.col(ts) >= F.col(opened))
-    firsts = milestones(since, [case], ts, marks)
+    firsts = milestones(since, [case], ts, marks, last)
     joined = cases.join(firsts, case, "left")
     return joined.select(
         *joined.columns,
@@ -36,6 +37,24 @@ def turn_times(
     )
 
 
+def turn_times_between(turned: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add ``<name>_days`` and ``<name>_hours`` between two time columns for each ``name: (from, to)``.
+
+    NULL where either is missing, or where the second comes before the first.
+    """
+    def span(unit: str, start: str, end: str) -> Column:
+        return F.when(F.col(end) >= F.col(start), datediff_boundary(unit, start, end))
+
+    return turned.select(
+        *turned.columns, *[span(unit, a, b).alias(f"{name}_{label}") for name, (a, b) in pairs.items() for unit, label in (("DAY", "days"), ("HOUR", "hours"))]
+    )
+
+
+def earlier_of(name: str, first: str, second: str) -> Column:
+    """The earlier of two marks, the one there is where the other is missing."""
+    return F.least(first, second).alias(name)  # least ignores NULL
+
+
 def average_turn_times(turned: DataFrame, keys: list[str], marks: list[str]) -> DataFrame:
     """Cases, cases that reached each mark, and mean days to it."""
     return turned.groupBy(*keys).agg(

@@ -53,10 +53,11 @@ def nth_event(
     return top_n(rows, keys, directed(order, False), n).filter(F.col("_rn") == n).drop("_rn")
 
 
-def milestones(log: DataFrame, keys: list[str], ts: str, marks: dict[str, Column]) -> DataFrame:
-    """First time each mark's condition held, one row per key, in a single pass over the log."""
+def milestones(log: DataFrame, keys: list[str], ts: str, marks: dict[str, Column], last: bool = False) -> DataFrame:
+    """First (or last) time each mark's condition held, one row per key, in a single pass over the log."""
+    pick = F.max if last else F.min
     return log.groupBy(*keys).agg(
-        *[F.min(F.when(condition, F.col(ts))).alias(name) for name, condition in marks.items()]
+        *[pick(F.when(condition, F.col(ts))).alias(name) for name, condition in marks.items()]
     )
 
 

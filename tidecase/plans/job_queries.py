@@ -96,6 +96,55 @@ def turn_time(t):
     return turntime.average_turn_times(turned, ["priority"], list(marks))
 
 
+MARKS_SQL = """
+    f AS (SELECT o_orderkey, MIN(CASE WHEN l_linestatus = 'F' THEN l_shipdate END) AS shipped, MIN(CASE
+      WHEN l_returnflag = 'R' THEN l_shipdate END) AS returned, MAX(CASE WHEN l_linestatus = 'F' THEN l_shipdate
+      END) AS last_shipped, MAX(CASE WHEN l_returnflag = 'R' THEN l_shipdate END) AS last_returned
+      FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate GROUP BY 1)
+    """
+
+
+def _marked(t, last: bool):
+    marks = {"shipped": F.col("phase") == "F", "returned": F.col("status") == "R"}
+    lines = items(t).select("case_id", "ts", "status", "phase")
+    opened = cases(t).select("case_id", "priority", "opened")
+    return turntime.turn_times(opened, lines, "case_id", "opened", "ts", marks, last=last)
+
+
+@query(
+    "turn_time_last",
+    f"""
+    WITH {MARKS_SQL}
+    SELECT o_orderpriority AS priority, COUNT(*) AS cases, COUNT(last_shipped) AS shipped_cases,
+      COUNT(last_returned) AS returned_cases,
+      CAST(SUM(date_diff('day', o_orderdate, last_shipped)) AS DOUBLE) / COUNT(last_shipped) AS shipped_avg_days,
+      CAST(SUM(date_diff('day', o_orderdate, last_returned)) AS DOUBLE) / COUNT(last_returned) AS returned_avg_days
+    FROM orders o LEFT JOIN f ON f.o_orderkey = o.o_orderkey GROUP BY 1
+    """,
+)
+def turn_time_last(t):
+    return turntime.average_turn_times(_marked(t, last=True), ["priority"], ["shipped", "returned"])
+
+
+@query(
+    "turn_time_between",
+    f"""
+    WITH {MARKS_SQL}
+    SELECT o.o_orderkey AS case_id, shipped, returned, least(shipped, returned) AS first_mark,
+      CASE WHEN returned >= shipped THEN date_diff('day', shipped, returned) END AS back_days,
+      CASE WHEN returned >= shipped THEN date_diff('hour', shipped, returned) END AS back_hours,
+      CASE WHEN least(shipped, returned) >= o_orderdate THEN date_diff('day', o_orderdate, least(shipped, returned)) END AS mark_days,
+      CASE WHEN least(shipped, returned) >= o_orderdate THEN date_diff('hour', o_orderdate, least(shipped, returned)) END AS mark_hours
+    FROM orders o LEFT JOIN f ON f.o_orderkey = o.o_orderkey
+    """,
+)
+def turn_time_between(t):
+    """From one mark to another, and to the earlier of two, the one there is where a case has one only."""
+    marked = _marked(t, last=False).withColumn("first_mark", turntime.earlier_of("first_mark", "shipped", "returned"))
+    spans = turntime.turn_times_between(marked, {"back": ("shipped", "returned"), "mark": ("opened", "first_mark")})
+    return spans.select("case_id", "shipped", "returned", "first_mark", "back_days", "back_hours", "mark_days", "mark_hours")
+
+
 @query(
     "dwell_time",
     f"""
