@@ -137,3 +137,13 @@ def test_scratch_path_follows_the_session_setting(spark):
 def test_unknown_table(spark, data):
     with pytest.raises(AttributeError):
         Tables(spark, data).nothing
+
+
+def test_interval_join_takes_null_ends_as_open(spark):
+    from tidecase.operators.intervals import interval_join
+
+    points = spark.createDataFrame([(k, f"2024-01-{d:02d} 00:00:00") for k in (1, 2) for d in (1, 5, 9)], "k int, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    spans = [(1, "2024-01-02", "2024-01-05", "a"), (1, "2024-01-04", None, "b"), (2, "2024-01-09", "2024-01-09", "c"), (2, "2020-01-01", "2030-01-01", "d"), (2, "2024-01-08", "2024-01-01", "e")]
+    dim = spark.createDataFrame(spans, "k int, a string, b string, name string").withColumn("a", F.col("a").cast("timestamp_ntz")).withColumn("b", F.col("b").cast("timestamp_ntz"))
+    found = interval_join(points, dim, ["k"], "t", "a", F.col("b"), {"name": "name"}).select("k", F.dayofmonth("t"), "name")
+    assert sorted(map(tuple, found.collect())) == [(1, 5, "a"), (1, 5, "b"), (1, 9, "b"), (2, 1, "d"), (2, 5, "d"), (2, 9, "c"), (2, 9, "d")]

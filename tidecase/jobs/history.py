@@ -95,10 +95,3 @@ def missing_followup(
         ties=["tie"], rows_per_task=rows_per_task,
     )
 
-
-def first_after(
-    left: DataFrame, log: DataFrame, keys: list[str], left_ts: str, columns: dict[str, str]
-) -> DataFrame:
-    """The first log row after ``left_ts`` per left row. ``log``: keys, ts, event_id."""
-    return asof(left, log, keys, left_ts, "ts", columns, direction="forward", ties=["event_id"])
-

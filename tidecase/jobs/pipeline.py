@@ -80,11 +80,12 @@ def aged_backlog(
 
 
 def cohort_compare(
-    cases: DataFrame, snapshot: DataFrame, age_days: int, states: Sequence[str], compare_id: int
+    cases: DataFrame, snapshot: DataFrame, age_days: int, states: Sequence[str], compare_id: int, compare: DataFrame | None = None
 ) -> DataFrame:
     """Cases exactly ``age_days`` old on a snapshot day, with their state on the comparison day.
 
-    ``cases``: case_id, opened, closed_at, fallout_at. ``snapshot``: case_id, snapshot_id, state.
+    ``cases``: case_id, opened, closed_at, fallout_at. ``snapshot``: case_id, snapshot_id, state. ``compare``: the snapshot of the
+    comparison day alone, where a source can read that day by itself.
     """
     day = from_dateid("snapshot_id")
     compare_day = from_dateid(F.lit(compare_id))
@@ -94,7 +95,7 @@ def cohort_compare(
         .filter(datediff_boundary("DAY", F.col("opened"), day) == age_days)
         .withColumnRenamed("state", "entry_state")
     )
-    later = state_on(snapshot, "snapshot_id", compare_id).select("case_id", F.col("state").alias("later_state"))
+    later = state_on(snapshot if compare is None else compare, "snapshot_id", compare_id).select("case_id", F.col("state").alias("later_state"))
     fell = F.col("fallout_at").isNotNull() & (F.to_date("fallout_at") <= compare_day)
     bucket = (
         F.when(fell, "Fallout").when(F.col("later_state").isin(list(states)), "Pipeline").otherwise("Closed")

@@ -69,18 +69,19 @@ def interval_join(
 ) -> DataFrame:
     """Inner join of each left row to every interval with ``start <= point <= end``; overlaps allowed.
 
-    An interval goes to the level whose block width 4**level fits its length, and is listed once per block it touches there,
-    that is once or twice however long it is. A point looks up its block at each level that occurs. The join is an
-    equi join on (key, level, block) with the exact bounds as a residual, so intervals far from the point are
-    never compared with it, and a key with many rows is spread over its blocks. ``end`` must not be NULL: close
-    open intervals at the report's ``as_of``.
+    An interval goes to the level whose block width 64**level fits its length, and is listed once per block it touches there,
+    that is once or twice however long it is. A point looks up its block at each level that occurs: intervals of
+    minutes to a month share two levels. The join is an equi join on (key, level, block) with the exact bounds as a
+    residual, so intervals far from the point are never compared with it, and a key with many rows is spread over its
+    blocks. A NULL ``end`` is open.
     """
+    end = F.coalesce(end, F.lit("9999-12-31 23:59:59").cast("timestamp_ntz"))
     first, last = clock_number("SECOND", F.col(start)), clock_number("SECOND", end)
-    level = F.ceil(F.log(4.0, (last - first + 1).cast("double"))).cast("int")
+    level = F.ceil(F.log(64.0, (last - first + 1).cast("double"))).cast("int")
     proper = dim.filter(F.col(start) <= end)
 
     def block(seconds: Column, at: Column) -> Column:
-        return F.floor(seconds / F.pow(F.lit(4.0), at)).cast("bigint")
+        return F.floor(seconds / F.pow(F.lit(64.0), at)).cast("bigint")
 
     listed = proper.select(
         *[F.col(k).alias("_i_" + k) for k in keys],
@@ -90,7 +91,7 @@ def interval_join(
         F.explode(F.sequence(block(first, level), block(last, level))).alias("_i_block"),
         *[F.col(source).alias(out) for out, source in columns.items()],
     )
-    levels = proper.agg(F.collect_set(level)).scalar()  # at most 20 numbers, whatever the data
+    levels = proper.agg(F.collect_set(level)).scalar()  # at most 8 numbers, whatever the data
     points = left.select(*left.columns, F.explode(levels).alias("_level")).withColumn(
         "_block", block(clock_number("SECOND", F.col(point)), F.col("_level"))
     )

@@ -400,8 +400,10 @@ def cohort_compare(t):
     )
     fallout = F.when(F.col("closed_at").isNull(), F.col("_fell"))
     listed = marked.withColumn("fallout_at", fallout).drop("_fell")
-    snapshot = daily_snapshot(t.events).select(F.col("user_id").alias("case_id"), "snapshot_id", "state")
-    return pipeline.cohort_compare(listed, snapshot, 10, ["view", "click"], 20240120)
+    days, compared = (
+        daily_snapshot(t.events, only_id=day).select(F.col("user_id").alias("case_id"), "snapshot_id", "state") for day in (None, 20240120)
+    )
+    return pipeline.cohort_compare(listed, days, 10, ["view", "click"], 20240120, compared)
 
 
 UNIT_RULES = [("F1-URGENT", 2.25), ("F%", 1.75), ("P4%", 1.25), ("P%", 1.0)]
