@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tidecase.operators.events import first_event, last_event, nth_event
 from tidecase.operators.intervals import state_on
+from tidecase.plans import QUERIES
 from tidecase.sources.derived import daily_snapshot
 from tidecase.sources.sinks import write_bucketed_table, write_new_table
 from tidecase.sources.tables import Tables
@@ -15,7 +16,7 @@ from tidecase.sources.tables import Tables
 # one-row aggregates, date bounds of a calendar, the levels of an interval join
 GLOBAL = {
     "global_agg", "calendar_count", "calendar_dim", "dense_grid", "pipeline_size", "business_expiry", "nth_business_day",
-    "scalar_subquery", "limit_n", "interval_join",
+    "scalar_subquery", "limit_n", "limit_n_checked", "interval_join", "pipeline_size_window",
 }
 
 
@@ -31,7 +32,7 @@ def large_tables(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_crossing_python_or_single_task(spark, data, large_tables, name):
     text = plan(entry.queries()[name](spark, data))
     for banned in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow"):

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import connect, difference
+from tidecase.plans import QUERIES
 
 ORACLES = entry.oracle_sql()
 
@@ -13,7 +14,7 @@ def con(data):
     return connect(data)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, data, con, name):
     df = entry.queries()[name](spark, data)
     if name in ORACLES:
@@ -27,4 +28,4 @@ def test_entry(spark):
 
 
 def test_only_the_unordered_sample_lacks_sql():
-    assert set(entry.queries()) - set(ORACLES) == {"limit_n"}
+    assert set(QUERIES) - set(ORACLES) == {"limit_n"}
