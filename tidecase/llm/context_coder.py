@@ -20,8 +20,8 @@ PRIOR_BITS = 18
 _FULL = 1 << TOTAL_BITS
 _LEAST = np.uint64(1 << 32)
 _WORD = np.uint64(32)
-#: The most that order 2, 1 and 0 can hold of the interval.
-_LIMIT2, _LIMIT1, _LIMIT0 = np.int32(9 << 20), np.int32(4 << 20), np.int32(1 << 20)
+#: 1/32 of the most that order 2, 1 and 0 can hold of the interval.
+_GAIN2, _GAIN1, _GAIN0 = np.int32(9 << 15), np.int32(4 << 15), np.int32(1 << 15)
 
 
 @cache
@@ -70,9 +70,9 @@ class _Model:
 
     def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, hit0: np.ndarray) -> None:
         # Shares move 1/32 of the way to 0 or to a limit; the limits leave 1/8 for other ids.
-        self.right2[self.ctx] = self.p2 + ((hit2 * _LIMIT2 - self.p2) >> 5) + 1
-        self.right1[self.ctx] = self.p1 + ((hit1 * _LIMIT1 - self.p1) >> 5) + 1
-        self.p0 = self.p0 + ((hit0 * _LIMIT0 - self.p0) >> 5) + 1
+        self.right2[self.ctx] = self.p2 - (self.p2 >> 5) + hit2 * _GAIN2
+        self.right1[self.ctx] = self.p1 - (self.p1 >> 5) + hit1 * _GAIN1
+        self.p0 = self.p0 - (self.p0 >> 5) + hit0 * _GAIN0
         fresh = (ids << 2) | 1
         self.after2[self.slot2] = np.where(self.id2 == ids, self.e2 + (self.s2 < 3), fresh)
         self.after1[self.slot1] = np.where(self.id1 == ids, self.e1 + (self.s1 < 3), fresh)
@@ -98,7 +98,11 @@ def _interval(top: tuple, hits: tuple, ids: np.ndarray, cumulative: np.ndarray)
 
 def most_common(ids: np.ndarray) -> int:
     """The id that order 0 foretells; the smallest among equals, 0 for no ids."""
-    return int(np.bincount(ids).argmax()) if len(ids) else 0
+    if not len(ids):
+        return 0
+    ranked = np.sort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, kind="stable")  # 16 bits: a radix sort
+    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    return int(ranked[starts[np.argmax(np.diff(starts, append=len(ranked)))]])
 
 
 def _ends(lengths: np.ndarray) -> list[tuple[int, int, int]]:
@@ -107,8 +111,8 @@ def _ends(lengths: np.ndarray) -> list[tuple[int, int, int]]:
     return [(a, b, int((lengths >= b).sum())) for a, b in zip(steps, steps[1:])]
 
 
-def encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
-    """One byte string per block of ids below ``vocabulary``."""
+def encode(blocks: list[np.ndarray], common: list[int], vocabulary: int) -> list[bytes]:
+    """One byte string per block of ids below ``vocabulary``; ``common``: the ``most_common`` id of each."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     lengths = np.array([len(blocks[i]) for i in order])
     lanes, steps = len(order), int(lengths.max(initial=0))
@@ -121,7 +125,7 @@ def encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     words = np.zeros((steps, lanes), np.uint32)
     used = np.zeros((steps, lanes), bool)
     carries = np.zeros((steps, lanes), bool)
-    model = _Model(np.array([most_common(blocks[i]) for i in order], np.int32))
+    model = _Model(np.array([common[i] for i in order], np.int32))
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(2**64 - 1))
     final = np.zeros(lanes, np.uint64)
     for first, last, k in _ends(lengths):

@@ -72,10 +72,11 @@ def unpack_blocks(blocks: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray
 def _coded_rows(part: int, first_no: int, blocks: list[tuple[int, bytes, list[tuple]]]) -> pa.RecordBatch:
     """Rows of consecutive blocks, each given as (offset in the stream, ids, document entries)."""
     ids = [np.frombuffer(raw, "<u4").astype(np.int32) for _, raw, _ in blocks]
-    coded = context_coder.encode(ids, VOCABULARY)
+    common = [context_coder.most_common(own) for own in ids]
+    coded = context_coder.encode(ids, common, VOCABULARY)
     rows = [
-        (part, first_no + k, len(own), len(docs), pack_block(own, code, context_coder.most_common(own), offset, np.array(docs, _ENTRY)))
-        for k, ((offset, _, docs), own, code) in enumerate(zip(blocks, ids, coded))
+        (part, first_no + k, len(own), len(docs), pack_block(own, code, most, offset, np.array(docs, _ENTRY)))
+        for k, ((offset, _, docs), own, code, most) in enumerate(zip(blocks, ids, coded, common))
     ]
     types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["part", "block_no", "n_ids", "n_docs", "block"])

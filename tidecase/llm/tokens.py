@@ -30,15 +30,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 class TextEncoder(dict):
-    """Maps a piece of text to its ids as little-endian 32-bit integers; at most ``remembered`` pieces are kept."""
+    """Maps a piece of text to its ids as little-endian 32-bit integers; at most 1.5 times ``remembered`` pieces are kept."""
 
-    def __init__(self, file: str | None = None, remembered: int = 600_000):
+    def __init__(self, file: str | None = None, remembered: int = 500_000):
         super().__init__()
         self._tokenizer = Tokenizer.from_file(file or tokenizer_path(DEFAULT_FILE))
         self._tokenizer.encode_special_tokens = True
         self._model, self._alphabet, self._remembered = self._tokenizer.model, _byte_letters(), remembered
+        self._with_marks: dict[str, bytes] = {}  # words with punctuation behind them; they must not crowd out words
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self._with_marks.get(piece)
+        if ids is not None:
+            return ids
         word = _WORD.fullmatch(piece)
         if word is None:
             ids = self._whole(piece)
@@ -47,8 +51,9 @@ class TextEncoder(dict):
         else:
             letters = piece.encode().decode("latin-1").translate(self._alphabet)
             ids = array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
-        if len(self) < (self._remembered if word and not word[2] else self._remembered // 3):
-            self[piece] = ids
+        kept, most = (self, self._remembered) if word and not word[2] else (self._with_marks, self._remembered // 2)
+        if len(kept) < most:
+            kept[piece] = ids
         return ids
 
     def _whole(self, text: str) -> bytes:
