@@ -197,7 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     ratio = 2 * (a * F.log(a / m / base) + F.when(m > a, (m - a) * F.log((m - a) / m / (1 - base))).otherwise(0.0))
     best = counts.withColumn("g", ratio).filter((F.col("g") >= EVIDENCE) & (a / m >= 0.6) & (a / m > base)).orderBy(F.desc("g"), "feature").limit(MOST_FEATURES)
     field = Field([r["feature"] for r in best.select("feature").collect()])
-    rows = sample.filter(F.length("text") <= TRAIN_CHARS).orderBy("h", "doc_id").limit(TRAIN_DOCS).select("text", "toxic").collect()
+    few = chosen.orderBy("h", "doc_id").limit(TRAIN_DOCS)
+    own = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id")
+    rows = own.filter(F.length("text") <= TRAIN_CHARS).orderBy("h", "doc_id").select("text", "toxic").collect()
     return train(field, [_words(r["text"]) for r in rows], [r["toxic"] for r in rows])
 
 
