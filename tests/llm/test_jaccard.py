@@ -59,10 +59,12 @@ def test_edges_against_brute_force(edges, empty, edge_rows, words, percent):
     assert got(jaccard.near_duplicates(empty, words, percent)) == []
 
 
-@pytest.mark.parametrize("words, percent, hubs_from", [(3, 90, 0), (3, 90, 10**9), (5, 80, 0)])
-def test_groups_against_brute_force(make, prose, monkeypatch, words, percent, hubs_from):
-    # hubs_from 0: hub rounds run on any number of pairs; else all pairs are joined at once
-    monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", hubs_from)
+@pytest.mark.parametrize("words, percent, hubs_from, heavy", [(3, 90, 3, 4), (3, 90, 10**9, 10**9), (5, 80, 2, 10**9), (5, 80, 10**9, 2)])
+def test_groups_against_brute_force(make, prose, monkeypatch, words, percent, hubs_from, heavy):
+    # hubs_from: hub rounds run for shingles of more classes; heavy: shingles of more classes are compared in blocks
+    monkeypatch.setattr(jaccard, "HUB_FROM", hubs_from)
+    monkeypatch.setattr(jaccard, "HEAVY", heavy)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
     texts = copies(prose, 1, 40, 3) + copies(prose, 2, 15, 1) + [prose(50, s) for s in range(100, 130)] + copies(prose, 3, 20, 8)
     texts += texts[:5] + ["a b c", "A  b\tC", "a b", "x"]
     rows = list(enumerate(texts))
@@ -88,6 +90,13 @@ def test_prefixes_never_miss_a_pair(prose):
                     assert shared >= min(chosen[i][1], chosen[j][1])
 
 
+def test_counts_of_shared_shingles():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(0, 6000))).astype(np.uint64) for _ in range(9)]
+    counts = jaccard._shared_counts(sets[:4], sets[4:])
+    assert counts.tolist() == [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]
+
+
 def test_one_of_each_keeps_the_smallest_id_and_all_columns(make, prose):
     texts = copies(prose, 4, 6, 1)
     rows = [(i + 10, t) for i, t in enumerate(texts)] + [(1, "alone here"), (1, "alone here"), (2, None), (3, ""), (None, "q r"), (None, "q r"), (4, "z")]

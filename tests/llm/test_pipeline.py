@@ -15,7 +15,8 @@ def test_registered():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
 
 
-def test_stages_take_effect(spark, data):
+def test_stages_take_effect(spark):
+    data = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{data}/documents.parquet")
     sizes = [docs.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -5,9 +5,10 @@ share at least ``l`` of the first ``n - ceil(t n) + l`` shingles of either, for
 plus candidates to verify are estimated to cost least: a longer prefix, but more shared shingles asked for. A pair is a
 candidate when it shares the smaller ``l`` of its two and its positions still allow the resemblance; candidates are verified exactly.
 
-Equal sets are one class and take part once. A group of near copies would give all its pairs; so while there are many
-pairs, classes are verified against a few hubs of the shingles they share, and shingles whose classes are in one component by then are done with.
-What is left is joined whole, pairs within a component aside: no pair that could join two components is left out.
+Equal sets are one class and take part once. A very large group of near copies would give all its pairs; so classes with a shingle
+of thousands are first verified against a few hubs, and shingles whose classes are in one component by then are done with.
+Of what is left, shingles that few classes have give pairs, and classes with a shingle of many are compared in blocks without their pairs
+being listed. No pair that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -16,24 +17,30 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecase.llm.common import table, text_or_empty, written
+from tidecase.llm.common import partitions, table, text_or_empty, written
 from tidecase.llm.components import components
 
-#: Shingles are counted in so many buckets; the table of counts that goes to every task has this size whatever the corpus.
-COUNT_BUCKETS = 1 << 17
+#: Shingles are counted in so many buckets; the table of counts that goes to every task has this size whatever the corpus. A shingle
+#: is known as frequent once it stands out from the load of its bucket, so a larger corpus wants more buckets.
+COUNT_BUCKETS = 1 << 22
+COUNT_SLICES = 64
 MOST_MATCHES = 4
 #: Cost of verifying a candidate against that of reading a posting.
 VERIFY_COST = 1.0
-HUBS = 3
-#: Hub rounds go on while the pairs across components are more than this many times the postings and a round spares a fifth of
-#: them, but not beyond so many rounds. What is left is joined whole in any case.
-PAIRS_PER_POSTING = 3
-MOST_ROUNDS = 8
+HUBS = 2
+#: Classes that share a shingle with more than so many others are compared with hubs first, for at most so many rounds and while a
+#: round spares a fifth of their postings. All that is left is joined in any case.
+HUB_FROM = 4096
+MOST_ROUNDS = 4
+#: Shingles that more classes than this have are handled in blocks of so many classes.
+HEAVY = 48
+BLOCK = 256
 #: Bits of the filter for documents whose sets are needed again.
 FILTER_BITS = 1 << 24
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -85,23 +92,37 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list,
 
 def _count(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known = np.zeros(COUNT_BUCKETS, np.int64), _known()
+        counts, known = np.zeros(COUNT_BUCKETS, np.uint32), _known()
         for batch in batches:
             for text in batch.column(1):
                 np.add.at(counts, shingle_hashes(text.as_py(), words, known) & np.uint64(COUNT_BUCKETS - 1), 1)
-        full = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(counts[full], pa.int64())], names=["bucket", "n"])
+        # Mostly small numbers in two bytes each, which the shuffle's compression shrinks.
+        parts = np.minimum(counts, 65_535).astype("<u2").reshape(COUNT_SLICES, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(COUNT_SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "counts"])
 
     return run
 
 
+def _sum_counts(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNT_BUCKETS // COUNT_SLICES, np.uint64)
+    for batch in batches:
+        for counts in batch.column(1):
+            total += np.frombuffer(counts.as_buffer(), "<u2")
+    total = np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total], pa.binary())], names=["slice", "counts"])
+
+
 def shingle_counts(rows: DataFrame, words: int) -> np.ndarray:
-    """How often shingles of each bucket occur in all documents, above the usual load of a bucket."""
-    counted = rows.mapInArrow(_count(words), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros(COUNT_BUCKETS, np.int64)
-    for row in counted.toLocalIterator():  # at most COUNT_BUCKETS rows
-        counts[row["bucket"]] = row["n"]
-    return np.maximum(counts - int(np.median(counts)), 0)
+    """How often shingles of each bucket occur in all documents, above the usual load of a bucket.
+
+    Each task counts all its texts and hands on one row per slice of the buckets; the sums, of fixed size, come to the driver.
+    """
+    tables = rows.mapInArrow(_count(words), "slice int, counts binary")
+    counts = np.zeros((COUNT_SLICES, COUNT_BUCKETS // COUNT_SLICES), np.int64)
+    for row in tables.groupBy("slice").applyInArrow(_sum_counts, "slice int, counts binary").toLocalIterator():
+        counts[row["slice"]] = np.frombuffer(row["counts"], "<u4")
+    counts = counts.ravel()
+    return np.minimum(np.maximum(counts - int(np.median(counts)), 0), (1 << 20) - 1).astype(np.int32)
 
 
 def _ceil(numerator: int, denominator: int) -> int:
@@ -116,7 +137,7 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.nda
     n = len(hashes)
     if not n:
         return np.zeros(0, np.int64), 1
-    seen = np.minimum(counts[(hashes & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)], (1 << 20) - 1)
+    seen = counts[(hashes & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)].astype(np.int64)
     names = np.sort((seen << 43) | (hashes >> np.uint64(21)).astype(np.int64))
     least = _ceil(percent * n, 100)
     short = n - least + 1
@@ -172,6 +193,53 @@ def _verify(percent: int):
     return run
 
 
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of ``left`` with each of ``right``: products of 0-1 matrices, some shingles at a time."""
+    sets = [*left, *right]
+    names, column = np.unique(np.concatenate(sets), return_inverse=True)
+    twice = np.bincount(column, minlength=len(names)) > 1
+    place = np.cumsum(twice) - 1
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    keep = twice[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    counts = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(twice.sum()), 4096):
+        a, b = np.searchsorted(column, (first, first + 4096))
+        some = np.zeros((len(sets), 4096), np.float32)
+        some[row[a:b], column[a:b] - first] = 1
+        counts += some[: len(left)] @ some[len(left) :].T
+    return counts
+
+
+def _block_links(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
+        own, lo, hi = rows["own"].to_numpy(), rows["lo"].iloc[0], rows["hi"].iloc[0]
+        i, j = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        counts = _shared_counts([sets[k] for k in i], [sets[k] for k in j]) if len(i) and len(j) else np.zeros((0, 0))
+        size, node, root = np.array([len(s) for s in sets]), rows["node"].to_numpy(), rows["component"].to_numpy().copy()
+        links = 100 * counts.astype(np.int64) >= percent * (size[i][:, None] + size[j][None, :] - counts.astype(np.int64)) if counts.size else counts
+        # Of the links, those that join what is not joined yet.
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        out = []
+        for x, y in np.argwhere(links):
+            a, b = find(int(root[i[x]])), find(int(root[j[y]]))
+            if a != b:
+                parent[a] = b
+                out.append((int(node[i[x]]), int(node[j[y]])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 class _Join:
     """One join: the described documents, their classes, and the sets read again for candidates."""
 
@@ -188,34 +256,40 @@ class _Join:
         self.postings = self._shared_postings()
 
     def _shared_postings(self) -> DataFrame:
-        """``node, name, n, most``: prefix shingles that several classes have. ``most``: how many of its shingles a class can share.
+        """``node, name, n, most, matches``: prefix shingles that several classes have. ``most``: how many of its shingles a class can share.
 
         A prefix shingle that no other class has in its prefix is shared with none. A class that cannot share enough is dropped, which
         leaves more shingles alone; this is done twice.
         """
-        rest = self.classes.select("node", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("name"))
+        facts = self.facts.select("node", "n", "p", "matches")
+        rest = self.classes.select("node", F.explode("prefix").alias("name"))
         for turn in range(2):
-            common = rest.groupBy("name").agg(F.count("*").alias("size")).filter("size > 1").select("name")
-            rest = written(rest.select("node", "name", "n", "p").join(common, "name"), f"postings{turn}")
-            able = rest.groupBy("node").agg((F.first("n") - F.first("p") + F.count("*")).alias("most"), F.first("n").alias("_n"))
-            rest = rest.join(able.filter(100 * F.col("most") >= self.percent * F.col("_n")).select("node", "most"), "node")
-        return written(rest.select("node", "name", "n", "most"), "postings")
+            dealt = rest.select("node", "name").repartition(partitions(self.spark), "name")  # one shuffle for the counts and the join
+            common = dealt.groupBy("name").agg(F.count("*").alias("size")).filter("size > 1").select("name")
+            rest = written(dealt.join(common, "name"), f"postings{turn}")
+            able = rest.groupBy("node").agg(F.count("*").alias("c")).join(facts, "node").withColumn("most", F.col("n") - F.col("p") + F.col("c"))
+            able = able.filter(100 * F.col("most") >= self.percent * F.col("n")).select("node", F.col("n").cast("int").alias("n"), F.col("most").cast("int").alias("most"), "matches")
+            rest = rest.join(able, "node")
+        return written(rest.select("node", "name", "n", "most", "matches"), "postings")
 
     def _near(self, a: str, b: str):
         """Whether sizes and what can be shared allow a link."""
         t, n_a, n_b, most_a, most_b = self.percent, *(F.col(c + x) for c in ("n_", "most_") for x in (a, b))
         return (100 * n_a >= t * n_b) & (100 * n_b >= t * n_a) & ((100 + t) * F.least(most_a, most_b) >= t * (n_a + n_b))
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs(a, b)`` that link; their sets are computed again from the texts, of classes in pairs only."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = written(self.classes.join(nodes, "node").select("key", "node", "least"), "wanted")
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """``node, hashes`` of the given classes, computed again from the texts, of documents that a filter of fixed size lets through."""
+        wanted = written(self.classes.join(nodes.select("node").distinct(), "node").select("key", "node", "least"), "wanted")
         bits = np.zeros(FILTER_BITS, bool)
         for row in wanted.select(_filter_bit("least").alias("bit")).distinct().groupBy(F.floor(F.col("bit") / 4096)).agg(F.collect_list("bit")).toLocalIterator():
             bits[row[1]] = True  # at most FILTER_BITS bits
         needed = self.spark.sparkContext.broadcast(np.packbits(bits).tobytes())
         sets = self.rows.withColumn("bit", _filter_bit("doc_id")).mapInArrow(_needed_sets(self.words, needed), "key binary, hashes binary")
-        sets = written(wanted.join(sets.dropDuplicates(["key"]), "key").select("node", "hashes"), "sets")
+        return written(wanted.join(sets.dropDuplicates(["key"]), "key").select("node", "hashes"), "sets")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs(a, b)`` that link."""
+        sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(self.percent), "a long, b long")
@@ -237,14 +311,7 @@ class _Join:
             return self.postings.withColumn("component", F.col("node"))
         own = self.postings.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = own.groupBy("name").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("name")
-        return written(own.join(mixed, "name").select("node", "name", "n", "most", "component"), "mixed_postings")
-
-    @staticmethod
-    def load(own: DataFrame) -> tuple[int, int]:
-        """Postings, and pairs of them across components."""
-        parts = own.groupBy("name", "component").agg(F.count("*").alias("c")).groupBy("name").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        row = parts.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
-        return int(row[0] or 0), int(row[1] or 0)
+        return written(own.join(mixed, "name").select("node", "name", "n", "most", "matches", "component"), "mixed_postings")
 
     def hub_links(self, own: DataFrame, turn: int) -> DataFrame:
         """Links of each class with those hubs of other components that it shares most shingles with.
@@ -252,8 +319,7 @@ class _Join:
         For each shingle, the class that shares the largest part of its prefix with others is a hub (in a group of edited copies, one near the
         original), and classes of least salted hash. A pair's shared shingles are counted where one is a hub: some links are missed here, none is made up.
         """
-        widely = own.groupBy("node").agg(F.count("*").alias("w")).join(self.facts, "node").select("node", (F.col("w") / F.col("p")).alias("w"))
-        own = own.join(widely, "node")
+        own = self._with_share(own)
         least = [F.min(F.struct(F.xxhash64(F.lit(HUBS * turn + salt), "node").alias("h"), F.col("node").alias("hub")))["hub"] for salt in range(1, HUBS)]
         hubs = own.groupBy("name").agg(F.array_distinct(F.array(F.max(F.struct("w", "node"))["node"], *least)).alias("hubs")).select("name", F.explode("hubs").alias("hub"))
         places = own.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")).distinct()
@@ -263,13 +329,49 @@ class _Join:
         pairs = best.select("a", F.explode("best.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return self.verified(written(pairs, "hub_pairs"))
 
+    def _with_share(self, own: DataFrame) -> DataFrame:
+        """Postings with ``w``: the part of its class's prefix that other classes share."""
+        widely = own.groupBy("node").agg(F.count("*").alias("c")).join(self.facts, "node").select("node", (F.col("c") / F.col("p")).alias("w"))
+        return own.join(widely, "node")
+
     def cross_links(self, own: DataFrame) -> DataFrame:
-        """All links between classes of different components."""
-        own = own.select("name", "node", "component", "n", "most")
-        a, b = own.toDF("name_a", "a", "component_a", "n_a", "most_a"), own.toDF("name_b", "b", "component_b", "n_b", "most_b")
+        """All links between classes of different components, or as many as join the same components."""
+        own = written(self._with_share(own), "shares")
+        names = written(own.groupBy("name").agg(F.count("*").alias("size"), F.max(F.struct("w", "node"))["node"].alias("hub")).withColumn("is_heavy", F.col("size") > HEAVY), "names")
+        own = own.join(names.select("name", "hub", "is_heavy"), "name")
+        heavy = written(own.filter("is_heavy").select("hub", "node", "component"), "heavy")
+        counts = heavy.groupBy("node").agg(F.count("*").cast("int").alias("heavy"))
+        light = own.filter("not is_heavy").join(counts, "node", "left").fillna(0, ["heavy"])
+        return self.verified(written(self._light_pairs(light), "cross_pairs")).union(self._heavy_links(heavy.distinct()))
+
+    def _light_pairs(self, own: DataFrame) -> DataFrame:
+        """Possible pairs by shingles that few classes have.
+
+        Shared shingles that many have are not counted, so a class may share all its ``heavy`` ones besides. Most pairs share too
+        few and end before anything else is looked up.
+        """
+        columns = ("name", "node", "component", "n", "most", "matches", "heavy")
+        a, b = (own.select(*(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab")
         near = (F.col("component_a") < F.col("component_b")) & self._near("a", "b")
-        shared = a.join(b, (a["name_a"] == b["name_b"]) & near).groupBy("a", "b").agg(F.count("*").alias("shared"))
-        return self.verified(written(self.possible(shared).select("a", "b"), "cross_pairs"))
+        shared = a.join(b, (F.col("name_a") == F.col("name_b")) & near)
+        besides, asked = F.least("heavy_a", "heavy_b"), F.least("matches_a", "matches_b")
+        shared = shared.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("light"), F.first(besides).alias("besides"), F.first(asked).alias("asked"))
+        shared = shared.withColumn("shared", F.col("light") + F.col("besides")).filter("shared >= asked")
+        return self.possible(shared.select("a", "b", "shared")).select("a", "b")
+
+    def _heavy_links(self, groups: DataFrame) -> DataFrame:
+        """Links among classes that share a shingle of many, by blocks: each two blocks of a hub's group meet in one task.
+
+        Classes with a shared shingle are in the group of its hub, so no pair is missed; a block yields links enough to join the same components.
+        """
+        groups = written(groups, "groups")
+        blocks = groups.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = groups.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        dealt = dealt.select("hub", "node", "component", "own", other)
+        dealt = dealt.select("hub", "node", "component", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        rows = dealt.join(self.sets_of(groups), "node")
+        return rows.groupBy("hub", "lo", "hi").applyInPandas(_block_links(self.percent), "a long, b long")
 
     def found(self) -> DataFrame:
         """``node, component`` of every class that has a link."""
@@ -277,11 +379,12 @@ class _Join:
         own = self.placed(None)
         before = float("inf")
         for turn in range(MOST_ROUNDS):
-            postings, pairs = self.load(own)
-            if pairs <= PAIRS_PER_POSTING * max(postings, 100_000) or pairs > 0.8 * before:
+            crowded = written(own.groupBy("name").agg(F.count("*").alias("size")).filter(F.col("size") > HUB_FROM), "crowded")
+            postings = crowded.agg(F.sum("size")).first()[0] or 0
+            if not postings or postings > 0.8 * before:
                 break
-            before = pairs
-            more = self.hub_links(own, turn)
+            before = postings
+            more = self.hub_links(own.join(crowded.select("name"), "name"), turn)
             links = written(more if links is None else links.union(more), f"links{turn}")
             found = components(links)
             own = self.placed(found)
@@ -305,5 +408,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return join.described.select("doc_id", "n", "key").join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, that of the smallest id; all columns as they are.
+
+    Rows that repeat an id and its text are one document; so are rows without an id and with the same text.
+    """
+    near = near_duplicates(docs, words, percent).select("doc_id", "component_id")
+    near = written(near.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "groups")
+    kept = docs.join(near.filter("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    repeated = near.filter("rows > 1 and doc_id is not null").select("doc_id")
+    unnamed = near.filter("rows > 1 and doc_id is null")
+    if repeated.isEmpty() and unnamed.isEmpty():
+        return kept
+    own = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).union(kept.filter("doc_id is null"))
+    rest = kept.filter("doc_id is not null").join(repeated, "doc_id", "left_anti").select(docs.columns)
+    return rest.union(own.dropDuplicates(["doc_id", "text"]))
+
+
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
