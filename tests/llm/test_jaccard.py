@@ -74,6 +74,12 @@ def test_groups_against_brute_force(make, prose, monkeypatch, words, percent, hu
     assert len({c for _, _, c in want}) < len(rows) - 20
 
 
+def test_ninety_shingles_and_five_more(make):
+    base = [f"w{i}" for i in range(92)]
+    rows = [(1, " ".join(base)), (2, " ".join(base + [f"new{i}" for i in range(5)]))]
+    assert got(jaccard.near_duplicates(make(rows), 3, 90)) == [(1, 90, 1), (2, 95, 1)]
+
+
 def test_prefixes_never_miss_a_pair(prose):
     counts = np.zeros(jaccard.COUNT_BUCKETS, np.int64)
     for percent in (80, 90):

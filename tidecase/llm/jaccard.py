@@ -273,9 +273,9 @@ class _Join:
         return written(rest.select("node", "name", "n", "most", "matches"), "postings")
 
     def _near(self, a: str, b: str):
-        """Whether sizes and what can be shared allow a link."""
-        t, n_a, n_b, most_a, most_b = self.percent, *(F.col(c + x) for c in ("n_", "most_") for x in (a, b))
-        return (100 * n_a >= t * n_b) & (100 * n_b >= t * n_a) & ((100 + t) * F.least(most_a, most_b) >= t * (n_a + n_b))
+        """Whether sizes allow a link. What a pair can share is left to ``possible``: a prefix shingle may be in the other set beyond its prefix."""
+        t, n_a, n_b = self.percent, F.col(f"n_{a}"), F.col(f"n_{b}")
+        return (100 * n_a >= t * n_b) & (100 * n_b >= t * n_a)
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """``node, hashes`` of the given classes, computed again from the texts, of documents that a filter of fixed size lets through."""
@@ -350,7 +350,7 @@ class _Join:
         Shared shingles that many have are not counted, so a class may share all its ``heavy`` ones besides. Most pairs share too
         few and end before anything else is looked up.
         """
-        columns = ("name", "node", "component", "n", "most", "matches", "heavy")
+        columns = ("name", "node", "component", "n", "matches", "heavy")
         a, b = (own.select(*(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab")
         near = (F.col("component_a") < F.col("component_b")) & self._near("a", "b")
         shared = a.join(b, (F.col("name_a") == F.col("name_b")) & near)
