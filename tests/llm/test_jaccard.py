@@ -74,12 +74,47 @@ def test_groups_against_brute_force(make, prose, monkeypatch, words, percent, hu
     assert len({c for _, _, c in want}) < len(rows) - 20
 
 
+def contained(words, percent):
+    """Pairs of a text and the same with rare words appended or inserted or with its end cut off, near the threshold on both sides."""
+    texts = []
+    for length in (24, 47, 92, 160):
+        n = length - words + 1
+        for k in (n * (100 - percent) // percent, n * (100 - percent) // (2 * percent), n * (100 - percent) // 100, n * (100 - percent) // 100 + 2):
+            for edit in ("append", "insert", "truncate"):
+                base = [f"c{len(texts)}x{i}" for i in range(length)]
+                more = [f"r{len(texts)}x{i}" for i in range(k)]
+                other = {"append": base + more, "insert": base[: length // 2] + more + base[length // 2 :], "truncate": base[: length - k]}[edit]
+                texts += [" ".join(base), " ".join(other)]
+    return texts
+
+
+@pytest.mark.parametrize("words, percent, hubs_from, heavy", [(3, 90, 4096, 48), (5, 80, 4096, 48), (3, 90, 1, 48), (5, 80, 10**9, 1)])
+def test_contained_texts_against_brute_force(make, monkeypatch, words, percent, hubs_from, heavy):
+    monkeypatch.setattr(jaccard, "HUB_FROM", hubs_from)
+    monkeypatch.setattr(jaccard, "HEAVY", heavy)
+    rows = list(enumerate(contained(words, percent)))
+    want = brute(rows, words, percent)
+    assert got(jaccard.near_duplicates(make(rows), words, percent)) == want
+    assert len(rows) // 5 < len({c for _, _, c in want}) < len(rows)
+
+
 def test_ninety_shingles_and_five_more(make):
     base = [f"w{i}" for i in range(92)]
     rows = [(1, " ".join(base)), (2, " ".join(base + [f"new{i}" for i in range(5)]))]
     assert got(jaccard.near_duplicates(make(rows), 3, 90)) == [(1, 90, 1), (2, 95, 1)]
 
 
+@pytest.mark.parametrize("words, percent, shingles_of", [(3, 90, 9), (5, 80, 4)])
+def test_prefixes_that_ask_for_different_numbers(make, monkeypatch, words, percent, shingles_of):
+    zeros = np.zeros(jaccard.COUNT_BUCKETS, np.int32)  # as in large corpora, where rare shingles do not stand out of their buckets
+    monkeypatch.setattr(jaccard, "shingle_counts", lambda rows, words: zeros)
+    texts = [" ".join(f"d{k}x{i}" for i in range(shingles_of + words - 1 + more)) for k in range(20) for more in (0, 1)]
+    sets = [jaccard.shingle_set(t, words, jaccard._Hashes()) for t in texts[:2]]
+    assert len({jaccard.prefix(s, zeros, percent)[1] for s in sets}) == 2
+    rows = list(enumerate(texts))
+    assert got(jaccard.near_duplicates(make(rows), words, percent)) == brute(rows, words, percent)
+
+
 def test_prefixes_never_miss_a_pair(prose):
     counts = np.zeros(jaccard.COUNT_BUCKETS, np.int64)
     for percent in (80, 90):

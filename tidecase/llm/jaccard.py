@@ -256,21 +256,20 @@ class _Join:
         self.postings = self._shared_postings()
 
     def _shared_postings(self) -> DataFrame:
-        """``node, name, n, most, matches``: prefix shingles that several classes have. ``most``: how many of its shingles a class can share.
+        """``node, name, n, matches``: prefix shingles that several classes have.
 
-        A prefix shingle that no other class has in its prefix is shared with none. A class that cannot share enough is dropped, which
-        leaves more shingles alone; this is done twice.
+        A linked pair shares at least the smaller ``matches`` of its two in both prefixes. A class that shares fewer than the least of its own
+        and of all classes it shares a shingle with has no link and is dropped, which leaves more shingles alone; this is done twice.
         """
-        facts = self.facts.select("node", "n", "p", "matches")
-        rest = self.classes.select("node", F.explode("prefix").alias("name"))
+        rest = self.classes.select("node", "matches", F.explode("prefix").alias("name"))
         for turn in range(2):
-            dealt = rest.select("node", "name").repartition(partitions(self.spark), "name")  # one shuffle for the counts and the join
-            common = dealt.groupBy("name").agg(F.count("*").alias("size")).filter("size > 1").select("name")
+            dealt = rest.select("node", "name", "matches").repartition(partitions(self.spark), "name")  # one shuffle for the counts and the join
+            common = dealt.groupBy("name").agg(F.count("*").alias("size"), F.min("matches").alias("asked")).filter("size > 1").select("name", "asked")
             rest = written(dealt.join(common, "name"), f"postings{turn}")
-            able = rest.groupBy("node").agg(F.count("*").alias("c")).join(facts, "node").withColumn("most", F.col("n") - F.col("p") + F.col("c"))
-            able = able.filter(100 * F.col("most") >= self.percent * F.col("n")).select("node", F.col("n").cast("int").alias("n"), F.col("most").cast("int").alias("most"), "matches")
+            able = rest.groupBy("node").agg(F.count("*").alias("c"), F.min("asked").alias("asked")).filter("c >= asked").select("node")
             rest = rest.join(able, "node")
-        return written(rest.select("node", "name", "n", "most", "matches"), "postings")
+        sizes = self.facts.select("node", F.col("n").cast("int").alias("n"))
+        return written(rest.join(sizes, "node").select("node", "name", "n", "matches"), "postings")
 
     def _near(self, a: str, b: str):
         """Whether sizes allow a link. What a pair can share is left to ``possible``: a prefix shingle may be in the other set beyond its prefix."""
@@ -311,7 +310,7 @@ class _Join:
             return self.postings.withColumn("component", F.col("node"))
         own = self.postings.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = own.groupBy("name").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("name")
-        return written(own.join(mixed, "name").select("node", "name", "n", "most", "matches", "component"), "mixed_postings")
+        return written(own.join(mixed, "name").select("node", "name", "n", "matches", "component"), "mixed_postings")
 
     def hub_links(self, own: DataFrame, turn: int) -> DataFrame:
         """Links of each class with those hubs of other components that it shares most shingles with.
