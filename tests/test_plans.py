@@ -1,5 +1,8 @@
 """What the physical plans must and must not contain."""
 
+import datetime as dt
+import glob
+import os
 import re
 
 import pytest
@@ -7,9 +10,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidecase.operators.events import first_event, last_event, nth_event
+from tidecase.operators import slices
 from tidecase.operators.intervals import state_on
+from tidecase.operators.slices import numbered, with_prev
 from tidecase.plans import QUERIES
 from tidecase.sources.derived import daily_snapshot
+from tidecase.sources.scratch import release_scratch, session_folder
 from tidecase.sources.sinks import write_bucketed_table, write_new_table
 from tidecase.sources.tables import Tables
 
@@ -90,3 +96,56 @@ def test_bucketed_tables_join_without_shuffle(spark, data, large_tables):
     finally:
         spark.sql("DROP TABLE bucketed_cases")
         spark.sql("DROP TABLE bucketed_items")
+
+
+ROWS = ["event_type"], ["ts", "event_id"]
+
+
+@pytest.mark.parametrize("make", [
+    lambda log: numbered(log, *ROWS, rows_per_task=50),
+    lambda log: with_prev(log, *ROWS, {"before": "event_id"}, rows_per_task=50),
+])
+def test_sliced_rows_are_stored_once_and_read_in_order(spark, data, make):
+    """The plan reads the stored slices only, for the rows and for what crosses their borders; the rows are not shuffled or sorted again."""
+    df = make(Tables(spark, data).events.select("event_id", "ts", "event_type"))
+    text = plan(df)
+    assert text.count("FileScan") == 2 and "events.parquet" not in text
+    rows = text.split("BroadcastExchange")[0]
+    assert "Exchange hashpartitioning" not in rows and " Sort " not in rows
+    assert text.count("Exchange hashpartitioning") == 1  # one row per slice
+
+
+def test_the_log_is_read_once_for_the_sample_and_once_for_the_rows(spark, data, monkeypatch):
+    seen = []
+    for name in ("stored", "stored_by"):
+        real = getattr(slices, name)
+        monkeypatch.setattr(slices, name, lambda df, *more, real=real: (seen.append(plan(df).count("events.parquet")), real(df, *more))[1])
+    df = numbered(Tables(spark, data).events.select("event_id", "ts", "event_type"), *ROWS, rows_per_task=50)
+    assert seen == [1, 0, 1] and "events.parquet" not in plan(df)  # sample, hot keys, sliced rows
+
+
+def test_small_inputs_keep_the_plain_window(spark, data):
+    log = Tables(spark, data).events
+    for df in (numbered(log, *ROWS), with_prev(log, *ROWS, {"before": "event_id"}), numbered(log, ["event_type"], ["ts"], ties=True)):
+        text = plan(df)
+        assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 1 and "Broadcast" not in text
+
+
+def test_rank_does_not_bring_the_rows_of_an_instant_together(spark):
+    rows = spark.range(6_000).select("id", F.lit("k").alias("key"), F.make_date(F.lit(2024), F.lit(1), (F.col("id") % 2 + 1).cast("int")).alias("day"))
+    df = numbered(rows, ["key"], ["day"], "rnk", ties=True, rows_per_task=100)
+    assert {tuple(r) for r in df.select("day", "rnk").distinct().collect()} == {(dt.date(2024, 1, 1), 1), (dt.date(2024, 1, 2), 3_001)}
+    salted = spark.read.parquet(max(glob.glob(f"{session_folder(spark).removeprefix('file:')}/salted-*"), key=os.path.getmtime))
+    per_salt = [r["count"] for r in salted.groupBy("day", "_salt").count().collect()]
+    assert sum(per_salt) == 6_000 and max(per_salt) < 200
+    assert "rank(" not in plan(df)
+
+
+def test_scratch_is_removed(spark, data):
+    folder = session_folder(spark).removeprefix("file:")
+    numbered(Tables(spark, data).events, *ROWS, rows_per_task=50).count()
+    tables = [r["tableName"] for r in spark.sql("SHOW TABLES").collect()]
+    assert os.listdir(folder) and any(n.startswith("tidecase_") for n in tables)
+    release_scratch(spark)
+    assert not os.path.exists(folder) and not any(r["tableName"].startswith("tidecase_") for r in spark.sql("SHOW TABLES").collect())
+    assert numbered(Tables(spark, data).events, *ROWS, rows_per_task=50).count() == Tables(spark, data).events.count()

@@ -42,13 +42,9 @@ def wide_row(
     )
     holds = visits_to_state(log, turned.select("case_id", hold_mark), hold, hold_mark, as_of, hot=hot).drop(hold_mark)
     per_role = distinct_touches(sessions, "case_id", "worker", "ts", F.col("seconds"), ["role"])
-    totals = per_role.groupBy("case_id").agg(
-        F.sum("touches").alias("touches"), F.sum("seconds").alias("touch_seconds")
-    )
-    by_role = touches_by_role(per_role, "case_id", "role", roles, total="distinct_touches")
-    return (
-        timed.join(holds, "case_id", "left").join(totals, "case_id", "left").join(by_role, "case_id", "left")
-    )
+    sums = [F.sum("touches").alias("touches"), F.sum("seconds").alias("touch_seconds")]
+    by_role = touches_by_role(per_role, "case_id", "role", roles, total="distinct_touches", also=sums)
+    return timed.join(holds, "case_id", "left").join(by_role, "case_id", "left")
 
 
 def _share(condition: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecase.operators.joins import with_group
-from tidecase.operators.shapes import pivot_fixed, subtotals
+from tidecase.operators.shapes import subtotals
 
 
 def last_on_day(sessions: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
@@ -34,12 +36,16 @@ def distinct_touches(sessions: DataFrame, case: str, worker: str, ts: str, secon
     )
 
 
-def touches_by_role(touched: DataFrame, case: str, role: str, roles: list[str], total: str = "Total") -> DataFrame:
-    """Distinct touches per case as one column per role plus the total over all roles."""
-    sets = subtotals(
-        touched, [[case, role], [case]], [F.sum("distinct_touches").alias("n")], total_label=total, keep=[case]
-    )
-    return pivot_fixed(sets, [case], role, [*roles, total], F.sum("n"))
+def touches_by_role(
+    touched: DataFrame, case: str, role: str, roles: list[str], total: str = "Total", also: Sequence[Column] = ()
+) -> DataFrame:
+    """Distinct touches per case as one column per role plus the total over all roles, and ``also`` over all rows of a case.
+
+    One aggregation per case; a role without touches is NULL.
+    """
+    n = F.col("distinct_touches")
+    per_role = [F.sum(F.when(F.col(role) == r, n)).alias(r) for r in roles]
+    return touched.groupBy(case).agg(*per_role, F.sum(n).alias(total), *also)
 
 
 def team_summary(sessions: DataFrame, pilot: str, levels: list[list[str]]) -> DataFrame:

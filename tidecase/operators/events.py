@@ -14,8 +14,8 @@ from tidecase.operators.slices import (
     directed,
     hot_keys,
     join_carry,
+    sliced_rows,
     with_next,
-    with_slice,
 )
 
 
@@ -108,41 +108,34 @@ def asof(
         F.col(right_ts).alias("_ts"),
         F.lit(right_rank).alias("_side"),
         *[F.col(t).alias(a) for t, a in zip(ties, tie_columns)],
-        F.lit(0).cast("bigint").alias("_mix"),
+        F.xxhash64(*right.columns).alias("_mix"),
         null_left.alias("_left"),
         payload.alias("_right"),
     )
     rows = left_rows.unionByName(right_rows)
-    # the hash keeps left rows at one time apart, so that they too can be cut into slices
+    # the hash keeps rows of one side and time apart, so that they too can be cut into slices
     order = ["_ts", "_side", *tie_columns, "_mix"]
     if hot is None:
-        hot = hot_keys(rows.drop("_left", "_right"), key_columns, order, rows_per_task)
-    both = with_slice(rows, key_columns, order, hot)
-    window = (
-        Window.partitionBy(*key_columns, SLICE)
-        .orderBy(*directed(order, forward))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    seen = both.withColumn("_match", F.last("_right", ignorenulls=True).over(window))
-    pick = F.min_by if forward else F.max_by
-    is_right = F.col("_side") == right_rank
-    newest = pick(
-        F.when(is_right, F.col("_right")),
-        F.when(is_right, F.struct("_ts", *tie_columns)),
-    )
-    carried = carry(
-        both,
-        key_columns,
-        newest,
-        lambda c: F.last(c, ignorenulls=True),
-        forward,
-        "_carried",
-    )
-    known_time = F.col("_ts").isNotNull()
-    matched = (
-        join_carry(seen.filter(F.col("_side") == left_rank), carried, key_columns)
-        .withColumn("_match", F.when(known_time, F.coalesce(F.col("_match"), F.col("_carried"))))
-    )
+        # the row id lets equal rows be drawn one by one
+        narrow = rows.drop("_left", "_right").withColumn("_row", F.monotonically_increasing_id())
+        hot = hot_keys(narrow, key_columns, order, rows_per_task)
+    is_left, known_time = F.col("_side") == left_rank, F.col("_ts").isNotNull()
+    so_far = F.last("_right", ignorenulls=True)
+
+    def seen(by: list[str]) -> Column:
+        window = Window.partitionBy(*by).orderBy(*directed(order, forward))
+        return F.when(known_time, so_far.over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    if not hot.found:
+        matched = rows.withColumn("_match", seen(key_columns)).filter(is_left)
+    else:
+        both = sliced_rows(rows, key_columns, order, hot)
+        pick = F.min_by if forward else F.max_by
+        newest = pick(F.when(~is_left, F.col("_right")), F.when(~is_left, F.struct("_ts", *tie_columns, "_mix")))
+        carried = carry(both, key_columns, newest, lambda c: F.last(c, ignorenulls=True), forward, "_carried")
+        near = both.withColumn("_match", seen([*key_columns, SLICE])).filter(is_left)
+        found = F.coalesce(F.col("_match"), F.when(known_time, F.col("_carried")))
+        matched = join_carry(near, carried, key_columns).withColumn("_match", found)
     if how == "inner":
         matched = matched.filter(F.col("_match").isNotNull())
     return matched.select("_left.*", *[F.col("_match." + out).alias(out) for out in columns])

@@ -1,17 +1,21 @@
 """Ordered per-key computations that stay parallel when one key holds much of the data.
 
 A window partitioned by key sends all rows of a key to one task. Here a key with more than
-``rows_per_task`` rows is cut into consecutive slices of its order. The window runs per (key, slice),
-and what has to cross a slice border (a row count, a last value) is aggregated per slice, accumulated
-over the slices of the key and joined back.
+``rows_per_task`` rows is cut into consecutive slices of its order. Rows with their slices are stored once, bucketed and sorted by
+(key, slice): the window per (key, slice) and the summaries that cross slice borders (a row count, a last value) both read that
+table, without another shuffle or sort. The summaries are one row per slice, accumulated over the slices of the key and joined back.
+
+An input of few bytes holds no such key, and is not looked at: its plan is the plain window. Otherwise hot keys come from a sample
+of key and order columns that is stored once; without one, the plan is the plain window too.
 
 A key's rows are cut at sampled quantiles of time first, so crowded times and outliers make no large part; rows drawn by
 the same hash serve as further borders, so even many rows at one instant are split when the order has more columns. Both
-are sorted arrays in which a row finds its place by halving. Hot keys and borders come from
-samples drawn by a hash of the row. They, and so the slice of a row, depend on the data alone: a recomputed task puts
-every row into the same slice as before. Which keys count as hot and where borders lie decides only how rows are
+are sorted arrays in which a row finds its place by halving. Which keys count as hot and where borders lie decides only how rows are
 spread, never the result. Where the input is the result of a long pipeline, pass ``hot=hot_keys(narrow columns of
-the base log, …)`` to spare computing it for the samples.
+the base log, …)`` to spare computing it for the samples, and to share them between steps.
+
+A rank needs no sorted groups: rows are counted per (key, instant), counts are summed up over the instants of a key, and every
+row looks its rank up; rows of a crowded instant are spread over tasks in that join.
 
 Size of what is broadcast: a hot key has about ``rows_per_task`` rows or more, so of N rows about N / rows_per_task
 keys at most are hot. They have at most (BORDERS + PARTS) N / rows_per_task slices, each giving one row to the
@@ -30,12 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecase.functions.timeid import clock_number, day_number
+from tidecase.sources.scratch import stored, stored_by
 
 ROWS_PER_TASK = 10_000_000
 PARTS = 64  # parts of a hot key's time span, cut at quantiles
 BORDERS = 8  # further borders per ``rows_per_task`` rows
 SAMPLE_ROWS = 10_000  # expected in the sample for a key of ``rows_per_task`` rows
 SLICE = "_slice"
+#: Stored bytes that a row takes at least, as a rule: an input of fewer bytes for each of ``rows_per_task`` rows has no hot key.
+ROW_BYTES = 8
 
 
 def position(kind: T.DataType, c: Column) -> Column:
@@ -62,10 +69,25 @@ def copies(keys: list[str], prefix: str) -> list[Column]:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """``table``: hot keys with the quantiles of time they are cut at; ``borders``: further borders per (key, part)."""
+    """``table``: hot keys with the quantiles of time they are cut at; ``borders``: further borders per (key, part).
+
+    ``found``: whether there are any.
+    """
 
     table: DataFrame
     borders: DataFrame
+    found: bool
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Stored size of what ``df`` reads, by Spark's statistics."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def is_small(df: DataFrame, rows_per_task: int) -> bool:
+    """Whether ``df`` reads too little to hold ``rows_per_task`` rows of one key."""
+    return input_bytes(df) <= rows_per_task * ROW_BYTES
 
 
 def row_sample(df: DataFrame, every: int) -> DataFrame:
@@ -104,12 +126,15 @@ def hot_keys(
 ) -> HotKeys:
     """Keys with more than about ``rows_per_task`` rows and where to cut them.
 
-    Reads all columns of ``df``: select keys, order and a row id before. ``order`` may be the first columns only of
+    Reads all columns of ``df``, once: select keys, order and a row id before. ``order`` may be the first columns only of
     the order used later.
     """
     ts = order[0]
     kind = df.schema[ts].dataType
     every = max(1, rows_per_task // SAMPLE_ROWS)
+    small = is_small(df, rows_per_task)
+    if not small:
+        df = stored(row_sample(df, every), "sample")
     coarse = every * max(1, rows_per_task // BORDERS // every)  # its rows are in the finer sample too
     drawn = F.pmod(F.xxhash64(*df.columns), F.lit(coarse)) == 0
     times = F.sort_array(F.collect_list(F.when(drawn, position(kind, F.col(ts)))))
@@ -132,7 +157,10 @@ def hot_keys(
         .groupBy(*copies(keys, "_at"), time_part(kind, ts).alias("_at_part"))
         .agg(F.sort_array(F.collect_list(order_struct([F.col(c) for c in order]))).alias("_borders"))
     )
-    return HotKeys(table, borders)
+    if small:
+        return HotKeys(table, borders, False)
+    table = stored(table, "hot")
+    return HotKeys(table, borders, not table.isEmpty())
 
 
 def heavy_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -163,6 +191,12 @@ def with_slice(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys) -
     )
 
 
+def sliced_rows(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys) -> DataFrame:
+    """The rows with their slices, stored bucketed and sorted by (key, slice, order)."""
+    by = [*keys, SLICE]
+    return stored_by(with_slice(df, keys, order, hot), by, [*by, *order])
+
+
 def directed(columns: list[str], descending: bool) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in columns]
 
@@ -208,15 +242,56 @@ def numbered(
     if hot is None:
         # rank orders by time alone, which is no row id
         hot = hot_keys(df if ties else df.select(*keys, *order), keys, order, rows_per_task)
-    sliced = with_slice(df, keys, order, hot)
-    window = Window.partitionBy(*keys, SLICE).orderBy(*directed(order, descending))
     function = F.rank() if ties else F.row_number()
-    local = sliced.withColumn("_local", function.over(window))
-    offsets = carry(sliced, keys, F.count(F.lit(1)), F.sum, descending, "_offset")
+    if not hot.found:
+        plain = Window.partitionBy(*keys).orderBy(*directed(order, descending))
+        return df.withColumn(name, function.over(plain).cast("bigint"))
+    if ties:
+        return _ranked(df, keys, order, name, descending, rows_per_task, hot)
+    rows = sliced_rows(df, keys, order, hot)
+    window = Window.partitionBy(*keys, SLICE).orderBy(*directed(order, descending))
+    local = rows.withColumn("_local", function.over(window))
+    offsets = carry(rows, keys, F.count(F.lit(1)), F.sum, descending, "_offset")
     total = (F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0))).cast("bigint")
     return join_carry(local, offsets, keys).select(*df.columns, total.alias(name))
 
 
+def sums_before(
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, descending: bool, hot: HotKeys
+) -> DataFrame:
+    """Add the sum of ``value`` over the rows of the key before each row, in two levels: within slices, and over slices."""
+    rows = sliced_rows(df, keys, order, hot)
+    before = Window.partitionBy(*keys, SLICE).orderBy(*directed(order, descending)).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("_local", F.sum(value).over(before))
+    offsets = carry(rows, keys, F.sum(value), F.sum, descending, "_offset")
+    total = F.coalesce(F.col("_local"), F.lit(0)) + F.coalesce(F.col("_offset"), F.lit(0))
+    return join_carry(local, offsets, keys).select(*df.columns, total.alias(name))
+
+
+def _ranked(
+    df: DataFrame, keys: list[str], order: list[str], name: str, descending: bool, rows_per_task: int, hot: HotKeys
+) -> DataFrame:
+    """Rank from row counts per (key, instant): no rows of a key or instant have to meet in a task."""
+    counts = df.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sums_before(counts, keys, order, "_n", "_before", descending, hot)
+    looked_up = spread_lookup(df, starts.drop("_n"), [*keys, *order], rows_per_task)
+    return looked_up.select(*df.columns, (F.col("_before") + 1).cast("bigint").alias(name))
+
+
+def spread_lookup(df: DataFrame, lookup: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Rows with the columns of the one ``lookup`` row of their keys, NULL keys included; rows of heavy keys get a salt."""
+    heavy = stored(heavy_keys(df.withColumn("_row", F.monotonically_increasing_id()), keys, rows_per_task), "heavy")
+    marked = df.join(F.broadcast(heavy), same_keys(keys, "_hot"), "left")
+    salt = F.when(F.col("_parts").isNotNull(), F.floor(F.rand(17) * F.col("_parts"))).otherwise(0).cast("int").alias("_salt")
+    facts = stored(marked.select(*df.columns, salt), "salted") if not heavy.isEmpty() else df.withColumn("_salt", F.lit(0))
+    repeated = lookup.join(F.broadcast(heavy), same_keys(keys, "_hot"), "left").select(
+        *copies(keys, "_look"),
+        *[c for c in lookup.columns if c not in keys],
+        F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)).alias("_look_salt"),
+    )
+    return facts.join(repeated, same_keys(keys, "_look") & (F.col("_salt") == F.col("_look_salt")))
+
+
 def _neighbour(
     df: DataFrame,
     keys: list[str],
@@ -228,8 +303,12 @@ def _neighbour(
 ) -> DataFrame:
     if hot is None:
         hot = hot_keys(df.select(*keys, *order), keys, order, rows_per_task)
-    sliced = with_slice(df, keys, order, hot)
     payload = F.struct(*[F.col(source).alias(out) for out, source in columns.items()])
+    if not hot.found:
+        plain = Window.partitionBy(*keys).orderBy(*directed(order, descending))
+        near = df.withColumn("_near", F.lag(payload).over(plain))
+        return near.select(*df.columns, *[F.col("_near." + out).alias(out) for out in columns])
+    sliced = sliced_rows(df, keys, order, hot)
     window = Window.partitionBy(*keys, SLICE).orderBy(*directed(order, descending))
     local = sliced.withColumn("_near", F.lag(payload).over(window))
     pick = F.min_by if descending else F.max_by

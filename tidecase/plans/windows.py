@@ -10,7 +10,7 @@ from tidecase.jobs.touches import last_on_day
 from tidecase.operators.events import asof, dwell, last_event, top_n
 from tidecase.operators.joins import with_group
 from tidecase.operators.shapes import union_padded
-from tidecase.operators.slices import numbered, with_prev
+from tidecase.operators.slices import hot_keys, numbered, with_prev
 from tidecase.plans.registry import query
 from tidecase.plans.scalars import CHRISTMAS
 
@@ -97,6 +97,22 @@ def rank_ties(t):
     return numbered(t.orders, ["o_orderpriority", "o_orderstatus"], ["o_orderdate"], "rnk", ties=True).select("o_orderkey", "rnk")
 
 
+@query(
+    "rank_ties_sliced",
+    """
+    SELECT l_orderkey, l_linenumber, RANK() OVER (PARTITION BY l_returnflag ORDER BY CAST(l_shipdate AS DATE)) AS first_rank,
+      RANK() OVER (PARTITION BY l_returnflag ORDER BY CAST(l_shipdate AS DATE) DESC) AS last_rank FROM lineitem
+    """,
+)
+def rank_ties_sliced(t):
+    """Few keys and crowded days: ranks come from counts per (key, day), no day's rows meet."""
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", F.to_date("l_shipdate").alias("day"))
+    hot = hot_keys(lines.select("l_returnflag", "day", "l_orderkey", "l_linenumber"), ["l_returnflag"], ["day"], 500)
+    for name, late in (("first_rank", False), ("last_rank", True)):
+        lines = numbered(lines, ["l_returnflag"], ["day"], name, descending=late, ties=True, rows_per_task=500, hot=hot)
+    return lines.select("l_orderkey", "l_linenumber", "first_rank", "last_rank")
+
+
 @query(
     "rank_coalesce",
     """

@@ -21,6 +21,8 @@ def build_session(app: str = "tidecase", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # tables stored in sorted buckets are read without sorting them again
+        "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
         **conf,
     }
     for key, value in settings.items():

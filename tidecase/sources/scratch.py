@@ -1,16 +1,63 @@
-"""Shared folder for tables written between steps."""
+"""Shared folder for tables written between steps, with an end of life."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
+_OPEN: dict[str, list[str]] = {}  # folder of a session: its bucketed tables
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Where that setting is absent the warehouse folder takes its place, which driver and executors share as well.
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def session_folder(spark: SparkSession) -> str:
+    """The session's folder in the cluster's shared folder (``spark.checkpoint.dir``).
+
+    Where that setting is absent the warehouse folder takes its place, which driver and executors share as well. The folder goes
+    when the driver's JVM ends, or before by ``release_scratch``.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/tidecase-{spark.sparkContext.applicationId}"
+    if folder not in _OPEN:
+        files, place = _file_system(spark, folder)
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _OPEN[folder] = []
+    return folder
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the session's folder."""
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the session's folder and read again: computed once, and safe when executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_by(df: DataFrame, by: list[str], sort: list[str | Column]) -> DataFrame:
+    """``df`` stored with one sorted file per bucket of ``by``: windows and groups over ``by`` read it without a shuffle."""
+    spark = df.sparkSession
+    folder, buckets = session_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"tidecase_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *by).write.format("parquet").bucketBy(buckets, *by).sortBy(*sort)
+    dealt.option("path", f"{folder}/{name}").saveAsTable(name)
+    _OPEN[folder].append(name)
+    return spark.table(name)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Remove all that the session has stored; results that read it must be written or collected by then."""
+    folder = session_folder(spark)
+    for name in _OPEN.pop(folder):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    files, place = _file_system(spark, folder)
+    files.delete(place, True)
