@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -46,3 +49,51 @@ def test_edges(make, edges, empty, edge_rows):
     assert {r["lang_pred"] for r in language.identify(make([(1, "some words", None, None), (2, None, None, None)])).collect()} == {"und"}
     kept = language.keep_identified(edges, model)
     assert kept.columns == edges.columns and {r["doc_id"] for r in kept.collect()} == {11, 2, None, 8, 9, 20, 12}
+
+
+def brute(rows, text):
+    """(language, score) by counting words and n-grams in plain code; ``rows``: (text, lang)."""
+    langs = sorted({g for _, g in rows})
+    words, grams = {}, {}
+    for t, g in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            words.setdefault(w, Counter())[g] += 1
+            for n in range(1, 5):
+                s = f"^{w}$" if n > 1 else w
+                for i in range(max(len(s) - n, 0) + 1):
+                    grams.setdefault(s[i : i + n], Counter())[g] += 1
+    tables = [{k: c for k, c in x.items() if sum(c.values()) > 1} for x in (words, grams)]
+    log = [
+        {k: [math.log((c[g] + 0.5) / (sum(d[g] for d in x.values()) + 0.5 * len(x) + 1)) for g in langs] for k, c in x.items()} for x in tables
+    ]
+    total = [0.0] * len(langs)
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        found = [log[0][w]] if w in log[0] else []
+        for n in range(4, 0, -1):
+            s = f"^{w}$" if n > 1 else w
+            found = found or [log[1][s[i : i + n]] for i in range(len(s) - n + 1) if s[i : i + n] in log[1]]
+        if found:
+            total = [a + sum(x) / len(found) for a, x in zip(total, zip(*found))]
+    odds = [math.exp(x - max(total)) for x in total]
+    return langs[odds.index(1.0)], 1 / sum(odds)
+
+
+def test_like_plain_counting(make, prose):
+    rows = corpus(prose)[:60]
+    model = language.fit(make([(i, t, g, "s") for i, t, g in rows]), F.lit(True))
+    others = [prose(12, 1000 + i, "ta zup éa ri gorn oû qw x") for i in range(40)] + ["tari", "xq", "gornwexfli flimo"]
+    for text in others:
+        name, score = model.score(text)
+        want, odds = brute([(t, g) for _, t, g in rows], text)
+        assert name == want and abs(score - odds) < 1e-9
+
+
+def test_many_languages_keep_their_words(make):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 3 + "common shared words", f"l{i:03d}", "s") for i in range(260)]
+    model = language.fit(make(rows), F.lit(True))
+    assert len(model.languages) == 260 and all(model.score(t)[0] == g for _, t, g, _ in rows)
+
+
+def test_without_any_language_all_rows_stay(make):
+    docs = make([(i, "some words", None, None) for i in range(6)] + [(7, None, None, None)])
+    assert language.keep_identified(docs, language.fit(docs, F.lit(True))).count() == 7

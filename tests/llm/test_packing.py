@@ -6,8 +6,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tokenizers import Tokenizer
+
 from tidecase.llm import packing
-from tidecase.llm.tokens import shared_encoder
+from tidecase.llm.tokens import tokenizer_path
+
+WHOLE = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
 
 
 def check(rows, docs, size):
@@ -18,7 +22,7 @@ def check(rows, docs, size):
         by_sequence[r["sequence_id"]].append(r)
     want = defaultdict(list)
     for doc_id, text, *_ in docs:
-        ids = np.frombuffer(shared_encoder().encode(text or ""), "<u4").tolist() + [0]
+        ids = WHOLE.encode(text or "", add_special_tokens=False).ids + [0]
         first = len(ids) if len(ids) <= size else len(ids) % size or size
         cuts = [0, *range(first, len(ids) + 1, size)]
         want[doc_id] += [(k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
@@ -31,8 +35,10 @@ def check(rows, docs, size):
     return len(by_sequence)
 
 
-def test_edges(spark, edges, empty, edge_rows):
+def test_edges(spark, edges, empty, edge_rows, make):
     check(packing.packed_documents(edges, size=64).collect(), edge_rows, 64)
+    special = [(1, "a<|endoftext|>b"), (2, "<|endoftext|>" * 70), (3, "plain words")]
+    check(packing.packed_documents(make(special), size=64).collect(), special, 64)
     assert packing.packed_documents(empty).collect() == []
 
 

@@ -11,7 +11,6 @@ from tidecase.llm.common import shared_path
 from tidecase.llm.tokens import TextEncoder, shared_encoder, tokenizer_path
 
 WHOLE = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-WHOLE.encode_special_tokens = True
 
 
 def ids_of(text):
@@ -24,6 +23,12 @@ def test_pieces_give_the_ids_of_the_whole_text(text):
     assert np.frombuffer(shared_encoder().encode(text), "<u4").tolist() == ids_of(text)
 
 
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", "the cat <|endoftext|><|endoftext|> sat", "<|endoftext", "x\n<|endoftext|> y"])
+def test_strings_of_added_tokens(text):
+    assert np.frombuffer(shared_encoder().encode(text), "<u4").tolist() == ids_of(text)
+    assert text != "a<|endoftext|>b" or ids_of(text) == [64, 50256, 65]
+
+
 def test_few_remembered_pieces_give_the_same_ids():
     small, text = TextEncoder(remembered=3), "the cat's hat, the dog. The end!\nIt's \"so\" <|endoftext|> x"
     assert np.frombuffer(small.encode(text), "<u4").tolist() == ids_of(text)

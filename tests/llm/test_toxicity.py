@@ -51,6 +51,38 @@ def test_marginals_against_all_labellings():
     assert np.allclose(expected, sums)
 
 
+def test_messages_go_on_over_the_rows_of_a_long_text():
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    field = toxicity.Field(words)
+    field.weights, field.steps, field.bias = rng.normal(size=40) * 2, np.array([-1.0, 1.5, 3.0]), -0.5
+    texts = [[words[k] for k in rng.integers(0, 40, n)] for n in (1, 127, 128, 129, 256, 700, 0, 5000)]
+    for text, p in zip(texts, field.marginals(texts)):
+        e = np.exp(np.array([[field.bias + field.weights[int(w[1:])] for w in text]]).reshape(1, -1))
+        odds, _ = toxicity._forward_backward(e, np.ones(e.shape, bool), np.exp(field.steps))
+        assert np.allclose(p, (odds / (1 + odds))[0], rtol=1e-9, atol=1e-12)
+
+
+def test_rare_labels_and_long_texts_are_trained_on(spark, make, prose, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 60)
+    rows = [(i, ("vile grumosk " if i % 50 == 0 else "") + prose(30, i)) for i in range(1500)] + [(5000, "vile grumosk " + prose(9000, 1))]
+    labels = [(i, int(i % 50 == 0)) for i in range(1500)] + [(9000 + i, 0) for i in range(300)] + [(5000, 1)]
+    model = toxicity.fit(make(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.tag(make(rows), model).collect()}
+    assert {i for i, p in out.items() if p} == {i for i in range(0, 1500, 50)} | {5000}
+
+
+def test_labels_of_absent_documents_drop_nothing(spark, make, prose):
+    docs = make([(i, prose(20, i)) for i in range(6)])
+    labels = spark.createDataFrame([(100 + i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert toxicity.keep_clean(docs, toxicity.fit(docs, labels)).count() == 6
+
+
+def test_features_are_distinct_within_a_document(make):
+    (row,) = make([(1, "Vile vile villain 12 ab")]).select(toxicity.features_of("text").alias("f")).collect()
+    assert sorted(row["f"]) == sorted({f for w in ("vile", "villain", "ab") for f in toxicity.features(w)})
+
+
 def test_long_texts_are_cut_into_chains_and_seen_whole():
     field = toxicity.Field(["vile"])
     field.weights[:] = 8.0

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecase.sources.scratch import scratch_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in ``spark.checkpoint.dir``; in the warehouse, which is shared as well, where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
+    """A fresh path in the session's shared folder, which goes when the session ends."""
+    return f"{scratch_path(spark, 'llm')}/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,3 +39,20 @@ def crc_fold(column: str, folds: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written with a key of its own for each row, and the key's name, which no column has."""
+    key = f"row_{uuid.uuid4().hex}"
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
+_CACHE: dict[str, object] = {}
+
+
+def worker_cache[T](owner: str, make: Callable[[], T]) -> T:
+    """What a Python worker remembers between its tasks: one operator's at a time, so operators in a row don't add up in its memory."""
+    if owner not in _CACHE:
+        _CACHE.clear()
+        _CACHE[owner] = make()
+    return _CACHE[owner]

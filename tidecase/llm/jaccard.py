@@ -14,16 +14,15 @@ being listed. No pair that could join two components is left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecase.llm.common import partitions, table, text_or_empty, written
+from tidecase.llm.common import table, text_or_empty, worker_cache, written
 from tidecase.llm.components import components
 
 #: Shingles are counted in so many buckets; the table of counts that goes to every task has this size whatever the corpus. A shingle
@@ -51,7 +50,7 @@ class _Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 
@@ -78,16 +77,9 @@ def shingle_set(text: str, words: int, known: dict) -> np.ndarray:
     return np.unique(shingle_hashes(text, words, known))
 
 
-@cache
 def _known() -> _Hashes:
     """One table per Python worker."""
-    return _Hashes()
-
-
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    known = _known()
-    for batch in batches:
-        yield batch.column(0).to_pylist(), [shingle_set(t.as_py(), words, known) for t in batch.column(1)]
+    return worker_cache("word hashes", _Hashes)
 
 
 def _count(words: int):
@@ -151,13 +143,16 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.nda
 def _describe(words: int, percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = counts.value
-        for ids, sets in _sets(batches, words):
+        known = _known()
+        for batch in batches:
+            ids, texts, digests = batch.columns
+            sets = [shingle_set(t.as_py(), words, known) for t in texts]
             chosen = [prefix(s, table_, percent) for s in sets]
             offsets = np.cumsum([0, *(len(p) for p, _ in chosen)])
             names = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*(p for p, _ in chosen), np.zeros(0, np.int64)])))
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            columns = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), names, pa.array([m for _, m in chosen], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "prefix", "matches"])
+            own = [ids, digests, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), names, pa.array([m for _, m in chosen], pa.int32())]
+            yield pa.RecordBatch.from_arrays(own, names=["doc_id", "digest", "n", "key", "prefix", "matches"])
 
     return run
 
@@ -246,8 +241,9 @@ class _Join:
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
         self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+        digested = self.rows.withColumn("digest", text_digest())
         counts = self.spark.sparkContext.broadcast(shingle_counts(self.rows, words))
-        self.described = written(self.rows.mapInArrow(_describe(words, percent, counts), "doc_id long, n long, key binary, prefix array<long>, matches int"), "described")
+        self.described = written(digested.mapInArrow(_describe(words, percent, counts), "doc_id long, digest binary, n long, key binary, prefix array<long>, matches int"), "described")
         classes = self.described.filter("n > 0").groupBy("key").agg(
             F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("matches").alias("matches")
         )
@@ -263,9 +259,10 @@ class _Join:
         """
         rest = self.classes.select("node", "matches", F.explode("prefix").alias("name"))
         for turn in range(2):
-            dealt = rest.select("node", "name", "matches").repartition(partitions(self.spark), "name")  # one shuffle for the counts and the join
-            common = dealt.groupBy("name").agg(F.count("*").alias("size"), F.min("matches").alias("asked")).filter("size > 1").select("name", "asked")
-            rest = written(dealt.join(common, "name"), f"postings{turn}")
+            rest = rest.select("node", "name", "matches")
+            # counted before the shuffle; the join's partitions can be split, so a name that many classes have is no task's alone
+            common = rest.groupBy("name").agg(F.count("*").alias("size"), F.min("matches").alias("asked")).filter("size > 1").select("name", "asked")
+            rest = written(rest.join(common, "name"), f"postings{turn}")
             able = rest.groupBy("node").agg(F.count("*").alias("c"), F.min("asked").alias("asked")).filter("c >= asked").select("node")
             rest = rest.join(able, "node")
         sizes = self.facts.select("node", F.col("n").cast("int").alias("n"))
@@ -391,6 +388,22 @@ class _Join:
         return components(last if links is None else links.union(last))
 
 
+def text_digest() -> Column:
+    """What tells texts apart in a row's key; a null text counts as empty."""
+    return F.unhex(F.md5(text_or_empty().cast("binary")))
+
+
+def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``doc_id, digest, n_shingles, component_id, component`` of each row; ``component`` is null for an empty set."""
+    join = _Join(docs, words, percent)
+    labelled = join.classes.join(join.found(), "node", "left").select("key", "least", F.coalesce("component", "node").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    ids = written(labelled.join(least, "component").select("key", "component_id", "component"), "labels")
+    alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    rows = join.described.select("doc_id", "digest", "n", "key").join(ids, "key", "left")
+    return rows.select("doc_id", "digest", F.col("n").alias("n_shingles"), alone.alias("component_id"), F.when(F.col("n") > 0, F.col("component")).alias("component"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id``: documents linked, directly or through others, share a component.
 
@@ -398,30 +411,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     smallest ``doc_id`` of the component. A null or blank text has an empty set and is alone: it keeps its own id. Rows that
     repeat an id are separate documents. A null ``doc_id`` is larger than any other. Other columns are not read.
     """
-    join = _Join(docs, words, percent)
-    found = join.found()
-    labelled = join.classes.join(found, "node", "left").select("key", "least", F.coalesce("component", "node").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = written(labelled.join(least, "component").select("key", "component_id"), "labels")
-    alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return join.described.select("doc_id", "n", "key").join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    return _labelled(docs, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, that of the smallest id; all columns as they are.
+    """``docs`` with one document of each group of near duplicates; all columns as they are.
 
-    Rows that repeat an id and its text are one document; so are rows without an id and with the same text.
+    The document of the smallest id stays, of several with that id the one of the least digest of its text; rows without an id come last. Rows that
+    repeat an id and its text are one document; so are rows without an id and with the same text. An id that is repeated with
+    another text is another document, and goes or stays by itself. Rows of null and blank texts are in no group and all stay.
     """
-    near = near_duplicates(docs, words, percent).select("doc_id", "component_id")
-    near = written(near.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "groups")
-    kept = docs.join(near.filter("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    repeated = near.filter("rows > 1 and doc_id is not null").select("doc_id")
-    unnamed = near.filter("rows > 1 and doc_id is null")
-    if repeated.isEmpty() and unnamed.isEmpty():
-        return kept
-    own = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).union(kept.filter("doc_id is null"))
-    rest = kept.filter("doc_id is not null").join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return rest.union(own.dropDuplicates(["doc_id", "text"]))
+    name = "_".join(["digest", *docs.columns])  # longer than any column's name
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    near = written(_labelled(docs, words, percent).groupBy("doc_id", "digest").agg(F.min("component").alias("component"), F.count("*").alias("rows")), "groups")
+    first = near.filter("component is not null").groupBy("component").agg(F.min(place).alias("first"))
+    rest = near.join(first, "component").filter(place != F.col("first")).select(F.col("doc_id").alias(f"{name}_id"), F.col("digest").alias(f"{name}_of"))
+    here, digest = F.col("doc_id").cast("long"), F.col(name)
+    kept = docs.withColumn(name, text_digest()).join(rest, here.eqNullSafe(F.col(f"{name}_id")) & (digest == F.col(f"{name}_of")), "left_anti")
+    several = near.filter("rows > 1 and component is not null").select(F.col("doc_id").alias(f"{name}_id"), F.col("digest").alias(f"{name}_of"))
+    if several.isEmpty():
+        return kept.select(docs.columns)
+    again = here.eqNullSafe(F.col(f"{name}_id")) & (digest == F.col(f"{name}_of"))
+    single = kept.join(several, again, "left_anti").select(docs.columns)
+    return single.union(kept.join(several, again, "left_semi").dropDuplicates(["doc_id", name]).select(docs.columns))
 
 
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

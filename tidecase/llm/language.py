@@ -2,28 +2,31 @@
 
 A known word adds its log frequency in each language. An unseen word is cut into character n-grams (its ends marked); the
 longest length of which any n-gram is known decides, with the mean log frequency of the known ones. Counts come from a
-bounded, hashed sample of labelled documents of each language; the model keeps the most frequent words and n-grams, so its size is
-fixed, and every whole text is scored.
+bounded, hashed sample of labelled documents of each language; the model keeps the most frequent words and n-grams of each language, however
+small, and their counts in all languages. Every language that is learned from can be predicted, and every whole text is scored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidecase.llm.common import crc_fold, table, text_or_empty, written
+from tidecase.llm.common import crc_fold, table, text_or_empty, worker_cache, written
 
-#: Labelled documents to learn from, for each language, and the most languages.
+#: Labelled documents to learn from, for each language.
 TRAIN_DOCS = 5_000
-MOST_LANGUAGES = 200
-#: Words and character n-grams that the model keeps.
+#: Words and character n-grams that the languages share among them, and what each has at least.
 MODEL_WORDS = 120_000
 MODEL_GRAMS = 60_000
+LEAST_TOKENS = 1_000
 LONGEST_GRAM = 4
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -31,19 +34,46 @@ _SPLIT = r"[^\p{L}]+"
 
 
 class Model:
-    """Log frequencies: ``rows[token]`` is a row of ``logs``, one column per language."""
+    """Log frequencies of words and n-grams in each language.
+
+    ``words`` and ``grams``: counts by token, one per language. Kept as what a token has beyond one that a language lacks, for the languages that have it.
+    """
 
     def __init__(self, languages: list[str], words: dict[str, list[int]], grams: dict[str, list[int]]):
-        self.languages = languages
+        sparse = [[(token, i, n) for token, counts in table_.items() for i, n in enumerate(counts) if n] for table_ in (words, grams)]
+        self._build(languages, *sparse, len(words), len(grams))
+
+    @classmethod
+    def of_counts(cls, languages: list[str], words: list[tuple[str, int, int]], grams: list[tuple[str, int, int]]) -> Model:
+        """From (token, number of the language, count), the entries of a token side by side."""
+        model = cls.__new__(cls)
+        model._build(languages, words, grams, len({w for w, _, _ in words}), len({g for g, _, _ in grams}))
+        return model
+
+    def _build(self, languages, words, grams, n_words: int, n_grams: int) -> None:
+        self.languages, self.key = languages, uuid.uuid4().hex
         self.rows: dict[str, int] = {}
-        parts = []
+        size, column, extra, lacking, starts = len(languages), [], [], [], [0]
         # Words as they are; n-grams behind a mark that no word holds, so that both fit one table.
-        for mark, counts in (("", words), ("\x00", grams)):
-            n = np.array(list(counts.values()), np.float64).reshape(len(counts), len(languages))
-            self.rows |= {mark + token: len(self.rows) + i for i, token in enumerate(counts)}
-            parts.append(np.log((n + 0.5) / (n.sum(0) + 0.5 * len(n) + 1)))
-        self.logs = np.concatenate(parts) if self.rows else np.zeros((0, len(languages)))
-        self._unseen: dict[str, np.ndarray] = {}
+        for mark, entries, tokens in (("", words, n_words), ("\x00", grams, n_grams)):
+            of = np.array([i for _, i, _ in entries], np.int64)
+            n = np.array([n for _, _, n in entries], np.float64)
+            whole = np.bincount(of, n, size) + 0.5 * tokens + 1
+            lacking.append(np.log(0.5 / whole) if size else np.zeros(0))
+            column.append(of)
+            extra.append(np.log((n + 0.5) / 0.5))
+            for token, same in groupby(entries, key=itemgetter(0)):
+                self.rows[mark + token] = len(starts) - 1
+                starts.append(starts[-1] + sum(1 for _ in same))
+        self._column, self._extra, self._starts = np.concatenate(column), np.concatenate(extra), np.array(starts)
+        self._lacking = lacking
+
+    def sum_of(self, rows: list[int], kind: int) -> np.ndarray:
+        """Sum of the log frequencies of known tokens, words (``kind`` 0) or n-grams (1)."""
+        r = np.array(rows, np.int64)
+        a, n = self._starts[r], self._starts[r + 1] - self._starts[r]
+        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return len(rows) * self._lacking[kind] + np.bincount(self._column[at], self._extra[at], len(self.languages))
 
     def _backoff(self, word: str) -> np.ndarray:
         marked = f"^{word}$"
@@ -51,7 +81,7 @@ class Model:
             source = marked if n > 1 else word
             known = [r for i in range(len(source) - n + 1) if (r := self.rows.get("\x00" + source[i : i + n])) is not None]
             if known:
-                return self.logs[known].mean(0)
+                return self.sum_of(known, 1) / len(known)
         return np.zeros(len(self.languages))
 
     def score(self, text: str) -> tuple[str, float]:
@@ -60,14 +90,15 @@ class Model:
         if not words or not self.languages or not any(w[0].isalpha() or any(c.isalpha() for c in w) for w in words):
             return UNDETERMINED, 0.0
         found = [self.rows.get(w, -1) for w in words]
-        total = self.logs[[r for r in found if r >= 0]].sum(0)
+        total = self.sum_of([r for r in found if r >= 0], 0)
+        unseen = worker_cache(f"unseen words {self.key}", dict)
         for w, r in zip(words, found):
             if r < 0:
-                extra = self._unseen.get(w)
+                extra = unseen.get(w)
                 if extra is None:
                     extra = self._backoff(w)
-                    if len(self._unseen) < 100_000:
-                        self._unseen[w] = extra
+                    if len(unseen) < 100_000:
+                        unseen[w] = extra
                 total = total + extra
         odds = np.exp(total - total.max())
         best = int(np.argmax(total))
@@ -77,7 +108,7 @@ class Model:
 def fit(docs: DataFrame, learn: Column) -> Model:
     """Model of the rows of ``docs`` (``doc_id, text, lang``) for which ``learn`` holds and ``lang`` is not null."""
     rows = docs.filter(learn & F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row per language
     if not sizes:
         return Model([], {}, {})
     languages = sorted(r["lang"] for r in sizes)
@@ -94,12 +125,17 @@ def fit(docs: DataFrame, learn: Column) -> Model:
     grams = words.select("lang", "n", F.explode(F.concat(*(cuts(n) for n in range(1, LONGEST_GRAM + 1)))).alias("token"))
     grams = grams.groupBy("lang", "token").agg(F.sum("n").alias("n"))
 
-    def most(counts: DataFrame, keep: int) -> dict[str, list[int]]:
-        columns = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)]
-        kept = counts.groupBy("token").agg(F.sum("n").alias("n"), *columns).filter("n > 1").orderBy(F.desc("n"), "token").limit(keep)
-        return {r[0]: list(r[2:]) for r in kept.collect()}
+    number = {name: i for i, name in enumerate(languages)}
+
+    def most(counts: DataFrame, keep: int) -> list[tuple[str, int, int]]:
+        share = max(keep // len(languages), LEAST_TOKENS)
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "token"))
+        kept = counts.withColumn("place", place).filter(F.col("place") <= share).select("token").distinct()
+        repeated = counts.groupBy("token").agg(F.sum("n").alias("all")).filter("all > 1").select("token")
+        entries = counts.join(kept, "token").join(repeated, "token").select("token", "lang", "n")
+        return sorted((r["token"], number[r["lang"]], r["n"]) for r in entries.collect())
 
-    return Model(languages, most(words, MODEL_WORDS), most(grams, MODEL_GRAMS))
+    return Model.of_counts(languages, most(words, MODEL_WORDS), most(grams, MODEL_GRAMS))
 
 
 def _score(model):
@@ -126,7 +162,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is determined with a score of ``least`` or more, all columns as they are."""
+    """The rows of ``docs`` whose language is determined with a score of ``least`` or more, all columns as they are.
+
+    A model of no labelled rows can decide nothing, so all rows stay.
+    """
+    if not model.languages:
+        return docs
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

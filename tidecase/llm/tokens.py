@@ -2,18 +2,20 @@
 
 A text is cut before each space and around each line feed. Where no two white-space characters stand together, the
 tokenizer's own split pattern has borders there too, so the ids of the pieces, one after the other, are the ids of the
-text. Pieces repeat, so their ids are kept in a bounded table. Any other text goes to the tokenizer as a whole.
+text. Pieces repeat, so their ids are kept in a bounded table. Any other text goes to the tokenizer as a whole, as does one that holds the
+string of an added token, which the tokenizer gives that token's id.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from functools import cache
 
 from public_tokenizers import path as tokenizer_path
 from tokenizers import Tokenizer
 
+from tidecase.llm.common import worker_cache
+
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: What must be absent for cutting: white space side by side, white space of other kinds, the mark used for cutting.
 _PAIRS = ("  ", " \n", "\n ", "\n\n")
@@ -35,7 +37,7 @@ class TextEncoder(dict):
     def __init__(self, file: str | None = None, remembered: int = 500_000):
         super().__init__()
         self._tokenizer = Tokenizer.from_file(file or tokenizer_path(DEFAULT_FILE))
-        self._tokenizer.encode_special_tokens = True
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._model, self._alphabet, self._remembered = self._tokenizer.model, _byte_letters(), remembered
         self._with_marks: dict[str, bytes] = {}  # words with punctuation behind them; they must not crowd out words
 
@@ -62,13 +64,12 @@ class TextEncoder(dict):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _PAIRS) or any(x in text for x in _OTHERS):
+        if any(x in text for x in self._added) or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _PAIRS) or any(x in text for x in _OTHERS):
             return self._whole(text)
         pieces = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
         return b"".join(map(self.__getitem__, pieces))
 
 
-@cache
 def shared_encoder(file: str | None = None) -> TextEncoder:
-    """One encoder per Python worker: its remembered pieces serve all tasks that the worker runs."""
-    return TextEncoder(file)
+    """One encoder per Python worker: its remembered pieces serve the worker's tasks until another operator's come."""
+    return worker_cache(f"tokens {file}", lambda: TextEncoder(file))

@@ -9,16 +9,18 @@ marginals of all words of a text give its offending spans, and two sums of them
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecase.llm.common import crc_fold, table, text_or_empty
+from tidecase.llm.common import crc_fold, table, text_or_empty, worker_cache, written
 
-#: Labelled documents that features are counted on, and that the field is trained on; the latter are of at most so many characters.
+#: Labelled documents that features are counted on, and that the field is trained on, of which it takes so many characters at most. Of
+#: either class there are a quarter at least, where there are as many.
 COUNT_DOCS = 20_000
 TRAIN_DOCS = 2_500
 TRAIN_CHARS = 20_000
@@ -26,7 +28,7 @@ MOST_FEATURES = 4_000
 #: Likelihood ratio statistic from which a feature is evidence: chance alone reaches it once in some ten million features.
 EVIDENCE = 27.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
-#: Words after which a chain starts anew.
+#: Words that are worked on as one row; messages go on from row to row of a text.
 CHAIN = 128
 _WORD = re.compile(r"[^\W\d_]+")
 _SPLIT = r"[^\p{L}]+"
@@ -50,32 +52,24 @@ class Field:
         self.bias = -4.0
         self.steps = np.zeros(3)  # log weights of the transitions 0-1, 1-0, 1-1 against 0-0
         self.score_weights = np.array([-3.0, 0.0, 0.0])
-        self._emission: dict[str, float] = {}
+        self.key = uuid.uuid4().hex
 
     def known(self, word: str) -> list[int]:
         return [i for f in features(word) if (i := self.index.get(f)) is not None]
 
-    def emission(self, word: str) -> float:
-        """Log odds of the toxic state by the word alone."""
-        e = self._emission.get(word)
-        if e is None:
-            e = self.bias + sum(self.weights[i] for i in self.known(word))
-            if len(self._emission) < 300_000:
-                self._emission[word] = e
-        return e
-
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each text, the probability of the toxic state at each word."""
-        emission = self.emission
+        emission = worker_cache(f"emissions {self.key}", lambda: _Emissions(self)).__getitem__
         values = [np.fromiter(map(emission, words), np.float64, len(words)) for words in texts]
-        flat = np.concatenate([*values, np.zeros(0)])
+        flat = np.exp(np.clip(np.concatenate([*values, np.zeros(0)]), -30, 30))
         starts, lengths = _chains([len(v) for v in values])
+        first = np.isin(starts, np.cumsum([0, *(len(v) for v in values)]))
+        step = np.exp(self.steps)
+        before, after = _carried(flat, starts, lengths, first, step)
         p = np.empty(len(flat))
         for a in range(0, len(starts), 20_000):
-            s, n = starts[a : a + 20_000], lengths[a : a + 20_000]
-            at = s[:, None] + np.minimum(np.arange(n.max(initial=0)), n[:, None] - 1)
-            inside = np.arange(at.shape[1]) < n[:, None]
-            odds, _ = _forward_backward(np.exp(np.clip(flat[at], -30, 30)), inside, np.exp(self.steps))
+            at, inside = _rows(starts[a : a + 20_000], lengths[a : a + 20_000])
+            odds, _ = _forward_backward(flat[at], inside, step, before[a : a + 20_000], after[a : a + 20_000])
             p[at[inside]] = (odds / (1 + odds))[inside]
         return np.split(p, np.cumsum([len(v) for v in values])[:-1]) if values else []
 
@@ -83,6 +77,20 @@ class Field:
         return float(1 / (1 + np.exp(-self.score_weights @ _summary(p))))
 
 
+class _Emissions(dict):
+    """Log odds of the toxic state by the word alone; a bounded number is remembered."""
+
+    def __init__(self, field: Field):
+        super().__init__()
+        self._field = field
+
+    def __missing__(self, word: str) -> float:
+        e = float(self._field.bias + sum(self._field.weights[i] for i in self._field.known(word)))
+        if len(self) < 200_000:
+            self[word] = e
+        return e
+
+
 def _summary(p: np.ndarray) -> np.ndarray:
     """What the score sees of a text's marginals: their sum, damped, and their maximum."""
     return np.array([1.0, np.log1p(p.sum()), p.max(initial=0.0)])
@@ -100,17 +108,64 @@ def _chains(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *starts]), np.concatenate([none, *sizes])
 
 
-def _forward_backward(e: np.ndarray, inside: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior odds of state 1 at each place of each chain (rows), and the expected numbers of transitions 0-1, 1-0, 1-1.
+def _rows(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words of chains, one chain a row, and which of them are in the chain."""
+    at = starts[:, None] + np.minimum(np.arange(lengths.max(initial=0)), lengths[:, None] - 1)
+    return at, np.arange(at.shape[1]) < lengths[:, None]
+
+
+def _carried(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each chain, the odds of the forward message from the word before it (nan at the start of a text) and of the backward one to its last word.
 
-    ``e``: odds by the word; ``step``: weights of those transitions, that of 0-0 being 1. Works with the odds of forward and
-    backward messages, which is all that two states need.
+    What a chain does to messages is a matrix of two by two, the product over its words; texts of one chain need none.
+    """
+    before, after = np.full(len(starts), np.nan), np.ones(len(starts))
+    later = np.flatnonzero(~first)
+    if not len(later):
+        return before, after
+    up, down, stay = step
+    products = np.empty((len(later), 2, 2))
+    for a in range(0, len(later), 20_000):
+        at, inside = _rows(starts[later[a : a + 20_000]], lengths[later[a : a + 20_000]])
+        product = np.broadcast_to(np.eye(2), (len(at), 2, 2))
+        for t in range(at.shape[1]):
+            odds = e[at[:, t]][:, None]
+            top, low = product[:, 0], product[:, 1]
+            new = np.stack([top + down * low, odds * (up * top + stay * low)], axis=1)
+            product = np.where(inside[:, t, None, None], new / new.sum((1, 2), keepdims=True), product)
+        products[a : a + 20_000] = product
+    heads = later[first[later - 1]] - 1  # the first chains of texts that have more
+    at, inside = _rows(starts[heads], lengths[heads])
+    ends, _ = _forward_backward(e[at], inside, step)
+    forward = dict(zip(heads.tolist(), ends[np.arange(len(heads)), lengths[heads] - 1].tolist()))
+    for k, chain in enumerate(later.tolist()):
+        r = forward[chain - 1]
+        before[chain] = r
+        (a, b), (c, d) = products[k].tolist()
+        forward[chain] = (c + d * r) / (a + b * r)
+    for k in range(len(later) - 1, -1, -1):
+        chain, b = later[k], after[later[k]]
+        m = products[k]
+        after[chain - 1] = (m[0, 1] + m[1, 1] * b) / (m[0, 0] + m[1, 0] * b)
+    return before, after
+
+
+def _forward_backward(
+    e: np.ndarray, inside: np.ndarray, step: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior odds of state 1 at each place of each chain (rows), and the expected numbers of transitions 0-1, 1-0, 1-1 within it.
+
+    ``e``: odds by the word; ``step``: weights of those transitions, that of 0-0 being 1; ``before``, ``after``: odds of the messages that come
+    in, as from ``_carried``. Works with the odds of forward and backward messages, which is all that two states need.
     """
     up, down, stay = step
     rows, n = e.shape
     forward, backward = np.empty((rows, n)), np.ones((rows, n))
+    end = np.ones(rows) if after is None else after
     if n:
-        forward[:, 0] = e[:, 0]
+        into = 1.0 if before is None else np.where(np.isnan(before), 1.0, (up + stay * before) / (1 + down * before))
+        forward[:, 0] = e[:, 0] * into
+        backward[:, n - 1] = end
     for t in range(1, n):
         r = forward[:, t - 1]
         forward[:, t] = e[:, t] * (up + stay * r) / (1 + down * r)
@@ -118,7 +173,7 @@ def _forward_backward(e: np.ndarray, inside: np.ndarray, step: np.ndarray) -> tu
     for t in range(n - 2, -1, -1):
         ahead = np.where(inside[:, t + 1], e[:, t + 1] * backward[:, t + 1], 0)
         last = ~inside[:, t + 1]
-        backward[:, t] = np.where(last, 1, (down + stay * ahead) / (1 + up * ahead))
+        backward[:, t] = np.where(last, end, (down + stay * ahead) / (1 + up * ahead))
         r = forward[:, t]
         total = 1 + up * ahead + down * r + stay * r * ahead
         for k, part in enumerate((up * ahead, down * r, stay * r * ahead)):
@@ -126,8 +181,11 @@ def _forward_backward(e: np.ndarray, inside: np.ndarray, step: np.ndarray) -> tu
     return forward * backward, expected
 
 
-def train(field: Field, texts: list[list[str]], toxic: list[int], rounds: int = 40) -> Field:
-    """Fit the field on weakly labelled words by full gradients with adaptive steps, then the score on its marginals."""
+def train(field: Field, texts: list[list[str]], toxic: list[int], rounds: int = 40, weights: list[float] | None = None) -> Field:
+    """Fit the field on weakly labelled words by full gradients with adaptive steps, then the score on its marginals.
+
+    ``weights``: of the texts in the score's fit, where the classes were drawn at other rates than they occur.
+    """
     vocabulary: dict[str, int] = {}
     ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for words in texts for w in words], np.int64)
     pairs = [(row, i) for w, row in vocabulary.items() for i in field.known(w)]
@@ -162,45 +220,76 @@ def train(field: Field, texts: list[list[str]], toxic: list[int], rounds: int =
         parameters = parameters + 0.4 * (mean / (1 - 0.8**step)) / (np.sqrt(square / (1 - 0.95**step)) + 1e-8)
     field.weights, field.bias, field.steps = parameters[:k], float(parameters[k]), parameters[k + 1 :]
     x = np.array([_summary(p) for p in field.marginals(texts)]).reshape(-1, 3)
-    target = np.array(toxic, float)
+    target, by = np.array(toxic, float), np.ones(len(toxic)) if weights is None else np.array(weights)
     w = np.zeros(3)
     for _ in range(50):  # Newton steps of a logistic regression with a small penalty
         p = 1 / (1 + np.exp(-x @ w))
-        slope = x.T @ (target - p) - 0.1 * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3)
+        slope = x.T @ (by * (target - p)) - 0.1 * w
+        curve = (x * (by * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3)
         w = w + np.clip(np.linalg.solve(curve, slope), -2, 2)
     field.score_weights = w
     return field
 
 
+def _constant(toxic: bool) -> Field:
+    """A field without evidence, whose score is one class."""
+    field = Field([])
+    field.score_weights = np.array([8.0 if toxic else -8.0, 0.0, 0.0])
+    return field
+
+
+def _quota(most: int, toxic: int, n: int) -> tuple[int, int]:
+    """How many of ``most`` documents to take of the clean and of the toxic ones."""
+    of_toxic = min(max(round(most * toxic / n), most // 4), most - most // 4)
+    return most - of_toxic, of_toxic
+
+
+def _drawn(labels: DataFrame, most: int, toxic: int, n: int) -> DataFrame:
+    """At most ``most`` labelled ids, those of least hash of either class."""
+    clean, hot = _quota(most, toxic, n)
+    of = [labels.filter(F.col("toxic") == kind).orderBy("h", "doc_id").limit(size) for kind, size in ((0, clean), (1, hot))]
+    return of[0].union(of[1])
+
+
+def features_of(text: str) -> Column:
+    """The distinct features of the words of a text, found within its row."""
+    parts = lambda w: F.array(w, *(F.when(F.length(w) >= k, F.concat(F.lit("^"), F.substring(w, 1, k))) for k in PREFIXES))
+    words = F.filter(F.array_distinct(F.split(F.lower(text), _SPLIT)), lambda w: w != "")
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(words, parts))))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
     """Field learned from ``labels(doc_id, toxic)``, from which the caller leaves out what must not be seen.
 
-    The samples are the labelled documents of least hashed ids, ``COUNT_DOCS`` and ``TRAIN_DOCS`` of them at most; only they meet the
-    texts, so the label rows sent to all tasks are bounded as well.
+    Labels of ids that no document has teach nothing. The samples are labelled documents of least hashed ids, ``COUNT_DOCS`` and ``TRAIN_DOCS`` of them at most; only
+    they meet the texts, so the label rows sent to all tasks are bounded as well. Without documents of both classes
+    to train on, the score is that of the class there is (clean without any).
     """
     labels = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    chosen = labels.withColumn("h", F.xxhash64(F.lit(6), "doc_id")).orderBy("h", "doc_id").limit(COUNT_DOCS)
-    sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    sizes = chosen.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    known = labels.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64(F.lit(6), "doc_id"))
+    known = written(known, "labels")
+    sizes = known.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
     hot, n = int(sizes["toxic"] or 0), int(sizes["n"])
     if not hot or hot == n:
-        field = Field([])
-        field.score_weights = np.array([8.0 if hot else -8.0, 0.0, 0.0])
-        return field
-    word = F.col("word")
-    parts = F.array(word, *(F.when(F.length(word) >= k, F.concat(F.lit("^"), F.substring(word, 1, k))) for k in PREFIXES))
-    words = sample.select("doc_id", "toxic", F.explode(F.array_distinct(F.split(F.lower("text"), _SPLIT))).alias("word")).filter("word <> ''")
-    found = words.select("doc_id", "toxic", F.explode(parts).alias("feature")).filter("feature is not null").distinct()
+        return _constant(hot > 0)
+    sample = texts.join(F.broadcast(_drawn(known, COUNT_DOCS, hot, n)), "doc_id")
+    found = sample.select("toxic", F.explode(features_of("text")).alias("feature"))
     counts = found.groupBy("feature").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).filter("a >= 3")
-    base, a, m = hot / n, F.col("a"), F.col("n")
+    clean, hot_drawn = (min(size, have) for size, have in zip(_quota(COUNT_DOCS, hot, n), (n - hot, hot)))
+    base, a, m = hot_drawn / (clean + hot_drawn), F.col("a"), F.col("n")
     ratio = 2 * (a * F.log(a / m / base) + F.when(m > a, (m - a) * F.log((m - a) / m / (1 - base))).otherwise(0.0))
-    best = counts.withColumn("g", ratio).filter((F.col("g") >= EVIDENCE) & (a / m >= 0.6) & (a / m > base)).orderBy(F.desc("g"), "feature").limit(MOST_FEATURES)
+    # a feature's share of toxic documents as it would be among all labelled ones
+    share = a * (hot / hot_drawn) / (a * (hot / hot_drawn) + (m - a) * ((n - hot) / clean))
+    best = counts.withColumn("g", ratio).filter((F.col("g") >= EVIDENCE) & (share >= 0.6) & (a / m > base)).orderBy(F.desc("g"), "feature").limit(MOST_FEATURES)
     field = Field([r["feature"] for r in best.select("feature").collect()])
-    few = chosen.orderBy("h", "doc_id").limit(TRAIN_DOCS)
-    own = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id")
-    rows = own.filter(F.length("text") <= TRAIN_CHARS).orderBy("h", "doc_id").select("text", "toxic").collect()
-    return train(field, [_words(r["text"]) for r in rows], [r["toxic"] for r in rows])
+    own = texts.withColumn("text", F.substring("text", 1, TRAIN_CHARS)).join(F.broadcast(_drawn(known, TRAIN_DOCS, hot, n)), "doc_id")
+    rows = own.orderBy("h", "doc_id", "text").limit(2 * TRAIN_DOCS).select("text", "toxic").collect()
+    toxic = [r["toxic"] for r in rows]
+    if len(set(toxic)) < 2:
+        return _constant(bool(sum(toxic)))
+    weight = {1: hot / n / np.mean(toxic), 0: (1 - hot / n) / (1 - np.mean(toxic))}
+    return train(field, [_words(r["text"]) for r in rows], toxic, weights=[weight[t] for t in toxic])
 
 
 def _spans(text: str, p: np.ndarray) -> list[dict[str, int]]:
