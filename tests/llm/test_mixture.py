@@ -64,6 +64,23 @@ def test_shortage_goes_to_siblings_first(spark):
     assert given == {("a", "x", "1"): 10, ("a", "x", "2"): 90, ("a", "y", "1"): 100, ("b", "x", "1"): 200}
 
 
+def test_weights_by_level_and_name(spark):
+    leaves = spark.createDataFrame([(d, g, "1", 10_000) for d in "ab" for g in "xy"], "domain string, lang string, source string, tokens long")
+    given = {tuple(r[:2]): r["given"] for r in mixture.leaf_budgets(leaves, 1200, {"domain": {"b": 2}, "lang": {"x": 3}}).collect()}
+    assert given == {("a", "x"): 300, ("a", "y"): 100, ("b", "x"): 600, ("b", "y"): 200}
+
+
+@pytest.mark.parametrize("sent", [0, 50_000])
+def test_rows_are_kept_by_themselves(make, prose, monkeypatch, sent):
+    monkeypatch.setattr(mixture, "SENT_LEAVES", sent)
+    rows = [(None, prose(10, i)) for i in range(10)] + [(i // 2, prose(10, 50 + i)) for i in range(40)] + [(1, None), (None, " ")]
+    kept = mixture.keep_mixed(make(rows), 50).collect()
+    texts = [r["text"] for r in kept]
+    assert len(kept) == 27 and len({t for t in texts if t and t.strip()}) == 25 and texts.count(None) == 1
+    assert 0 < sum(r["doc_id"] is None for r in kept) <= 12
+    assert mixture.keep_mixed(make(rows), 100).count() == len(rows) and mixture.keep_mixed(make([]), 50).count() == 0
+
+
 def test_edges(edges, empty, edge_rows):
     got = mixture.mix(mixture.token_counts(edges), percent=100, max_epochs=1).collect()
     sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, *_ in edge_rows]

@@ -14,15 +14,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidecase.llm.common import table, text_or_empty, written
+from tidecase.llm.common import table, text_or_empty, with_row_key, written
 
 LEVELS = ("domain", "lang", "source")
+#: Target weights of the query and the pipeline by the name of a node, at every level; 1 for names not listed.
+WEIGHTS = {"domain": {"domain0": 3, "domain1": 2}, "lang": {"de": 3, "es": 4, "fr": 2}, "source": {"src0": 2, "src3": 5, "src7": 3, "src12": 2}}
 SEED = 17
 MAX_EPOCHS = 2
 #: Share of all documents' tokens that the query asks for.
 BUDGET_PERCENT = 80
 #: Slots of a leaf's order that are summed up before anything is sorted.
 SLOTS = 4096
+#: Leaves and slots whose budgets and sums are sent to all tasks.
+SENT_LEAVES, SENT_SLOTS = 50_000, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,22 +58,32 @@ def split_budget(nodes: DataFrame, parent: Sequence[str]) -> DataFrame:
     return rated.withColumn("given", given.cast("long")).drop("rate")
 
 
-def leaf_budgets(leaves: DataFrame, budget: int, weights: dict[tuple[str, ...], int] | None = None, max_epochs: int = MAX_EPOCHS, levels: Sequence[str] = LEVELS) -> DataFrame:
-    """``levels, tokens, given`` of each leaf. ``weights``: whole numbers by path from the root; 1 for nodes not named."""
-    named = weights or {}
+Weights = dict[tuple[str, ...], int] | dict[str, dict[str, int]]
+
+
+def weight_of(level: str, path: Sequence[str], weights: Weights) -> Column:
+    """The weight of a node: by its level and name, or by its whole path; 1 where nothing is said."""
+    weight = F.lit(1)
+    for key, value in weights.items():
+        if key == level:
+            for name, number in value.items():
+                weight = F.when(F.col(level) == name, F.lit(number)).otherwise(weight)
+        elif not isinstance(key, str) and len(key) == len(path):
+            same = F.lit(True)
+            for column, part in zip(path, key):
+                same = same & (F.col(column) == part)
+            weight = F.when(same, F.lit(value)).otherwise(weight)
+    return weight.cast("long")
+
+
+def leaf_budgets(leaves: DataFrame, budget: int, weights: Weights | None = None, max_epochs: int = MAX_EPOCHS, levels: Sequence[str] = LEVELS) -> DataFrame:
+    """``levels, tokens, given`` of each leaf. ``weights``: whole numbers by level and name or by path from the root; 1 for nodes not named."""
     tree = leaves.withColumn("supply", F.col("tokens") * max_epochs).filter("supply > 0")
     above: DataFrame | None = None
     for depth, level in enumerate(levels, 1):
         path, parent = list(levels[:depth]), list(levels[: depth - 1])
         nodes = tree.groupBy(*path).agg(F.sum("supply").alias("supply"))
-        weight = F.lit(1)
-        for key, value in named.items():
-            if len(key) == depth:
-                same = F.lit(True)
-                for name, part in zip(path, key):
-                    same = same & (F.col(name) == part)
-                weight = F.when(same, F.lit(value)).otherwise(weight)
-        nodes = nodes.withColumn("weight", weight.cast("long")).withColumn("node", F.col(level))
+        nodes = nodes.withColumn("weight", weight_of(level, path, weights or {})).withColumn("node", F.col(level))
         nodes = nodes.withColumn("budget", F.lit(budget).cast("long")) if above is None else nodes.join(above, parent)
         above = split_budget(nodes, parent).select(*path, F.col("given").alias("budget"))
     return leaves.join(above.withColumnRenamed("budget", "given"), list(levels))
@@ -79,19 +93,23 @@ def select_prefixes(docs: DataFrame, budgets: DataFrame, seed: int = SEED, max_e
     """``docs`` (``doc_id, tokens`` and the levels) with ``epoch`` and ``take``: tokens of it that the leaf's prefix holds in that epoch.
 
     An epoch that is taken whole needs no order. In the epoch that is cut, a document's place is a hash; slots of places are summed per leaf first, and only
-    documents of the slot where the prefix ends are sorted, so a leaf with a third of all rows is not sorted in one task.
+    documents of the slot where the prefix ends are sorted, so a leaf with a third of all rows is not sorted in one task. Budgets of up to ``SENT_LEAVES`` leaves are
+    sent to the documents; those of more are joined by shuffle, by leaf and slot wherever rows of a leaf have to come together.
     """
     keys = list(levels)
     given = budgets.select(*keys, F.floor(F.col("given") / F.col("tokens")).alias("whole"), (F.col("given") % F.col("tokens")).alias("rest"))
-    own = docs.filter("tokens > 0").join(given, keys)
+    given = written(given, "budgets")
+    few = given.limit(SENT_LEAVES + 1).count() <= SENT_LEAVES
+    own = docs.filter("tokens > 0").join(F.broadcast(given) if few else given, keys)
     width = (1 << 48) // SLOTS
     full = own.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole")))).withColumn("take", F.col("tokens"))
     part = own.filter("rest > 0").withColumn("epoch", F.col("whole") + 1)
     part = part.withColumn("place", order_number(seed, F.col("epoch"), F.col("doc_id"))).withColumn("slot", F.floor(F.col("place") / width).cast("int"))
     sums = part.groupBy(*keys, "slot").agg(F.sum("tokens").alias("slot_tokens"))
     running = F.sum("slot_tokens").over(Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumn("slot_before", F.coalesce(running, F.lit(0))).select(*keys, "slot", "slot_before", "slot_tokens")
-    part = part.join(sums, [*keys, "slot"])
+    # Written, so that the join deals both sides by leaf and slot and not by the leaf that the sums were made by.
+    sums = written(sums.withColumn("slot_before", F.coalesce(running, F.lit(0))).select(*keys, "slot", "slot_before", "slot_tokens"), "slots")
+    part = part.join(F.broadcast(sums) if few and sums.limit(SENT_SLOTS + 1).count() <= SENT_SLOTS else sums, [*keys, "slot"])
     inside = part.filter(F.col("slot_before") + F.col("slot_tokens") <= F.col("rest")).withColumn("take", F.col("tokens"))
     edge = part.filter((F.col("slot_before") < F.col("rest")) & (F.col("slot_before") + F.col("slot_tokens") > F.col("rest")))
     earlier = F.sum("tokens").over(Window.partitionBy(*keys, "slot").orderBy("place", "doc_id", "tokens", "row").rowsBetween(Window.unboundedPreceding, -1))
@@ -101,14 +119,29 @@ def select_prefixes(docs: DataFrame, budgets: DataFrame, seed: int = SEED, max_e
     return full.select(*columns).union(inside.select(*columns)).union(edge.select(*columns))
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """``doc_id, domain, lang, source, tokens, row``: tokens are runs of anything but ASCII white space; null names read ``none``."""
+def token_counts(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """``doc_id, domain, lang, source, tokens, row``: tokens are runs of anything but ASCII white space; null names read ``none``.
+
+    ``row``: a column of ``docs`` that tells its rows apart; without one they are numbered.
+    """
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of(name("source")).alias("domain"), name("lang").alias("lang"), name("source").alias("source"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("tokens"))
-    return written(rows.withColumn("row", F.monotonically_increasing_id()), "token_counts")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of(name("source")).alias("domain"), name("lang").alias("lang"), name("source").alias("source"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("tokens"), (F.monotonically_increasing_id() if row is None else F.col(row)).alias("row"))
+    return written(rows, "token_counts")
+
+
+def keep_mixed(docs: DataFrame, percent: int, weights: Weights | None = None) -> DataFrame:
+    """The rows of ``docs`` that are in a mix without repetition, the last of each leaf's prefix as a whole; all columns as they are.
+
+    Rows are told apart by a key of their own: null and repeated ids lose or bring no other row. Rows without tokens weigh nothing and stay.
+    """
+    keyed, key = with_row_key(docs)
+    counted = token_counts(keyed, key)
+    mixed = mix(counted, percent, weights, max_epochs=1)
+    kept = mixed.select("row").union(counted.filter("tokens = 0").select("row")).withColumnRenamed("row", key)
+    return keyed.join(kept, key, "left_semi").select(docs.columns)
 
 
-def mix(counted: DataFrame, percent: int = BUDGET_PERCENT, weights: dict[tuple[str, ...], int] | None = None, seed: int = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mix(counted: DataFrame, percent: int = BUDGET_PERCENT, weights: Weights | None = None, seed: int = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Prefixes that make up ``percent`` of a hundred of all tokens, by the weights.
 
     ``counted``: as from ``token_counts``. A document without tokens is in no prefix; a null id is ordered as an empty one; repeated
@@ -121,7 +154,7 @@ def mix(counted: DataFrame, percent: int = BUDGET_PERCENT, weights: dict[tuple[s
 
 
 def hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(token_counts(table(spark, sf_dir, "documents")))
+    mixed = mix(token_counts(table(spark, sf_dir, "documents")), weights=WEIGHTS)
     return mixed.select("doc_id", "domain", "lang", "source", F.col("epoch").cast("int").alias("epoch"), "tokens", "take")
 
 
@@ -129,9 +162,10 @@ def _level_sql(name: str, path: list[str], above: str) -> str:
     """Budgets of one level of the tree, in the tables ``name``."""
     cols, parent = ", ".join(path), ", ".join(path[:-1]) or "1"
     match = " AND ".join(f"n.{c} = u.{c}" for c in path[:-1]) or "true"
+    named = " ".join(f"WHEN '{n}' THEN {w}" for n, w in WEIGHTS[path[-1]].items())
     return f"""
 {name}_n AS (SELECT {", ".join(f"n.{c}" for c in path)}, n.supply, n.weight, u.budget FROM
-  (SELECT {cols}, sum(supply)::BIGINT AS supply, 1::BIGINT AS weight FROM tree GROUP BY {cols}) n JOIN {above} u ON {match}),
+  (SELECT {cols}, sum(supply)::BIGINT AS supply, (CASE {path[-1]} {named} ELSE 1 END)::BIGINT AS weight FROM tree GROUP BY {cols}) n JOIN {above} u ON {match}),
 {name}_r AS (SELECT *, (budget - coalesce(sum(supply) OVER (PARTITION BY {parent} ORDER BY supply / weight, {path[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
   / (sum(weight) OVER (PARTITION BY {parent} ORDER BY supply / weight, {path[-1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS r FROM {name}_n),
 {name}_m AS (SELECT *, max(CASE WHEN r * weight <= supply THEN r END) OVER (PARTITION BY {parent}) AS rate FROM {name}_r),
