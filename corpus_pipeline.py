@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the stage before kept; all but the last return the columns of
 ``documents``. Stages are joined by Parquet tables in the shared folder, so a lost executor costs part of one stage.
+
+Stages decide by row: null and repeated ids take no other row with them, and extra columns pass through. A null text counts as empty, has no toxic words,
+is of no language, is in no group of copies and weighs nothing in the mix. A stage that has nothing to learn from (no
+labels, no languages) keeps all rows. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -22,19 +26,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of which no language is likelier than all others together, go."""
+    """Documents without letters, or of which no language is likelier than all others together, go; all stay if no language is known."""
     return language.keep_identified(docs, language.fit(docs.select("doc_id", "text", "lang"), crc_fold("doc_id", 4) != 2))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by sharing 0.8 of their five-word shingles, the one of the smallest id stays."""
+    """Of documents linked by sharing 0.8 of their five-word shingles, the row of the smallest id stays."""
     return jaccard.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the prefixes of their sources stay, the last of each prefix as a whole."""
-    mixed = mixture.mix(mixture.token_counts(docs), percent=MIX_PERCENT, max_epochs=1)
-    return docs.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """Documents in the prefixes of their sources, by the target weights, stay, the last of each prefix as a whole."""
+    return mixture.keep_mixed(docs, MIX_PERCENT, mixture.WEIGHTS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
