@@ -81,3 +81,16 @@ def test_migrants_join_the_population(guests):
     lengths = np.full(10, 5)
     perfect = np.arange(10) // 2
     assert packing.evolve(lengths, [perfect] * guests, 10, 0, generations=1)[0].max() == 4
+
+
+@pytest.mark.parametrize("data", ["/root/testdata/sf0.01"])
+def test_crossovers_bring_the_sequences_down_to_the_least(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    pieces = packing.written(packing.token_pieces(docs), "pieces")
+    _, epochs = packing.packed_islands(pieces)
+    islands = [r.asDict() for r in epochs[0].select("sequences", "first", "crossovers").collect()]
+    least = -(-pieces.filter("length < 2048").groupBy().sum("length").first()[0] // 2048)
+    assert len(islands) == packing.ISLANDS and all(r["crossovers"] > 0 and r["first"] > 1.005 * least and r["sequences"] < r["first"] for r in islands)
+    assert min(r[0] for r in epochs[-1].select("sequences").collect()) == least
+    rows = packing.pack(pieces).select("sequence_id").distinct().count()
+    assert rows == least + pieces.filter("length = 2048").count() == 481

@@ -2,9 +2,10 @@
 
 Documents longer than a sequence are cut, so that only their first piece can be shorter than a sequence; full pieces need
 no packing. All other pieces are dealt by hash into blocks of about ``BLOCK_ITEMS``, and each block is packed by several islands
-at once. An island keeps a small population of packings. A child takes whole well-filled sequences from one parent into a copy of the
+at once. An island keeps a small population of packings, which start as best fit in random order, some 1.5 % above the least number of sequences. A child
+takes whole well-filled sequences from one parent into a copy of the
 other, drops that parent's sequences which hold a piece twice now, and puts the pieces they held besides back by best fit,
-longest first. Between epochs the best packing of each island moves to the next one as a table in the shared folder.
+longest first, together with those of its ill-filled sequences and of a few others. Between epochs the best packing of each island moves to the next one as a table in the shared folder.
 Sequences lost to blocks: less than one half-filled sequence a block.
 """
 
@@ -29,7 +30,9 @@ BLOCK_ITEMS = 16_384
 ISLANDS = 3
 EPOCHS = 2
 POPULATION = 4
-GENERATIONS = 8
+GENERATIONS = 40
+#: Shares of a parent's well-filled sequences that a child opens besides, one of them drawn for each child.
+OPENED = (0.0, 0.02, 0.1, 0.3)
 #: A sequence is well filled, and may be handed on whole, from this share of its tokens.
 WELL_FILLED = 0.998
 
@@ -106,9 +109,9 @@ def _refit(bins: np.ndarray, loose: np.ndarray, lengths: np.ndarray, size: int,
     return out
 
 
-def _falling(items: np.ndarray, lengths: np.ndarray, rng: np.random.Generator, noise: float) -> np.ndarray:
-    """Items from long to short, each length blurred by up to ``noise`` of itself."""
-    return items[np.argsort(-lengths[items] * (1 + noise * rng.random(len(items))), kind="stable")]
+def _falling(items: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Items from long to short."""
+    return items[np.argsort(-lengths[items], kind="stable")]
 
 
 def _fitness(bins: np.ndarray, lengths: np.ndarray, size: int) -> tuple[int, float]:
@@ -123,30 +126,36 @@ def _child(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, size: int, rng: np
     injected = np.isin(b, good)
     hit = np.zeros(int(a.max(initial=-1)) + 1, bool)
     hit[a[injected]] = True
-    # A few ill-filled sequences are opened too, so that the displaced pieces find other company.
-    hit |= (np.bincount(a, lengths) / size < WELL_FILLED) & (rng.random(len(hit)) < 0.5)
+    # Ill-filled sequences are opened too, so that the displaced pieces find other company.
+    hit |= rng.random(len(hit)) < np.where(np.bincount(a, lengths) / size < WELL_FILLED, 1.0, rng.choice(OPENED))
     displaced = hit[a] & ~injected
     bins = np.where(injected, b + len(hit), a)
-    return _refit(bins, displaced, lengths, size, _falling(np.flatnonzero(displaced), lengths, rng, 0.02))
+    return _refit(bins, displaced, lengths, size, _falling(np.flatnonzero(displaced), lengths))
+
+
+def random_packing(lengths: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """Best fit in random order."""
+    return _refit(np.zeros(len(lengths), np.int64), np.ones(len(lengths), bool), lengths, size, rng.permutation(len(lengths)))
 
 
 def evolve(lengths: np.ndarray, population: list[np.ndarray], size: int, seed: int, generations: int = GENERATIONS, members: int = POPULATION) -> list[np.ndarray]:
     """Packings (a sequence number for each item), best first, after some generations from the given ones."""
+    return _evolved(lengths, population, size, seed, generations, members)[0]
+
+
+def _evolved(lengths: np.ndarray, population: list[np.ndarray], size: int, seed: int, generations: int = GENERATIONS, members: int = POPULATION) -> tuple[list[np.ndarray], int, int]:
+    """The packings, the sequences that the best had at the start, and how many children were made."""
     rng = np.random.default_rng(seed)
-    everything = np.arange(len(lengths))
-    population = list(population)
-    while len(population) < members:
-        order = _falling(everything, lengths, rng, 0.05 * len(population))
-        population.append(_refit(np.zeros(len(lengths), np.int64), np.ones(len(lengths), bool), lengths, size, order))
+    population = [*population, *(random_packing(lengths, size, rng) for _ in range(members - len(population)))]
     least = -(-int(lengths.sum()) // size)
     ranked = sorted(((_fitness(p, lengths, size), p) for p in population), key=lambda x: x[0])
-    for _ in range(generations):
-        if ranked[0][0][0] <= least:  # no packing has fewer sequences
-            break
+    first, children = ranked[0][0][0], 0
+    while children < generations and ranked[0][0][0] > least:  # no packing has fewer sequences
         i, j = rng.choice(len(ranked), 2, replace=False)
         child = _child(ranked[i][1], ranked[j][1], lengths, size, rng)
         ranked = sorted([*ranked, (_fitness(child, lengths, size), child)], key=lambda x: x[0])[:members]
-    return [p for _, p in ranked[:members]]
+        children += 1
+    return [p for _, p in ranked[:members]], first, children
 
 
 def _evolve_rows(size: int, epoch: int):
@@ -155,14 +164,15 @@ def _evolve_rows(size: int, epoch: int):
             for row in batch.itertuples(index=False):
                 lengths = np.asarray(row.lengths, np.int64)
                 start = [np.asarray(p, np.int64) for p in row.population]
-                best = evolve(lengths, start, size, seed=(row.block * ISLANDS + row.island) * EPOCHS + epoch)
+                best, first, children = _evolved(lengths, start, size, seed=(row.block * ISLANDS + row.island) * EPOCHS + epoch)
                 bins = [p.astype(np.int32) for p in best]
-                yield pd.DataFrame({"block": [row.block], "island": [row.island], "lengths": [row.lengths], "population": [bins], "sequences": [int(bins[0].max(initial=-1)) + 1]})
+                made = {"sequences": [int(bins[0].max(initial=-1)) + 1], "first": [first], "crossovers": [children]}
+                yield pd.DataFrame({"block": [row.block], "island": [row.island], "lengths": [row.lengths], "population": [bins], **made})
 
     return run
 
 
-_ISLANDS = "block long, island int, lengths array<int>, population array<array<int>>, sequences int"
+_ISLANDS = "block long, island int, lengths array<int>, population array<array<int>>, sequences int, first int, crossovers int"
 
 
 def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,6 +193,11 @@ def pack(pieces: DataFrame, size: int = SEQUENCE_TOKENS) -> DataFrame:
 
     An empty table gives an empty one. Equal lengths and repeated rows are packed like any others.
     """
+    return _placed_pieces(pieces, *packed_islands(pieces, size), size)
+
+
+def packed_islands(pieces: DataFrame, size: int = SEQUENCE_TOKENS) -> tuple[DataFrame, list[DataFrame]]:
+    """The blocks of short pieces, and the islands after each epoch: ``sequences`` now and at ``first``, and ``crossovers`` in between."""
     short = pieces.filter(F.col("length") < size).select("uid", F.col("length").cast("int").alias("length"))
     blocks = -(-short.count() // BLOCK_ITEMS) or 1
     # A block's items meet in one row: their number is bounded by the blocks, which are as many as the items need.
@@ -191,13 +206,19 @@ def pack(pieces: DataFrame, size: int = SEQUENCE_TOKENS) -> DataFrame:
     none = F.array().cast("array<array<int>>")
     spread = max(1, min(blocks * ISLANDS, 10_000))
     islands = dealt.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths", none.alias("population"))
+    epochs = []
     for epoch in range(EPOCHS):
         if epoch:
             guest = islands.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.slice("population", 1, 1).alias("guest"))
             islands = islands.join(guest, ["block", "island"]).withColumn("population", F.concat("guest", F.slice("population", 1, POPULATION - 1)))
         islands = islands.select("block", "island", "lengths", "population").repartition(spread, "block", "island")
         islands = written(islands.mapInPandas(_evolve_rows(size, epoch), _ISLANDS), f"islands{epoch}")
-    best = islands.groupBy("block").agg(F.min_by(F.col("population")[0], F.struct("sequences", "island")).alias("bins"))
+        epochs.append(islands)
+    return dealt, epochs
+
+
+def _placed_pieces(pieces: DataFrame, dealt: DataFrame, epochs: list[DataFrame], size: int) -> DataFrame:
+    best = epochs[-1].groupBy("block").agg(F.min_by(F.col("population")[0], F.struct("sequences", "island")).alias("bins"))
     placed = dealt.join(best, "block").mapInPandas(_placed, "uid long, sequence_id long, offset long")
     full = pieces.filter(F.col("length") >= size)
     return (
