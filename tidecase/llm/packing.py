@@ -31,8 +31,9 @@ ISLANDS = 3
 EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 40
-#: Shares of a parent's well-filled sequences that a child opens besides, one of them drawn for each child.
-OPENED = (0.0, 0.02, 0.1, 0.3)
+#: Shares of its well-filled sequences that one parent hands on and that the other opens besides, drawn for each child.
+HANDED_ON = (0.1, 0.5)
+OPENED = (0.0, 0.02, 0.1, 0.3, 1.0)
 #: A sequence is well filled, and may be handed on whole, from this share of its tokens.
 WELL_FILLED = 0.998
 
@@ -122,7 +123,7 @@ def _fitness(bins: np.ndarray, lengths: np.ndarray, size: int) -> tuple[int, flo
 
 def _child(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
     fill = np.bincount(b, lengths) / size
-    good = np.flatnonzero((fill >= WELL_FILLED) & (rng.random(len(fill)) < 0.5))
+    good = np.flatnonzero((fill >= WELL_FILLED) & (rng.random(len(fill)) < rng.choice(HANDED_ON)))
     injected = np.isin(b, good)
     hit = np.zeros(int(a.max(initial=-1)) + 1, bool)
     hit[a[injected]] = True
