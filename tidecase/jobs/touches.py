@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidecase.operators.bitmaps import distinct_rollup
 from tidecase.operators.joins import with_group
-from tidecase.operators.shapes import subtotals
 
 
 def last_on_day(sessions: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
@@ -51,37 +51,21 @@ def touches_by_role(
 def team_summary(sessions: DataFrame, pilot: str, levels: list[list[str]]) -> DataFrame:
     """Cases, workers, distinct touches and time per case, and session length, with a subtotal per level.
 
-    ``sessions``: case_id, worker, date_id, seconds, ``pilot`` and the level columns. Rows are reduced to one per case and worker
-    before the grouping sets multiply them.
+    ``sessions``: case_id, worker, date_id, seconds, ``pilot`` and the level columns. Rows are reduced to one per case, worker and day, each of them one
+    distinct touch; cases and workers are counted by bitmaps, which are merged level by level.
     """
     columns = [c for level in levels for c in level]
     daily = sessions.groupBy(pilot, *columns, "case_id", "worker", "date_id").agg(
         F.sum("seconds").alias("seconds"), F.count(F.lit(1)).alias("touches")
     )
-    members = daily.groupBy(pilot, *columns, "case_id", "worker").agg(
-        F.sum("seconds").alias("seconds"), F.sum("touches").alias("touches"), F.count(F.lit(1)).alias("days")
-    )
-    sets = [[pilot]]
-    for level in levels:
-        sets.append([*sets[-1], *level])
-    sums = subtotals(
-        members,
-        sets,
-        [
-            F.count_distinct("case_id").alias("cases"),
-            F.count_distinct("worker").alias("workers"),
-            F.sum("days").cast("double").alias("_days"),
-            F.sum("seconds").cast("double").alias("_seconds"),
-            F.sum("touches").alias("_touches"),
-        ],
-        keep=[pilot],
-    )
+    added = {"_days": F.lit(1).cast("bigint"), "_seconds": F.col("seconds"), "_touches": F.col("touches")}
+    sums = distinct_rollup(daily, [pilot], levels, {"cases": "case_id", "workers": "worker"}, added)
     return sums.select(
         pilot,
         *columns,
         "cases",
         "workers",
-        (F.col("_days") / F.col("cases")).alias("avg_touches"),
-        (F.col("_seconds") / F.lit(3600.0) / F.col("cases")).alias("avg_hours"),
-        (F.col("_seconds") / F.lit(60.0) / F.col("_touches")).alias("avg_session_minutes"),
+        (F.col("_days").cast("double") / F.col("cases")).alias("avg_touches"),
+        (F.col("_seconds").cast("double") / F.lit(3600.0) / F.col("cases")).alias("avg_hours"),
+        (F.col("_seconds").cast("double") / F.lit(60.0) / F.col("_touches")).alias("avg_session_minutes"),
     )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecase.functions.timeid import clock_number
 from tidecase.operators.events import asof
-from tidecase.operators.slices import ROWS_PER_TASK, HotKeys, with_next
+from tidecase.operators.slices import ROWS_PER_TASK, HotKeys, hot_keys, sums_before, with_next
+from tidecase.sources.scratch import stored
 
 
 def versions(
@@ -73,7 +74,7 @@ def interval_join(
     that is once or twice however long it is. A point looks up its block at each level that occurs: intervals of
     minutes to a month share two levels. The join is an equi join on (key, level, block) with the exact bounds as a
     residual, so intervals far from the point are never compared with it, and a key with many rows is spread over its
-    blocks. A NULL ``end`` is open.
+    blocks. A NULL ``end`` is open; use ``sweep_join`` where many are, as open intervals share one block.
     """
     end = F.coalesce(end, F.lit("9999-12-31 23:59:59").cast("timestamp_ntz"))
     first, last = clock_number("SECOND", F.col(start)), clock_number("SECOND", end)
@@ -102,6 +103,69 @@ def interval_join(
     return points.join(listed, on & within).select(*left.columns, *columns)
 
 
+#: Largest numbers, at which open intervals of numbers end; those of times end with the year 9999.
+_LAST = {"int": 2**31 - 1, "bigint": 2**63 - 1, "double": float("inf")}
+#: Points of a key between two borders of ``sweep_join``.
+SWEEP_POINTS = 256
+
+
+def sweep_join(
+    left: DataFrame,
+    dim: DataFrame,
+    keys: list[str],
+    point: str,
+    start: str,
+    end: str,
+    columns: dict[str, str],
+    points: int = SWEEP_POINTS,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Inner join of each left row to every interval with ``start <= point <= end``, of any length, open ones included.
+
+    Points, starts and ends of a key are put in one order, and the points before each are counted, so every point has a number and
+    an interval knows the numbers of the first and last point in it. Borders are set at every ``points`` points: an interval is listed once for each
+    stretch between borders in which it is alive, so it is compared with less than twice ``points`` points that it does not hold, and listed no more often
+    than it has matches. A point is read once and is in one stretch. The join is an equi join on (key, stretch); a hot
+    key is spread over its stretches, and its order is taken in slices. Rows with a NULL key, point or start match nothing; a NULL ``end`` is open.
+    """
+    names = [f"_key{i}" for i in range(len(keys))]
+    key_of = [F.col(k).alias(n) for k, n in zip(keys, names)]
+    facts = left.dropna(subset=[*keys, point])
+    spans = dim.filter(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(start) <= F.col(end)))).dropna(subset=keys)
+    values = F.struct(*[F.col(source).alias(out) for out, source in columns.items()]).alias("_values")
+    numbered_spans = spans.select(*key_of, F.monotonically_increasing_id().alias("_span"), F.col(start).alias("_start"), F.col(end).alias("_end"), values)
+    spans = stored(numbered_spans, "spans")  # the numbers must stay when a task is done again
+    kind, fact_kind = spans.schema["_start"].dataType, left.schema[point].dataType
+    never = F.lit(_LAST.get(kind.simpleString(), "9999-12-31 23:59:59.999999")).cast(kind)
+    ends = F.array(
+        F.struct(F.col("_start").alias("_ts"), F.lit(0).alias("_side")),
+        F.struct(F.coalesce("_end", never).alias("_ts"), F.lit(2).alias("_side")),
+    )
+    none = F.lit(None).cast(left.schema)
+    borders = spans.select(*names, F.explode(ends).alias("_e"), "_span").select(
+        *names, "_e._ts", "_e._side", F.col("_span").alias("_tie"), F.lit(0).alias("_one"), none.alias("_left")
+    )
+    facts = facts.select(
+        *key_of, F.col(point).cast(kind).alias("_ts"), F.lit(1).alias("_side"), F.xxhash64(*left.columns).alias("_tie"), F.lit(1).alias("_one"), F.struct(*left.columns).alias("_left")
+    )
+    rows, order = facts.unionByName(borders), ["_ts", "_side", "_tie"]
+    hot = hot_keys(rows.drop("_left"), names, order, rows_per_task)
+    if hot.found:
+        counted = sums_before(rows, names, order, "_one", "_before", False, hot)
+    else:
+        earlier = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        counted = rows.withColumn("_before", F.coalesce(F.sum("_one").over(earlier), F.lit(0)))
+    stretch = lambda n: F.floor(n / points).cast("bigint")
+    facts = counted.filter("_side = 1").select(*names, stretch(F.col("_before")).alias("_stretch"), F.col("_ts").cast(fact_kind).alias("_ts"), "_left")
+    first, last = F.min("_before"), F.max("_before") - 1  # numbers of the first and last point from start to end
+    alive = counted.filter("_side <> 1").groupBy(F.col("_tie").alias("_span")).agg(first.alias("_first"), last.alias("_last")).filter("_first <= _last")
+    listed = spans.join(alive, "_span").select(
+        *names, F.explode(F.sequence(stretch(F.col("_first")), stretch(F.col("_last")))).alias("_stretch"), "_start", "_end", "_values"
+    )
+    within = (F.col("_start") <= F.col("_ts")) & (F.col("_end").isNull() | (F.col("_ts") <= F.col("_end")))
+    return facts.join(listed, [*names, "_stretch"]).filter(within).select("_left.*", *[F.col("_values." + out).alias(out) for out in columns])
+
+
 def state_on(snapshot: DataFrame, date_column: str, date_id: int | Column) -> DataFrame:
     """Rows of a daily snapshot on one day; prunes partitions when stored by that column."""
     return snapshot.filter(F.col(date_column) == date_id)

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from tidecase.functions.measures import count_if, money_sum
 from tidecase.functions.timeid import datediff_boundary, dateid
-from tidecase.jobs import threads
+from tidecase.jobs import people, threads
 from tidecase.jobs.calls import volume_by_half_hour
 from tidecase.jobs.matching import nearest_clearance, resolve_people
 from tidecase.operators.events import asof, first_event, last_event
-from tidecase.operators.intervals import interval_join, state_on, version_join
+from tidecase.operators.intervals import interval_join, state_on, sweep_join, version_join
 from tidecase.operators.joins import anti, apply_agg, exists_flag, left_fan_out, semi, spread_join, with_group
 from tidecase.operators.shapes import dense_grid, fill_grid
 from tidecase.operators.slices import hot_keys, with_next, with_prev
@@ -220,6 +220,22 @@ def leader_chain(t):
     return threads.leader_chain(staff, ["team_leader", "director", "vp"])
 
 
+@query(
+    "leader_top",
+    """
+    WITH RECURSIVE s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 1000 = 1 THEN NULL WHEN c_custkey % 500 = 1 THEN c_custkey + 3
+      ELSE c_custkey - 1 END AS leader FROM customer),
+    r AS (SELECT id, id AS top_leader, 0::BIGINT AS levels FROM s WHERE leader IS NULL OR leader NOT IN (SELECT c_custkey FROM customer)
+      UNION ALL SELECT s.id, r.top_leader, r.levels + 1 FROM s JOIN r ON s.leader = r.id)
+    SELECT s.id, r.top_leader, r.levels FROM s LEFT JOIN r ON r.id = s.id
+    """,
+)
+def leader_top(t):
+    """Chains of hundreds of levels, and circles."""
+    leader = F.expr("CASE WHEN c_custkey % 1000 = 1 THEN NULL WHEN c_custkey % 500 = 1 THEN c_custkey + 3 ELSE c_custkey - 1 END")
+    return people.top_leaders(t.customer.select(F.col("c_custkey").alias("id"), leader.alias("leader")))
+
+
 @query(
     "expr_key_join",
     """
@@ -298,6 +314,28 @@ def interval_join_query(t):
     ).select("event_id", "session_id")
 
 
+@query(
+    "interval_join_hot",
+    """
+    WITH s AS (SELECT user_id % 2 AS grp, event_id AS session_id, ts AS a, CASE WHEN event_id % 10 > 0
+      THEN ts + to_minutes(CAST(floor(value) AS INT)) END AS b FROM events WHERE event_type = 'view')
+    SELECT e.event_id, COUNT(*) AS alive, MAX(session_id) AS latest, COUNT(CASE WHEN b IS NULL THEN 1 END) AS open
+      FROM events e JOIN s ON s.grp = e.user_id % 2 AND s.a <= e.ts AND (b IS NULL OR e.ts <= b)
+      WHERE e.event_type = 'error' GROUP BY 1
+    """,
+)
+def interval_join_hot(t):
+    """Two keys with all points and intervals, a tenth of them without an end."""
+    grp = (F.col("user_id") % 2).alias("grp")
+    end = F.when(F.col("event_id") % 10 > 0, F.col("ts") + F.make_dt_interval(mins=F.floor("value").cast("int")))
+    sessions = by_type(t, "view").select(grp, F.col("event_id").alias("session"), F.col("ts").alias("a"), end.alias("b"))
+    errors = by_type(t, "error").select("event_id", grp, "ts")
+    found = sweep_join(errors, sessions, ["grp"], "ts", "a", "b", {"session_id": "session", "until": "b"}, points=64, rows_per_task=500)
+    return found.groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("alive"), F.max("session_id").alias("latest"), F.count(F.when(F.col("until").isNull(), 1)).alias("open")
+    )
+
+
 @query(
     "open_interval_join",
     """
