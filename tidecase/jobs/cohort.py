@@ -90,3 +90,8 @@ def quality_report(wide: DataFrame) -> DataFrame:
             _share(F.col("visits_after") > 0).alias("held_after_share"),
         ],
     )
+
+
+def profile_report(wide: DataFrame, attributes: list[str]) -> DataFrame:
+    """Cases and the mean of each attribute, NULLs left out."""
+    return _report(wide, [money_avg(a).alias(f"avg_{a}") for a in attributes])

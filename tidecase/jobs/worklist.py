@@ -9,6 +9,7 @@ from tidecase.functions.measures import flag, yes_no
 from tidecase.functions.timeid import datediff_boundary
 from tidecase.operators.events import last_event, top_n
 from tidecase.operators.shapes import pivot_fixed, unpivot_nonnull
+from tidecase.sources.sinks import ResultSet
 
 
 def days_since(ts: Column | str, as_of: Column) -> Column:
@@ -77,7 +78,7 @@ def signals(kinds: list[str], waiting: list[str]) -> dict[str, tuple[Column, Col
 
 
 def result_sets(wide: DataFrame, found: dict[str, tuple[Column, Column]]) -> dict[str, DataFrame]:
-    """One DataFrame per result set; persist ``wide`` first or write them with ``write_results``."""
+    """One DataFrame per result set; ``layouts`` has those of the whole report."""
     return {
         name: wide.filter(condition).select("case_id", days.alias("days"))
         for name, (condition, days) in found.items()
@@ -92,3 +93,48 @@ def signal_rows(wide: DataFrame, found: dict[str, tuple[Column, Column]]) -> Dat
     ]
     listed = wide.select("case_id", F.explode(F.array_compact(F.array(*entries))).alias("_s"))
     return listed.select("case_id", "_s.result", "_s.days")
+
+
+def suspended(kinds: list[str], state: str) -> Column:
+    """Which reviews are in ``state``: the kind, ``Both`` for more than one, ``No`` for none."""
+    hits = [flag(F.col(f"{k}_status").eqNullSafe(state)) for k in kinds]
+    count = sum(hits[1:], hits[0])
+    name = F.coalesce(*[F.when(h == 1, k) for h, k in zip(hits, kinds)])
+    return F.when(count > 1, "Both").when(count == 1, name).otherwise("No")
+
+
+def layouts(kinds: list[str], waiting: list[str], held: str, done: list[str], old: int, as_of: Column) -> dict[str, ResultSet]:
+    """The report's ten result sets over the wide row, each with its filter, columns and order.
+
+    ``kinds``: the three reviews, in the order of the work; ``held``: the status of a suspended review; ``done``: statuses of the leading
+    review that leave a case sitting; ``old``: days from which a case is aging. Besides the wide row's columns they read ``priority`` ("1-…") and ``amount``.
+    """
+    first, second, third = kinds
+    c = F.col
+    since = {k: days_since(c(f"{k}_since").cast("timestamp_ntz"), as_of) for k in kinds}
+    label = suspended(kinds[:2], held)
+    case = {"case_id": c("case_id")}
+    status = {"priority": c("priority"), "days_open": c("days_open")}
+    waits = {"has_conditions": yes_no(c("open_conditions") > 0), "days_with_condition": c("days_with_condition")}
+    aging = yes_no(c("days_open") >= old)
+
+    def days_first(days: Column) -> list[Column]:
+        return [c("days").desc_nulls_last(), c("case_id")]
+
+    def listed(where: Column, days: Column, **more: Column) -> ResultSet:
+        return ResultSet(where, {**case, "days": days, **status, **more}, days_first(days))
+
+    number = c("priority").substr(1, 1).cast("int")
+    every = {n: c(n) for n in ("review_status", "days_in_review", "open_conditions", "review_incomplete")}
+    return {
+        "all": ResultSet(F.lit(True), {**case, **status, **every, **waits, "suspense": label, "aging": aging}, [number, c("days_open").desc(), c("case_id")]),
+        "high_risk": listed(c("amount") > 300000, c("days_in_review")),
+        "first_review": listed(c(f"{first}_status").isin(waiting), since[first], **waits),
+        "second_review": listed(c(f"{second}_status").isin(waiting), since[second], other_status=c(f"{first}_status"), other_days=since[first], suspense=label),
+        "third_review": listed(c(f"{third}_status").isin(waiting), since[third]),
+        "conditions": listed(c("open_conditions") > 0, c("days_with_condition"), open_conditions=c("open_conditions"), review_incomplete=c("review_incomplete")),
+        "aging": listed((c("days_open") >= old) & (c("review_incomplete") == "Yes"), c("days_open"), review_status=c("review_status"), days_in_review=c("days_in_review"), open_conditions=c("open_conditions"), **waits),
+        "sitting": listed(c("priority").like("%2-%") & (c("review_status").isin(done) | (aging == "No")), c("days_in_review"), review_status=c("review_status"), aging=aging, **waits),
+        "never_reviewed": listed(c("review_status").isNull(), c("days_open"), amount=c("amount")),
+        "suspense": ResultSet(label != "No", {**case, "suspense": label, "days": F.greatest(since[first], since[second]), **status, "other_status": c(f"{first}_status"), "last_status": c(f"{second}_status")}, [c("suspense").desc(), c("days").desc_nulls_last(), c("case_id")]),
+    }

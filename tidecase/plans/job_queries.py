@@ -21,6 +21,7 @@ from tidecase.plans.join_queries import (
 from tidecase.plans.registry import query
 from tidecase.plans.scalars import DID
 from tidecase.sources.derived import OPEN_END, daily_snapshot, daily_versions
+from tidecase.sources.sinks import read_result, result_rows, write_result_sets
 
 AS_OF = "2024-02-01 09:30:00"
 ORDERS_AS_OF = "2002-01-01 00:00:00"
@@ -1148,6 +1149,11 @@ def cohort_wide(t):
     )
 
 
+def cohort_stage(t):
+    """The wide row, computed once for all reports on the same state of its tables."""
+    return t.stages.get("cohort_wide", [t.events, t.customer], lambda: cohort_wide(t))
+
+
 @query("cohort_wide", f"WITH {WIDE_SQL} SELECT * FROM wide")
 def cohort_wide_query(t):
     return cohort_wide(t)
@@ -1166,7 +1172,7 @@ def cohort_wide_query(t):
     """,
 )
 def cohort_speed_report(t):
-    return cohort.speed_report(cohort_wide(t), list(COHORT_MARKS))
+    return cohort.speed_report(cohort_stage(t), list(COHORT_MARKS))
 
 
 @query(
@@ -1182,7 +1188,7 @@ def cohort_speed_report(t):
     """,
 )
 def cohort_touch_report(t):
-    return cohort.touch_report(cohort_wide(t), ROLE_NAMES)
+    return cohort.touch_report(cohort_stage(t), ROLE_NAMES)
 
 
 @query(
@@ -1196,4 +1202,90 @@ def cohort_touch_report(t):
     """,
 )
 def cohort_quality_report(t):
-    return cohort.quality_report(cohort_wide(t))
+    return cohort.quality_report(cohort_stage(t))
+
+
+@query(
+    "cohort_profile_report",
+    f"""
+    WITH {WIDE_SQL}, p AS (SELECT wide.*, CAST(c_custkey % 100 AS DOUBLE) / 100 AS ltv, c_nationkey AS dti, CASE
+      WHEN c_custkey % 7 > 0 THEN 600 + c_custkey % 200 END AS score FROM wide JOIN customer ON c_custkey = case_id)
+    SELECT pilot, {WEEK_LABEL}, COUNT(*) AS cases,
+      CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / COUNT(amount) AS avg_amount,
+      CAST(SUM(CAST(ltv AS DECIMAL(18,2))) AS DOUBLE) / COUNT(ltv) AS avg_ltv,
+      CAST(SUM(CAST(dti AS DECIMAL(18,2))) AS DOUBLE) / COUNT(dti) AS avg_dti,
+      CAST(SUM(CAST(score AS DECIMAL(18,2))) AS DOUBLE) / COUNT(score) AS avg_score FROM p {WEEK_SETS}
+    """,
+)
+def cohort_profile_report(t):
+    key = F.col("c_custkey")
+    traits = t.customer.select(
+        key.alias("case_id"), ((key % 100).cast("double") / 100).alias("ltv"), F.col("c_nationkey").alias("dti"), F.when(key % 7 > 0, 600 + key % 200).alias("score")
+    )
+    return cohort.profile_report(cohort_stage(t).join(traits, "case_id"), ["amount", "ltv", "dti", "score"])
+
+
+WORK_KINDS = ("line0", "line1", "line2")
+WORK_SETS_SQL = f"""
+    it AS (SELECT l_orderkey AS case_id, 'line' || (l_linenumber % 3) AS kind, l_returnflag AS status, l_shipdate AS ts, {ITEM_SQL} FROM lineitem),
+    lead AS (SELECT case_id, status AS review_status, ts AS review_since FROM (SELECT *, ROW_NUMBER()
+      OVER (PARTITION BY case_id ORDER BY CASE WHEN status = 'R' THEN 1 ELSE 0 END DESC, ts, {ITEM_SQL}) AS rn FROM it) WHERE rn = 1),
+    cond AS (SELECT l_orderkey AS case_id, COUNT(*) AS open_conditions, MIN(l_shipdate) AS oldest FROM lineitem
+      WHERE l_linestatus = 'O' AND l_partkey IN (SELECT p_partkey FROM part WHERE p_type ILIKE '%econ_my%') GROUP BY 1),
+    cur AS (SELECT case_id, kind, status, ts FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY case_id, kind ORDER BY ts DESC, {ITEM_DESC}) AS rn FROM it) WHERE rn = 1),
+    pv AS (SELECT case_id, {", ".join(f"MAX(CASE WHEN kind='{k}' THEN status END) AS s{i}, MAX(CASE WHEN kind='{k}' THEN ts END) AS t{i}" for i, k in enumerate(WORK_KINDS))} FROM cur GROUP BY 1),
+    w0 AS (SELECT o_orderkey AS case_id, o_orderpriority AS priority, o_totalprice AS amount, review_status,
+      date_diff('second', o_orderdate, TIMESTAMP '{ORDERS_AS_OF}') / 86400.0::DOUBLE AS days_open,
+      date_diff('second', review_since, TIMESTAMP '{ORDERS_AS_OF}') / 86400.0::DOUBLE AS days_in_review,
+      COALESCE(open_conditions, 0) AS open_conditions,
+      date_diff('second', oldest, TIMESTAMP '{ORDERS_AS_OF}') / 86400.0::DOUBLE AS days_with_condition, s0, s1, s2,
+      {", ".join(f"date_diff('second', t{i}, TIMESTAMP '{ORDERS_AS_OF}') / 86400.0::DOUBLE AS d{i}" for i in range(3))}
+      FROM orders LEFT JOIN lead ON lead.case_id = o_orderkey LEFT JOIN cond ON cond.case_id = o_orderkey
+      LEFT JOIN pv ON pv.case_id = o_orderkey WHERE o_orderstatus = 'O'),
+    wide AS (SELECT *, CASE WHEN s0 = 'R' OR s1 = 'R' OR s2 = 'R' THEN 'Yes' ELSE 'No' END AS review_incomplete,
+      CASE WHEN open_conditions > 0 THEN 'Yes' ELSE 'No' END AS has_conditions, CASE WHEN days_open >= 1500 THEN 'Yes' ELSE 'No' END AS aging,
+      CASE WHEN s0 = 'N' AND s1 = 'N' THEN 'Both' WHEN s0 = 'N' THEN 'line0' WHEN s1 = 'N' THEN 'line1' ELSE 'No' END AS suspense FROM w0)
+    """
+
+
+def work_wide(t):
+    reviews = items(t).withColumn("kind", F.concat(F.lit("line"), (F.col("line") % 3).cast("string")))
+    wanted = t.part.filter(F.col("p_type").ilike("%econ_my%"))
+    conditions = semi(t.lineitem.filter("l_linestatus = 'O'"), wanted, {"l_partkey": "p_partkey"}).select(
+        F.col("l_orderkey").alias("case_id"), F.col("l_shipdate").alias("ts")
+    )
+    open_cases = cases(t).filter("status = 'O'").select("case_id", "status", "opened", "priority", "amount")
+    return worklist.work_list(open_cases, reviews, conditions, list(WORK_KINDS), ["R"], timeid.at_midnight(ORDERS_AS_OF))
+
+
+def work_sets():
+    return worklist.layouts(list(WORK_KINDS), ["R"], "N", ["A", "N"], 1500, timeid.at_midnight(ORDERS_AS_OF))
+
+
+def work_result(name: str):
+    """One result set of the report; the first to be asked for writes all ten in one job."""
+
+    def run(t):
+        wide, sets = work_wide(t), work_sets()
+        layout = result_rows(wide, sets).drop("result").schema
+        path = t.stages.place("work_sets", [t.orders, t.lineitem, t.part], lambda to: write_result_sets(wide, sets, to))
+        return read_result(t.spark, f"{path}/data", name, sets[name], layout)
+
+    return run
+
+
+_DAYS = "case_id, {days} AS days, priority, days_open"
+WORK_RESULTS = {
+    "all": "SELECT case_id, priority, days_open, review_status, days_in_review, open_conditions, review_incomplete, has_conditions, days_with_condition, suspense, aging FROM wide",
+    "high_risk": f"SELECT {_DAYS.format(days='days_in_review')} FROM wide WHERE amount > 300000",
+    "first_review": f"SELECT {_DAYS.format(days='d0')}, has_conditions, days_with_condition FROM wide WHERE s0 = 'R'",
+    "second_review": f"SELECT {_DAYS.format(days='d1')}, s0 AS other_status, d0 AS other_days, suspense FROM wide WHERE s1 = 'R'",
+    "third_review": f"SELECT {_DAYS.format(days='d2')} FROM wide WHERE s2 = 'R'",
+    "conditions": f"SELECT {_DAYS.format(days='days_with_condition')}, open_conditions, review_incomplete FROM wide WHERE open_conditions > 0",
+    "aging": f"SELECT {_DAYS.format(days='days_open')}, review_status, days_in_review, open_conditions, has_conditions, days_with_condition FROM wide WHERE aging = 'Yes' AND review_incomplete = 'Yes'",
+    "sitting": f"SELECT {_DAYS.format(days='days_in_review')}, review_status, aging, has_conditions, days_with_condition FROM wide WHERE priority LIKE '%2-%' AND (review_status IN ('A', 'N') OR aging = 'No')",
+    "never_reviewed": f"SELECT {_DAYS.format(days='days_open')}, amount FROM wide WHERE review_status IS NULL",
+    "suspense": "SELECT case_id, suspense, greatest(d0, d1) AS days, priority, days_open, s0 AS other_status, s1 AS last_status FROM wide WHERE suspense <> 'No'",
+}
+for _name, _sql in WORK_RESULTS.items():
+    query(f"work_list_{_name}", f"WITH {WORK_SETS_SQL} {_sql}")(work_result(_name))

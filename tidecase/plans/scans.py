@@ -10,7 +10,7 @@ from tidecase.functions.timeid import datediff_boundary, half_hour
 from tidecase.operators.events import first_event
 from tidecase.operators.joins import apply_agg
 from tidecase.plans.registry import query
-from tidecase.sources.scratch import scratch_path
+from tidecase.sources.scratch import session_path
 from tidecase.sources.sinks import write_new_table, write_report
 from tidecase.sources.tables import read_import, union_years
 
@@ -62,7 +62,7 @@ def src_year_union(t):
     """,
 )
 def src_csv_lookup(t):
-    path = scratch_path(t.spark, "invoices")
+    path = session_path(t.spark, "invoices")
     invoices = (
         t.lineitem.filter("l_returnflag = 'R'")
         .groupBy("l_orderkey", "l_suppkey")
@@ -143,14 +143,14 @@ def _priority_totals(t):
 
 @query("sink_table", SINK_SQL)
 def sink_table(t):
-    path = scratch_path(t.spark, "totals")
+    path = session_path(t.spark, "totals")
     write_new_table(_priority_totals(t), path)
     return t.spark.read.schema("priority string, orders bigint, amount double").parquet(path)
 
 
 @query("sink_csv", SINK_SQL)
 def sink_csv(t):
-    path = scratch_path(t.spark, "totals-report")
+    path = session_path(t.spark, "totals-report")
     write_report(_priority_totals(t), path)
     return read_import(t.spark, path, "priority string, orders bigint, amount double")
 

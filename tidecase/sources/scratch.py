@@ -9,36 +9,45 @@ from pyspark.sql import Column, DataFrame, SparkSession
 _OPEN: dict[str, list[str]] = {}  # folder of a session: its bucketed tables
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path in it."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
-def session_folder(spark: SparkSession) -> str:
-    """The session's folder in the cluster's shared folder (``spark.checkpoint.dir``).
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Where that setting is absent the warehouse folder takes its place, which driver and executors share as well. The folder goes
-    when the driver's JVM ends, or before by ``release_scratch``.
+    Where that setting is absent the warehouse folder takes its place, which driver and executors share as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{base.rstrip('/')}/tidecase-{spark.sparkContext.applicationId}"
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, for files that outlive the session."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def session_folder(spark: SparkSession) -> str:
+    """The session's own folder in the shared folder; it goes when the driver's JVM ends, or before by ``release_scratch``."""
+    folder = f"{shared_folder(spark)}/tidecase-{spark.sparkContext.applicationId}"
     if folder not in _OPEN:
-        files, place = _file_system(spark, folder)
+        files, place = file_system(spark, folder)
         files.mkdirs(place)
         files.deleteOnExit(place)
         _OPEN[folder] = []
     return folder
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+def session_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the session's folder."""
     return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the session's folder and read again: computed once, and safe when executors are lost."""
-    path = scratch_path(df.sparkSession, name)
+    path = session_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -59,5 +68,5 @@ def release_scratch(spark: SparkSession) -> None:
     folder = session_folder(spark)
     for name in _OPEN.pop(folder):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    files, place = _file_system(spark, folder)
+    files, place = file_system(spark, folder)
     files.delete(place, True)

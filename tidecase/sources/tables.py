@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidecase.sources.stages import StageStore
+
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -34,6 +36,11 @@ class Tables:
         setattr(self, name, table)  # the files of a table are listed once
         return table
 
+    @property
+    def stages(self) -> StageStore:
+        """Stages that several queries over these tables share."""
+        return StageStore(self.spark)
+
     def views(self, *names: str) -> None:
         """Register temp views, for queries written in SQL."""
         for name in names:
