@@ -22,7 +22,7 @@ from tidecase.sources.tables import Tables
 # one-row aggregates, date bounds of a calendar, the levels of an interval join
 GLOBAL = {
     "global_agg", "calendar_count", "calendar_dim", "dense_grid", "pipeline_size", "business_expiry", "nth_business_day",
-    "scalar_subquery", "limit_n", "limit_n_checked", "interval_join", "pipeline_size_window",
+    "scalar_subquery", "limit_n", "limit_n_checked", "interval_join", "pipeline_size_window", "snapshot_mondays",
 }
 
 

@@ -16,11 +16,13 @@ from tidecase.operators.events import asof, nth_event
 from tidecase.operators.joins import exists_flag, semi, spread_join
 from tidecase.operators.slices import hot_keys
 from tidecase.plans.join_queries import (
-    FUZZY_SQL, ROLE_VERSIONS, SNAPSHOT_SQL, by_type, clearances, role_at, role_log, role_versions, staff_list, typed_entries,
+    FUZZY_SQL, ROLE_VERSIONS, SNAPSHOT_SQL, by_type, clearances, named_tables, role_at, role_log, role_versions, snapshot_store, staff_list,
+    typed_entries,
 )
-from tidecase.plans.registry import query
+from tidecase.plans.registry import QUERIES, query
 from tidecase.plans.scalars import DID
 from tidecase.sources.derived import OPEN_END, daily_snapshot, daily_versions
+from tidecase.sources.scratch import session_path
 from tidecase.sources.sinks import read_result, result_rows, write_result_sets
 
 AS_OF = "2024-02-01 09:30:00"
@@ -90,6 +92,10 @@ def worker_touches(t):
     """,
 )
 def turn_time(t):
+    return turn_time_of(t)
+
+
+def turn_time_of(t):
     marks = {"shipped": F.col("phase") == "F", "returned": F.col("status") == "R"}
     lines = items(t).select("case_id", "ts", "status", "phase")
     opened = cases(t).select("case_id", "priority", "opened")
@@ -97,6 +103,12 @@ def turn_time(t):
     return turntime.average_turn_times(turned, ["priority"], list(marks))
 
 
+@query("turn_time_catalog", QUERIES["turn_time"].sql)
+def turn_time_catalog(t):
+    """Over tables of the catalog that are bucketed by case: the lines meet their cases without a shuffle."""
+    return turn_time_of(named_tables(t))
+
+
 MARKS_SQL = """
     f AS (SELECT o_orderkey, MIN(CASE WHEN l_linestatus = 'F' THEN l_shipdate END) AS shipped, MIN(CASE
       WHEN l_returnflag = 'R' THEN l_shipdate END) AS returned, MAX(CASE WHEN l_linestatus = 'F' THEN l_shipdate
@@ -392,19 +404,29 @@ COHORT_SQL = f"""
     """
 
 
+@query("cohort_compare_stored", f"WITH {COHORT_SQL} SELECT * FROM cohort")
+def cohort_compare_stored(t):
+    """The same from the stored snapshots: days and the comparison day are partitions."""
+    days = snapshot_store(t).read().select(F.col("user_id").alias("case_id"), "snapshot_id", "state")
+    return pipeline.cohort_compare(compared_cases(t), days, 10, ["view", "click"], 20240120)
+
+
 @query("cohort_compare", f"WITH {COHORT_SQL} SELECT * FROM cohort")
 def cohort_compare(t):
+    days, compared = (
+        daily_snapshot(t.events, only_id=day).select(F.col("user_id").alias("case_id"), "snapshot_id", "state") for day in (None, 20240120)
+    )
+    return pipeline.cohort_compare(compared_cases(t), days, 10, ["view", "click"], 20240120, compared)
+
+
+def compared_cases(t):
     marked = t.events.groupBy(F.col("user_id").alias("case_id")).agg(
         F.min("ts").alias("opened"),
         F.max(F.when((F.col("event_type") == "purchase") & (F.col("value") > 100), F.col("ts"))).alias("closed_at"),
         F.max(F.when((F.col("event_type") == "error") & (F.col("value") > 200), F.col("ts"))).alias("_fell"),
     )
     fallout = F.when(F.col("closed_at").isNull(), F.col("_fell"))
-    listed = marked.withColumn("fallout_at", fallout).drop("_fell")
-    days, compared = (
-        daily_snapshot(t.events, only_id=day).select(F.col("user_id").alias("case_id"), "snapshot_id", "state") for day in (None, 20240120)
-    )
-    return pipeline.cohort_compare(listed, days, 10, ["view", "click"], 20240120, compared)
+    return marked.withColumn("fallout_at", fallout).drop("_fell")
 
 
 UNIT_RULES = [("F1-URGENT", 2.25), ("F%", 1.75), ("P4%", 1.25), ("P%", 1.0)]
@@ -467,10 +489,8 @@ def unit_scorecard_adjusted(t):
     )
 
 
-@query(
-    "productivity_grid",
-    f"""
-    WITH {PRESENCE_SQL}, days AS (SELECT CAST(unnest(generate_series(DATE '2024-02-01' - 120, DATE '2024-02-01',
+GRID_SQL = f"""
+    {PRESENCE_SQL}, days AS (SELECT CAST(unnest(generate_series(DATE '2024-02-01' - 120, DATE '2024-02-01',
       INTERVAL 1 DAY)) AS DATE) AS day), w AS (SELECT DISTINCT user_id AS worker
       FROM events),
     a AS (SELECT user_id AS worker, CAST(ts AS DATE) AS day, COUNT(*) AS statuses, COUNT(DISTINCT CASE
@@ -486,9 +506,15 @@ def unit_scorecard_adjusted(t):
     FROM w CROSS JOIN days LEFT JOIN a ON a.worker = w.worker AND a.day = days.day LEFT JOIN s
       ON s.worker = w.worker AND s.day = days.day LEFT JOIN presence p ON p.agent = w.worker
       AND p.day = days.day
-    """,
-)
+    """
+
+
+@query("productivity_grid", f"WITH {GRID_SQL}")
 def productivity_grid(t):
+    return dashboard(t, historical=True)
+
+
+def dashboard(t, historical: bool, as_of: str = AS_OF):
     sessions = t.events.select(F.col("user_id").alias("worker"), "ts", "event_type", "value", K().alias("k"))
     kind = F.col("event_type")
     activity = productivity.worker_days(
@@ -505,7 +531,63 @@ def productivity_grid(t):
     )
     workers = sessions.select("worker").distinct()
     online = presence(t).withColumnRenamed("agent", "worker")
-    return productivity.dashboard(workers, timeid.at_midnight(AS_OF), [activity, surveys], online, historical=True)
+    return productivity.dashboard(workers, timeid.at_midnight(as_of), [activity, surveys], online, historical)
+
+
+@query("productivity_today", f"WITH {GRID_SQL} WHERE days.day = DATE '2024-02-01'")
+def productivity_today(t):
+    """The procedure's other mode: the day of the run only."""
+    return dashboard(t, historical=False)
+
+
+@query("productivity_kept", f"WITH {GRID_SQL}")
+def productivity_kept(t):
+    """A kept grid: the historical run of the day before, then today's run, twice; its first day has left the window by then."""
+    path = session_path(t.spark, "grid")
+    before = dashboard(t, True, "2024-01-31 09:30:00")
+    productivity.keep_dashboard(before, path)
+    for _ in range(2):
+        productivity.keep_dashboard(dashboard(t, False), path)
+    kept = t.spark.read.schema(before.schema).parquet(path)
+    return kept.filter(F.col("day") >= F.date_sub(F.to_date(timeid.at_midnight(AS_OF)), 120))
+
+
+@query(
+    "productivity_full",
+    f"""
+    WITH {PRESENCE_SQL}, days AS (SELECT CAST(unnest(generate_series(DATE '2024-02-01' - 120, DATE '2024-02-01',
+      INTERVAL 1 DAY)) AS DATE) AS day), w AS (SELECT DISTINCT user_id AS worker FROM events),
+    e AS (SELECT user_id AS worker, CAST(ts AS DATE) AS day, event_type, CAST(floor(value) AS BIGINT) AS sec, {KS} AS k, value FROM events),
+    calls AS (SELECT worker, day, SUM(sec)::BIGINT AS talk, SUM(2 * sec + k)::BIGINT AS staff, SUM(k)::BIGINT AS aux, SUM(3 * k)::BIGINT AS avail,
+      COUNT(*) AS inbound, COUNT(CASE WHEN k % 7 = 0 THEN 1 END) AS missed FROM e WHERE event_type = 'purchase' GROUP BY 1, 2),
+    chats AS (SELECT worker, day, SUM(sec)::BIGINT AS talk, SUM(sec + k)::BIGINT AS staff FROM e WHERE event_type = 'error' GROUP BY 1, 2),
+    texts AS (SELECT worker, day, COUNT(*) AS text_replies FROM e WHERE event_type = 'click' AND k % 2 = 0 GROUP BY 1, 2),
+    hours AS (SELECT worker, day, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / 60.0::DOUBLE AS hours FROM e WHERE event_type = 'view' AND k % 3 < 2 GROUP BY 1, 2)
+    SELECT w.worker, days.day, CASE WHEN calls.worker IS NULL AND chats.worker IS NULL THEN NULL
+        ELSE (COALESCE(calls.talk, 0) + COALESCE(chats.talk, 0)) / 86400.0::DOUBLE END AS talk_time,
+      CASE WHEN calls.worker IS NULL AND chats.worker IS NULL THEN NULL
+        ELSE (COALESCE(calls.staff, 0) + COALESCE(chats.staff, 0)) / 86400.0::DOUBLE END AS staff_time,
+      aux / 86400.0::DOUBLE AS aux_time, avail / 86400.0::DOUBLE AS avail_time, inbound AS inbound_calls, missed AS missed_calls,
+      text_replies, hours, logged_in, online, 1.0::DOUBLE * online / NULLIF(logged_in, 0) AS online_rate
+    FROM w CROSS JOIN days LEFT JOIN calls ON calls.worker = w.worker AND calls.day = days.day
+      LEFT JOIN chats ON chats.worker = w.worker AND chats.day = days.day LEFT JOIN texts ON texts.worker = w.worker AND texts.day = days.day
+      LEFT JOIN hours ON hours.worker = w.worker AND hours.day = days.day LEFT JOIN presence p ON p.agent = w.worker AND p.day = days.day
+    """,
+)
+def productivity_full(t):
+    """Telephone and chat cubes, text replies and hours worked on the same grid."""
+    k, seconds, day = F.col("k"), F.floor("value").cast("bigint"), F.to_date("ts").alias("day")
+    log = t.events.select(F.col("user_id").alias("worker"), "ts", day, "event_type", "value", seconds.alias("sec"), K().alias("k"))
+    calls = log.filter("event_type = 'purchase'").select(
+        "worker", "day", F.col("sec").alias("talk"), (2 * F.col("sec") + k).alias("staff"), k.alias("aux"), (3 * k).alias("avail"),
+        F.lit(1).alias("inbound"), F.when(k % 7 == 0, 1).otherwise(0).alias("missed"),
+    )
+    chats = log.filter("event_type = 'error'").select("worker", "day", F.col("sec").alias("talk"), (F.col("sec") + k).alias("staff"))
+    texts = productivity.worker_days(log.filter("event_type = 'click' AND k % 2 = 0"), F.count("*").alias("text_replies"))
+    worked = productivity.worker_days(log.filter("event_type = 'view' AND k % 3 < 2"), (F.sum(money("value")).cast("double") / F.lit(60.0)).alias("hours"))
+    online = presence(t).withColumnRenamed("agent", "worker")
+    facts = [productivity.both_cubes(calls, chats), texts, worked]
+    return productivity.dashboard(log.select("worker").distinct(), timeid.at_midnight(AS_OF), facts, online, True)
 
 
 @query(

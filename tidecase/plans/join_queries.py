@@ -15,7 +15,10 @@ from tidecase.operators.joins import anti, apply_agg, exists_flag, left_fan_out,
 from tidecase.operators.shapes import dense_grid, fill_grid
 from tidecase.operators.slices import hot_keys, with_next, with_prev
 from tidecase.plans.registry import query
+from tidecase.sources.calendar import calendar, days_of
+from tidecase.sources.catalog import catalog_of
 from tidecase.sources.derived import daily_snapshot, daily_versions
+from tidecase.sources.snapshots import SnapshotStore
 
 LINE_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
 LINE_SQL = "l_shipdate, l_linenumber, l_partkey, l_suppkey, l_returnflag"
@@ -36,6 +39,31 @@ def by_type(t, kind: str):
     """,
 )
 def star_join(t):
+    return star(t)
+
+
+def named_tables(t):
+    """The tables under names in the catalog, with statistics; cases and their lines bucketed by case."""
+    by = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey"], "customer": ["c_custkey"], "nation": None, "region": None}
+    frames = {name: (getattr(t, name), keys) for name, keys in by.items()}
+    version = t.stages.version([df for df, _ in frames.values()])
+    return catalog_of(t.spark, f"tidecase_{version}", frames, f"{t.stages.folder}/catalog-{version}")
+
+
+@query(
+    "star_join_catalog",
+    """
+    SELECT r_name AS region, c_mktsegment AS segment, COUNT(*) AS orders,
+      CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount
+    FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region
+      ON r_regionkey = n_regionkey GROUP BY 1, 2
+    """,
+)
+def star_join_catalog(t):
+    return star(named_tables(t))
+
+
+def star(t):
     # nation and region hold a few rows; customer is joined by whatever Spark's size statistics allow
     return (
         t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
@@ -582,18 +610,19 @@ def adjacent_rows(t):
 
 FUZZY_SQL = """
     WITH staff AS (SELECT c_custkey AS worker, c_mktsegment AS first_name, c_name AS last_name,
-      lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS ext
+      lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS ext, CASE WHEN c_custkey % 3 = 0 THEN 'Nick' || c_custkey % 10 END AS preferred_first,
+      CASE WHEN c_custkey % 4 < 2 THEN 'Vander' || c_custkey END AS preferred_last
       FROM customer),
     entries AS (SELECT event_id AS entry_id, CAST(json_extract_string(props, '$.k') AS INT) % 5 AS loan, ts,
-      c_mktsegment || ' ' || left(c_name,
-      length(c_name) - CAST(event_id % 3 AS INT)) || ' - ' || lpad(CAST(c_custkey AS VARCHAR), 5,
-      '0') AS user_text
-      FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'error'),
+      CASE WHEN event_id % 4 = 1 THEN COALESCE(preferred_first, first_name) ELSE first_name END || ' ' ||
+      CASE WHEN event_id % 5 = 2 AND preferred_last IS NOT NULL THEN left(preferred_last, length(preferred_last) - CAST(event_id % 3 AS INT))
+        ELSE left(last_name, length(last_name) - CAST(event_id % 3 AS INT)) END || ' - ' || ext AS user_text
+      FROM events JOIN staff ON worker = user_id WHERE event_type = 'error'),
     parsed AS (SELECT *, trim(split_part(user_text, ' ', 1)) AS f, trim(regexp_extract(user_text,
       '^\\S+\\s+(.*?)\\s*-[^-]*$', 1)) AS l, trim(regexp_extract(user_text, '-([^-]*)$', 1)) AS x
       FROM entries),
-    who AS (SELECT entry_id, loan, ts, worker FROM parsed JOIN staff ON staff.ext = x AND staff.first_name = f
-      AND (staff.last_name = l OR contains(staff.last_name, l))),
+    who AS (SELECT entry_id, loan, ts, worker FROM parsed JOIN staff ON staff.ext = x
+      AND (staff.first_name = f OR COALESCE(preferred_first, '') = f) AND (contains(staff.last_name, l) OR contains(COALESCE(preferred_last, ''), l))),
     clears AS (SELECT event_id AS clear_id, CAST(json_extract_string(props, '$.k') AS INT) % 5 AS loan,
       user_id AS worker, ts
       FROM events WHERE event_type = 'purchase')
@@ -622,15 +651,18 @@ def staff_list(t):
         F.col("c_mktsegment").alias("first_name"),
         F.col("c_name").alias("last_name"),
         F.lpad(F.col("c_custkey").cast("string"), 5, "0").alias("ext"),
+        F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Nick"), F.col("c_custkey") % 10)).alias("preferred_first"),
+        F.when(F.col("c_custkey") % 4 < 2, F.concat(F.lit("Vander"), "c_custkey")).alias("preferred_last"),
     )
 
 
 def typed_entries(t):
-    cut = (F.length("c_name") - F.col("event_id") % 3).cast("int")
-    text = F.concat_ws(
-        "", "c_mktsegment", F.lit(" "), F.left("c_name", cut), F.lit(" - "), F.lpad(F.col("c_custkey").cast("string"), 5, "0")
-    )
-    return by_type(t, "error").join(t.customer, F.col("c_custkey") == F.col("user_id")).select(
+    """Entries under the name or a preferred one, the last name cut short at times."""
+    event = F.col("event_id")
+    first = F.when(event % 4 == 1, F.coalesce("preferred_first", "first_name")).otherwise(F.col("first_name"))
+    last = F.when(event % 5 == 2, F.coalesce("preferred_last", "last_name")).otherwise(F.col("last_name"))
+    text = F.concat_ws("", first, F.lit(" "), F.left(last, (F.length(last) - event % 3).cast("int")), F.lit(" - "), "ext")
+    return by_type(t, "error").join(staff_list(t), F.col("worker") == F.col("user_id")).select(
         F.col("event_id").alias("entry_id"),
         (F.get_json_object("props", "$.k").cast("int") % 5).alias("loan"),
         "ts",
@@ -741,6 +773,28 @@ def state_on_date(t):
     return t.customer.join(on_day, F.col("user_id") == F.col("c_custkey"), "left").select("c_custkey", "state")
 
 
+def snapshot_store(t) -> SnapshotStore:
+    """The daily snapshot of the events as a stored table, built once for a state of the events."""
+
+    def of(day_id: int | None):
+        return daily_snapshot(t.events, only_id=day_id)
+
+    path = t.stages.place("snapshot", [t.events], lambda to: SnapshotStore(t.spark, to, of).rebuild())
+    return SnapshotStore(t.spark, f"{path}/data", of)
+
+
+@query(
+    "snapshot_mondays",
+    f"""
+    WITH {SNAPSHOT_SQL} SELECT snapshot_id, state, COUNT(*) AS users FROM snap
+      WHERE dayofweek(strptime(CAST(snapshot_id AS VARCHAR), '%Y%m%d')) = 1 GROUP BY 1, 2
+    """,
+)
+def snapshot_mondays(t):
+    mondays = calendar(days_of(t.events, "ts")).filter("day_name = 'Monday'")
+    return snapshot_store(t).on(mondays, "date_id").groupBy("snapshot_id", "state").agg(F.count(F.lit(1)).alias("users"))
+
+
 @query(
     "snapshot_join",
     f"""

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-_OPEN: dict[str, list[str]] = {}  # folder of a session: its bucketed tables
+_OPEN: dict[str, list[str]] = {}  # folder of a session: statements that take its tables out of the catalog
 
 
 def file_system(spark: SparkSession, path: str):
@@ -59,14 +59,19 @@ def stored_by(df: DataFrame, by: list[str], sort: list[str | Column]) -> DataFra
     name = f"tidecase_{uuid.uuid4().hex}"
     dealt = df.repartition(buckets, *by).write.format("parquet").bucketBy(buckets, *by).sortBy(*sort)
     dealt.option("path", f"{folder}/{name}").saveAsTable(name)
-    _OPEN[folder].append(name)
+    at_release(spark, f"DROP TABLE IF EXISTS {name}")
     return spark.table(name)
 
 
+def at_release(spark: SparkSession, statement: str) -> None:
+    """Run a statement when the session's folder is removed."""
+    _OPEN[session_folder(spark)].append(statement)
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Remove all that the session has stored; results that read it must be written or collected by then."""
     folder = session_folder(spark)
-    for name in _OPEN.pop(folder):
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for statement in _OPEN.pop(folder):
+        spark.sql(statement)
     files, place = file_system(spark, folder)
     files.delete(place, True)
