@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidecase.llm import language
@@ -78,7 +79,9 @@ def brute(rows, text):
     return langs[odds.index(1.0)], 1 / sum(odds)
 
 
-def test_like_plain_counting(make, prose):
+@pytest.mark.parametrize("cells", [0, language.TABLE_CELLS])
+def test_like_plain_counting(make, prose, monkeypatch, cells):
+    monkeypatch.setattr(language, "TABLE_CELLS", cells)
     rows = corpus(prose)[:60]
     model = language.fit(make([(i, t, g, "s") for i, t, g in rows]), F.lit(True))
     others = [prose(12, 1000 + i, "ta zup éa ri gorn oû qw x") for i in range(40)] + ["tari", "xq", "gornwexfli flimo"]

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidecase.llm import toxicity
@@ -78,9 +79,17 @@ def test_labels_of_absent_documents_drop_nothing(spark, make, prose):
     assert toxicity.keep_clean(docs, toxicity.fit(docs, labels)).count() == 6
 
 
-def test_features_are_distinct_within_a_document(make):
-    (row,) = make([(1, "Vile vile villain 12 ab")]).select(toxicity.features_of("text").alias("f")).collect()
-    assert sorted(row["f"]) == sorted({f for w in ("vile", "villain", "ab") for f in toxicity.features(w)})
+def test_a_document_counts_once_for_a_feature(monkeypatch):
+    rows = [("Vile vile villain 12 ab", 1), ("vile", 0), ("", 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows]), pa.array([x for _, x in rows])], names=["text", "toxic"])
+    for gathered in (100, 0):
+        monkeypatch.setattr(toxicity, "GATHERED", gathered)
+        sums = {}
+        for out in toxicity._count_features(iter([batch])):
+            for r in out.to_pylist():
+                a, n = sums.get(r["feature"], (0, 0))
+                sums[r["feature"]] = (a + r["a"], n + r["n"])
+        assert sums == {f: (1, 1 + (f in toxicity.features("vile"))) for w in ("vile", "villain", "ab") for f in toxicity.features(w)}
 
 
 def test_long_texts_are_cut_into_chains_and_seen_whole():

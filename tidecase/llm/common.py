@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecase.sources.scratch import scratch_path
+from tidecase.sources.scratch import session_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the session's shared folder, which goes when the session ends."""
-    return f"{scratch_path(spark, 'llm')}/{name}"
+    return f"{session_path(spark, 'llm')}/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +49,22 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
     return written(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
+def tidy(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """``run`` for a task of a Python worker, which gives the memory that the task no longer needs back to the machine at its end."""
+
+    def work(*args) -> Iterator:
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library frees by itself
+                pass
+
+    return work
+
+
 _CACHE: dict[str, object] = {}
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecase.llm.common import table, text_or_empty, worker_cache, written
+from tidecase.llm.common import table, text_or_empty, tidy, worker_cache, written
 from tidecase.llm.components import components
 
 #: Shingles are counted in so many buckets; the table of counts that goes to every task has this size whatever the corpus. A shingle
@@ -109,7 +109,7 @@ def shingle_counts(rows: DataFrame, words: int) -> np.ndarray:
 
     Each task counts all its texts and hands on one row per slice of the buckets; the sums, of fixed size, come to the driver.
     """
-    tables = rows.mapInArrow(_count(words), "slice int, counts binary")
+    tables = rows.mapInArrow(tidy(_count(words)), "slice int, counts binary")
     counts = np.zeros((COUNT_SLICES, COUNT_BUCKETS // COUNT_SLICES), np.int64)
     for row in tables.groupBy("slice").applyInArrow(_sum_counts, "slice int, counts binary").toLocalIterator():
         counts[row["slice"]] = np.frombuffer(row["counts"], "<u4")
@@ -243,7 +243,7 @@ class _Join:
         self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
         digested = self.rows.withColumn("digest", text_digest())
         counts = self.spark.sparkContext.broadcast(shingle_counts(self.rows, words))
-        self.described = written(digested.mapInArrow(_describe(words, percent, counts), "doc_id long, digest binary, n long, key binary, prefix array<long>, matches int"), "described")
+        self.described = written(digested.mapInArrow(tidy(_describe(words, percent, counts)), "doc_id long, digest binary, n long, key binary, prefix array<long>, matches int"), "described")
         classes = self.described.filter("n > 0").groupBy("key").agg(
             F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("matches").alias("matches")
         )
@@ -280,7 +280,7 @@ class _Join:
         for row in wanted.select(_filter_bit("least").alias("bit")).distinct().groupBy(F.floor(F.col("bit") / 4096)).agg(F.collect_list("bit")).toLocalIterator():
             bits[row[1]] = True  # at most FILTER_BITS bits
         needed = self.spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-        sets = self.rows.withColumn("bit", _filter_bit("doc_id")).mapInArrow(_needed_sets(self.words, needed), "key binary, hashes binary")
+        sets = self.rows.withColumn("bit", _filter_bit("doc_id")).mapInArrow(tidy(_needed_sets(self.words, needed)), "key binary, hashes binary")
         return written(wanted.join(sets.dropDuplicates(["key"]), "key").select("node", "hashes"), "sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ class _Join:
         sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(self.percent), "a long, b long")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(_verify(self.percent)), "a long, b long")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs(a, b, shared)`` whose sizes, shared prefix shingles and positions allow a link."""

@@ -19,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidecase.llm.common import crc_fold, table, text_or_empty, worker_cache, written
+from tidecase.llm.common import crc_fold, table, text_or_empty, tidy, worker_cache, written
 
 #: Labelled documents to learn from, for each language.
 TRAIN_DOCS = 5_000
 #: Words and character n-grams that the languages share among them, and what each has at least.
-MODEL_WORDS = 120_000
-MODEL_GRAMS = 60_000
+MODEL_WORDS = 200_000
+MODEL_GRAMS = 100_000
 LEAST_TOKENS = 1_000
+#: Tokens by languages up to which frequencies are in a table; beyond it only those that there are.
+TABLE_CELLS = 4_000_000
 LONGEST_GRAM = 4
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -67,9 +69,16 @@ class Model:
                 starts.append(starts[-1] + sum(1 for _ in same))
         self._column, self._extra, self._starts = np.concatenate(column), np.concatenate(extra), np.array(starts)
         self._lacking = lacking
+        self._table = None
+        if len(self.rows) * size <= TABLE_CELLS:  # few languages: looked up faster in a table
+            self._table = np.zeros((len(self.rows), size))
+            of = np.repeat(np.arange(len(self.rows)), np.diff(self._starts))
+            self._table[of, self._column] = self._extra
 
     def sum_of(self, rows: list[int], kind: int) -> np.ndarray:
         """Sum of the log frequencies of known tokens, words (``kind`` 0) or n-grams (1)."""
+        if self._table is not None:
+            return len(rows) * self._lacking[kind] + self._table[rows].sum(0)
         r = np.array(rows, np.int64)
         a, n = self._starts[r], self._starts[r + 1] - self._starts[r]
         at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -158,7 +167,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", 4) == 2).alias("held_out"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_score(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(_score(shared)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -175,7 +184,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
             found = [shared.value.score(t.as_py() or "") for t in batch.column(at)]
             yield batch.filter(pa.array([name != UNDETERMINED and score >= least for name, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

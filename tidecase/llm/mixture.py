@@ -26,7 +26,7 @@ BUDGET_PERCENT = 80
 #: Slots of a leaf's order that are summed up before anything is sorted.
 SLOTS = 4096
 #: Leaves and slots whose budgets and sums are sent to all tasks.
-SENT_LEAVES, SENT_SLOTS = 50_000, 100_000
+SENT_LEAVES, SENT_SLOTS = 50_000, 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecase.llm.common import table, text_or_empty, written
+from tidecase.llm.common import table, text_or_empty, tidy, written
 from tidecase.llm.tokens import shared_encoder
 
 SEQUENCE_TOKENS = 2048
@@ -64,7 +64,7 @@ def _cut(size: int, end_id: int, tokenizer: str | None):
 def token_pieces(docs: DataFrame, size: int = SEQUENCE_TOKENS, text: str = "text", doc_id: str = "doc_id", end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """One row per piece of each document's ids, the end id included; ``uid`` tells rows with the same ``doc_id`` apart."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    return rows.mapInArrow(_cut(size, end_id, tokenizer), _PIECES)
+    return rows.mapInArrow(tidy(_cut(size, end_id, tokenizer)), _PIECES)
 
 
 class _BestFit:
@@ -213,14 +213,14 @@ def packed_islands(pieces: DataFrame, size: int = SEQUENCE_TOKENS) -> tuple[Data
             guest = islands.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.slice("population", 1, 1).alias("guest"))
             islands = islands.join(guest, ["block", "island"]).withColumn("population", F.concat("guest", F.slice("population", 1, POPULATION - 1)))
         islands = islands.select("block", "island", "lengths", "population").repartition(spread, "block", "island")
-        islands = written(islands.mapInPandas(_evolve_rows(size, epoch), _ISLANDS), f"islands{epoch}")
+        islands = written(islands.mapInPandas(tidy(_evolve_rows(size, epoch)), _ISLANDS), f"islands{epoch}")
         epochs.append(islands)
     return dealt, epochs
 
 
 def _placed_pieces(pieces: DataFrame, dealt: DataFrame, epochs: list[DataFrame], size: int) -> DataFrame:
     best = epochs[-1].groupBy("block").agg(F.min_by(F.col("population")[0], F.struct("sequences", "island")).alias("bins"))
-    placed = dealt.join(best, "block").mapInPandas(_placed, "uid long, sequence_id long, offset long")
+    placed = dealt.join(best, "block").mapInPandas(tidy(_placed), "uid long, sequence_id long, offset long")
     full = pieces.filter(F.col("length") >= size)
     return (
         pieces.filter(F.col("length") < size)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from tidecase.llm.common import table, written
+from tidecase.llm.common import table, tidy, written
 
 DEFAULT_FILE = "piece_bpe_32k.model"
 FREQUENT = 1 << 20
@@ -115,9 +115,9 @@ def _count(file: str | None):
 
 def pretoken_counts(docs: DataFrame, file: str | None = None, text: str = "text") -> DataFrame:
     """``key, n, tokens`` of each distinct pre-token: its occurrences in all texts and its number of pieces."""
-    found = docs.select(F.col(text).cast("string")).mapInArrow(_gather(file), "key string, pretoken string, n long")
+    found = docs.select(F.col(text).cast("string")).mapInArrow(tidy(_gather(file)), "key string, pretoken string, n long")
     distinct = found.groupBy("key").agg(F.first("pretoken").alias("pretoken"), F.sum("n").alias("n"))
-    return written(distinct.mapInArrow(_count(file), "key string, n long, tokens long"), "pretokens")
+    return written(distinct.mapInArrow(tidy(_count(file)), "key string, n long, tokens long"), "pretokens")
 
 
 def _frequencies(file: str | None, frequent):
@@ -153,7 +153,7 @@ def token_counts(docs: DataFrame, file: str | None = None, limit: int = 4096, fr
     shared = spark.sparkContext.broadcast(dict(zip(top.column("key").to_pylist(), top.column("tokens").to_pylist())))
     text = F.col("text").cast("string")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    own = written(rows.mapInArrow(_frequencies(file, shared), "uid long, doc_id long, n_bytes long, n_tokens long, rest array<struct<key:string,n:long>>"), "pretoken-frequencies")
+    own = written(rows.mapInArrow(tidy(_frequencies(file, shared)), "uid long, doc_id long, n_bytes long, n_tokens long, rest array<struct<key:string,n:long>>"), "pretoken-frequencies")
     rare = own.select("uid", F.explode("rest").alias("r")).select("uid", "r.key", "r.n")
     of_rare = rare.join(pretokens.select("key", "tokens"), "key").select("uid", (F.col("n") * F.col("tokens")).alias("n_tokens"))
     parts = own.drop("rest").unionByName(of_rare, allowMissingColumns=True)

@@ -24,7 +24,7 @@ from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from tidecase.llm import context_coder
-from tidecase.llm.common import partitions, shared_path, table, text_or_empty, written
+from tidecase.llm.common import partitions, shared_path, table, text_or_empty, tidy, written
 from tidecase.llm.tokens import shared_encoder
 
 BLOCK_IDS = 2048
@@ -122,7 +122,7 @@ def write_token_file(docs: DataFrame, path: str, text: str = "text", doc_id: str
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     ranged = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    ranged.mapInArrow(_write_part(end_id, tokenizer), _BLOCKS).write.parquet(path)
+    ranged.mapInArrow(tidy(_write_part(end_id, tokenizer)), _BLOCKS).write.parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -203,7 +203,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
-    fragments = written(blocks.select("part", "block").mapInArrow(_fragments, _FRAGMENTS), "fragments")
+    fragments = written(blocks.select("part", "block").mapInArrow(tidy(_fragments), _FRAGMENTS), "fragments")
     whole = fragments.filter("n = n_tokens").select("part", "start", "doc_id", "n_tokens", "crc")
     cut = fragments.filter("n < n_tokens").groupBy("part", "start", "doc_id", "n_tokens").agg(F.collect_list(F.struct("at", "n", "crc")).alias("parts"))
     docs = whole.union(cut.select("part", "start", "doc_id", "n_tokens", _crc_of_parts("parts")))

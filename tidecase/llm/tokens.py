@@ -34,7 +34,7 @@ def _byte_letters() -> dict[int, str]:
 class TextEncoder(dict):
     """Maps a piece of text to its ids as little-endian 32-bit integers; at most 1.5 times ``remembered`` pieces are kept."""
 
-    def __init__(self, file: str | None = None, remembered: int = 500_000):
+    def __init__(self, file: str | None = None, remembered: int = 400_000):
         super().__init__()
         self._tokenizer = Tokenizer.from_file(file or tokenizer_path(DEFAULT_FILE))
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]

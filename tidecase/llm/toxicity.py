@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecase.llm.common import crc_fold, table, text_or_empty, worker_cache, written
+from tidecase.llm.common import crc_fold, table, text_or_empty, tidy, worker_cache, written
 
 #: Labelled documents that features are counted on, and that the field is trained on, of which it takes so many characters at most. Of
 #: either class there are a quarter at least, where there are as many.
@@ -30,8 +30,9 @@ EVIDENCE = 27.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Words that are worked on as one row; messages go on from row to row of a text.
 CHAIN = 128
+#: Features that a task counts before it hands counts on.
+GATHERED = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
-_SPLIT = r"[^\p{L}]+"
 
 
 def _words(text: str) -> list[str]:
@@ -251,11 +252,24 @@ def _drawn(labels: DataFrame, most: int, toxic: int, n: int) -> DataFrame:
     return of[0].union(of[1])
 
 
-def features_of(text: str) -> Column:
-    """The distinct features of the words of a text, found within its row."""
-    parts = lambda w: F.array(w, *(F.when(F.length(w) >= k, F.concat(F.lit("^"), F.substring(w, 1, k))) for k in PREFIXES))
-    words = F.filter(F.array_distinct(F.split(F.lower(text), _SPLIT)), lambda w: w != "")
-    return F.array_distinct(F.array_compact(F.flatten(F.transform(words, parts))))
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of (text, toxic): how many toxic texts, and how many in all, have a feature, as far as the task has come."""
+
+    def counted(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        columns = [pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))]
+        return pa.RecordBatch.from_arrays(columns, names=["feature", "a", "n"])
+
+    counts: dict[str, list[int]] = {}
+    for batch in batches:
+        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+            for feature in {f for word in set(_words(text.as_py())) for f in features(word)}:
+                c = counts.setdefault(feature, [0, 0])
+                c[0] += toxic
+                c[1] += 1
+            if len(counts) > GATHERED:
+                yield counted(counts)
+                counts = {}
+    yield counted(counts)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
@@ -274,8 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     if not hot or hot == n:
         return _constant(hot > 0)
     sample = texts.join(F.broadcast(_drawn(known, COUNT_DOCS, hot, n)), "doc_id")
-    found = sample.select("toxic", F.explode(features_of("text")).alias("feature"))
-    counts = found.groupBy("feature").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).filter("a >= 3")
+    found = sample.select("text", "toxic").mapInArrow(tidy(_count_features), "feature string, a long, n long")
+    counts = found.groupBy("feature").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).filter("a >= 3")
     clean, hot_drawn = (min(size, have) for size, have in zip(_quota(COUNT_DOCS, hot, n), (n - hot, hot)))
     base, a, m = hot_drawn / (clean + hot_drawn), F.col("a"), F.col("n")
     ratio = 2 * (a * F.log(a / m / base) + F.when(m > a, (m - a) * F.log((m - a) / m / (1 - base))).otherwise(0.0))
@@ -331,7 +345,7 @@ def tag(docs: DataFrame, field: Field) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", 5) == 0).alias("held_out"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_tag(shared), "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int>>")
+    return rows.mapInArrow(tidy(_tag(shared)), "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int>>")
 
 
 def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
@@ -345,7 +359,7 @@ def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
                 marginals = shared.value.marginals([_words(t or "") for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array([shared.value.score(p) < 0.5 for p in marginals], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def seen_labels(labels: DataFrame) -> DataFrame:
