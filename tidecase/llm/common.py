@@ -56,15 +56,20 @@ def tidy(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
         try:
             yield from run(*args)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library frees by itself
-                pass
+            release_memory()
 
     return work
 
 
+def release_memory() -> None:
+    """Give memory that Python has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library frees by itself
+        pass
+
+
 _CACHE: dict[str, object] = {}
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecase.llm.common import table, text_or_empty, tidy, worker_cache, written
+from tidecase.llm.common import release_memory, table, text_or_empty, tidy, worker_cache, written
 from tidecase.llm.components import components
 
 #: Shingles are counted in so many buckets; the table of counts that goes to every task has this size whatever the corpus. A shingle
@@ -110,11 +110,15 @@ def shingle_counts(rows: DataFrame, words: int) -> np.ndarray:
     Each task counts all its texts and hands on one row per slice of the buckets; the sums, of fixed size, come to the driver.
     """
     tables = rows.mapInArrow(tidy(_count(words)), "slice int, counts binary")
-    counts = np.zeros((COUNT_SLICES, COUNT_BUCKETS // COUNT_SLICES), np.int64)
+    counts = np.zeros((COUNT_SLICES, COUNT_BUCKETS // COUNT_SLICES), np.uint32)
     for row in tables.groupBy("slice").applyInArrow(_sum_counts, "slice int, counts binary").toLocalIterator():
         counts[row["slice"]] = np.frombuffer(row["counts"], "<u4")
     counts = counts.ravel()
-    return np.minimum(np.maximum(counts - int(np.median(counts)), 0), (1 << 20) - 1).astype(np.int32)
+    usual = np.uint32(np.median(counts))
+    np.maximum(counts, usual, out=counts)
+    counts -= usual
+    np.minimum(counts, (1 << 20) - 1, out=counts)
+    return counts.view(np.int32)
 
 
 def _ceil(numerator: int, denominator: int) -> int:
@@ -243,6 +247,7 @@ class _Join:
         self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
         digested = self.rows.withColumn("digest", text_digest())
         counts = self.spark.sparkContext.broadcast(shingle_counts(self.rows, words))
+        release_memory()
         self.described = written(digested.mapInArrow(tidy(_describe(words, percent, counts)), "doc_id long, digest binary, n long, key binary, prefix array<long>, matches int"), "described")
         classes = self.described.filter("n > 0").groupBy("key").agg(
             F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("matches").alias("matches")

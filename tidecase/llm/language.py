@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidecase.llm.common import crc_fold, table, text_or_empty, tidy, worker_cache, written
+from tidecase.llm.common import crc_fold, release_memory, table, text_or_empty, tidy, worker_cache, written
 
 #: Labelled documents to learn from, for each language.
 TRAIN_DOCS = 5_000
@@ -141,10 +141,12 @@ def fit(docs: DataFrame, learn: Column) -> Model:
         place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "token"))
         kept = counts.withColumn("place", place).filter(F.col("place") <= share).select("token").distinct()
         repeated = counts.groupBy("token").agg(F.sum("n").alias("all")).filter("all > 1").select("token")
-        entries = counts.join(kept, "token").join(repeated, "token").select("token", "lang", "n")
-        return sorted((r["token"], number[r["lang"]], r["n"]) for r in entries.collect())
+        entries = counts.join(kept, "token").join(repeated, "token").select("token", "lang", "n").toArrow()
+        return sorted(zip(entries["token"].to_pylist(), map(number.__getitem__, entries["lang"].to_pylist()), entries["n"].to_pylist()))
 
-    return Model.of_counts(languages, most(words, MODEL_WORDS), most(grams, MODEL_GRAMS))
+    model = Model.of_counts(languages, most(words, MODEL_WORDS), most(grams, MODEL_GRAMS))
+    release_memory()
+    return model
 
 
 def _score(model):

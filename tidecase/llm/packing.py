@@ -30,7 +30,9 @@ BLOCK_ITEMS = 16_384
 ISLANDS = 3
 EPOCHS = 2
 POPULATION = 4
-GENERATIONS = 40
+#: Children of an island and epoch; small blocks, where they cost little, get so many times more.
+GENERATIONS = 20
+SMALL, MORE = 1_000, 5
 #: Shares of its well-filled sequences that one parent hands on and that the other opens besides, drawn for each child.
 HANDED_ON = (0.1, 0.5)
 OPENED = (0.0, 0.02, 0.1, 0.3, 1.0)
@@ -151,6 +153,7 @@ def _evolved(lengths: np.ndarray, population: list[np.ndarray], size: int, seed:
     least = -(-int(lengths.sum()) // size)
     ranked = sorted(((_fitness(p, lengths, size), p) for p in population), key=lambda x: x[0])
     first, children = ranked[0][0][0], 0
+    generations *= MORE if len(lengths) < SMALL else 1
     while children < generations and ranked[0][0][0] > least:  # no packing has fewer sequences
         i, j = rng.choice(len(ranked), 2, replace=False)
         child = _child(ranked[i][1], ranked[j][1], lengths, size, rng)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecase.llm.common import crc_fold, table, text_or_empty, tidy, worker_cache, written
+from tidecase.llm.common import crc_fold, release_memory, table, text_or_empty, tidy, worker_cache, written
 
 #: Labelled documents that features are counted on, and that the field is trained on, of which it takes so many characters at most. Of
 #: either class there are a quarter at least, where there are as many.
@@ -303,7 +303,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     if len(set(toxic)) < 2:
         return _constant(bool(sum(toxic)))
     weight = {1: hot / n / np.mean(toxic), 0: (1 - hot / n) / (1 - np.mean(toxic))}
-    return train(field, [_words(r["text"]) for r in rows], toxic, weights=[weight[t] for t in toxic])
+    field = train(field, [_words(r["text"]) for r in rows], toxic, weights=[weight[t] for t in toxic])
+    release_memory()
+    return field
 
 
 def _spans(text: str, p: np.ndarray) -> list[dict[str, int]]:
