@@ -18,18 +18,17 @@ def pipeline_size(versions: DataFrame, first: Column, last: Column) -> DataFrame
     """Cases per state and day from day-grain versions (state, start_id, end_id).
 
     Counted as entries minus exits, accumulated over days: work and rows follow the number of changes, not
-    cases times days. Changes before ``first`` make up its opening balance. Each version is read once; the
-    accumulating window runs over one row per state and day.
+    cases times days. Changes before ``first`` make up its opening balance. Versions are read once, for the changes, which know the states too
+    (one whose changes all come after ``last`` has them without a day); the accumulating window runs over one row per state and day.
     """
     entry = F.struct(from_dateid("start_id").alias("day"), F.lit(1).alias("change"))
     leave = F.struct(F.date_add(from_dateid("end_id"), 1).alias("day"), F.lit(-1).alias("change"))
     changes = (
         versions.select("state", F.explode(F.array(entry, leave)).alias("c"))
-        .filter(F.col("c.day") <= last)
-        .groupBy("state", F.greatest("c.day", first).alias("day"))
+        .groupBy("state", F.when(F.col("c.day") <= last, F.greatest("c.day", first)).alias("day"))
         .agg(F.sum("c.change").alias("change"))
     )
-    grid = dense_grid(versions.select("state").distinct(), first, last)
+    grid = dense_grid(changes.select("state").distinct(), first, last)
     so_far = Window.partitionBy("state").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         grid.join(changes, ["state", "day"], "left")
