@@ -40,8 +40,8 @@ MOST_ROUNDS = 4
 #: Shingles that more classes than this have are handled in blocks of so many classes.
 HEAVY = 48
 BLOCK = 256
-#: Bits of the filter for documents whose sets are needed again.
-FILTER_BITS = 1 << 24
+#: Bits of the filter for documents whose sets are needed again, and of one of Spark's bitmaps.
+FILTER_BITS, FILTER_PART = 1 << 24, 1 << 15
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -111,8 +111,9 @@ def shingle_counts(rows: DataFrame, words: int) -> np.ndarray:
     """
     tables = rows.mapInArrow(tidy(_count(words)), "slice int, counts binary")
     counts = np.zeros((COUNT_SLICES, COUNT_BUCKETS // COUNT_SLICES), np.uint32)
-    for row in tables.groupBy("slice").applyInArrow(_sum_counts, "slice int, counts binary").toLocalIterator():
-        counts[row["slice"]] = np.frombuffer(row["counts"], "<u4")
+    sums = tables.groupBy("slice").applyInArrow(_sum_counts, "slice int, counts binary").toArrow()
+    for part, own in zip(sums["slice"].to_pylist(), sums["counts"]):
+        counts[part] = np.frombuffer(own.as_buffer(), "<u4")
     counts = counts.ravel()
     usual = np.uint32(np.median(counts))
     np.maximum(counts, usual, out=counts)
@@ -163,7 +164,7 @@ def _describe(words: int, percent: int, counts):
 
 def _needed_sets(words: int, needed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(needed.value, np.uint8))
+        bits = np.unpackbits(np.frombuffer(needed.value, np.uint8), bitorder="little")
         known = _known()
         for batch in batches:
             keep = bits[batch.column(2).to_numpy(zero_copy_only=False)].astype(bool)
@@ -281,10 +282,12 @@ class _Join:
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """``node, hashes`` of the given classes, computed again from the texts, of documents that a filter of fixed size lets through."""
         wanted = written(self.classes.join(nodes.select("node").distinct(), "node").select("key", "node", "least"), "wanted")
-        bits = np.zeros(FILTER_BITS, bool)
-        for row in wanted.select(_filter_bit("least").alias("bit")).distinct().groupBy(F.floor(F.col("bit") / 4096)).agg(F.collect_list("bit")).toLocalIterator():
-            bits[row[1]] = True  # at most FILTER_BITS bits
-        needed = self.spark.sparkContext.broadcast(np.packbits(bits).tobytes())
+        bits = bytearray(FILTER_BITS // 8)
+        of = wanted.select(_filter_bit("least").alias("bit")).groupBy(F.floor(F.col("bit") / FILTER_PART).alias("part"))
+        for row in of.agg(F.bitmap_construct_agg(F.col("bit") % FILTER_PART).alias("bits")).collect():  # FILTER_BITS in all
+            at = row["part"] * FILTER_PART // 8
+            bits[at : at + FILTER_PART // 8] = row["bits"]
+        needed = self.spark.sparkContext.broadcast(bytes(bits))
         sets = self.rows.withColumn("bit", _filter_bit("doc_id")).mapInArrow(tidy(_needed_sets(self.words, needed)), "key binary, hashes binary")
         return written(wanted.join(sets.dropDuplicates(["key"]), "key").select("node", "hashes"), "sets")
 
