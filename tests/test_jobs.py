@@ -63,6 +63,11 @@ def jobs(log, limit):
             log.select("status", "ts", F.col("event_id").alias("case_id")),
             log.filter("value > 20").select("status", "ts", F.col("event_id").alias("case_id")), ["status"], limit,
         ),
+        "reopened": history.reopened_aging(log, "view", ["error", "click"], at_midnight(AS_OF), limit),
+        "followup": history.missing_followup(
+            cases.select("case_id", F.col("bought").alias("opened"), F.lit(None).cast("timestamp_ntz").alias("taken_up"), at_midnight(AS_OF).alias("closed_at")),
+            kind(log, "error").filter("value > 1e9").select("case_id"), log.select("case_id", "ts", "status", F.col("event_id").alias("tie")), 1, limit,
+        ),
         "visits": dwell.visits_to_state(log, cases, "error", "bought", at_midnight(AS_OF), limit),
         "presence": dwell.presence_time(agents, "error", "click", limit),
         "versions": daily_versions(log, ["case_id"], ["ts", "event_id"], "status", limit),
