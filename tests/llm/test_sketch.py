@@ -27,6 +27,15 @@ def test_edited_texts_over_blocks(make, prose, monkeypatch, block):
     assert got(sketch.fingerprints(make(rows))) == edited(rows)
 
 
+@pytest.mark.parametrize("coarse", [1, 3, 7])
+def test_borders_in_two_levels(make, prose, monkeypatch, coarse):
+    monkeypatch.setattr(sketch, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(sketch, "COARSE", coarse)
+    rows = [(i * 7 % 1009 - 200, prose(i % 23, i)) for i in range(60)] + [(-10**12, "far é away"), (10**15, None), (5000, ""), (5000, "b"), (None, "x")]
+    assert got(sketch.fingerprints(make(rows))) == edited(rows)
+    assert "Python" not in sketch.fingerprints(make(rows))._jdf.queryExecution().toString()
+
+
 def test_edges(edges, empty, edge_rows, make):
     rows = sketch.fingerprints(edges).collect()
     by_text = {}

@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidecase.llm.common import partitions, table, text_or_empty
+from tidecase.llm.common import partitions, table, text_or_empty, written
 
 K = 128
 WORDS = 5
 HASH_BITS = 48
-#: Documents in a block of neighbours, and the most blocks (the size of the table of their borders).
+#: Documents in a block of neighbours. Borders are in two levels: at most so many of the first, and for each stretch between them so many of the second.
 BLOCK_DOCS = 1_000
-MOST_BLOCKS = 10_000
+COARSE, FINE = 1_000, 1_000
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -69,10 +69,10 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), HASH_BITS // 4, "0")), "")
 
 
-def _block_of(doc_id: Column, borders: Column, count: int) -> Column:
-    """How many borders are below ``doc_id``, by halving: block ``i`` ends with border ``i``, the last one is open."""
-    steps = F.sequence(F.lit(1), F.lit(max(1, count.bit_length())))
-    start = F.struct(F.lit(0).alias("lo"), F.lit(count).alias("hi"))
+def _block_of(doc_id: Column, borders: Column, most: int) -> Column:
+    """How many of at most ``most`` sorted borders are below ``doc_id``, by halving: block ``i`` ends with border ``i``, the last one is open."""
+    steps = F.sequence(F.lit(1), F.lit(max(1, most.bit_length())))
+    start = F.struct(F.lit(0).alias("lo"), F.size(borders).alias("hi"))
 
     def halve(s: Column, _: Column) -> Column:
         mid = ((s["lo"] + s["hi"]) / 2).cast("int")
@@ -86,24 +86,36 @@ def _dealt_to_blocks(rows: DataFrame) -> DataFrame:
     """Rows with the ``_block`` of neighbouring ids they go to, ``_key`` to order by, and whether they are a ``_guest`` there.
 
     The top row of each block (its border, an id of the table) is also a guest of the block of larger ids: it follows that
-    block's smallest id. The largest id of all is a guest of the block of the smallest ids.
+    block's smallest id. The largest id of all is a guest of the block of the smallest ids. Up to ``COARSE`` blocks need the first level of borders only; beyond
+    that each stretch between two of them is cut at quantiles of its own, which go to all tasks as a table of ``COARSE`` rows at most.
     """
     rows = rows.withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    blocks = F.least(F.ceil(F.count("*") / BLOCK_DOCS), F.lit(MOST_BLOCKS))
-    size = rows.agg(blocks.alias("blocks"), F.max("_key").alias("top")).first()
-    count = max(1, int(size["blocks"] or 0))
-    shares = [i / count for i in range(1, count)]
-    borders = rows.agg(F.percentile_approx("_key", shares, 10 * count).alias("b")).first()["b"] if shares else []
-    borders = sorted({*(borders or [])} - {size["top"]})
+    size = rows.agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("blocks"), F.max("_key").alias("top")).first()
+    wanted = max(1, int(size["blocks"] or 0))
+    coarse, key = min(wanted, COARSE), F.col("_key")
+    fine = min(-(-wanted // coarse), FINE)
+
+    def quantiles(parts: int) -> Column:
+        return F.percentile_approx("_key", [i / parts for i in range(1, parts)], 10 * parts)
+
+    found = rows.agg(quantiles(coarse).alias("b")).first()["b"] if coarse > 1 else []
+    borders = sorted({*(found or [])} - {size["top"]})
     values = F.array(*(F.lit(b) for b in borders)) if borders else F.array().cast("array<bigint>")
-    block = _block_of(F.col("_key"), values, len(borders))
-    own = F.struct(F.col("_block"), F.lit(False).alias("guest"))
-    above = F.struct((F.col("_block") + 1).alias("_block"), F.lit(True).alias("guest"))
-    first = F.struct(F.lit(0).alias("_block"), F.lit(True).alias("guest"))
-    is_border = F.get(values, F.col("_block")) == F.col("_key")
-    places = F.when(F.col("_key") == F.lit(size["top"]), F.array(own, first)).when(is_border, F.array(own, above)).otherwise(F.array(own))
-    dealt = rows.withColumn("_block", block).withColumn("_at", F.explode(places))
-    return dealt.select("doc_id", "text", "_key", F.col("_at._block").alias("_block"), F.col("_at.guest").alias("_guest"))
+    rows = rows.withColumn("_coarse", _block_of(key, values, len(borders)))
+    within = F.array().cast("array<bigint>")
+    if fine > 1:
+        end = F.coalesce(F.get(values, F.col("_coarse")), F.lit(size["top"]))
+        cuts = rows.groupBy("_coarse").agg(quantiles(fine).alias("_cuts"))
+        cuts = written(cuts.select("_coarse", F.array_sort(F.array_distinct(F.filter("_cuts", lambda c: c < end))).alias("_cuts")), "borders")
+        rows, within = rows.join(F.broadcast(cuts), "_coarse"), F.col("_cuts")
+    rows = rows.withColumn("_fine", _block_of(key, within, fine))
+    block = F.col("_coarse").cast("long") * FINE + F.col("_fine")
+    after = F.when(F.get(within, F.col("_fine")) == key, block + 1).when(F.get(values, F.col("_coarse")) == key, (F.col("_coarse").cast("long") + 1) * FINE)
+    place = lambda at, guest: F.struct(at.alias("block"), F.lit(guest).alias("guest"))
+    own, top = place(block, False), key == F.lit(size["top"])
+    places = F.when(top, F.array(own, place(F.lit(0).cast("long"), True))).when(after.isNotNull(), F.array(own, place(after, True))).otherwise(F.array(own))
+    dealt = rows.withColumn("_at", F.explode(places))
+    return dealt.select("doc_id", "text", "_key", F.col("_at.block").alias("_block"), F.col("_at.guest").alias("_guest"))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
