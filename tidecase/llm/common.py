@@ -61,6 +61,13 @@ def tidy(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
     return work
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, for work that makes much of each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def release_memory() -> None:
     """Give memory that Python has freed back to the machine."""
     pa.default_memory_pool().release_unused()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecase.llm.common import release_memory, table, text_or_empty, tidy, worker_cache, written
+from tidecase.llm.common import in_parts, release_memory, table, text_or_empty, tidy, worker_cache, written
 from tidecase.llm.components import components
 
 #: Shingles are counted in so many buckets; the table of counts that goes to every task has this size whatever the corpus. A shingle
@@ -149,7 +149,7 @@ def _describe(words: int, percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = counts.value
         known = _known()
-        for batch in batches:
+        for batch in in_parts(batches):
             ids, texts, digests = batch.columns
             sets = [shingle_set(t.as_py(), words, known) for t in texts]
             chosen = [prefix(s, table_, percent) for s in sets]
@@ -166,7 +166,7 @@ def _needed_sets(words: int, needed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(needed.value, np.uint8), bitorder="little")
         known = _known()
-        for batch in batches:
+        for batch in in_parts(batches):
             keep = bits[batch.column(2).to_numpy(zero_copy_only=False)].astype(bool)
             sets = [shingle_set(t.as_py(), words, known) for t in batch.column(1).filter(pa.array(keep))]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
