@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -68,6 +69,16 @@ def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[p
             yield batch.slice(at, rows)
 
 
+def tidy_driver(spark: SparkSession) -> None:
+    """Between long phases of a job: let the driver drop what is done with.
+
+    Spark removes shuffle files and broadcasts of finished steps when the driver collects its garbage, which it seldom does by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    release_memory()
+
+
 def release_memory() -> None:
     """Give memory that Python has freed back to the machine."""
     pa.default_memory_pool().release_unused()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecase.llm.common import in_parts, release_memory, table, text_or_empty, tidy, worker_cache, written
+from tidecase.llm.common import in_parts, table, text_or_empty, tidy, tidy_driver, worker_cache, written
 from tidecase.llm.components import components
 
 #: Shingles are counted in so many buckets; the table of counts that goes to every task has this size whatever the corpus. A shingle
@@ -248,14 +248,17 @@ class _Join:
         self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
         digested = self.rows.withColumn("digest", text_digest())
         counts = self.spark.sparkContext.broadcast(shingle_counts(self.rows, words))
-        release_memory()
         self.described = written(digested.mapInArrow(tidy(_describe(words, percent, counts)), "doc_id long, digest binary, n long, key binary, prefix array<long>, matches int"), "described")
+        counts.destroy()
+        del counts
+        tidy_driver(self.spark)
         classes = self.described.filter("n > 0").groupBy("key").agg(
             F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("matches").alias("matches")
         )
         self.classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
         self.facts = self.classes.select("node", "n", "matches", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"))
         self.postings = self._shared_postings()
+        tidy_driver(self.spark)
 
     def _shared_postings(self) -> DataFrame:
         """``node, name, n, matches``: prefix shingles that several classes have.
@@ -289,7 +292,9 @@ class _Join:
             bits[at : at + FILTER_PART // 8] = row["bits"]
         needed = self.spark.sparkContext.broadcast(bytes(bits))
         sets = self.rows.withColumn("bit", _filter_bit("doc_id")).mapInArrow(tidy(_needed_sets(self.words, needed)), "key binary, hashes binary")
-        return written(wanted.join(sets.dropDuplicates(["key"]), "key").select("node", "hashes"), "sets")
+        found = written(wanted.join(sets.dropDuplicates(["key"]), "key").select("node", "hashes"), "sets")
+        needed.destroy()
+        return found
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs(a, b)`` that link."""
@@ -392,6 +397,7 @@ class _Join:
             links = written(more if links is None else links.union(more), f"links{turn}")
             found = components(links)
             own = self.placed(found)
+            tidy_driver(self.spark)
         last = self.cross_links(own)
         return components(last if links is None else links.union(last))
 
