@@ -1,6 +1,7 @@
 """Bitmap rollups, sweeps over open intervals and leader chains against brute force."""
 
 import datetime as dt
+import os
 import random
 import re
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tidecase.jobs import people
 from tidecase.operators.bitmaps import dense_numbers, distinct_rollup
 from tidecase.operators.intervals import sweep_join
+from tidecase.sources.scratch import session_folder
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -101,6 +103,42 @@ def test_open_intervals_and_points_of_a_hot_key_are_spread(spark):
     assert plan(got).count("_left#") > 0 and "Range" not in plan(got) and re.search(r"SortMergeJoin \[_key0#\d+, _stretch|BroadcastHashJoin \[_key0#\d+, _stretch", plan(got))
 
 
+@pytest.mark.parametrize("limit, points", [(7, 1), (7, 4), (10**6, 3), (10**6, 256)])
+def test_sweep_aggregates_as_over_its_pairs(spark, limit, points):
+    rng = random.Random(9)
+    dim_rows = []
+    for i in range(300):
+        a = rng.choice([None, *range(600)]) if i % 60 == 7 else rng.randrange(600)
+        dim_rows.append((rng.choice([0, 0, 1, 2, None]), a, None if a is None or i % 6 == 0 else a + rng.choice([-3, 0, 1, 9, 80, 400, 10**6]), rng.choice([None, i])))
+    left_rows = [(rng.choice([0, 0, 1, 3, None]), rng.choice([None, *range(650)]) if i % 50 == 0 else rng.randrange(650), i) for i in range(400)] + [(0, 300, 5), (0, 300, 5)] + [(1, 7, None)] * 40
+    dim = spark.createDataFrame(dim_rows, "key int, a int, b int, s int")
+    left = spark.createDataFrame(left_rows, "key int, p int, n int")
+    aggs = {"alive": ("count", F.lit(1)), "least": ("min", F.col("s")), "most": ("max", F.col("s")), "total": ("sum", F.col("s"))}
+    got = sweep_join(left, dim, ["key"], "p", "a", "b", {"s": "s"}, points=points, rows_per_task=limit, aggs=aggs)
+    expected = []
+    for k, p, n in left_rows:
+        here = [s for k2, a, b, s in dim_rows if None not in (k, p, a) and k == k2 and a <= p and (b is None or p <= b)]
+        known = [s for s in here if s is not None]
+        if here:
+            expected.append((k, p, n, len(here), min(known, default=None), max(known, default=None), sum(known) if known else None))
+    assert len(expected) > 200 and got.columns == ["key", "p", "n", *aggs]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, expected))
+
+
+def test_aggregated_open_intervals_are_not_listed_in_every_stretch(spark):
+    """A thousand intervals that are alive to the end, and one point a second: what meets the points does not grow with intervals times stretches."""
+    listed = []
+    for n in (1_000, 4_000):
+        points = spark.range(n).select(F.lit(1).alias("k"), "id", F.col("id").alias("p"))
+        open_ones = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("s"), F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"))
+        counted = sweep_join(points, open_ones, ["k"], "p", "a", "b", {"s": "s"}, points=10, rows_per_task=500, aggs={"alive": ("count", F.lit(1))})
+        assert counted.agg(F.sum("alive")).first()[0] == n * (n + 1) // 2
+        folder = session_folder(spark).removeprefix("file:")
+        newest = max((f"{folder}/{f}" for f in os.listdir(folder) if f.startswith("blocks-")), key=os.path.getmtime)
+        listed.append(spark.read.parquet(newest).count())
+    assert listed[1] < 6 * listed[0] and listed[1] < 1_000
+
+
 def leaders(rows):
     up = dict(rows)
     out = {}

@@ -358,10 +358,9 @@ def interval_join_hot(t):
     end = F.when(F.col("event_id") % 10 > 0, F.col("ts") + F.make_dt_interval(mins=F.floor("value").cast("int")))
     sessions = by_type(t, "view").select(grp, F.col("event_id").alias("session"), F.col("ts").alias("a"), end.alias("b"))
     errors = by_type(t, "error").select("event_id", grp, "ts")
-    found = sweep_join(errors, sessions, ["grp"], "ts", "a", "b", {"session_id": "session", "until": "b"}, points=64, rows_per_task=500)
-    return found.groupBy("event_id").agg(
-        F.count(F.lit(1)).alias("alive"), F.max("session_id").alias("latest"), F.count(F.when(F.col("until").isNull(), 1)).alias("open")
-    )
+    counts = {"alive": ("count", F.lit(1)), "latest": ("max", F.col("session_id")), "open": ("count", F.when(F.col("until").isNull(), 1))}
+    found = sweep_join(errors, sessions, ["grp"], "ts", "a", "b", {"session_id": "session", "until": "b"}, points=64, rows_per_task=500, aggs=counts)
+    return found.groupBy("event_id").agg(F.sum("alive").alias("alive"), F.max("latest").alias("latest"), F.sum("open").alias("open"))
 
 
 @query(
