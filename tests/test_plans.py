@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidecase.jobs import cohort
 from tidecase.operators.events import first_event, last_event, nth_event
 from tidecase.operators import slices
 from tidecase.operators.intervals import state_on
@@ -124,6 +125,17 @@ def test_the_log_is_read_once_for_the_sample_and_once_for_the_rows(spark, data,
     assert seen == [1, 0, 1] and "events.parquet" not in plan(df)  # sample, hot keys, sliced rows
 
 
+def test_a_task_of_the_cohort_report_holds_rows_of_one_step(spark, data, large_tables, monkeypatch):
+    """Sorts, windows and joins of the log, of the holds and of the touches are in jobs of their own; what is joined last has one row per case."""
+    seen = {}
+    real = cohort.stored
+    monkeypatch.setattr(cohort, "stored", lambda df, name: (seen.update({name: plan(df)}), real(df, name))[1])
+    text = plan(entry.queries()["cohort_wide"](spark, data))
+    assert "events.parquet" not in text and "Window" not in text and text.count("SortMergeJoin") == 2
+    assert [*seen] == ["cases", "milestones", "holds", "touches"]
+    assert seen["holds"].count("events.parquet") == seen["milestones"].count("events.parquet") == 1
+
+
 def test_small_inputs_keep_the_plain_window(spark, data):
     log = Tables(spark, data).events
     for df in (numbered(log, *ROWS), with_prev(log, *ROWS, {"before": "event_id"}), numbered(log, ["event_type"], ["ts"], ties=True)):

@@ -158,6 +158,12 @@ def test_catalog_tables_have_statistics_and_join_by_buckets(spark, t):
     assert "Exchange hashpartitioning(o_orderkey" not in plan(join_queries.star(catalog))
 
 
+def test_a_stage_is_built_once(spark, t):
+    built = []
+    stage = StageStore(spark).get("built_once", [t.nation], lambda: (built.append(1), t.nation.select("n_name"))[1])
+    assert stage.count() == 25 and built == [1]
+
+
 def test_catalog_goes_with_the_session_folder(spark, t):
     name = join_queries.named_tables(t).database
     assert spark.catalog.databaseExists(name)

@@ -12,6 +12,7 @@ from tidecase.jobs.touches import distinct_touches, touches_by_role
 from tidecase.jobs.turntime import turn_times
 from tidecase.operators.shapes import subtotals
 from tidecase.operators.slices import hot_keys
+from tidecase.sources.scratch import stored
 
 SETS = [["pilot", "week_of"], ["pilot"]]
 
@@ -30,10 +31,12 @@ def wide_row(
     """Milestones, seconds to each, holds around ``hold_mark``, touches in total and by role, and the week.
 
     ``cases``: case_id, pilot, opened, amount; ``log``: case_id, ts, event_id, status; ``sessions``: case_id, worker, ts,
-    seconds, role. All first-milestone stages are one aggregation over the log.
+    seconds, role. All first-milestone stages are one aggregation over the log. Cases, milestones, holds and touches, one row per case each, are stored one by
+    one: a task sorts and aggregates rows of one of them, and milestones are found once for the two steps that read them.
     """
+    cases = stored(cases, "cases")
     hot = hot_keys(log.select("case_id", "ts", "event_id"), ["case_id"], ["ts", "event_id"])
-    turned = turn_times(cases, log, "case_id", "opened", "ts", marks, hot)
+    turned = stored(turn_times(cases, log, "case_id", "opened", "ts", marks, hot), "milestones")
     timed = turned.select(
         *cases.columns,
         week_of("opened", weekday).alias("week_of"),
@@ -44,7 +47,7 @@ def wide_row(
     per_role = distinct_touches(sessions, "case_id", "worker", "ts", F.col("seconds"), ["role"])
     sums = [F.sum("touches").alias("touches"), F.sum("seconds").alias("touch_seconds")]
     by_role = touches_by_role(per_role, "case_id", "role", roles, total="distinct_touches", also=sums)
-    return timed.join(holds, "case_id", "left").join(by_role, "case_id", "left")
+    return timed.join(stored(holds, "holds"), "case_id", "left").join(stored(by_role, "touches"), "case_id", "left")
 
 
 def _share(condition: Column) -> Column:

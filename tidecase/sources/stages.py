@@ -42,7 +42,13 @@ class StageStore:
         return f"{self.folder}/{name}-{self.version(inputs)}"
 
     def get(self, name: str, inputs: Sequence[DataFrame], build: Callable[[], DataFrame]) -> DataFrame:
-        path = self.place(name, inputs, lambda to: build().write.parquet(to), lambda: build().schema)
+        made: list[DataFrame] = []  # built once, as building may store steps
+
+        def write(to: str) -> None:
+            made.append(build())
+            made[0].write.parquet(to)
+
+        path = self.place(name, inputs, write, lambda: made[0].schema)
         return self.spark.read.schema(self._schema(path)).parquet(f"{path}/data")
 
     def place(self, name: str, inputs: Sequence[DataFrame], write: Callable[[str], object], schema: Callable[[], StructType] | None = None) -> str:
