@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecase.operators.slices import ROWS_PER_TASK, HotKeys, copies, heavy_keys, is_small, same_keys
+from tidecase.sources.scratch import stored
 
 
 def apply_agg(
@@ -68,11 +69,17 @@ def spread_join(
 
     Facts of a heavy key get a salt from a hash of the row, the lookup row of that key is repeated per salt.
     Use it where the result is grouped or joined by the same keys again: adaptive execution leaves a skewed join
-    alone there, since splitting it would cost another shuffle. Elsewhere a plain join does, as it does for facts of few bytes.
+    alone there, since splitting it would cost another shuffle. Elsewhere a plain join does, as it does for facts of few bytes and for those
+    without a heavy key: tables bucketed by the key then join without a shuffle.
     """
     if is_small(facts, rows_per_task) if hot is None else not hot.found:
         return facts.join(lookup, keys, how)
-    hot = heavy_keys(facts, keys, rows_per_task) if hot is None else hot.table.select(*[f"_hot{i}" for i in range(len(keys))], "_parts")
+    if hot is None:
+        hot = stored(heavy_keys(facts, keys, rows_per_task), "heavy")
+        if hot.isEmpty():
+            return facts.join(lookup, keys, how)
+    else:
+        hot = hot.table.select(*[f"_hot{i}" for i in range(len(keys))], "_parts")
     salt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*facts.columns), F.col("_parts"))).otherwise(0)
     salted = facts.join(F.broadcast(hot), same_keys(keys, "_hot"), "left").select(
         *facts.columns, salt.cast("int").alias("_salt")

@@ -27,10 +27,10 @@ class CatalogTables:
 
     def add(self, df: DataFrame, name: str, bucket_by: list[str] | None = None, buckets: int = 0, path: str | None = None) -> None:
         """Store ``df`` as a table, one sorted file per bucket, and gather the statistics of all its columns; fails if the name is taken."""
-        writer = df.write.format("parquet").mode("errorifexists")
+        writer = df.write.format("parquet").mode("errorifexists").option("compression", "zstd")
         if bucket_by:
             buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            writer = df.repartition(buckets, *bucket_by).write.format("parquet").mode("errorifexists").bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
+            writer = df.repartition(buckets, *bucket_by).write.format("parquet").mode("errorifexists").option("compression", "zstd").bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
         if path:
             writer = writer.option("path", path)
         writer.saveAsTable(f"{self.database}.{name}")
