@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tidecase.jobs import worklist
 from tidecase.jobs.productivity import keep_dashboard
+from tidecase.operators import joins
 from tidecase.plans import job_queries, join_queries
 from tidecase.sources.derived import daily_snapshot
 from tidecase.sources.scratch import release_scratch, session_folder
@@ -164,6 +165,36 @@ def test_a_stage_is_built_once(spark, t):
     assert stage.count() == 25 and built == [1]
 
 
+def test_large_lines_of_the_catalog_join_by_buckets_too(spark, t, monkeypatch):
+    """As for lines of too many bytes to be taken for small, none of whose cases is heavy."""
+    monkeypatch.setattr(joins, "is_small", lambda df, rows_per_task: False)
+    catalog = join_queries.named_tables(t)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        turned = job_queries.turn_time_of(catalog)
+        assert "Exchange hashpartitioning(case_id" not in plan(turned) and "_salt" not in plan(turned) and "SortMergeJoin" in plan(turned)
+        assert rows(turned) == rows(job_queries.turn_time_of(t))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_work_list_stores_lines_of_its_cases_once(spark, t, monkeypatch):
+    """Both kinds of review read the stored lines of the listed cases without a shuffle; the conditions read them too."""
+    kept = []
+    real = worklist.stored_by
+    monkeypatch.setattr(worklist, "stored_by", lambda df, *more, **how: (kept.append(real(df, *more, **how)), kept[-1])[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(job_queries.work_wide(t))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    waiting = t.orders.filter("o_orderstatus = 'O'").join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
+    assert [df.count() for df in kept] == [waiting.count()] and 0 < waiting.count() < t.lineitem.count()
+    assert "lineitem.parquet" not in text
+    for window in text.split("WindowGroupLimit")[1:]:
+        assert "Exchange" not in window.split("FileScan")[0]
+
+
 def test_catalog_goes_with_the_session_folder(spark, t):
     name = join_queries.named_tables(t).database
     assert spark.catalog.databaseExists(name)

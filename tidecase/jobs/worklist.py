@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidecase.functions.measures import flag, yes_no
 from tidecase.functions.timeid import datediff_boundary
 from tidecase.operators.events import last_event, top_n
+from tidecase.operators.joins import semi
 from tidecase.operators.shapes import pivot_fixed, unpivot_nonnull
+from tidecase.sources.scratch import stored_by
 from tidecase.sources.sinks import ResultSet
 
 
@@ -31,13 +33,18 @@ def review_columns(items: DataFrame, kinds: list[str]) -> DataFrame:
     return pivot_fixed(named, ["case_id"], "name", [f"{k}_{a}" for k in kinds for a in ("status", "since")], F.max("text"))
 
 
+def case_rows(rows: DataFrame, case: str, cases: DataFrame) -> DataFrame:
+    """Rows of the listed cases, stored once, bucketed by case: windows and joins by case read them without a shuffle."""
+    return stored_by(semi(rows, cases, {case: "case_id"}), [case], [case], dealt=True)
+
+
 def work_list(
     cases: DataFrame, items: DataFrame, conditions: DataFrame, kinds: list[str], waiting: list[str], as_of: Column
 ) -> DataFrame:
     """The wide row. ``cases``: case_id, status, opened; ``items``: case_id, kind, status, ts, tie;
     ``conditions``: case_id, ts (open conditions only).
 
-    The leading review prefers items in a waiting status, then the oldest.
+    The leading review prefers items in a waiting status, then the oldest. Items and conditions made from ``case_rows`` are not shuffled by case again.
     """
     urgency = F.when(F.col("status").isin(waiting), 1).otherwise(0)
     leading = top_n(items, ["case_id"], [urgency.desc(), F.col("ts"), F.col("tie")], 1).select(

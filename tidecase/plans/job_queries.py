@@ -52,7 +52,11 @@ def cases(t):
 
 
 def items(t):
-    return t.lineitem.select(
+    return items_of(t.lineitem)
+
+
+def items_of(lines):
+    return lines.select(
         F.col("l_orderkey").alias("case_id"), F.col("l_shipdate").alias("ts"), F.col("l_returnflag").alias("status"),
         F.col("l_linestatus").alias("phase"), F.col("l_linenumber").alias("line"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").alias("tie"),
@@ -1011,6 +1015,18 @@ WORK_SQL = f"""
     """
 
 
+def work_rows(t, listed):
+    """Reviews and open conditions of the listed cases, from one stored table of their lines."""
+    columns = ["l_orderkey", "l_shipdate", "l_returnflag", "l_linestatus", "l_linenumber", "l_partkey", "l_suppkey"]
+    lines = worklist.case_rows(t.lineitem.select(*columns), "l_orderkey", listed)
+    reviews = items_of(lines).withColumn("kind", F.concat(F.lit("line"), (F.col("line") % 3).cast("string")))
+    wanted = t.part.filter(F.col("p_type").ilike("%econ_my%"))
+    conditions = semi(lines.filter("l_linestatus = 'O'"), wanted, {"l_partkey": "p_partkey"}).select(
+        F.col("l_orderkey").alias("case_id"), F.col("l_shipdate").alias("ts")
+    )
+    return reviews, conditions
+
+
 @query(
     "work_list",
     f"""
@@ -1024,12 +1040,8 @@ WORK_SQL = f"""
 )
 def work_list(t):
     kinds, waiting = ["line1", "line2"], ["R"]
-    reviews = items(t).withColumn("kind", F.concat(F.lit("line"), (F.col("line") % 3).cast("string")))
-    wanted = t.part.filter(F.col("p_type").ilike("%econ_my%"))
-    conditions = semi(t.lineitem.filter("l_linestatus = 'O'"), wanted, {"l_partkey": "p_partkey"}).select(
-        F.col("l_orderkey").alias("case_id"), F.col("l_shipdate").alias("ts")
-    )
     open_cases = cases(t).filter("status = 'O'").select("case_id", "status", "opened")
+    reviews, conditions = work_rows(t, open_cases)
     wide = worklist.work_list(open_cases, reviews, conditions, kinds, waiting, timeid.at_midnight(ORDERS_AS_OF))
     return worklist.signal_rows(wide, worklist.signals(kinds, waiting))
 
@@ -1331,12 +1343,8 @@ WORK_SETS_SQL = f"""
 
 
 def work_wide(t):
-    reviews = items(t).withColumn("kind", F.concat(F.lit("line"), (F.col("line") % 3).cast("string")))
-    wanted = t.part.filter(F.col("p_type").ilike("%econ_my%"))
-    conditions = semi(t.lineitem.filter("l_linestatus = 'O'"), wanted, {"l_partkey": "p_partkey"}).select(
-        F.col("l_orderkey").alias("case_id"), F.col("l_shipdate").alias("ts")
-    )
     open_cases = cases(t).filter("status = 'O'").select("case_id", "status", "opened", "priority", "amount")
+    reviews, conditions = work_rows(t, open_cases)
     return worklist.work_list(open_cases, reviews, conditions, list(WORK_KINDS), ["R"], timeid.at_midnight(ORDERS_AS_OF))
 
 

@@ -52,13 +52,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored_by(df: DataFrame, by: list[str], sort: list[str | Column]) -> DataFrame:
-    """``df`` stored with one sorted file per bucket of ``by``: windows and groups over ``by`` read it without a shuffle."""
+def stored_by(df: DataFrame, by: list[str], sort: list[str | Column], dealt: bool = False) -> DataFrame:
+    """``df`` stored with one sorted file per bucket of ``by``: windows and groups over ``by`` read it without a shuffle.
+
+    ``dealt`` says that ``df`` comes from a join on ``by``, whose partitions hold whole buckets: it is not shuffled once more. Where the join
+    turns out a broadcast, a bucket has several files, which costs a sort and no more.
+    """
     spark = df.sparkSession
     folder, buckets = session_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tidecase_{uuid.uuid4().hex}"
-    dealt = df.repartition(buckets, *by).write.format("parquet").bucketBy(buckets, *by).sortBy(*sort)
-    dealt.option("path", f"{folder}/{name}").saveAsTable(name)
+    rows = df if dealt else df.repartition(buckets, *by)
+    rows.write.format("parquet").bucketBy(buckets, *by).sortBy(*sort).option("path", f"{folder}/{name}").saveAsTable(name)
     at_release(spark, f"DROP TABLE IF EXISTS {name}")
     return spark.table(name)
 
