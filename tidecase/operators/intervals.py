@@ -222,7 +222,7 @@ def _alive_in_stretches(spans: DataFrame, keys: list[str], points: int, merges:
     blocks = spans.filter(length > 0).withColumn("_b", F.explode(F.flatten(F.transform(levels, odd_blocks))))
     blocks = stored(blocks.select(*keys, "_b.*", *columns).groupBy(*keys, "_level", "_block").agg(*made), "blocks")
     # a stretch looks up its block at each level that occurs; stretches are listed from runs of them, so that no task lists all of a key
-    highest = blocks.agg(F.coalesce(F.max("_level"), F.lit(0))).scalar()
+    highest = F.lit(blocks.agg(F.max("_level")).first()[0] or 0)
     begin, end = (F.call_function("shiftleft", c, level) for c in (F.col("_block"), F.col("_block") + 1))
     reach = blocks.groupBy(*keys).agg(F.floor(F.min(begin) / RUN).cast("bigint").alias("_low"), F.floor((F.max(end) - 1) / RUN).cast("bigint").alias("_high"))
     runs = reach.select(*keys, F.explode(F.sequence("_low", "_high")).alias("_run")).repartition(*keys, "_run")
