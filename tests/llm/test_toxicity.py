@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -6,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tidecase.llm import toxicity
+from tidecase.llm.common import _CACHE, forget
 
 
 def corpus(prose, count=400):
@@ -120,3 +122,16 @@ def test_offsets_are_of_code_points_even_if_lower_case_is_longer():
     p = np.array([0.1, 0.1, 0.9, 0.8, 0.2])
     assert [text[s["start"] : s["end"]] for s in toxicity._spans(text, p)] == ["vile, vile"]
     assert len(toxicity._words(text)) == 5
+
+
+def test_the_driver_trains_in_little_memory():
+    (a, b), _ = toxicity._words_of(pa.chunked_array([["same same", "other"]]))
+    assert a is b
+    texts = [["word"] * toxicity.CHAIN] * 12_000
+    tracemalloc.start()
+    marginals = toxicity.Field([]).marginals(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(marginals) == 12_000 and peak < 90 << 20
+    forget()
+    assert not _CACHE

@@ -97,3 +97,8 @@ def worker_cache[T](owner: str, make: Callable[[], T]) -> T:
         _CACHE.clear()
         _CACHE[owner] = make()
     return _CACHE[owner]
+
+
+def forget() -> None:
+    """Drop what this process remembers between tasks: the driver, which has none, need not keep it."""
+    _CACHE.clear()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecase.llm.common import crc_fold, release_memory, table, text_or_empty, tidy, worker_cache, written
+from tidecase.llm.common import crc_fold, forget, release_memory, table, text_or_empty, tidy, worker_cache, written
 
 #: Labelled documents that features are counted on, and that the field is trained on, of which it takes so many characters at most. Of
 #: either class there are a quarter at least, where there are as many.
@@ -30,6 +30,8 @@ EVIDENCE = 27.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Words that are worked on as one row; messages go on from row to row of a text.
 CHAIN = 128
+#: Chains that are worked on side by side; bounds the memory, in the driver as well.
+SIDE_BY_SIDE = 2_000
 #: Features that a task counts before it hands counts on.
 GATHERED = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -40,6 +42,12 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(lower) if len(lower) == len(text) else [w.lower() for w in _WORD.findall(text)]
 
 
+def _words_of(texts: pa.ChunkedArray) -> list[list[str]]:
+    """The words of each text, a word that comes again being the same object: the driver holds each once."""
+    seen: dict[str, str] = {}
+    return [[seen.setdefault(w, w) for w in _words(t.as_py())] for t in texts]
+
+
 def features(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
 
@@ -68,9 +76,10 @@ class Field:
         step = np.exp(self.steps)
         before, after = _carried(flat, starts, lengths, first, step)
         p = np.empty(len(flat))
-        for a in range(0, len(starts), 20_000):
-            at, inside = _rows(starts[a : a + 20_000], lengths[a : a + 20_000])
-            odds, _ = _forward_backward(flat[at], inside, step, before[a : a + 20_000], after[a : a + 20_000])
+        for a in range(0, len(starts), SIDE_BY_SIDE):
+            b = a + SIDE_BY_SIDE
+            at, inside = _rows(starts[a:b], lengths[a:b])
+            odds, _ = _forward_backward(flat[at], inside, step, before[a:b], after[a:b])
             p[at[inside]] = (odds / (1 + odds))[inside]
         return np.split(p, np.cumsum([len(v) for v in values])[:-1]) if values else []
 
@@ -126,15 +135,16 @@ def _carried(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.n
         return before, after
     up, down, stay = step
     products = np.empty((len(later), 2, 2))
-    for a in range(0, len(later), 20_000):
-        at, inside = _rows(starts[later[a : a + 20_000]], lengths[later[a : a + 20_000]])
+    for a in range(0, len(later), SIDE_BY_SIDE):
+        b = a + SIDE_BY_SIDE
+        at, inside = _rows(starts[later[a:b]], lengths[later[a:b]])
         product = np.broadcast_to(np.eye(2), (len(at), 2, 2))
         for t in range(at.shape[1]):
             odds = e[at[:, t]][:, None]
             top, low = product[:, 0], product[:, 1]
             new = np.stack([top + down * low, odds * (up * top + stay * low)], axis=1)
             product = np.where(inside[:, t, None, None], new / new.sum((1, 2), keepdims=True), product)
-        products[a : a + 20_000] = product
+        products[a:b] = product
     heads = later[first[later - 1]] - 1  # the first chains of texts that have more
     at, inside = _rows(starts[heads], lengths[heads])
     ends, _ = _forward_backward(e[at], inside, step)
@@ -188,7 +198,7 @@ def train(field: Field, texts: list[list[str]], toxic: list[int], rounds: int =
     ``weights``: of the texts in the score's fit, where the classes were drawn at other rates than they occur.
     """
     vocabulary: dict[str, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for words in texts for w in words], np.int64)
+    ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for words in texts for w in words), np.int64, sum(map(len, texts)))
     pairs = [(row, i) for w, row in vocabulary.items() for i in field.known(w)]
     row, column = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
     evident = np.bincount(row, minlength=len(vocabulary)) > 0
@@ -298,12 +308,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     best = counts.withColumn("g", ratio).filter((F.col("g") >= EVIDENCE) & (share >= 0.6) & (a / m > base)).orderBy(F.desc("g"), "feature").limit(MOST_FEATURES)
     field = Field([r["feature"] for r in best.select("feature").collect()])
     own = texts.withColumn("text", F.substring("text", 1, TRAIN_CHARS)).join(F.broadcast(_drawn(known, TRAIN_DOCS, hot, n)), "doc_id")
-    rows = own.orderBy("h", "doc_id", "text").limit(2 * TRAIN_DOCS).select("text", "toxic").collect()
-    toxic = [r["toxic"] for r in rows]
+    rows = own.orderBy("h", "doc_id", "text").limit(2 * TRAIN_DOCS).select("text", "toxic").toArrow()
+    toxic = rows["toxic"].to_pylist()
     if len(set(toxic)) < 2:
         return _constant(bool(sum(toxic)))
     weight = {1: hot / n / np.mean(toxic), 0: (1 - hot / n) / (1 - np.mean(toxic))}
-    field = train(field, [_words(r["text"]) for r in rows], toxic, weights=[weight[t] for t in toxic])
+    field = train(field, _words_of(rows["text"]), toxic, weights=[weight[t] for t in toxic])
+    del rows
+    forget()
     release_memory()
     return field
 
