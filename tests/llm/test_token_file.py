@@ -1,12 +1,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidecase.llm import context_coder, token_file
+from tidecase.llm import context_coder, token_file, tokens
 from tidecase.llm.common import shared_path
 from tidecase.llm.tokens import TextEncoder, shared_encoder, tokenizer_path
 
@@ -29,6 +30,29 @@ def test_strings_of_added_tokens(text):
     assert text != "a<|endoftext|>b" or ids_of(text) == [64, 50256, 65]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet=st.sampled_from(list("ab Zé\n\t.,'!1ß漢 \x00\x85-_s")), max_size=30), max_size=8), st.sampled_from([1, 20, 1 << 20]))
+def test_columns_give_the_ids_of_the_texts(texts, group):
+    column = pa.array([None, *texts], pa.string()).slice(1)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokens, "GROUP_BYTES", group)
+        assert [np.frombuffer(x, "<u4").tolist() for x in shared_encoder().encode_column(column)] == [ids_of(t) for t in texts]
+
+
+def test_a_piece_of_a_column_is_looked_up_once():
+    class Counting(TextEncoder):
+        asked = 0
+
+        def __getitem__(self, piece):
+            self.asked += 1
+            return super().__getitem__(piece)
+
+    encoder, texts = Counting(), ["the cat, the dog\nthe cat. A cat!", "a dog's cat"] * 700
+    got = list(encoder.encode_column(pa.array(texts)))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got[:2]] == [ids_of(t) for t in texts[:2]] and got[2:] == got[:2] * 699
+    assert encoder.asked <= 20
+
+
 def test_few_remembered_pieces_give_the_same_ids():
     small, text = TextEncoder(remembered=3), "the cat's hat, the dog. The end!\nIt's \"so\" <|endoftext|> x"
     assert np.frombuffer(small.encode(text), "<u4").tolist() == ids_of(text)
@@ -52,6 +76,12 @@ def test_blocks_are_coded_independently_and_repetition_pays():
     assert together[0] == alone[0] and len(alone[0]) < 1500 < 3500 < len(together[1])
 
 
+def test_carries_run_over_many_words():
+    words, at = np.array([7, 2**32 - 1, 2**32 - 1, 5, 9], np.uint32), np.array([3, 5])
+    context_coder._carry(words, at, np.array([0, 1]))
+    assert words.tolist() == [8, 0, 0, 5, 10]
+
+
 def test_damage_is_found():
     ids = np.arange(50, dtype=np.int32)
     (code,) = context_coder.encode([ids], [0], 50_257)

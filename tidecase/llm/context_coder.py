@@ -5,7 +5,8 @@ ids before (order 2), the id that last followed the one id before (order 1), and
 of the block, which its header names (order 0). How often each order was right, by how sure its entry is, is learned as the block goes and gives each
 prediction its share of the interval; what is left is divided by a fixed law on the id's rank (byte-pair ids are ordered by
 frequency of merging). A 64-bit range coder with carries turns shares into 32-bit words. Step ``t`` codes the ``t``-th id
-of all blocks at once, so numpy's cost per call is shared; encoder and decoder run the same model code.
+of all blocks at once, so numpy's cost per call is shared; encoder and decoder run the same model code. A step does for all
+blocks what an unforetold id needs, and sets right those few whose id was foretold.
 """
 
 from __future__ import annotations
@@ -14,25 +15,35 @@ from functools import cache
 
 import numpy as np
 
-SLOTS = 512
-TOTAL_BITS = 24
+TOTAL_BITS = 21
 PRIOR_BITS = 18
-_FULL = 1 << TOTAL_BITS
+_FULL = np.uint64(1 << TOTAL_BITS)
 _LEAST = np.uint64(1 << 32)
-_WORD = np.uint64(32)
-#: 1/32 of the most that order 2, 1 and 0 can hold of the interval.
-_GAIN2, _GAIN1, _GAIN0 = np.int32(9 << 15), np.int32(4 << 15), np.int32(1 << 15)
+_TOTAL, _PRIOR, _WORD, _LOW = (np.uint64(x) for x in (TOTAL_BITS, PRIOR_BITS, 32, 0xFFFFFFFF))
+#: A lane's table: 64 lines by the last id, of 8 entries of order 1 and 8 of order 2 each, so that a step reads one place of memory.
+SLOTS = 1024
+_LINE, _OF1, _OF2, _SECOND = (np.int32(x) for x in (0x3F0, 0x3F7, 7, 8))
+_SPREAD = np.int32(40503)
+#: Shares of order 2, 1 and 0 are fields of one number, so that one look-up reads them; in a step each loses 1/32 of itself, and the one that was
+#: right gains 1/32 of the most that it can hold of the interval, which leaves 1/8 for other ids.
+_SHARE, _RATE, _EACH = np.uint64(_FULL - np.uint64(1)), np.uint64(5), np.uint64(0xFFFF | 0xFFFF << TOTAL_BITS | 0xFFFF << 2 * TOTAL_BITS)
+_FIELD1, _FIELD0 = np.uint64(TOTAL_BITS), np.uint64(2 * TOTAL_BITS)
+_GAIN2, _GAIN1, _GAIN0 = np.uint64(9 << 12), np.uint64(4 << 12 << TOTAL_BITS), np.uint64(1 << 12 << 2 * TOTAL_BITS)
+_AT_FIRST = 1 << 17 | 1 << 17 + TOTAL_BITS | 1 << 15 + 2 * TOTAL_BITS
+_NONE = np.uint64(0)
 
 
 @cache
 def _prior(vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cumulative shares of the ids, out of 2**18, in proportion to 1 / (id + 200) and 1 at least; and its inverse."""
+    """Shares of the ids, out of 2**18, in proportion to 1 / (id + 200) and 1 at least; and the id of each of the 2**18.
+
+    A share is its start in the low 32 bits and its length in the high ones.
+    """
     weight = 1.0 / (np.arange(vocabulary) + 200.0)
     spare = (1 << PRIOR_BITS) - vocabulary
     share = 1 + np.floor(weight / weight.sum() * spare).astype(np.int64)
     share[0] += (1 << PRIOR_BITS) - share.sum()
-    cumulative = np.concatenate([[0], np.cumsum(share)])
-    return cumulative, np.repeat(np.arange(vocabulary, dtype=np.int32), share)
+    return (np.cumsum(share) - share | share << 32).view(np.uint64), np.repeat(np.arange(vocabulary, dtype=np.int32), share)
 
 
 class _Model:
@@ -42,71 +53,90 @@ class _Model:
         lanes = len(common)
         n = np.arange(lanes)
         self.base, self.ctx_base = n * SLOTS, n * 16
-        self.after1 = np.zeros(lanes * SLOTS, np.int32)  # id * 4 + sureness
-        self.after2 = np.zeros(lanes * SLOTS, np.int32)
-        self.right2 = np.full(lanes * 16, 1 << 20, np.int32)  # learned shares, out of 2**24
-        self.right1 = np.full(lanes * 16, 1 << 20, np.int32)
-        self.p0 = np.full(lanes, 1 << 18, np.int32)
+        # id * 16 + sureness * 4 of order 2, id * 4 + sureness of order 1; lines begin where the machine's do
+        room = np.zeros(lanes * SLOTS + 16, np.int32)
+        self.after = room[-room.ctypes.data % 64 // 4 :][: lanes * SLOTS]
+        self.right = np.full(lanes * 16, _AT_FIRST, np.uint64)  # learned shares
         self.common = common
-        self.mixed = np.zeros(lanes, np.int64)
+        self.mixed = np.zeros(lanes, np.int32)
         self.slot1 = self.base.copy()
-        self.slot2 = self.base.copy()
+        self.slot2 = self.base + _SECOND
 
     def keep(self, k: int) -> None:
         """Only the first ``k`` lanes go on."""
         lanes = len(self.base)
-        for name, x in vars(self).items():
+        for name in ("base", "ctx_base", "after", "right", "common", "mixed", "slot1", "slot2"):
+            x = getattr(self, name)
             setattr(self, name, x[: len(x) // lanes * k])
 
-    def predict(self) -> tuple[np.ndarray, ...]:
-        """Predicted ids of order 2, 1, 0, and the upper ends of their shares."""
-        self.e2, self.e1 = e2, e1 = self.after2.take(self.slot2), self.after1.take(self.slot1)
-        self.s2, self.s1 = s2, s1 = e2 & 3, e1 & 3
-        self.ctx = self.ctx_base + (s2 << 2 | s1)
-        self.p2, self.p1 = self.right2.take(self.ctx), self.right1.take(self.ctx)
-        self.id2, self.id1 = e2 >> 2, e1 >> 2
-        top1 = self.p2 + self.p1
-        return self.id2, self.id1, self.common, self.p2, top1, top1 + self.p0
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, hit0: np.ndarray) -> None:
-        # Shares move 1/32 of the way to 0 or to a limit; the limits leave 1/8 for other ids.
-        self.right2[self.ctx] = self.p2 - (self.p2 >> 5) + hit2 * _GAIN2
-        self.right1[self.ctx] = self.p1 - (self.p1 >> 5) + hit1 * _GAIN1
-        self.p0 = self.p0 - (self.p0 >> 5) + hit0 * _GAIN0
-        fresh = (ids << 2) | 1
-        self.after2[self.slot2] = np.where(self.id2 == ids, self.e2 + (self.s2 < 3), fresh)
-        self.after1[self.slot1] = np.where(self.id1 == ids, self.e1 + (self.s1 < 3), fresh)
-        now = ids.astype(np.int64) * 40503 >> 4
-        self.slot1 = self.base + (now & (SLOTS - 1))
-        self.slot2 = self.base + ((self.mixed * 5 ^ now) & (SLOTS - 1))
+    def predict(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids that no order foretells begin, and the length of one of their 2**18 parts; ``part``: 1 / 2**21 of the interval."""
+        self.e2, self.e1 = self.after.take(self.slot2), self.after.take(self.slot1)
+        self.ctx = (self.e2 & 12 | self.e1 & 3) + self.ctx_base
+        self.p, self.part = self.right.take(self.ctx), part
+        top = self.p >> _FIELD1
+        top &= _SHARE
+        top += self.p & _SHARE
+        top += self.p >> _FIELD0
+        rest = _FULL - top
+        rest *= part
+        rest >>= _PRIOR
+        top *= part
+        return top, rest
+
+    def foretold(self, lanes: np.ndarray) -> None:
+        """Look closer at some lanes: ids that orders 2, 1, 0 foretell there, and the upper ends of their shares of the interval."""
+        p, part = self.p[lanes], self.part[lanes]
+        self.near2, self.near1 = self.e2[lanes], self.e1[lanes]
+        self.of2, self.of1, self.of0 = self.near2 >> 4, self.near1 >> 2, self.common[lanes]
+        low2, low1 = p & _SHARE, p >> _FIELD1 & _SHARE
+        low1 += low2
+        self.top2, self.top1, self.top0 = part * low2, part * low1, part * (low1 + (p >> _FIELD0))
+
+    def update(self, ids: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Learn the ids of all lanes; start and end of the intervals of those ``lanes``, of which ``foretold`` was asked, whose id some order foretold."""
+        own = ids[lanes]
+        hit2, same1 = self.of2 == own, self.of1 == own
+        p = self.p
+        p -= p >> _RATE & _EACH
+        p[lanes] += np.where(hit2, _GAIN2, np.where(same1, _GAIN1, _GAIN0))
+        self.right[self.ctx] = p
+        # An entry that was right grows surer, from 1 to 3.
+        fresh = ids << 2
+        fresh |= 1
+        entry = fresh << 2
+        entry[lanes] += np.minimum(self.near2 & 12, 8) * hit2
+        self.after[self.slot2] = entry
+        fresh[lanes] += np.minimum(self.near1 & 3, 2) * same1
+        self.after[self.slot1] = fresh
+        now = ids * _SPREAD
+        now >>= 4
+        self.slot1 = (now & _OF1) + self.base
+        self.mixed >>= 5
+        self.mixed ^= now
+        self.mixed &= _OF2
+        self.mixed |= now & _LINE
+        self.mixed |= _SECOND
+        self.slot2 = self.mixed + self.base
         self.mixed = now
-
-
-def _interval(top: tuple, hits: tuple, ids: np.ndarray, cumulative: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of each id's share: of the first order that foretold it, or of its rank."""
-    top2, top1, top0 = top
-    hit2, hit1, hit0 = hits
-    left = _FULL - top0.astype(np.int64)
-    begin = left * cumulative.take(ids) >> PRIOR_BITS
-    length = (left * cumulative.take(ids + 1) >> PRIOR_BITS) - begin
-    start = top0 + begin
-    for hit, low, high in ((hit0, top1, top0), (hit1, top2, top1), (hit2, None, top2)):
-        np.copyto(start, 0 if low is None else low, where=hit)
-        np.copyto(length, high if low is None else high - low, where=hit)
-    return start.view(np.uint64), length.view(np.uint64)
+        return np.where(hit2, _NONE, np.where(same1, self.top2, self.top1)), np.where(hit2, self.top2, np.where(same1, self.top1, self.top0))
 
 
 def most_common(ids: np.ndarray) -> int:
     """The id that order 0 foretells; the smallest among equals, 0 for no ids."""
     if not len(ids):
         return 0
-    ranked = np.sort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, kind="stable")  # 16 bits: a radix sort
-    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    return int(ranked[starts[np.argmax(np.diff(starts, append=len(ranked)))]])
+    ranked = ids.astype(np.uint16 if ids.max() < 1 << 16 else ids.dtype)
+    ranked.sort()
+    ends = np.append(np.flatnonzero(ranked[1:] != ranked[:-1]), len(ranked) - 1)
+    sizes = ends.copy()
+    sizes[1:] -= ends[:-1]
+    sizes[0] += 1
+    return int(ranked[ends[sizes.argmax()]])
 
 
 def _ends(lengths: np.ndarray) -> list[tuple[int, int, int]]:
-    """(first step, last step, lanes) over which the number of lanes stays; lengths fall."""
+    """(first step, step after the last, lanes) over which the number of lanes stays; lengths fall."""
     steps = [0, *np.unique(lengths)]
     return [(a, b, int((lengths >= b).sum())) for a, b in zip(steps, steps[1:])]
 
@@ -118,58 +148,51 @@ def encode(blocks: list[np.ndarray], common: list[int], vocabulary: int) -> list
     lanes, steps = len(order), int(lengths.max(initial=0))
     if not steps:
         return [b""] * lanes
-    cumulative, _ = _prior(vocabulary)
-    table = np.zeros((steps, lanes), np.int32)
-    for lane, i in enumerate(order):
-        table[: len(blocks[i]), lane] = blocks[i]
-    words = np.zeros((steps, lanes), np.uint32)
-    used = np.zeros((steps, lanes), bool)
-    carries = np.zeros((steps, lanes), bool)
+    shares, _ = _prior(vocabulary)
+    table, here = np.concatenate([blocks[i] for i in order]), np.cumsum(lengths) - lengths
+    starts = np.arange(lanes) * (steps + 2)
+    words, at = np.zeros(lanes * (steps + 2), np.uint32), starts.copy()  # what each lane has sent, and where its next word goes
     model = _Model(np.array([common[i] for i in order], np.int32))
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(2**64 - 1))
     final = np.zeros(lanes, np.uint64)
     for first, last, k in _ends(lengths):
-        final[: len(low)] = low
-        low, span = low[:k], span[:k]
+        final[k : len(low)] = low[k:]
+        low, span, here = low[:k], span[:k], here[:k]
         model.keep(k)
-        for t in range(first, last):
-            ids = table[t, :k]
-            id2, id1, id0, *top = model.predict()
-            hit2 = id2 == ids
-            hit1 = (id1 == ids) & ~hit2
-            hit0 = (id0 == ids) & ~(hit2 | hit1)
-            start, length = _interval(top, (hit2, hit1, hit0), ids, cumulative)
-            part = span >> np.uint64(TOTAL_BITS)
-            add = part * start
-            low = low + add
-            carries[t, :k] = low < add
-            span = part * length
-            need = span < _LEAST
-            words[t, :k] = low >> _WORD
-            used[t, :k] = need
-            shift = need.astype(np.uint64) << np.uint64(5)
-            low, span = low << shift, span << shift
-            model.update(ids, hit2, hit1, hit0)
+        for _ in range(first, last):
+            ids = table.take(here)
+            here += 1
+            add, span = model.predict(span >> _TOTAL)
+            share = shares.take(ids)
+            add += span * (share & _LOW)
+            span *= share >> _WORD
+            hits = np.flatnonzero((model.e2 >> 4 == ids) | (model.e1 >> 2 == ids) | (model.common == ids))
+            model.foretold(hits)
+            start, end = model.update(ids, hits)
+            add[hits] = start
+            span[hits] = end - start
+            low += add
+            _carry(words, at, np.flatnonzero(low < add))
+            need = np.flatnonzero(span < _LEAST)
+            full, to = low[need], at[need]
+            words[to] = full >> _WORD
+            at[need] = to + 1
+            low[need] = full << _WORD
+            span[need] <<= _WORD
     final[: len(low)] = low
+    words[at], words[at + 1] = final >> _WORD, final & _LOW
     out: list[bytes] = [b""] * lanes
-    for lane, i in enumerate(order):
-        n = lengths[lane]
-        if n:
-            out[i] = _joined(words[:n, lane], used[:n, lane], carries[:n, lane], int(final[lane]))
+    for i, n, a, b in zip(order, lengths, starts.tolist(), (at + 2).tolist()):
+        out[i] = words[a:b].astype(">u4").tobytes() if n else b""
     return out
 
 
-def _joined(words: np.ndarray, used: np.ndarray, carries: np.ndarray, low: int) -> bytes:
-    """The written words as one large number, with 1 added at each carry just above where it arose, and the last 64 bits."""
-    sent = words[used]
-    n = 4 * len(sent) + 8
-    value = int.from_bytes(sent.astype(">u4").tobytes() + low.to_bytes(8, "big"), "big")
-    if carries.any():
-        before = np.cumsum(used) - used  # words sent before the step of the carry
-        ones = np.zeros(len(sent) + 1, ">u4")
-        np.add.at(ones, before[carries], 1)  # entry w: the carry belongs to the last bit of word w - 1
-        value += int.from_bytes(ones.tobytes(), "big") << 64
-    return value.to_bytes(n, "big")
+def _carry(words: np.ndarray, at: np.ndarray, lanes: np.ndarray) -> None:
+    """Add 1 to what the ``lanes`` have sent: to the last word, and to the one before where a word runs over."""
+    last = at[lanes] - 1
+    while len(last):
+        words[last] += np.uint32(1)
+        last = last[words[last] == 0] - 1
 
 
 def decode(parts: list[bytes], lengths: list[int], common: list[int], vocabulary: int) -> list[np.ndarray]:
@@ -179,44 +202,45 @@ def decode(parts: list[bytes], lengths: list[int], common: list[int], vocabulary
     lanes, steps = len(order), int(sizes.max(initial=0))
     if not steps:
         return [np.zeros(0, np.int32)] * lanes
-    cumulative, inverse = _prior(vocabulary)
+    shares, inverse = _prior(vocabulary)
     buffers = [np.frombuffer(parts[i], ">u4") for i in order]
     starts = np.cumsum([0, *(len(b) + 2 for b in buffers)])
-    stream = np.zeros(starts[-1] + 2, np.uint64)
+    stream = np.zeros(starts[-1] + 2, np.uint32)
     for b, s in zip(buffers, starts):
         stream[s : s + len(b)] = b
     at = starts[:-1].copy()
-    code = stream[at] << _WORD | stream[at + 1]
+    code = stream[at].astype(np.uint64) << _WORD | stream[at + 1]
     at += 2
     span = np.full(lanes, np.uint64(2**64 - 1))
-    table = np.zeros((steps, lanes), np.int32)
+    table, here = np.zeros(sizes.sum(), np.int32), np.cumsum(sizes) - sizes
     model = _Model(np.array([common[i] for i in order], np.int32))
+    last_part = np.uint64((1 << PRIOR_BITS) - 1)
     for first, last, k in _ends(sizes):
-        code, span, at = code[:k], span[:k], at[:k]
+        code, span, here = code[:k], span[:k], here[:k]
         model.keep(k)
-        for t in range(first, last):
-            id2, id1, id0, *top = model.predict()
-            top2, top1, top0 = top
-            part = span >> np.uint64(TOTAL_BITS)
-            value = np.minimum(code // part, np.uint64(_FULL - 1)).astype(np.int64)
-            hit2 = value < top2
-            hit1 = (value < top1) & ~hit2
-            known = value < top0
-            hit0 = known & ~(hit2 | hit1)
-            left = _FULL - top0.astype(np.int64)
-            rank = (((value - top0 + 1) << PRIOR_BITS) - 1) // left
-            ids = np.where(hit2, id2, np.where(hit1, id1, np.where(hit0, id0, inverse.take(np.where(known, 0, rank)))))
-            start, length = _interval(top, (hit2, hit1, hit0), ids, cumulative)
-            code = code - part * start
-            span = part * length
-            need = span < _LEAST
-            shift = need.astype(np.uint64) << np.uint64(5)
-            code = code << shift | stream.take(at) * need
-            span = span << shift
-            at = at + need
-            table[t, :k] = ids
-            model.update(ids, hit2, hit1, hit0)
+        for _ in range(first, last):
+            top, span = model.predict(span >> _TOTAL)
+            hits = np.flatnonzero(code < top)
+            rest = code - top
+            ids = inverse.take(np.minimum(rest // span, last_part).view(np.int64))
+            model.foretold(hits)
+            own = code[hits]
+            ids[hits] = np.where(own < model.top2, model.of2, np.where(own < model.top1, model.of1, model.of0))
+            table[here] = ids
+            here += 1
+            share = shares.take(ids)
+            rest -= span * (share & _LOW)
+            span *= share >> _WORD
+            start, end = model.update(ids, hits)
+            rest[hits] = own - start
+            span[hits] = end - start
+            need = np.flatnonzero(span < _LEAST)
+            to = at[need]
+            rest[need] = rest[need] << _WORD | stream.take(to)
+            at[need] = to + 1
+            span[need] <<= _WORD
+            code = rest
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * lanes
-    for lane, i in enumerate(order):
-        out[i] = table[: sizes[lane], lane].copy()
+    for i, end, n in zip(order, np.cumsum(sizes).tolist(), sizes.tolist()):
+        out[i] = table[end - n : end].copy()
     return out

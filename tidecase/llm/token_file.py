@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -32,7 +33,7 @@ VOCABULARY = 50_257
 END_ID = 2
 #: Blocks coded side by side; bounds a task's memory.
 LANES = 4096
-_MAGIC, _VERSION = b"TCTB", 1
+_MAGIC, _VERSION = b"TCTB", 2
 _HEADER = struct.Struct("<4sHHIIIqI")
 _ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("length", "<i8"), ("no_id", "<i8")])
 _BLOCKS = "part int, block_no long, n_ids int, n_docs int, block binary"
@@ -82,13 +83,13 @@ def _coded_rows(part: int, first_no: int, blocks: list[tuple[int, bytes, list[tu
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["part", "block_no", "n_ids", "n_docs", "block"])
 
 
-def _blocks_of(batches: Iterator[pa.RecordBatch], encode, tail: bytes) -> Iterator[tuple[int, bytes, list[tuple]]]:
+def _blocks_of(batches: Iterator[pa.RecordBatch], encode_column, tail: bytes) -> Iterator[tuple[int, bytes, list[tuple]]]:
     """The stream cut into blocks: a document that fits into a block is not cut."""
     size = 4 * BLOCK_IDS
     open_ids, open_docs, offset, total = bytearray(), [], 0, 0  # total: bytes of ids so far
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = encode(text.as_py()) + tail
+        for doc_id, ids in zip(batch.column(0).to_pylist(), encode_column(batch.column(1))):
+            ids += tail
             entry = (doc_id or 0, total // 4, len(ids) // 4, doc_id is None)
             if open_ids and len(open_ids) + len(ids) > size:
                 yield offset, bytes(open_ids), open_docs
@@ -106,7 +107,7 @@ def _blocks_of(batches: Iterator[pa.RecordBatch], encode, tail: bytes) -> Iterat
 def _write_part(end_id: int, tokenizer: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, tail, done = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes(), 0
-        blocks = _blocks_of(batches, shared_encoder(tokenizer).encode, tail)
+        blocks = _blocks_of(batches, shared_encoder(tokenizer).encode_column, tail)
         while some := list(islice(blocks, LANES)):
             yield _coded_rows(part, done, some)
             done += len(some)
@@ -171,14 +172,20 @@ def _times(a: int, b: int) -> int:
     return out
 
 
-def crc_after(crc: int, more: int, n_bytes: int) -> int:
-    """crc32 of X + Y from the crc32 of X, that of Y, and Y's length: X's shifted by Y's zeros, plus Y's."""
+@lru_cache(4 * BLOCK_IDS)
+def _shift(n_bytes: int) -> int:
+    """The power of x that so many bytes of zeros multiply by; fragments have few lengths."""
     power, shift, n = 1 << 23, 1 << 31, n_bytes  # x**8; 1
     while n:
         if n & 1:
             shift = _times(shift, power)
         power, n = _times(power, power), n >> 1
-    return _times(crc, shift) ^ more
+    return shift
+
+
+def crc_after(crc: int, more: int, n_bytes: int) -> int:
+    """crc32 of X + Y from the crc32 of X, that of Y, and Y's length: X's shifted by Y's zeros, plus Y's."""
+    return _times(crc, _shift(n_bytes)) ^ more
 
 
 @F.pandas_udf(LongType())
