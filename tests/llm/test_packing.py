@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidecase.llm import packing
-from tidecase.llm.tokens import tokenizer_path
+from tidecase.llm.tokens import TextEncoder, tokenizer_path
 
 WHOLE = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
 
@@ -50,6 +51,31 @@ def test_several_blocks(spark, make, prose, monkeypatch):
     assert check(rows, docs, 100) <= -(-tokens // 100) + 9
 
 
+def test_a_word_of_a_batch_is_looked_up_once(monkeypatch):
+    class Counting(TextEncoder):
+        asked = 0
+
+        def __getitem__(self, piece):
+            self.asked += 1
+            return super().__getitem__(piece)
+
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = classmethod(lambda cls: 0)
+
+    encoder, texts = Counting(), ["the cat, the dog\nthe cat. A cat!", None, "a dog's cat"] * 300
+    monkeypatch.setattr(packing, "shared_encoder", lambda file: encoder)
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    (pieces,) = packing._cut(8, 0, None)(iter([batch]))
+    want = [[*WHOLE.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    first = [len(ids) if len(ids) <= 8 else len(ids) % 8 or 8 for ids in want]
+    cuts = [(i, a, b) for i, (ids, n) in enumerate(zip(want, first)) for a, b in zip([0, *range(n, len(ids), 8)], range(n, len(ids) + 1, 8))]
+    got = list(zip(*(pieces.column(c).to_pylist() for c in ("doc_id", "start", "length", "ids_crc32"))))
+    assert got == [(i, a, b - a, zlib.crc32(np.array(want[i][a:b], "<u4").tobytes())) for i, a, b in cuts]
+    assert encoder.asked <= 20
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=40), st.integers(0, 5))
 def test_evolved_packings_are_whole_and_no_worse_than_first_fit(lengths, seed):

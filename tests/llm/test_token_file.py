@@ -53,6 +53,19 @@ def test_a_piece_of_a_column_is_looked_up_once():
     assert encoder.asked <= 20
 
 
+def test_words_of_a_column_are_known_without_the_marks_behind_them():
+    encoder, texts = TextEncoder(), ["né, né. né! (né) où? naïf×é÷é.", "ÿ! né"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_column(pa.array(texts))] == [ids_of(t) for t in texts]
+    assert {" né", "né", " où", "ÿ"} <= set(encoder) and not any(x[-1] in ",.!?)" and len(x) > 2 for x in encoder._with_marks if "né" in x or "où" in x)
+
+
+def test_few_remembered_pieces_of_a_column_give_the_same_ids():
+    small, texts = TextEncoder(remembered=3), ["the cat's hat, the dog. The end!\nIt's \"so\" on", "où est le chat?\nIci", None] * 2
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in small.encode_column(pa.array(texts))] == [ids_of(t) for t in texts]
+    assert len(small) <= 3
+
+
 def test_few_remembered_pieces_give_the_same_ids():
     small, text = TextEncoder(remembered=3), "the cat's hat, the dog. The end!\nIt's \"so\" <|endoftext|> x"
     assert np.frombuffer(small.encode(text), "<u4").tolist() == ids_of(text)

@@ -48,8 +48,8 @@ def _cut(size: int, end_id: int, tokenizer: str | None):
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py()) + tail
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_column(batch.column(1))):
+                ids += tail
                 n = len(ids) // 4
                 first = n if n <= size else n % size or size
                 start = 0

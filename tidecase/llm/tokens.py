@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,18 @@ GROUP_BYTES = 16 << 20
 #: Texts of a group whose ids are put together at once.
 GATHERED = 512
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_ONE_WORD = f"^ ?[{_LETTERS}]+$"
 _WORD = re.compile(rf"( ?[{_LETTERS}]+)([!-/:-@\[-`{{-~]*)")
 
 
 def _kinds() -> np.ndarray:
-    """Of a byte: 1 where a piece begins at it, 4 where one begins behind it, 8 for a letter, 16 for a mark."""
+    """Of a byte: 1 where a piece begins at it, 4 where one begins behind it, 8 for a letter, 16 for a mark, 32 and 64 for the two bytes of a letter."""
     kinds = np.zeros(256, np.uint8)
     for c in map(chr, range(128)):
         kinds[ord(c)] = 1 * (c in " \n") | 4 * (c == "\n") | 8 * c.isalpha() | 16 * (c.isprintable() and c != " " and not c.isalnum())
+    for c in filter(str.isalpha, map(chr, range(0xC0, 0x100))):
+        first, second = c.encode()
+        kinds[first], kinds[second] = 32, 64
     return kinds
 
 
@@ -58,6 +64,7 @@ class TextEncoder(dict):
         self._tokenizer = Tokenizer.from_file(file or tokenizer_path(DEFAULT_FILE))
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._model, self._alphabet, self._remembered = self._tokenizer.model, _byte_letters(), remembered
+        self._alphabet_of_lines = {b: c for b, c in self._alphabet.items() if b != ord("\n")}
         self._with_marks: dict[str, bytes] = {}  # words with punctuation behind them; they must not crowd out words
 
     def __missing__(self, piece: str) -> bytes:
@@ -117,7 +124,7 @@ class TextEncoder(dict):
         at = _borders(letters, first[:-1])
         pieces = pa.Array.from_buffers(pa.large_utf8(), len(at), [None, pa.py_buffer(np.append(at, len(letters))), pa.py_buffer(letters)]).dictionary_encode()
         which = pieces.indices.to_numpy()
-        known = [self[x] for x in pieces.dictionary.to_numpy(zero_copy_only=False)]
+        known = self._ids_of_pieces(pieces.dictionary)
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         ids, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
         stops = np.searchsorted(at, first[1:]).tolist()  # of each text in the pieces
@@ -135,16 +142,34 @@ class TextEncoder(dict):
                 out[i] = found[b:e]
         return out
 
+    def _ids_of_pieces(self, distinct: pa.Array) -> list[bytes]:
+        """What each piece maps to. Of the new ones, single words are put into the byte-level alphabet side by side, without a call of Python's for each."""
+        pieces = distinct.to_numpy(zero_copy_only=False)
+        known = list(map(self.get, pieces))
+        new = np.flatnonzero(np.fromiter(map(is_, known, repeat(None)), bool, len(known)))
+        single = pc.match_substring_regex(distinct.take(pa.array(new)), _ONE_WORD).to_numpy(zero_copy_only=False)
+        for i in new[~single].tolist():
+            known[i] = self[pieces[i]]
+        words = pieces[new[single]].tolist()
+        letters = "\n".join(words).encode().decode("latin-1").translate(self._alphabet_of_lines).split("\n") if words else []
+        model, room = self._model.tokenize, max(0, self._remembered - len(self))
+        ids = [array("I", [t.id for t in model(x)]).tobytes() for x in letters]
+        for i, x in zip(new[single].tolist(), ids):
+            known[i] = x
+        self.update(zip(words[:room], ids))
+        return known
+
 
 def _borders(letters: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Where pieces of texts begin, whose bytes stand side by side: at each text, space and line feed, behind a line feed, and between an ASCII letter and an ASCII mark.
+    """Where pieces of texts begin, whose bytes stand side by side: at each text, space and line feed, behind a line feed, and between a letter of Latin-1 and an ASCII mark.
 
     The tokenizer's split pattern takes no mark into the run of a letter, so it has a border there whatever follows.
     """
     kind = _KINDS[letters]
     begins = kind & 1
-    behind = kind[:-1] & (kind[1:] >> 1 | 4)  # a letter before a mark; a line feed before anything
+    behind = kind[:-1] & (kind[1:] >> 1 & 8 | 4)  # a letter before a mark; a line feed before anything
     begins[1:] |= behind >> 2 | behind >> 3
+    begins[2:] |= kind[:-2] >> 5 & kind[1:-1] >> 6 & kind[2:] >> 4  # a letter of two bytes before a mark
     begins[first] = 1
     return np.flatnonzero(begins)
 
