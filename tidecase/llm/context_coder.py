@@ -31,6 +31,8 @@ _FIELD1, _FIELD0 = np.uint64(TOTAL_BITS), np.uint64(2 * TOTAL_BITS)
 _GAIN2, _GAIN1, _GAIN0 = np.uint64(9 << 12), np.uint64(4 << 12 << TOTAL_BITS), np.uint64(1 << 12 << 2 * TOTAL_BITS)
 _AT_FIRST = 1 << 17 | 1 << 17 + TOTAL_BITS | 1 << 15 + 2 * TOTAL_BITS
 _NONE = np.uint64(0)
+#: Rows that are turned into steps at once.
+_STRIP = 64
 
 
 @cache
@@ -71,7 +73,7 @@ class _Model:
 
     def predict(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids that no order foretells begin, and the length of one of their 2**18 parts; ``part``: 1 / 2**21 of the interval."""
-        self.e2, self.e1 = self.after.take(self.slot2), self.after.take(self.slot1)
+        self.e2, self.e1 = self.after[self.slot2], self.after[self.slot1]
         self.ctx = (self.e2 & 12 | self.e1 & 3) + self.ctx_base
         self.p, self.part = self.right.take(self.ctx), part
         top = self.p >> _FIELD1
@@ -141,6 +143,30 @@ def _ends(lengths: np.ndarray) -> list[tuple[int, int, int]]:
     return [(a, b, int((lengths >= b).sum())) for a, b in zip(steps, steps[1:])]
 
 
+def _by_step(rows: list[np.ndarray], steps: int, vocabulary: int) -> np.ndarray:
+    """The ids of the ``rows`` step by step, so that a step reads one stretch of memory; made of ``_STRIP`` rows at a time, which stay near the machine."""
+    out = np.empty((steps, len(rows)), _id_type(vocabulary))
+    for a in range(0, len(rows), _STRIP):
+        strip = np.zeros((min(_STRIP, len(rows) - a), steps), out.dtype)
+        for own, row in zip(strip, rows[a : a + _STRIP]):
+            own[: len(row)] = row
+        out[:, a : a + _STRIP] = strip.T
+    return out
+
+
+def _by_row(table: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+    """``_by_step`` turned back."""
+    out = []
+    for a in range(0, len(lengths), _STRIP):
+        strip = np.ascontiguousarray(table[:, a : a + _STRIP].T)
+        out += [row[:n].astype(np.int32) for row, n in zip(strip, lengths[a : a + _STRIP])]
+    return out
+
+
+def _id_type(vocabulary: int) -> type:
+    return np.uint16 if vocabulary <= 1 << 16 else np.int32
+
+
 def encode(blocks: list[np.ndarray], common: list[int], vocabulary: int) -> list[bytes]:
     """One byte string per block of ids below ``vocabulary``; ``common``: the ``most_common`` id of each."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
@@ -149,7 +175,7 @@ def encode(blocks: list[np.ndarray], common: list[int], vocabulary: int) -> list
     if not steps:
         return [b""] * lanes
     shares, _ = _prior(vocabulary)
-    table, here = np.concatenate([blocks[i] for i in order]), np.cumsum(lengths) - lengths
+    table = _by_step([blocks[i] for i in order], steps, vocabulary)
     starts = np.arange(lanes) * (steps + 2)
     words, at = np.zeros(lanes * (steps + 2), np.uint32), starts.copy()  # what each lane has sent, and where its next word goes
     model = _Model(np.array([common[i] for i in order], np.int32))
@@ -157,11 +183,10 @@ def encode(blocks: list[np.ndarray], common: list[int], vocabulary: int) -> list
     final = np.zeros(lanes, np.uint64)
     for first, last, k in _ends(lengths):
         final[k : len(low)] = low[k:]
-        low, span, here = low[:k], span[:k], here[:k]
+        low, span = low[:k], span[:k]
         model.keep(k)
-        for _ in range(first, last):
-            ids = table.take(here)
-            here += 1
+        for t in range(first, last):
+            ids = table[t, :k].astype(np.int32)
             add, span = model.predict(span >> _TOTAL)
             share = shares.take(ids)
             add += span * (share & _LOW)
@@ -212,13 +237,13 @@ def decode(parts: list[bytes], lengths: list[int], common: list[int], vocabulary
     code = stream[at].astype(np.uint64) << _WORD | stream[at + 1]
     at += 2
     span = np.full(lanes, np.uint64(2**64 - 1))
-    table, here = np.zeros(sizes.sum(), np.int32), np.cumsum(sizes) - sizes
+    table = np.empty((steps, lanes), _id_type(vocabulary))  # ids step by step
     model = _Model(np.array([common[i] for i in order], np.int32))
     last_part = np.uint64((1 << PRIOR_BITS) - 1)
     for first, last, k in _ends(sizes):
-        code, span, here = code[:k], span[:k], here[:k]
+        code, span = code[:k], span[:k]
         model.keep(k)
-        for _ in range(first, last):
+        for t in range(first, last):
             top, span = model.predict(span >> _TOTAL)
             hits = np.flatnonzero(code < top)
             rest = code - top
@@ -226,8 +251,7 @@ def decode(parts: list[bytes], lengths: list[int], common: list[int], vocabulary
             model.foretold(hits)
             own = code[hits]
             ids[hits] = np.where(own < model.top2, model.of2, np.where(own < model.top1, model.of1, model.of0))
-            table[here] = ids
-            here += 1
+            table[t, :k] = ids
             share = shares.take(ids)
             rest -= span * (share & _LOW)
             span *= share >> _WORD
@@ -241,6 +265,6 @@ def decode(parts: list[bytes], lengths: list[int], common: list[int], vocabulary
             span[need] <<= _WORD
             code = rest
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * lanes
-    for i, end, n in zip(order, np.cumsum(sizes).tolist(), sizes.tolist()):
-        out[i] = table[end - n : end].copy()
+    for i, ids in zip(order, _by_row(table, sizes.tolist())):
+        out[i] = ids
     return out

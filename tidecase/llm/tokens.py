@@ -11,8 +11,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import repeat
-from operator import is_
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +56,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class TextEncoder(dict):
-    """Maps a piece of text to its ids as little-endian 32-bit integers; at most 1.5 times ``remembered`` pieces are kept."""
+    """Maps a piece of text to its ids as little-endian 32-bit integers; at most 1.5 times ``remembered`` pieces are kept, and twice as many short words of columns."""
 
     def __init__(self, file: str | None = None, remembered: int = 500_000):
         super().__init__()
@@ -65,6 +64,7 @@ class TextEncoder(dict):
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._model, self._alphabet, self._remembered = self._tokenizer.model, _byte_letters(), remembered
         self._alphabet_of_lines = {b: c for b, c in self._alphabet.items() if b != ord("\n")}
+        self._words = _ShortWords()
         self._with_marks: dict[str, bytes] = {}  # words with punctuation behind them; they must not crowd out words
 
     def __missing__(self, piece: str) -> bytes:
@@ -124,9 +124,7 @@ class TextEncoder(dict):
         at = _borders(letters, first[:-1])
         pieces = pa.Array.from_buffers(pa.large_utf8(), len(at), [None, pa.py_buffer(np.append(at, len(letters))), pa.py_buffer(letters)]).dictionary_encode()
         which = pieces.indices.to_numpy()
-        known = self._ids_of_pieces(pieces.dictionary)
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        ids, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        sizes, starts, ids = self._ids_of_pieces(pieces.dictionary)
         stops = np.searchsorted(at, first[1:]).tolist()  # of each text in the pieces
         for a in range(0, len(cut), GATHERED):
             texts_, ends_ = cut[a : a + GATHERED], stops[a : a + GATHERED]
@@ -142,22 +140,67 @@ class TextEncoder(dict):
                 out[i] = found[b:e]
         return out
 
-    def _ids_of_pieces(self, distinct: pa.Array) -> list[bytes]:
-        """What each piece maps to. Of the new ones, single words are put into the byte-level alphabet side by side, without a call of Python's for each."""
-        pieces = distinct.to_numpy(zero_copy_only=False)
-        known = list(map(self.get, pieces))
-        new = np.flatnonzero(np.fromiter(map(is_, known, repeat(None)), bool, len(known)))
-        single = pc.match_substring_regex(distinct.take(pa.array(new)), _ONE_WORD).to_numpy(zero_copy_only=False)
-        for i in new[~single].tolist():
-            known[i] = self[pieces[i]]
-        words = pieces[new[single]].tolist()
-        letters = "\n".join(words).encode().decode("latin-1").translate(self._alphabet_of_lines).split("\n") if words else []
-        model, room = self._model.tokenize, max(0, self._remembered - len(self))
-        ids = [array("I", [t.id for t in model(x)]).tobytes() for x in letters]
-        for i, x in zip(new[single].tolist(), ids):
-            known[i] = x
-        self.update(zip(words[:room], ids))
-        return known
+    def _ids_of_pieces(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many ids each piece has and where they begin, and the ids. Of the new ones, single words are put into the byte-level alphabet side by side."""
+        low, high, short = _bytes_of(distinct)
+        known, starts, sizes = self._words.find(low, high)
+        new = np.flatnonzero(~(known & short))
+        fresh = distinct.take(pa.array(new))
+        single = pc.match_substring_regex(fresh, _ONE_WORD).to_numpy(zero_copy_only=False)
+        pieces = fresh.to_numpy(zero_copy_only=False)
+        lines, model = "\n".join(pieces[single]), self._model.tokenize
+        words = [[t.id for t in model(x)] for x in lines.encode().decode("latin-1").translate(self._alphabet_of_lines).split("\n")] if lines else []
+        others = [self[x] for x in pieces[~single]]
+        own = np.append(np.fromiter(map(len, words), np.int64, len(words)), np.fromiter(map(len, others), np.int64, len(others)) // 4)
+        word_ids = np.fromiter(chain.from_iterable(words), np.uint32, int(own[: len(words)].sum()))
+        ids = np.concatenate([self._words.ids, word_ids, np.frombuffer(b"".join(others), "<u4")])
+        order = np.append(new[single], new[~single])
+        sizes[order], starts[order] = own, len(self._words.ids) + np.cumsum(own) - own
+        kept = new[single & short[new]][: max(0, 2 * self._remembered - len(self._words.hashes))]
+        if len(kept):
+            self._words.add(low[kept], high[kept], starts[kept], sizes[kept], ids[: len(self._words.ids) + len(word_ids)].copy())
+        return sizes, starts, ids
+
+
+class _ShortWords:
+    """Where the ids of words of 16 bytes at most are, in the order of hashes of the bytes; the bytes are compared too."""
+
+    def __init__(self):
+        self.hashes, self.low, self.high = (np.zeros(0, np.uint64) for _ in range(3))
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word whether it is here, and if so where its ids begin and how many they are."""
+        if not len(self.hashes):
+            return np.zeros(len(low), bool), np.zeros(len(low), np.int64), np.zeros(len(low), np.int64)
+        hashes = _hashed(low, high)
+        order = np.argsort(hashes)
+        at = np.empty(len(low), np.int64)
+        at[order] = np.searchsorted(self.hashes, hashes[order])
+        np.minimum(at, len(self.hashes) - 1, out=at)
+        return (self.low[at] == low) & (self.high[at] == high), self.starts[at], self.sizes[at]
+
+    def add(self, low: np.ndarray, high: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """``ids``: those here and the new ones behind them."""
+        hashes = np.append(self.hashes, _hashed(low, high))
+        order = np.argsort(hashes)
+        self.hashes, self.low, self.high = hashes[order], np.append(self.low, low)[order], np.append(self.high, high)[order]
+        self.starts, self.sizes, self.ids = np.append(self.starts, starts)[order], np.append(self.sizes, sizes)[order], ids
+
+
+def _hashed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    mixed = (low ^ high * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mixed ^ mixed >> np.uint64(29)
+
+
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first 8 bytes of each string and the next 8 as numbers, zeros behind its end; and whether that is all of it. Strings that differ, without zero bytes, have other numbers then."""
+    ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    first, sizes = ends[:-1], np.diff(ends)
+    data = (strings.buffers()[2].to_pybytes() if len(strings) else b"") + bytes(16)
+    every = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    return every[first] & masks[np.minimum(sizes, 8)], every[first + 8] & masks[np.clip(sizes - 8, 0, 8)], sizes <= 16
 
 
 def _borders(letters: np.ndarray, first: np.ndarray) -> np.ndarray:
