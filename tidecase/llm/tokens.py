@@ -158,7 +158,7 @@ class TextEncoder(dict):
         sizes[order], starts[order] = own, len(self._words.ids) + np.cumsum(own) - own
         kept = new[single & short[new]][: max(0, 2 * self._remembered - len(self._words.hashes))]
         if len(kept):
-            self._words.add(low[kept], high[kept], starts[kept], sizes[kept], ids[: len(self._words.ids) + len(word_ids)].copy())
+            self._words.add(low[kept], high[kept], starts[kept], sizes[kept], ids[: len(self._words.ids) + len(word_ids)])
         return sizes, starts, ids
 
 
@@ -167,7 +167,7 @@ class _ShortWords:
 
     def __init__(self):
         self.hashes, self.low, self.high = (np.zeros(0, np.uint64) for _ in range(3))
-        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.uint32)
 
     def find(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each word whether it is here, and if so where its ids begin and how many they are."""
@@ -178,14 +178,14 @@ class _ShortWords:
         at = np.empty(len(low), np.int64)
         at[order] = np.searchsorted(self.hashes, hashes[order])
         np.minimum(at, len(self.hashes) - 1, out=at)
-        return (self.low[at] == low) & (self.high[at] == high), self.starts[at], self.sizes[at]
+        return (self.low[at] == low) & (self.high[at] == high), self.starts[at], self.sizes[at].astype(np.int64)
 
     def add(self, low: np.ndarray, high: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         """``ids``: those here and the new ones behind them."""
-        hashes = np.append(self.hashes, _hashed(low, high))
-        order = np.argsort(hashes)
-        self.hashes, self.low, self.high = hashes[order], np.append(self.low, low)[order], np.append(self.high, high)[order]
-        self.starts, self.sizes, self.ids = np.append(self.starts, starts)[order], np.append(self.sizes, sizes)[order], ids
+        self.ids = ids
+        order = np.argsort(np.append(self.hashes, _hashed(low, high)))
+        for name, new in (("hashes", _hashed(low, high)), ("low", low), ("high", high), ("starts", starts), ("sizes", sizes)):  # one by one, to hold little at a time
+            setattr(self, name, np.append(getattr(self, name), new.astype(getattr(self, name).dtype))[order])
 
 
 def _hashed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
